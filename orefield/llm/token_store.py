@@ -10,7 +10,7 @@ so that any store Spark writes to will do and a lost task is simply written agai
   payload            zstandard frames, one for each document, of little-endian unsigned 16- or 32-bit ids
 Any short document is read through its index entry alone, without the frames beside it.
 
-The tokenizer library encodes each distinct piece between white space once per task and batch of misses;
+The tokenizer library encodes each distinct piece between white space once per worker's memo;
 pieces do not depend on one another, since its pre-tokenizer never joins across white space.
 The dictionary is trained on a bounded sample (dictionary_docs documents); it changes sizes, never ids.
 
@@ -21,6 +21,7 @@ in order. Repeated ids keep a row each. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -37,7 +38,8 @@ DICTIONARY_BYTES = 64 * 1024
 DICTIONARY_DOCS = 256
 BLOCK_BYTES = 1 << 20
 LEVEL = 1
-_MEMO_PIECES = 400_000
+_MEMO_PIECES = 600_000
+_ASKED = 2000
 
 
 class Encoder:
@@ -50,6 +52,8 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.memo: dict[bytes, bytes] = {}
+        special = [(i, t.content) for i, t in sorted(self.library.get_added_tokens_decoder().items()) if t.special]
+        self.mark_id, self.mark = special[0] if special else (-1, "")
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -57,13 +61,37 @@ class Encoder:
             self.memo = {}
         memo = self.memo
         pieces = [t.split() for t in texts]
-        for i in range(0, len(pieces), 256):
-            missing = list({w for own in pieces[i : i + 256] for w in own if w not in memo})
-            for w, e in zip(missing, self.library.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
+        missing = list({w for own in pieces for w in own if w not in memo})
+        for i in range(0, len(missing), _ASKED):  # the library's results are large: a few pieces at a time
+            self._ask([w.decode() for w in missing[i : i + _ASKED]])
         return [b"".join(map(memo.__getitem__, own)) for own in pieces]
 
 
+    def _ask(self, pieces: list[str]) -> None:
+        """Pieces joined by a special token, which cuts text and ids alike; a piece that holds it is asked alone."""
+        plain = [p for p in pieces if self.mark and self.mark not in p]
+        for p in pieces if not self.mark else [p for p in pieces if self.mark in p]:
+            self.memo[p.encode()] = np.array(self.library.encode_batch_fast([p], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        if plain:
+            ids = np.array(self.library.encode_batch_fast([self.mark.join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            raw = ids.tobytes()
+            begin = 0
+            for p, end in zip(plain, [*(np.flatnonzero(ids == self.mark_id) * 4).tolist(), len(raw)]):
+                self.memo[p.encode()] = raw[begin:end]
+                begin = end + 4
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One encoder for each worker process, so that its memo outlives a task."""
+    if path not in _ENCODERS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def train_dictionary(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", dictionary_docs: int = DICTIONARY_DOCS) -> bytes:
     """A dictionary from the id arrays of at most dictionary_docs documents, the first by a hash of id."""
     picked = docs.select(F.col(id_col).alias("id")).orderBy(F.xxhash64("id"), "id").limit(dictionary_docs).where("id is not null").distinct()
@@ -102,7 +130,7 @@ def write(docs: DataFrame, tokenizer: str, *, path: str | None = None, id_col: s
         bucket = F.when(F.col("id").isNull(), 0).otherwise(bucket)
 
     def run(batches: Batches) -> Batches:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         data = zstandard.ZstdCompressionDict(dictionary)
         data.precompute_compress(level=LEVEL)
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=True)
@@ -110,8 +138,8 @@ def write(docs: DataFrame, tokenizer: str, *, path: str | None = None, id_col: s
 
         def frames() -> Iterator[tuple]:
             for b in batches:
-                for i in range(0, b.num_rows, 1024):
-                    part = b.slice(i, 1024)
+                for i in range(0, b.num_rows, 512):
+                    part = b.slice(i, 512)
                     ids = part.column(1).to_pylist()
                     for where, doc, raw in zip(part.column(0).to_pylist(), ids, encoder.encode(as_bytes(part.column(2)))):
                         ids32 = np.frombuffer(raw + end, "<u4")
