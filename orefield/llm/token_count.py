@@ -316,14 +316,21 @@ class Transducer:
         return extra
 
 
+_TRANSDUCERS: dict[str, Transducer] = {}
+
+
+def transducer_of(path: str) -> Transducer:
+    """One transducer for each worker process: what it has determinised outlives a task."""
+    if path not in _TRANSDUCERS:
+        _TRANSDUCERS[path] = Transducer(path)
+    return _TRANSDUCERS[path]
+
+
 def token_counts(docs: DataFrame, tokenizer: str, *, text_col: str = "text", limit: int = 512) -> DataFrame:
     """docs with n_bytes, n_tokens and over_limit (more than limit tokens)."""
-    made: list[Transducer] = []
-
     def run(texts: list[bytes]) -> list[pa.Array]:
-        if not made:
-            made.append(Transducer(tokenizer))
-        n = np.concatenate([made[0].counts(texts[i : i + 2000]) for i in range(0, len(texts), 2000)]) if texts else np.zeros(0, np.int64)
+        made = transducer_of(tokenizer)
+        n = np.concatenate([made.counts(texts[i : i + 2000]) for i in range(0, len(texts), 2000)]) if texts else np.zeros(0, np.int64)
         return [pa.array([len(t) for t in texts], pa.int64()), pa.array(n), pa.array(n > limit)]
 
     return with_text_columns(docs, text_col, "n_bytes bigint, n_tokens bigint, over_limit boolean", run)
