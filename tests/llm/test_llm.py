@@ -312,7 +312,7 @@ def test_pieces_encode_as_in_the_whole_text():
 
     path = queries.tokenizer_path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    texts = ["It's <|endoftext|>x<|startoftext|> DON'T stop　now\x0bor\x85never İſ é 가", "\r\n\t ", "a\x1cb\x1fc 12 ３"]
+    texts = ["It's <|endoftext|>x<|startoftext|> DON'T stop　now\x0bor\x85never İſ é 가", "\r\n\t ", "a\x1cb\x1fc 12 ３", "End. Mid, x.y a.. b.,c 7. é. A\u030a. <|ENDOFTEXT|> T.", "THE. THE,\nthe.\t¤ x¤y ."]
     got = token_store.Encoder(path).encode([t.encode() for t in texts])
     assert [len(g) // 4 for g in got] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
     assert got[0] == b"".join(i.to_bytes(4, "little") for i in library.encode(texts[0], add_special_tokens=False).ids)
