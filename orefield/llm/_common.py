@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -78,8 +79,18 @@ def key_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[di
         yield rows, cut(rows)
 
 
-def with_text_columns(docs: DataFrame, text_col: str, fields: str, function: Callable[[list[bytes]], list[pa.Array]]) -> DataFrame:
-    """docs with columns (DDL in fields) that function makes from each batch of texts; columns of those names are replaced."""
+def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about limit bytes in a text or binary column, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total, start = np.cumsum(sizes), 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + limit, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def with_text_columns(docs: DataFrame, text_col: str, fields: str, function: Callable[[list[bytes]], list[pa.Array]], part_bytes: int = 8 << 20) -> DataFrame:
+    """docs with columns (DDL in fields) that function makes from parts of the texts; columns of those names are replaced."""
     added = StructType.fromDDL(fields)
     docs = docs.drop(*added.fieldNames())
     schema = StructType(docs.schema.fields + added.fields)
@@ -87,9 +98,10 @@ def with_text_columns(docs: DataFrame, text_col: str, fields: str, function: Cal
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [*b.columns, *function(as_bytes(b.column(at)))]
-            yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(made, target)], schema=target)
+        for batch in batches:
+            for b in slices(batch, at, part_bytes):
+                made = [*b.columns, *function(as_bytes(b.column(at)))]
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(made, target)], schema=target)
 
     return docs.mapInArrow(run, schema)
 
