@@ -111,7 +111,7 @@ def parse_coordinate_range(text: Column | str, axis: str) -> Column:
     """struct(lower, upper, odd): a point or range of degree parts; the right end inherits missing leading parts. NULL if malformed."""
     raw = F.regexp_replace(F.upper(F.trim(_c(text))), "°", " ")
     letters = F.regexp_extract_all(raw, F.lit("([NSEW])"), F.lit(1))
-    hemisphere = F.element_at(letters, -1)
+    hemisphere = F.try_element_at(letters, F.lit(-1))
     right_axis = hemisphere.isin("N", "S") if axis == "latitude" else hemisphere.isin("E", "W")
     body = F.regexp_replace(raw, "[NSEW]", "")
     numbers = lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1)), lambda v: v.cast("double"))

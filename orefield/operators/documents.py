@@ -16,7 +16,7 @@ from ..functions.columns import clean_text, fold_key, term_found
 def extract_links(pages: DataFrame, key: str, html: str, url: str) -> DataFrame:
     """(key, position, href, text, resolved): all anchors of each page; an href beginning with / is resolved against the page's host."""
     pattern = r'<a\s+href="([^"]*)"[^>]*>([^<]*)'
-    found = pages.select(key, url, F.posexplode(F.arrays_zip(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)).alias("h"), F.regexp_extract_all(html, F.lit(pattern), F.lit(2)).alias("t"))).alias("position", "z"))
+    found = pages.select(key, url, F.posexplode(F.arrays_zip(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), F.regexp_extract_all(html, F.lit(pattern), F.lit(2)))).alias("position", "z"))
     href, text = F.col("z.0"), F.col("z.1")
     host = F.regexp_extract(url, r"^([a-z]+://[^/?#]+)", 1)
     return found.select(key, "position", href.alias("href"), text.alias("text"), F.when(href.startswith("/"), F.concat(host, href)).otherwise(href).alias("resolved"))

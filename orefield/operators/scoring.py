@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import clip, distance_decay, support_weight
 from .relational import pct_rank_avg, smoothed_affinity
 from .spatial import count_within, nearest
+from .state import materialised
 
 #: Weights of affinity, decay and density with enough evidence, of decay and density without, and the evidence that is enough.
 WEIGHTS = (0.50, 0.35, 0.15)
@@ -51,7 +52,7 @@ def score_cells(cells: DataFrame, evidence: DataFrame, targets: DataFrame, *, ce
     enough = F.col("n_evidence") >= ENOUGH
     level = F.when(F.col("n_evidence") >= 20, "high").when(enough, "medium").otherwise("low")
     scored = j.withColumns({"score": clip(F.when(enough, full).otherwise(sparse) * support_weight("n_evidence")), "support_level": level})
-    ranked = pct_rank_avg(scored, by, "score", enough & (F.col("nearest_km") > 10))
+    ranked = pct_rank_avg(materialised(scored), by, "score", enough & (F.col("nearest_km") > 10))
     return ranked.select(*by, cell, "n_evidence", "nearest_km", "density", "affinity", "score", "percentile", "support_level")
 
 
@@ -168,6 +169,8 @@ def fit_logistic(rows: DataFrame, by: Sequence[str], key: str, features: Sequenc
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         train = ~pdf["_test"].to_numpy(bool)
+        if not train.any():  # nothing to learn from
+            return pdf[[*by, key]].assign(probability=np.nan)
         x = pdf[list(features)].to_numpy(float)
         gaps = np.isnan(x)
         with np.errstate(all="ignore"):
@@ -239,7 +242,9 @@ def transfer_metrics(observations: DataFrame, background: DataFrame, target: str
     from .relational import threshold_shares
 
     pos = observations.where("outside_known and score is not null").select(target, F.col(cell).alias(group), "score", "percentile", F.lit(1).alias("label"))
+    pos = materialised(pos)  # used by every metric
     both = pos.unionByName(background.select(target, F.col(cell).alias(group), "score", "percentile", F.lit(0).alias("label")))
+    both = materialised(both)
     by = [target]
     n = pos.groupBy(target).agg(F.count("*").alias("n_blocks"))
     out = n

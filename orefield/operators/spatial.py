@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import EARTH_RADIUS_KM, haversine_km
 from .cells import edges
+from .state import materialised
 
 KM_PER_DEGREE = EARTH_RADIUS_KM * 3.141592653589793 / 180
-LEVELS = (2.0, 8.0, 32.0, 180.0)
+NEIGHBOURS = 16  # reference points expected in a first block
 
 
 def _row(lat: Column, size: float) -> Column:
@@ -65,12 +66,24 @@ def pairs_near(left: DataFrame, ref: DataFrame, size: float, *, lat: str = "lat"
     return spread.join(right, reduce(lambda a, b: a & b, on)).withColumn("_km", haversine_km(F.col(lat), F.col(lon), F.col("_rlat"), F.col("_rlon"))).drop("_lb", "_b", "_rlat", "_rlon", *[f"_by{n}" for n in range(len(by))])
 
 
-def nearest(left: DataFrame, ref: DataFrame, keys: Sequence[str], *, ref_id: str, by: Sequence[str] = (), lat: str = "lat", lon: str = "lon", ref_lat: str = "lat", ref_lon: str = "lon", keep: Sequence[str] = (), where: Column | None = None, levels: Sequence[float] = LEVELS) -> DataFrame:
+def block_sizes(ref: DataFrame, lat: str, lon: str, by: Sequence[str]) -> tuple[float, ...]:
+    """Block sizes in degrees from one small aggregate: nine first blocks hold about NEIGHBOURS points of a by group."""
+    groups = F.count_distinct(F.struct(*by)) if by else F.lit(1)
+    n, g, a, b, c, d = ref.agg(F.count(lat), groups, F.min(lat), F.max(lat), F.min(lon), F.max(lon)).first()
+    if not n:
+        return (180.0,)
+    area = max(b - a, 0.01) * max(d - c, 0.01)
+    first = min(45.0, max(0.01, (area * NEIGHBOURS / 9 / max(1.0, n / max(g, 1))) ** 0.5))
+    return tuple(x for x in (first, 4 * first) if x < 90) + (180.0,)
+
+
+def nearest(left: DataFrame, ref: DataFrame, keys: Sequence[str], *, ref_id: str, by: Sequence[str] = (), lat: str = "lat", lon: str = "lon", ref_lat: str = "lat", ref_lon: str = "lon", keep: Sequence[str] = (), where: Column | None = None, levels: Sequence[float] = ()) -> DataFrame:
     """left with nearest_id, nearest_km and the kept attributes of the nearest reference point (smallest id on ties; NULL without any).
 
-    Blocks grow only for rows whose best distance exceeds what their block guarantees. The last level spans
-    the globe. keys name a left row; by columns must be equal; where may use the columns of both sides (kept ones as _keep_<name>).
+    Blocks grow only for rows whose best distance exceeds what their block guarantees. The first block size follows the
+    reference's density, the last level spans the globe. keys name a left row; by columns must be equal; where may use the columns of both sides (kept ones as _keep_<name>).
     """
+    levels = levels or block_sizes(ref, ref_lat, ref_lon, by)
     open_rows, settled = left, []
     for n, size in enumerate(levels):
         found = pairs_near(open_rows, ref, size, lat=lat, lon=lon, ref_lat=ref_lat, ref_lon=ref_lon, ref_id=ref_id, by=by, keep=keep)
@@ -78,6 +91,7 @@ def nearest(left: DataFrame, ref: DataFrame, keys: Sequence[str], *, ref_id: str
         best = found.groupBy(*keys).agg(F.min_by(F.struct(F.col("_rid").alias("nearest_id"), F.col("_km").alias("nearest_km"), *[F.col(f"_keep_{k}").alias(f"nearest_{k}") for k in keep]), F.struct("_km", "_rid")).alias("_best"))
         joined = open_rows.join(best, list(keys), "left")
         last = n == len(levels) - 1
+        joined = joined if last else materialised(joined)  # read twice: settled rows and open ones
         sure = F.coalesce(F.col("_best.nearest_km") <= _sure_km(F.col(lat), size), F.lit(False))
         done = joined if last else joined.where(sure)
         settled.append(done.select(*left.columns, "_best.*"))

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from . import registry, scalar_queries, science_queries, table_queries  # noqa: F401  importing registers the queries
+
 
 def queries() -> dict:
-    return {}
+    return registry.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return registry.ORACLES
+
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    return registry.QUERIES["w2_top_k_per_row"](spark, folder)
