@@ -253,12 +253,12 @@ def _(x):
     return M.group_kfold(rows, "unit_id", 5, [], "label", 7).select("site_id", "unit_id", "label", "fold")
 
 
-_FOLD = ", sf AS (SELECT *, site_id % 3 AS fold FROM sites)"
+_FOLD = ", sf AS (SELECT *, (site_id // 12) % 3 AS fold FROM sites)"
 
 
 def _training(x):
     """Evidence of each fold's training side."""
-    return M.fold_statistics(x.sites.withColumn("fold", (F.col("site_id") % 3).cast("int")), "fold", 3)
+    return M.fold_statistics(x.sites.withColumn("fold", (F.floor(F.col("site_id") / 12) % 3).cast("int")), "fold", 3)
 
 
 @query("m5_fold_features", _FOLD + f", p AS (SELECT f.range AS train_fold, c.site_id, min({_KM}) FILTER (s.site_id IS NOT NULL) AS km, count(s.site_id) FILTER ({_KM} <= 100) AS n FROM sf c CROSS JOIN range(3) f LEFT JOIN sf s ON s.material_id = c.material_id AND s.fold <> f.range AND s.site_id <> c.site_id GROUP BY 1, 2) SELECT CAST(train_fold AS INTEGER) AS train_fold, site_id, round(ln(1 + km), 6) AS log_distance, round(ln(1 + n), 6) AS log_density FROM p")
@@ -288,10 +288,10 @@ def _(x):
 
 def _labelled(x):
     """Rows with a score full of ties and a label, per material."""
-    return x.sites.select("site_id", "material_id", "unit_id", (F.col("site_id") * 37 % 101).cast("double").alias("s"), ((F.col("site_id") % 4 == 0) | (F.col("site_id") * 37 % 101 > 90)).cast("int").alias("y"))
+    return x.sites.select("site_id", "material_id", "unit_id", (F.col("site_id") * 37 % 101).cast("double").alias("s"), ((F.floor(F.col("site_id") / 12) % 4 == 0) | (F.col("site_id") * 37 % 101 > 90)).cast("int").alias("y"))
 
 
-_LAB = ", lab AS (SELECT site_id, material_id, unit_id, CAST(site_id * 37 % 101 AS DOUBLE) AS s, CASE WHEN site_id % 4 = 0 OR site_id * 37 % 101 > 90 THEN 1 ELSE 0 END AS y FROM sites)"
+_LAB = ", lab AS (SELECT site_id, material_id, unit_id, CAST(site_id * 37 % 101 AS DOUBLE) AS s, CASE WHEN (site_id // 12) % 4 = 0 OR site_id * 37 % 101 > 90 THEN 1 ELSE 0 END AS y FROM sites)"
 
 
 @query("m7_roc_auc", _LAB + " SELECT a.material_id, round(avg(CASE WHEN a.s > b.s THEN 1e0 WHEN a.s = b.s THEN 5e-1 ELSE 0 END), 6) AS auc FROM lab a JOIN lab b ON a.material_id = b.material_id AND a.y = 1 AND b.y = 0 GROUP BY 1")
@@ -315,7 +315,7 @@ def _(x):
 
 
 def _feature_rows(x):
-    rows = _labelled(x).withColumns({"f1": F.when(F.col("site_id") % 11 > 0, F.col("s") + F.col("site_id") % 7), "f2": (F.col("site_id") * 53 % 89).cast("double"), "held": F.col("site_id") % 3 == 0})
+    rows = _labelled(x).withColumns({"f1": F.when(F.col("site_id") % 11 > 0, F.col("s") + F.col("site_id") % 7), "f2": (F.col("site_id") * 53 % 89).cast("double"), "held": F.floor(F.col("site_id") / 12) % 3 == 0})
     return rows
 
 
@@ -324,7 +324,7 @@ def _(x):
     return M.fit_logistic(_feature_rows(x), ["material_id"], "site_id", ["f1", "f2"], "y", "held").withColumn("probability", F.round("probability", 4))
 
 
-@query("m12_fill_from_training", ", r AS (SELECT site_id, material_id, CASE WHEN site_id % 11 > 0 THEN CAST(site_id * 37 % 101 AS DOUBLE) + site_id % 7 END AS f1 FROM sites), m AS (SELECT material_id, quantile_cont(f1, 5e-1) AS m FROM r WHERE site_id % 3 <> 0 GROUP BY 1) SELECT site_id, coalesce(f1, m) AS f1 FROM r LEFT JOIN m USING (material_id) WHERE site_id % 3 = 0")
+@query("m12_fill_from_training", ", r AS (SELECT site_id, material_id, CASE WHEN site_id % 11 > 0 THEN CAST(site_id * 37 % 101 AS DOUBLE) + site_id % 7 END AS f1 FROM sites), m AS (SELECT material_id, quantile_cont(f1, 5e-1) AS m FROM r WHERE (site_id // 12) % 3 <> 0 GROUP BY 1) SELECT site_id, coalesce(f1, m) AS f1 FROM r LEFT JOIN m USING (material_id) WHERE (site_id // 12) % 3 = 0")
 def _(x):
     rows = _feature_rows(x)
     return M.fill_from_training(rows.where("not held"), rows.where("held"), ["material_id"], ["f1"]).select("site_id", "f1")
@@ -332,7 +332,7 @@ def _(x):
 
 @query("m13_paired_ablation")
 def _(x):
-    rows = _feature_rows(x).withColumn("fold", (F.col("site_id") % 3).cast("int"))
+    rows = _feature_rows(x).withColumn("fold", (F.floor(F.col("site_id") / 12) % 3).cast("int"))
     out = M.paired_ablation(rows, "material_id", "site_id", "fold", 3, "y", {"base": ["f2"], "extended": ["f1", "f2"]})
     return out.select("material_id", *[F.round(c, 4).alias(c) for c in out.columns if c.startswith(("base_", "extended_", "delta_"))], "folds_gained", "folds_lost")
 
