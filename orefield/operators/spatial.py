@@ -30,9 +30,10 @@ def _column(lon: Column, size: float) -> Column:
 
 
 def _reach(lat: Column, size: float) -> Column:
-    """Columns on each side that hold all points within size degrees."""
-    far = F.least(F.abs(lat) + size, F.lit(89.9))
-    return F.least(F.ceil(1 / F.cos(F.radians(far))), F.lit(max(1, round(360 / size)))).cast("int")
+    """Columns on each side that hold all points within size degrees; all columns where that reaches a pole."""
+    n = F.lit(max(1, round(360 / size)))
+    far = F.abs(lat) + size
+    return F.when(far >= 89.9, n).otherwise(F.least(F.ceil(1 / F.cos(F.radians(far))).cast("int"), n)).cast("int")
 
 
 def block(lat: Column, lon: Column, size: float) -> Column:

@@ -34,10 +34,10 @@ def _(x):
     return x.customer.select("c_custkey", C.normalise_alias("c_mktsegment", {"building": "Construction", "household": "Home"}).alias("segment"))
 
 
-_TAGS = {"the_word": [r"\bthe\b"], "digits": [r"[0-9]{4,}"], "license": ["license", "licence"], "german": [r"\bund\b", r"\bdie\b"]}
+_TAGS = {"the_word": [r" the "], "digits": [r"[0-9]{4,}"], "license": ["license", "licence"], "german": [r" und ", r" die "]}
 
 
-@query("f5_multi_pattern_tags", "SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, '(?i)(?:\\bthe\\b)') THEN 'the_word' END, CASE WHEN regexp_matches(text, '(?i)(?:[0-9]{4,})') THEN 'digits' END, CASE WHEN regexp_matches(text, '(?i)(?:license)|(?:licence)') THEN 'license' END, CASE WHEN regexp_matches(text, '(?i)(?:\\bund\\b)|(?:\\bdie\\b)') THEN 'german' END], lambda v: v IS NOT NULL), ',') AS tags FROM documents")
+@query("f5_multi_pattern_tags", "SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, '(?i)(?: the )') THEN 'the_word' END, CASE WHEN regexp_matches(text, '(?i)(?:[0-9]{4,})') THEN 'digits' END, CASE WHEN regexp_matches(text, '(?i)(?:license)|(?:licence)') THEN 'license' END, CASE WHEN regexp_matches(text, '(?i)(?: und )|(?: die )') THEN 'german' END], lambda v: v IS NOT NULL), ',') AS tags FROM documents")
 def _(x):
     return x.documents.select("doc_id", F.array_join(C.multi_pattern_tags("text", _TAGS), ",").alias("tags"))
 
