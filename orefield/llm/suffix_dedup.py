@@ -7,7 +7,8 @@ need an order. Around a core, what decides is how far two places agree to the ri
 to the left (reversed prefix).
 
   1. Each document gives its cores with a hash of the core and one of the core's whole surroundings.
-  2. Places whose whole surroundings are equal are covered at once, and one of them stands for all.
+  2. Places whose whole surroundings are equal are covered at once, and one of them stands for all: first inside
+     salts, so that a large group of copies is spread over tasks, then among what stands for each salt.
   3. The other surroundings of a core group are sorted by what follows and by what precedes the
      core: multikey quicksort to a shallow depth, blind tries below it for groups with a longer
      common prefix. Common-prefix lengths of neighbours cut each order into classes; a string of length bytes that
@@ -32,6 +33,7 @@ from ._common import Batches, as_bytes, key_groups, written
 LENGTH = 400
 CORE = 200
 SHALLOW = 8
+SALTS = 32
 _BASE = 0x9E3779B97F4A7C15
 _BATCH_BYTES = 4 << 20
 _BATCH_MEMBERS = 20_000
@@ -234,25 +236,32 @@ def covered_spans(docs: DataFrame, *, length: int = LENGTH, core: int = CORE) ->
                     names=["core", "whole", "id", "mark", "place", "right"],
                 )
 
+    def collapsed(batches: Batches) -> Batches:
+        """Of places with equal surroundings in one salt, one stands for all (marked twice); the others are covered and go their own way."""
+        for rows, _ in key_groups(batches, "core"):
+            change = np.concatenate([[True], (rows["core"][1:] != rows["core"][:-1]) | (rows["whole"][1:] != rows["whole"][:-1]) | (rows["salt"][1:] != rows["salt"][:-1])])
+            twice = np.bincount(np.cumsum(change) - 1)[np.cumsum(change) - 1] > 1
+            spread = (rows["whole"] ^ (rows["mark"] * 31 + rows["place"])).astype(np.int64)
+            columns = [np.where(change, rows["core"], spread), *(rows[c] for c in ("core", "whole", "id", "mark", "place", "right")), twice, change]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "core", "whole", "id", "mark", "place", "right", "twice", "stands"])
+
     def grouped(batches: Batches) -> Batches:
         """Places with equal surroundings, covered; and one place of each kind in groups with several kinds, to be compared."""
-        for rows, cuts in key_groups(batches, "core"):
-            sizes = np.diff(cuts)
-            if sizes.max() < 2:
-                continue
-            kind = np.concatenate([[True], (rows["whole"][1:] != rows["whole"][:-1]) | (rows["core"][1:] != rows["core"][:-1])])
+        for rows, _ in key_groups(batches, "key"):
+            stands, core, whole = rows["stands"], rows["core"], rows["whole"]
+            kind = np.concatenate([[True], (whole[1:] != whole[:-1]) | (core[1:] != core[:-1]) | (stands[1:] != stands[:-1])])
             number = np.cumsum(kind) - 1
-            twice = np.bincount(number)[number] > 1
-            kinds = np.add.reduceat(kind.astype(np.int64), cuts[:-1])
-            several = np.repeat(kinds > 1, sizes)
-            compare = several & kind
+            twice = (np.bincount(number)[number] > 1) | (np.bincount(number, weights=rows["twice"])[number] > 0)
+            group = np.concatenate([[True], (core[1:] != core[:-1]) | (stands[1:] != stands[:-1])])
+            of_group = np.cumsum(group) - 1
+            compare = kind & stands & (np.bincount(of_group, weights=kind)[of_group] > 1)
             use = twice | compare
             if use.any():
                 place = rows["place"].astype(np.int64)
                 start = np.maximum(place - reach, 0)
                 end = place + rows["right"]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows["core"][use]), pa.array(rows["id"][use], pa.int64()), pa.array(rows["mark"][use]), pa.array(place[use]), pa.array(compare[use]), pa.array(np.where(twice, start, -1)[use]), pa.array(np.where(twice, end, -1)[use])],
+                    [pa.array(core[use]), pa.array(rows["id"][use], pa.int64()), pa.array(rows["mark"][use]), pa.array(place[use]), pa.array(compare[use]), pa.array(np.where(twice, start, -1)[use]), pa.array(np.where(twice, end, -1)[use])],
                     names=["core", "id", "mark", "place", "compare", "start", "end"],
                 )
 
@@ -281,7 +290,9 @@ def covered_spans(docs: DataFrame, *, length: int = LENGTH, core: int = CORE) ->
                     yield pa.RecordBatch.from_arrays([pa.array(rows["id"][part][hit], pa.int64()), pa.array(rows["mark"][part][hit]), pa.array(p - most[hit]), pa.array(p - fewest[hit] + length)], names=["id", "mark", "start", "end"])
                 at = to
 
-    found = docs.mapInArrow(places, "core long, whole long, id long, mark long, place int, right short").repartition("core").sortWithinPartitions("core", "whole").mapInArrow(grouped, "core long, id long, mark long, place long, compare boolean, start long, end long")
+    found = docs.mapInArrow(places, "core long, whole long, id long, mark long, place int, right short").withColumn("salt", F.pmod(F.xxhash64("id", "mark", "place"), F.lit(SALTS)).cast("int"))
+    found = found.repartition("core", "whole", "salt").sortWithinPartitions("core", "whole", "salt").mapInArrow(collapsed, "key long, core long, whole long, id long, mark long, place int, right short, twice boolean, stands boolean")
+    found = found.repartition("key").sortWithinPartitions("key", "stands", "core", "whole").mapInArrow(grouped, "core long, id long, mark long, place long, compare boolean, start long, end long")
     found = written(found, "suffix-groups")
     wanted = found.where("compare").groupBy("id", "mark").agg(F.collect_list(F.struct("core", "place")).alias("wanted"))
     near = docs.join(wanted, ["id", "mark"]).select("id", "mark", "wanted", "text").mapInArrow(surroundings, "core long, id long, mark long, place long, left binary, right binary")
