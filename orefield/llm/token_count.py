@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from ._common import with_text_columns
 
 CHUNK = 1024
-MAX_TABLE_BYTES = 240_000_000
+MAX_TABLE_BYTES = 150_000_000
 _END = 256
 _LETTER, _DIGIT, _MARK, _SPACE = "L", "N", "P", "S"
 #: The contractions of the pre-tokenizer's pattern.
@@ -102,7 +102,7 @@ class Transducer:
 
     def _pairs_with(self, a: bytes, b: bytes) -> bool:
         if (a, b) not in self.pairs:
-            if len(self.pairs) > 500_000:
+            if len(self.pairs) > 300_000:
                 self.pairs = {}
             self.pairs[a, b] = self._merged(a + b) == [a, b]
         return self.pairs[a, b]
