@@ -3,34 +3,25 @@
 Stages: quality (documents the classifier rejects go), simhash (one document, the one with the smallest id, of each group
 of near duplicates stays), decontaminate (documents with a benchmark passage go), secrets (found
 secrets are replaced by a mark) and pack (bins of a fixed number of words). All but the last return
-the columns of documents. The near-duplicate stage takes five-word shingles and a similarity of 0.8: fingerprints of
-1,024 bits, whose differing share estimates the similarity, meet in tables of sampled bits.
+the columns of documents. The near-duplicate stage links documents whose sets of distinct five-word shingles have a
+similarity of at least 0.8, by an exact prefix-filter join with every link verified on the sets.
 
 Documents with a null id are kept by the near-duplicate stage, which cannot name them.
 """
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orefield.llm import decontaminate, packing, quality, secrets, simhash
-from orefield.llm._common import shared_folder, table
+from orefield.llm import decontaminate, packing, quality, secrets, set_join
+from orefield.llm._common import shared_folder, table, written
 
 KEEP_SCORE = 0.7
-SIMILARITY = 0.8
-WORDS = 16
-TABLES, TABLE_BITS = 112, 22
-
-
-def _radius(similarity: float, bits: int) -> int:
-    """Differing bits expected of two texts with that share of common shingles, and one deviation more."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * share + math.sqrt(bits * share * (1 - share)))
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +30,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs, shingle=5, words=WORDS, radius=_radius(SIMILARITY, 64 * WORDS), blocks=None, tables=TABLES, bits=TABLE_BITS)
-    later = found.where("component <> id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(later, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    found = written(set_join.similar_sets(docs, shingle=SHINGLE, similarity=SIMILARITY), "near-duplicates")
+    first = found.where("id is not null").groupBy("component").agg(F.min(F.struct("id", "mark")).alias("first"))
+    later = found.join(first, "component").where(F.struct("id", "mark") != F.col("first")).select(F.col("id").alias("doc_id"), F.col("mark").alias("_mark")).distinct()
+    marked = docs.withColumn("_mark", F.xxhash64("doc_id", "text"))
+    return marked.join(later, ["doc_id", "_mark"], "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -476,3 +476,44 @@ def test_pipeline_catches_planted_copies(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r.doc_id for r in corpus_pipeline.keep_first_copies(spark, docs, SMALL).collect()}
     assert kept == set(range(30))
+
+
+def test_near_duplicate_stage_is_exact(spark):
+    def shingles(text):
+        w = text.lower().split()
+        return {" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    line = "this line stands in very many otherwise different documents and says nothing at all about them"
+    texts = []
+    for n in (8, 9, 12, 30, 100, 200):  # short and long texts; new words at the end give similarities around 0.8
+        for _ in range(6):
+            base = [rng.choice(words) for _ in range(n)]
+            texts.append(" ".join(base))
+            for extra in sorted({1, 2, (n - 4) // 5, (n - 4) // 4, (n - 4) // 4 + 1, (n - 4) // 3}):
+                texts.append(" ".join([*base, *(rng.choice(words) for _ in range(extra))]))
+    for _ in range(40):  # documents of boilerplate and repeated lines
+        own = " ".join(rng.choice(words) for _ in range(rng.choice([3, 6, 20])))
+        texts += [f"{line}\n{own}", f"{own}\n" * 5 + line]
+    texts += ["", "one two", "One  TWO", texts[0]]
+    rng.shuffle(texts)
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or (common and 5 * common >= 4 * (len(sets[i]) + len(sets[j]) - common)):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    kept = {r.doc_id for r in corpus_pipeline.keep_first_copies(spark, docs, SMALL).collect()}
+    assert kept == {i for i in range(len(texts)) if find(i) == i}
+    same = spark.createDataFrame([(1, texts[5]), (2, texts[5]), (2, "another text under the id of a copy"), (None, texts[5])], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text == texts[5]) for r in corpus_pipeline.keep_first_copies(spark, same, SMALL).collect()) == [(0, True), (1, True), (2, False)]
