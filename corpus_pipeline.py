@@ -26,6 +26,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"))
+    if not model.weights:  # a class without labelled rows: nothing tells documents apart, so none is rejected
+        return docs
     return quality.score(docs, model, score_col="_score").where(F.col("_score") >= KEEP_SCORE).drop("_score")
 
 

@@ -59,9 +59,9 @@ def _features(texts: list[bytes], good: zstandard.ZstdCompressor, bad: zstandard
 
 
 def fit(good: list[bytes], bad: list[bytes], prior: float | None = None) -> Model:
-    """Dictionaries from one half of each class, calibration from the other half."""
+    """Dictionaries from one half of each class, calibration from the other half (from the same row where a class has one only)."""
     share = prior if prior is not None else (len(good) / (len(good) + len(bad)) if good or bad else 0.5)
-    if len(good) < 16 or len(bad) < 16:
+    if not good or not bad:
         return Model(b"", b"", (), (), (), share)
     pieces = [[t[i : i + _PIECE] for t in own[::2] for i in range(0, len(t), _PIECE)] for own in (good, bad)]
     made = []
@@ -71,7 +71,7 @@ def fit(good: list[bytes], bad: list[bytes], prior: float | None = None) -> Mode
         except zstandard.ZstdError:  # too little text: the text itself serves
             made.append(b"\n".join(own)[-DICTIONARY_BYTES:] or b"\n" * 8)
     tools = [_compressor(x) for x in made]
-    rest = [good[1::2], bad[1::2]]
+    rest = [good[1::2] or good, bad[1::2] or bad]
     x = np.concatenate([_features(own, *tools) for own in rest])
     y = np.repeat([1.0, 0.0], [len(own) for own in rest])
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))

@@ -517,3 +517,20 @@ def test_near_duplicate_stage_is_exact(spark):
     assert kept == {i for i in range(len(texts)) if find(i) == i}
     same = spark.createDataFrame([(1, texts[5]), (2, texts[5]), (2, "another text under the id of a copy"), (None, texts[5])], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.text == texts[5]) for r in corpus_pipeline.keep_first_copies(spark, same, SMALL).collect()) == [(0, True), (1, True), (2, False)]
+
+
+def test_thin_labels(spark, tmp_path):
+    rng = random.Random(12)
+    good = ["The river runs past the old mill, and the miller's daughter counts the boats. " + " ".join(rng.choice(["water", "stone", "evening", "bridge"]) for _ in range(60)) for _ in range(8)]
+    bad = ["$$$ CLICK >>> win!!! " + "".join(rng.choice("0123456789$!#%") for _ in range(300)) for _ in range(8)]
+    for n in (1, 2, 3, 8):
+        model = quality.fit([t.encode() for t in good[:n]], [t.encode() for t in bad[:n]])
+        assert model.weights
+        if n > 2:
+            rows = spark.createDataFrame([(1, good[-1]), (2, bad[-1]), (3, ""), (4, None)], "doc_id long, text string")
+            by = {r.doc_id: r.score for r in quality.score(rows, model).collect()}
+            assert by[1] > by[2] and all(0 <= s <= 1 for s in by.values())
+    assert quality.fit([b""], [b""]).weights and not quality.fit([b"x"] * 20, []).weights
+    docs = spark.createDataFrame([(1, "one"), (2, "two")], "doc_id long, text string")
+    spark.createDataFrame([(1, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.keep_quality(spark, docs, str(tmp_path)).count() == 2
