@@ -2,8 +2,8 @@
 
 The similarity of two texts is the share of common ones among their distinct shingles. Texts with equal
 sets are one node. With all shingles in one fixed order, two sets of a similarity of at least p / q share one of the first
-n - ceil(n p / q) + 1 shingles of each; the join on these prefixes, with bounds on size and on the place of the
-first shared shingle, gives every such pair. Each candidate pair is verified on its whole sets.
+n - ceil(n p / q) + 1 shingles of each; the join on these prefixes, with bounds on sizes and on the number of shared
+prefix shingles, gives every such pair. Each candidate pair is verified on its whole sets.
 
   1. Each bucket (nodes that share a prefix shingle) links its members to one of them; verified links give groups.
   2. Pairs in one bucket but in different groups are candidates too; verified, they join the groups.
@@ -11,7 +11,7 @@ first shared shingle, gives every such pair. Each candidate pair is verified on
 So dense groups cost their members and not their pairs, and no pair of another group is left out. The order puts
 shingles that are frequent in a bounded sample last, so that boilerplate makes no buckets; any order gives the same links.
 
-Null and empty texts have the empty set and are equal to each other. A text of fewer words than a shingle is one shingle.
+Sets are made from the texts in each pass and stored only for candidates. Null and empty texts have the empty set and are equal to each other. A text of fewer words than a shingle is one shingle.
 """
 
 from __future__ import annotations
@@ -21,14 +21,14 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import Batches, as_bytes, components, slices, written
 from .simhash import _hashes
 
 #: Only the order of shingles, so the cost and never the links, depends on these.
-SAMPLE_NODES = 32_768
+SAMPLE_NODES = 16_384
 OFTEN, MOST_OFTEN = 3, 1 << 18
 _PART_BYTES = 4 << 20
 
@@ -38,71 +38,92 @@ def distinct_shingles(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(_hashes(text, shingle).view(np.uint64).ravel())
 
 
-def shingle_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """(id, mark, node, shingles) for each row: mark is a hash of id and text, node one of the set."""
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, mark, text): mark is a hash of id and text."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, text_col).alias("mark"), F.col(text_col).alias("text"))
+
+
+def _named(sets: list[np.ndarray]) -> np.ndarray:
+    """A hash of each set: its node."""
+    return np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+
+
+def _nodes(rows: DataFrame, shingle: int) -> DataFrame:
+    """(id, mark, node) for each row."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             for b in slices(batch, 2, _PART_BYTES):
-                raw = [distinct_shingles(t, shingle).tobytes() for t in as_bytes(b.column(2))]
-                nodes = np.array([xxhash.xxh3_64_intdigest(r) for r in raw], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes), pa.array(raw, pa.binary())], names=["id", "mark", "node", "shingles"])
+                sets = [distinct_shingles(t, shingle) for t in as_bytes(b.column(2))]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_named(sets))], names=["id", "mark", "node"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, text_col).alias("mark"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, mark long, node long, shingles binary")
+    return rows.mapInArrow(run, "id long, mark long, node long")
 
 
-def _frequent(sets: DataFrame, nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, counts) of those found often in a sample of the nodes; shingles ascend."""
+def _frequent(rows: DataFrame, n_nodes: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts) of those found often in a sample of the texts; shingles ascend."""
 
     def singly(batches: Batches) -> Batches:
         for batch in batches:
             for b in slices(batch, 0, _PART_BYTES):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column(0).to_pylist()), np.int64))], names=["key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([distinct_shingles(t, shingle) for t in as_bytes(b.column(0))]).view(np.int64))], names=["key"])
 
-    rate = min(1.0, SAMPLE_NODES / max(nodes.count(), 1))
-    sample = sets.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(rate * (1 << 20))).dropDuplicates(["node"])
-    counts = sample.select("shingles").mapInArrow(singly, "key long").groupBy("key").count().where(F.col("count") >= OFTEN)
+    rate = min(1.0, SAMPLE_NODES / max(n_nodes, 1))
+    sample = rows.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(rate * (1 << 20))).distinct()
+    counts = sample.mapInArrow(singly, "key long").groupBy("key").count().where(F.col("count") >= OFTEN)
     found = counts.orderBy(F.col("count").desc(), "key").limit(MOST_OFTEN).toArrow()
     keys = found.column(0).to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
     return keys[order], found.column(1).to_numpy()[order]
 
 
-def _prefixes(sets: DataFrame, often: np.ndarray, counts: np.ndarray, share: Fraction) -> DataFrame:
-    """(key, node, size, place): the prefix of each set, places from 1."""
+def _prefix_length(n: int, share: Fraction) -> int:
+    return n - -(-n * share.numerator // share.denominator) + 1 if n else 0
+
+
+def _prefixes(rows: DataFrame, often: np.ndarray, counts: np.ndarray, shingle: int, share: Fraction) -> DataFrame:
+    """(key, node, size): the prefix of each set."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            for b in slices(batch, 1, _PART_BYTES):
-                keys, lengths, sizes = [np.zeros(0, np.uint64)], [], []
-                for raw in b.column(1).to_pylist():
-                    own = np.frombuffer(raw, np.uint64)
-                    n = len(own)
-                    first = n - -(-n * share.numerator // share.denominator) + 1 if n else 0
-                    if n and len(often):
+            for b in slices(batch, 0, _PART_BYTES):
+                sets = [distinct_shingles(t, shingle) for t in as_bytes(b.column(0))]
+                keys = [np.zeros(0, np.uint64)]
+                for own in sets:
+                    first = _prefix_length(len(own), share)
+                    if len(own) and len(often):
                         at = np.minimum(np.searchsorted(often, own), len(often) - 1)
                         own = own[np.argsort(np.where(often[at] == own, counts[at], 0), kind="stable")]
                     keys.append(own[:first])
-                    lengths.append(first)
-                    sizes.append(n)
-                nodes = b.column(0).to_numpy(zero_copy_only=False)
-                places = np.concatenate([np.zeros(0, np.int32), *(np.arange(1, n + 1, dtype=np.int32) for n in lengths)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(nodes, lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(places)], names=["key", "node", "size", "place"])
+                lengths = [len(k) for k in keys[1:]]
+                sizes = np.array([len(s) for s in sets], np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(_named(sets), lengths)), pa.array(np.repeat(sizes, lengths))], names=["key", "node", "size"])
+
+    return rows.select("text").mapInArrow(run, "key long, node long, size int")
 
-    return sets.select("node", "shingles").mapInArrow(run, "key long, node long, size int, place int")
 
+def _candidates(met: DataFrame, share: Fraction) -> DataFrame:
+    """(src, dst) from met (a, b: structs of node and size), one row for each shared prefix shingle.
 
-def _possible(a: str, b: str, share: Fraction) -> Column:
-    """Whether the sizes, and the places of a first shared shingle, leave room for the similarity."""
-    size = lambda x: F.col(f"{x}.size").cast("long")
-    shared = F.least(size(a) - F.col(f"{a}.place"), size(b) - F.col(f"{b}.place")) + 1
-    return shared * (share.numerator + share.denominator) >= (size(a) + size(b)) * share.numerator
+    Of the set whose prefix ends first in the order, what lies behind the prefix is all that can be shared besides; so
+    shared prefix shingles and the longer rest together bound the common ones.
+    """
+    p, q = share.numerator, share.denominator
+    small, large = F.least("a.size", "b.size").cast("long"), F.greatest("a.size", "b.size").cast("long")
+    sized = met.where(small * q >= large * p).groupBy("a", "b").count()
+    rest = F.expr(f"(greatest(a.size, b.size) * {p}L + {q - 1}) div {q}") - 1  # size less the prefix length
+    enough = (F.col("count") + rest) * (p + q) >= (small + large) * p
+    return sized.where(enough).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, share: Fraction) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, share: Fraction) -> DataFrame:
     """The pairs (src, dst) whose whole sets are similar enough."""
 
+    def sets(batches: Batches) -> Batches:
+        for batch in batches:
+            for b in slices(batch, 1, _PART_BYTES):
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([distinct_shingles(t, shingle).tobytes() for t in as_bytes(b.column(1))], pa.binary())], names=["node", "shingles"])
+
     def run(batches: Batches) -> Batches:
         for batch in batches:
             for b in slices(batch, 2, _PART_BYTES):
@@ -114,9 +135,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, share: Fracti
                     keep.append(common * share.denominator >= (len(both) - common) * share.numerator)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = written(pairs.distinct(), "near-pairs")
+    pairs = written(pairs, "near-pairs")
     wanted = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(nodes, "node")
-    own = written(sets.join(wanted, ["node", "mark"]).dropDuplicates(["node"]).select("node", "shingles"), "near-sets")
+    texts = rows.select("mark", "text").join(wanted, "mark").dropDuplicates(["node"]).select("node", "text")
+    own = written(texts.mapInArrow(sets, "node long, shingles binary"), "near-sets")
     one, other = (own.select(F.col("node").alias(n), F.col("shingles").alias(f"{n}_set")) for n in ("src", "dst"))
     joined = pairs.join(one, "src").join(other, "dst").select("src", "dst", "src_set", "dst_set")
     return written(joined.mapInArrow(run, "src long, dst long"), "near-links")
@@ -125,26 +147,28 @@ def _verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, share: Fracti
 def similar_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, mark, component) for each row: equal components for rows that links of at least that similarity connect."""
     share = Fraction(similarity).limit_denominator(1000)
-    sets = written(shingle_sets(docs, id_col=id_col, text_col=text_col, shingle=shingle), "near-sets")
-    nodes = written(sets.groupBy("node").agg(F.min("mark").alias("mark")), "near-nodes")
+    rows = _rows(docs, id_col, text_col)
+    marked = written(_nodes(rows, shingle), "near-marked")
+    nodes = written(marked.groupBy("node").agg(F.min("mark").alias("mark")), "near-nodes")
     bucket = Window.partitionBy("key")
-    entry = F.struct("node", "size", "place")
-    rows = _prefixes(sets, *_frequent(sets, nodes), share).repartition("key").dropDuplicates(["key", "node"])
-    rows = rows.withColumns({"n": F.count("*").over(bucket), "first": F.min(entry).over(bucket)}).where("n > 1")
-    rows = written(rows.select("key", "node", "first", entry.alias("own")), "near-prefixes")
+    own = F.struct("node", "size")
+    entries = _prefixes(rows, *_frequent(rows, nodes.count(), shingle), shingle, share).repartition("key").dropDuplicates(["key", "node"])
+    entries = entries.withColumns({"first": F.min(own).over(bucket), "last": F.max("node").over(bucket)}).where(F.col("first.node") != F.col("last"))
+    entries = written(entries.select("key", "node", "size", "first"), "near-prefixes")
 
-    stars = rows.where(F.col("node") != F.col("first.node")).where(_possible("first", "own", share))
-    links = _verified(stars.select(F.col("first.node").alias("src"), F.col("node").alias("dst")), sets, nodes, share)
+    # a bucket's smallest node is the same in most buckets of a dense group; where it is not, the second round compares
+    stars = entries.where(F.col("node") != F.col("first.node")).select(F.col("first").alias("a"), own.alias("b"))
+    links = _verified(_candidates(stars, share), rows, nodes, shingle, share)
 
     label = components(links, "near-groups").withColumnRenamed("component", "group")
-    rows = rows.join(label, "node", "left").select("key", "own", F.coalesce("group", "node").alias("group"))
-    rows = rows.withColumns({"low": F.min("group").over(bucket), "high": F.max("group").over(bucket)}).where("low <> high")
-    rows = written(rows.select("key", "own", "group"), "near-rest")
-    groups = rows.select("key", "group").distinct()
+    rest = entries.select("key", "node", "size").join(label, "node", "left").select("key", own.alias("own"), F.coalesce("group", "node").alias("group"))
+    rest = rest.withColumns({"low": F.min("group").over(bucket), "high": F.max("group").over(bucket)}).where("low <> high")
+    rest = written(rest.select("key", "own", "group"), "near-rest")
+    groups = rest.select("key", "group").distinct()
     meet = groups.withColumnRenamed("group", "g1").join(groups.withColumnRenamed("group", "g2"), "key").where("g1 < g2")
-    one, other = (rows.select("key", F.col("own").alias(o), F.col("group").alias(g)) for o, g in (("a", "g1"), ("b", "g2")))
-    across = meet.join(one, ["key", "g1"]).join(other, ["key", "g2"]).where(_possible("a", "b", share))
-    more = _verified(across.select(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst")), sets, nodes, share)
+    one, other = (rest.select("key", F.col("own").alias(o), F.col("group").alias(g)) for o, g in (("a", "g1"), ("b", "g2")))
+    across = meet.join(one, ["key", "g1"]).join(other, ["key", "g2"]).select("a", "b")
+    more = _verified(_candidates(across, share), rows, nodes, shingle, share)
 
     parts = components(links.union(more), "near")
-    return sets.select("id", "mark", "node").join(parts, "node", "left").select("id", "mark", F.coalesce("component", "node").alias("component"))
+    return marked.join(parts, "node", "left").select("id", "mark", F.coalesce("component", "node").alias("component"))
