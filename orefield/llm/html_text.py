@@ -3,10 +3,11 @@
 Each text of a page belongs to the path of tags (with classes) from the root to it. Per path, text
 length and punctuation are summed and divided by the number of its texts; the two ratios are fused
 (their product), spread to the single texts, smoothed over neighbours in page order, and texts at or above the
-threshold (a share of the page's mean, weighted by length) are content. Paths through menus, headers,
-footers, adverts, forms, comments and the like never count. The content's section (the nearest
-sectioning element that holds most of it) then gives its blocks in page order, so a short
-paragraph or heading of the article stays although its own ratio is low.
+threshold (a share of the page's mean, weighted by length), as their path's own ratio must be, are content. Paths through menus, headers,
+footers, adverts, forms, comments and the like never count; a name of such a part is ignored in compounds (has-sidebar,
+comments-open) and on an element around nearly all text. All content is kept. So is, although its own ratio is
+low, a short paragraph or heading beside content in its sectioning element, or in the deepest one below body
+that holds nine tenths of the content.
 
 Null and empty pages give empty text. Broken markup is read leniently: missing end tags, stray end
 tags and text after the last tag. Repeated pages give a row each; extra columns stay.
@@ -34,6 +35,8 @@ _NOT_CONTENT = frozenset("head title script style textarea noscript template ifr
 _SECTION = frozenset("article main section div td body html".split())
 #: Words in class, id or role that name other parts of a page than its text.
 _PARTS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer footer header menu modal nav navbar navigation newsletter notice notices popup promo promotion related reply replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: Words that make such a name say something about the page instead.
+_ABOUT_FIRST, _ABOUT_LAST = frozenset("has no with without".split()), frozenset("open closed enabled disabled".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>?|[^<]+|<", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _CLASS = re.compile(r"[^a-z0-9]+")
@@ -42,11 +45,46 @@ _SPACES = re.compile(r"\s+")
 
 
 class _Element:
-    __slots__ = ("bad", "depth", "parent", "path", "tag")
+    __slots__ = ("bad", "chain", "depth", "named", "other", "parent", "path", "section", "size", "tag")
 
-    def __init__(self, tag: str, path: int, parent: _Element | None, bad: bool) -> None:
-        self.tag, self.path, self.parent, self.bad = tag, path, parent, bad
+    def __init__(self, tag: str, path: int, parent: _Element | None, bad: bool, named: bool = False) -> None:
+        self.tag, self.path, self.parent, self.bad, self.named = tag, path, parent, bad, named
         self.depth = parent.depth + 1 if parent else 0
+        self.section = self if tag in _SECTION or not parent else parent.section
+        self.size = self.chain = 0
+        self.other = False
+
+
+def _names_part(named: str) -> bool:
+    for name in named.split():
+        words = [w for w in _CLASS.split(name) if w]
+        if words and words[0] not in _ABOUT_FIRST and words[-1] not in _ABOUT_LAST and any(w in _PARTS for w in words):
+            return True
+    return False
+
+
+def _settle(elements: list[_Element], rows: list[tuple[_Element, int, str]]) -> None:
+    """Elements below a named part become bad. From the outside in, a name on an element with over half of the text is ignored while under a quarter of the text is free of names."""
+    texts = [(e, len(t.strip())) for e, _, t in rows if not e.bad]
+    for e, n in texts:
+        e.size += n
+    for e in reversed(elements[1:]):  # parents come before their children
+        e.parent.size += e.size
+    total = elements[0].size
+    for e in elements:
+        up, large = e.parent, 2 * e.size > total
+        e.chain = (up.chain if up else 0) + (e.named and large)
+        e.other = bool(up and up.other) or (e.named and not large)
+    free: dict[int, int] = defaultdict(int)
+    for e, n in texts:
+        if not e.other:
+            free[e.chain] += n
+    ignored, found, most = 0, free[0], max(e.chain for e in elements)
+    while ignored < most and 4 * found < total:
+        ignored += 1
+        found += free[ignored]
+    for e in elements:
+        e.bad = e.bad or e.other or e.chain > ignored
 
 
 def _texts(page: str) -> list[tuple[_Element, int, str]]:
@@ -54,6 +92,7 @@ def _texts(page: str) -> list[tuple[_Element, int, str]]:
     root = _Element("html", 0, None, False)
     paths: dict[tuple[int, str, str], int] = {}  # a number for each path, so that deep pages stay small
     at, block, out = root, 0, []
+    elements = [root]
     skipped = 0
     for m in _TOKEN.finditer(page):
         if m.start() < skipped:
@@ -88,15 +127,17 @@ def _texts(page: str) -> list[tuple[_Element, int, str]]:
                     break
                 e = e.parent
         names = ""
-        bad = at.bad or tag in _NOT_CONTENT
+        bad, part = at.bad or tag in _NOT_CONTENT, False
         if m.group(3):
             named = " ".join(a or b or c for a, b, c in _NAMES.findall(m.group(3))).lower()
             names = ".".join(sorted(set(named.split())))
-            bad = bad or any(w in _PARTS for w in _CLASS.split(named))
-        at = _Element(tag, paths.setdefault((at.path, tag, names), len(paths) + 1), at, bad)
+            part = _names_part(named)
+        at = _Element(tag, paths.setdefault((at.path, tag, names), len(paths) + 1), at, bad, part)
+        elements.append(at)
         if tag in _RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, m.end())
             skipped = end.start() if end else len(page)
+    _settle(elements, out)
     return out
 
 
@@ -120,9 +161,10 @@ def main_text(page: str) -> str:
     lengths = [len(t) for _, _, t in nodes]
     threshold = THRESHOLD * math.fsum(s * n for s, n in zip(spread, lengths)) / sum(lengths)
     inside: dict[_Element, int] = defaultdict(int)
-    for (e, _, t), s in zip(nodes, spread):
-        if s >= threshold:
+    for (e, _, t), s, v in zip(nodes, spread, values):
+        if s >= threshold and v >= threshold:  # a menu item does not become content by its neighbour
             inside[e] += len(t)
+    beside = {e.section for e in inside}  # sectioning elements with content of their own
     total = sum(inside.values())
     levels: dict[int, list[_Element]] = defaultdict(list)
     for e in inside:
@@ -132,9 +174,9 @@ def main_text(page: str) -> str:
             if e.parent not in inside:
                 levels[depth - 1].append(e.parent)
             inside[e.parent] += inside[e]
-    section = None  # the deepest sectioning element with over half of the content; an article or main element first
+    section = None  # the deepest sectioning element with nine tenths of the content; an article or main element first
     for e, n in inside.items():
-        if 2 * n > total and e.tag in _SECTION:
+        if 10 * n >= 9 * total and e.tag in _SECTION and e.tag not in ("body", "html"):
             rank = (e.tag in ("article", "main"), e.depth)
             if section is None or rank > section[0]:
                 section = (rank, e)
@@ -147,12 +189,12 @@ def main_text(page: str) -> str:
         while up not in held and up is not chosen and up.parent is not None:
             seen.append(up)
             up = up.parent
-        answer = chosen is None or up is chosen or held.get(up, False)
+        answer = up is chosen or held.get(up, False)
         held.update(dict.fromkeys([*seen, up], answer))
         return answer
 
     for e, b, t in usable:
-        if within(e):
+        if e.section in beside or within(e):
             blocks.setdefault(b, []).append(t)
     lines = (_SPACES.sub(" ", "".join(parts)).strip() for parts in blocks.values())
     return "\n".join(x for x in lines if x)

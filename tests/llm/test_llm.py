@@ -534,3 +534,18 @@ def test_thin_labels(spark, tmp_path):
     docs = spark.createDataFrame([(1, "one"), (2, "two")], "doc_id long, text string")
     spark.createDataFrame([(1, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.keep_quality(spark, docs, str(tmp_path)).count() == 2
+
+
+def test_main_text_in_split_and_named_wrappers():
+    long = ["The first part is long, with commas, and it has marks; it goes on, and on, for a while. " * 6, "The second part is shorter, but it is text of the page, too, with commas. " * 5]
+    a, b = (x.strip() for x in long)
+    for page in (f"<div><div><p>{a}</p></div><div><p>{b}</p></div></div>", f"<table><tr><td>{a}</td><td>{b}</td></tr></table>", f"<main><article><h2>One</h2><p>{a}</p></article><article><h2>Two</h2><p>{b}</p></article></main>"):
+        text = html_text.main_text(f"<html><body><div><a>Menu</a></div>{page}</body></html>")
+        assert a in text and b in text and "Menu" not in text
+        assert ("One" in text) == ("<h2>" in page) == ("Two" in text)
+    comments = "<div id='comments'><p>No, no, no, says a reader, at length, with commas.</p></div>"
+    for start, end in (("<body class='single has-sidebar'>", "</body>"), ("<div class='post comments-open'>", "</div>"), ("<article class='category-ads'>", "</article>"), ("<div class='sidebar'>", "</div>")):
+        text = html_text.main_text(f"{start}<p>{a}</p><p>{b}</p>{comments}{end}")
+        assert text == f"{a}\n{b}", start
+    reader = f"<div id='comments'><p>{a} {a}</p></div>"  # more comments than text: the name still counts
+    assert html_text.main_text(f"<article><p>{b}</p></article>{reader}") == b
