@@ -136,9 +136,9 @@ def brier(df: DataFrame, by: Sequence[str], probability: str, label: str) -> Dat
 
 
 def group_bootstrap(df: DataFrame, by: Sequence[str], group: str, score: str, label: str, reps: int, seed: int) -> DataFrame:
-    """(by, auc_low, auc_high): 2.5th and 97.5th percentile of the AUC when whole groups are drawn with replacement, positive and background ones apart.
+    """(by, auc_low, auc_high, recall_low, recall_high): 2.5th and 97.5th percentile of the AUC and of the recall at the background's top when whole groups are drawn with replacement, positive and background ones apart.
 
-    A replicate draws as many groups as there are; the multiplicity of a group weights its rows.
+    A replicate draws as many groups as there are; the multiplicity of a group weights its rows, also in the background's percentile.
     """
     groups = df.groupBy(*by, label, group).agg(F.first(F.lit(1)).alias("_1")).drop("_1")
     w = Window.partitionBy(*by, label)
@@ -146,8 +146,13 @@ def group_bootstrap(df: DataFrame, by: Sequence[str], group: str, score: str, la
     draws = placed.select(*by, label, "m", F.col("g").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     drawn = draws.withColumn("g", integer_hash(F.col("draw") * 7919 + F.col("rep") * 104729 + F.col(label), seed) % F.col("m")).groupBy(*by, label, "rep", "g").agg(F.count("*").alias("times"))
     weights = drawn.join(placed, [*by, label, "g"]).select(*by, label, group, "rep", "times")
-    each = roc_auc(df.join(weights, [*by, label, group]), [*by, "rep"], score, label, "times")
-    return each.groupBy(*by).agg(F.percentile("auc", F.lit(0.025)).alias("auc_low"), F.percentile("auc", F.lit(0.975)).alias("auc_high"))
+    weighted = df.join(weights, [*by, label, group])
+    one = [*by, "rep"]
+    cut = weighted.where(F.col(label) == 0).groupBy(*one).agg(F.percentile(score, F.lit(0.95), F.col("times")).alias("_cut"))
+    hit = F.when(F.col(score).isNotNull(), F.when(F.col(score) >= F.col("_cut"), F.col("times")).otherwise(0))
+    recall = weighted.where(F.col(label) == 1).join(cut, one).groupBy(*one).agg(F.try_divide(F.sum(hit), F.sum(F.when(hit.isNotNull(), F.col("times")))).alias("recall"))
+    each = roc_auc(weighted, one, score, label, "times").join(recall, one, "left")
+    return each.groupBy(*by).agg(*[F.percentile(m, F.lit(p)).alias(f"{m}_{side}") for m in ("auc", "recall") for side, p in (("low", 0.025), ("high", 0.975))])
 
 
 # --- models --------------------------------------------------------------------------------------
@@ -237,7 +242,7 @@ def transfer_observations(blocks: DataFrame, block: str, target: str, cell: str,
     return j.withColumns({"outside_known": F.col("nearest_km") > outside_km, "within_domain": F.col("nearest_km") <= 250, "passes_score_gate": F.col("score") >= 0.5, "flags": flags})
 
 
-def transfer_metrics(observations: DataFrame, background: DataFrame, target: str, cell: str, *, least: int = 5, reps: int = 50, seed: int = 7, group: str = "cell_id") -> DataFrame:
+def transfer_metrics(observations: DataFrame, background: DataFrame, target: str, cell: str, *, least: int = 5, reps: int = 500, seed: int = 7, group: str = "cell_id") -> DataFrame:
     """Per target: blocks, AUC, average precision, recall at the background's top, bootstrap interval, percentile shares and gate status, for blocks outside known evidence."""
     from .relational import threshold_shares
 

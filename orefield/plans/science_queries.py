@@ -347,7 +347,7 @@ SELECT material_id, round(quantile_cont(auc, 25e-3), 6) AS auc_low, round(quanti
 @query("m14_group_bootstrap", _BOOT)
 def _(x):
     out = M.group_bootstrap(_labelled(x), ["material_id"], "unit_id", "s", "y", _REPS, 5).where("auc_low is not null")
-    return out.withColumns({"auc_low": r6("auc_low"), "auc_high": r6("auc_high")})
+    return out.select("material_id", r6("auc_low").alias("auc_low"), r6("auc_high").alias("auc_high"))
 
 
 @query("m15_admission_decision", "SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN 'not_evaluated' WHEN p_size >= 10 AND p_size % 9 >= 5 AND p_partkey % 50 >= 10 AND p_partkey % 7 >= 2 THEN 'passed' WHEN p_partkey % 7 < 1 THEN 'degraded' ELSE 'inconclusive' END AS decision FROM part")

@@ -198,3 +198,17 @@ def test_plans_stay_equi_joins(spark):
     left = spark.range(10).select(F.col("id").alias("k"), F.lit(10.0).alias("lat"), F.col("id").cast("double").alias("lon"))
     plan = P.count_within(left, left.withColumnRenamed("k", "rid"), ["k"], 50.0, ref_id="rid")._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_bootstrap_has_a_recall_interval_of_weighted_draws(spark):
+    import inspect
+
+    from orefield.operators import scoring
+
+    assert inspect.signature(scoring.transfer_metrics).parameters["reps"].default == 500
+    rows = [("m", f"p{i}", float(s), 1) for i, s in enumerate((1, 5, 50, 60))] + [("m", f"b{i}", float(i), 0) for i in range(20)]
+    rows += [("one", "p", 3.0, 1), ("one", "b", 3.0, 0), ("high", "p", 4.0, 1), ("high", "b", 9.0, 0)]
+    df = spark.createDataFrame(rows, "t string, unit string, s double, y int")
+    got = {r.t: r for r in scoring.group_bootstrap(df, ["t"], "unit", "s", "y", 100, 5).collect()}
+    assert (got["one"].recall_low, got["one"].recall_high, got["high"].recall_low, got["high"].recall_high) == (1, 1, 0, 0)
+    assert 0 <= got["m"].recall_low < 0.5 < got["m"].recall_high <= 1
