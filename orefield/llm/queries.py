@@ -68,7 +68,7 @@ def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks, dictionary = token_store.write(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
-    return token_store.read(blocks, dictionary).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+    return token_store.read(blocks, dictionary, with_ids=False).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 File format. A store is a set of blocks of consecutive documents (ascending id), one Parquet row each
 so that any store Spark writes to will do and a lost task is simply written again:
   bucket, block      place of the block in id order
+  first              ids in the bucket before this block
   dictionary_sha256  hash of the shared dictionary; a reader refuses another one
   doc_ids            ids of its documents, in order
   counts             tokens of each document
@@ -10,9 +11,14 @@ so that any store Spark writes to will do and a lost task is simply written agai
   payload            zstandard frames, one for each document, of little-endian unsigned 16- or 32-bit ids
 Any short document is read through its index entry alone, without the frames beside it.
 
+Texts are encoded where they are scanned; only compressed frames are shuffled, by ranges of ids. An id
+with more rows than a range holds is spread over several ranges.
+
 The tokenizer library encodes each distinct piece between white space once per worker's memo;
-pieces do not depend on one another, since its pre-tokenizer never joins across white space.
-The dictionary is trained on a bounded sample (dictionary_docs documents); it changes sizes, never ids.
+pieces do not depend on one another, since its pre-tokenizer never joins across white space. Pieces of Latin
+letters, digits and ASCII signs go straight to the library's model, run by run, if probes show that its other steps leave them as they are.
+The dictionary is trained on a bounded sample (dictionary_docs documents, in the order of a hash of their ids, up to
+dictionary_text_bytes of text); it changes sizes, never ids.
 
 Null texts count as empty; an empty text holds the end id alone. Rows with a null id are kept, first
 in order. Repeated ids keep a row each. Extra columns are ignored.
@@ -29,37 +35,60 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Batches, as_bytes, written
+from ._common import Batches, as_bytes, slices, written
 
 END_ID = 1
 DICTIONARY_BYTES = 64 * 1024
 DICTIONARY_DOCS = 256
+DICTIONARY_TEXT_BYTES = 8 << 20
 BLOCK_BYTES = 1 << 20
 LEVEL = 1
 _MEMO_PIECES = 400_000
-_STOPS = re.compile(rb"([a-z0-9])([.,])(?![^\x20\x09-\x0d])")
-_MARKS = "¤§¶†‡•◊☃"
 _ASKED = 2000
+_PART_BYTES = 2 << 20
+_SAMPLE_BYTES = 16_384
+_NULL_ID = -(1 << 63)
+_BLOCK_DDL = "bucket int, block int, first long, dictionary_sha256 string, doc_ids array<bigint>, counts array<bigint>, ends array<bigint>, payload binary"
+_BLOCK = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("dictionary_sha256", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("payload", pa.binary())])
+_STOPS = re.compile(rb"[.,](?<=[a-z0-9].)(?![^\x20\x09-\x0d])")
+#: Lower-case Latin letters (ASCII and U+00DF to U+00FF without the division sign), digits and ASCII signs but the apostrophe.
+_LETTERS = rb"(?:[a-z]+|\xc3[\x9f-\xb6\xb8-\xbf])+"
+_SIGNS = rb"[!-&(-/:-@\[-`{-~]+"
+_RUNS = re.compile(rb"%s|[0-9]|%s" % (_LETTERS, _SIGNS))
+_PLAIN = re.compile(rb"(?:%s|[0-9]|%s)+\Z" % (_LETTERS, _SIGNS))
+
+
+def _byte_characters() -> dict[int, str]:
+    """The printable stand-in of each byte in byte-level vocabularies: visible Latin-1 characters stand for themselves, the rest follow from U+0100. The space, which parts runs here, stays."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others) if b != 32}
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library, with a bounded memo of pieces."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.plain = Tokenizer.from_file(path)  # the same model, for runs that its first steps leave as they are
+        self.plain.no_truncation()
+        self.plain.no_padding()
+        self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.library.get_vocab()
+        self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.word_end[[n for word, n in vocabulary.items() if word.endswith("</w>")]] = True
+        self.stand_in = _byte_characters()
         self.memo: dict[bytes, bytes] = {}
-        probe = lambda t: self.library.encode(t, add_special_tokens=False).ids
-        self.lowers = probe("Ab, Cd.") == probe("ab , cd .")
-        # a character that is a word of its own and one id: between other words it shows where each one's ids end
-        alone = [(c, self.library.encode(c, add_special_tokens=False).ids) for c in _MARKS]
-        self.mark, self.mark_id = next(((c, ids[0]) for c, ids in alone if len(ids) == 1), ("", -1))
+        self.lowers = self._library(b"Ab, Cd.") == self._library(b"ab , cd .")
+        probes = "the anthropology, qx ß éçö naïve ÿ 2047 a1b2 $$$ *** (a) x-y_z {|} <= == ... ,; th.re the$ $the 12ab ab12 zzzqqq".encode().split()
+        self.direct = self.lowers and self.word_end.any() and self._by_model(probes) == [self._library(p) for p in probes]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -67,30 +96,36 @@ class Encoder:
             self.memo = {}
         memo = self.memo
         pieces = [self._pieces(t) for t in texts]
-        missing = list({w for own in pieces for w in own if w not in memo})
-        for i in range(0, len(missing), _ASKED):  # the library's results are large: a few pieces at a time
-            self._ask([w.decode() for w in missing[i : i + _ASKED]])
-        return [b"".join(map(memo.__getitem__, own)) for own in pieces]
-
+        found = [list(map(memo.get, own)) for own in pieces]
+        missing = {p for own, got in zip(pieces, found) if None in got for p, ids in zip(own, got) if ids is None}
+        plain = [p for p in missing if (p.isalpha() and p.islower()) or (_PLAIN.match(p) and b"<|" not in p)] if self.direct else []
+        for i in range(0, len(plain), _ASKED):  # the library's results are large: a few pieces at a time
+            part = plain[i : i + _ASKED]
+            memo.update(zip(part, self._by_model(part)))
+        memo.update((p, self._library(p)) for p in missing.difference(plain))
+        return [b"".join([memo[p] if ids is None else ids for p, ids in zip(own, got)] if None in got else got) for own, got in zip(pieces, found)]
 
     def _pieces(self, text: bytes) -> list[bytes]:
         """Runs between white space; where the normaliser lowers case, lowered, with a full stop or comma at a word's end apart, as it will be anyway."""
         if self.lowers and b"<|" not in text:
-            text = _STOPS.sub(rb"\1 \2", text.lower())
+            text = _STOPS.sub(rb" \g<0>", text.lower())
         return text.split()
 
-    def _ask(self, pieces: list[str]) -> None:
-        """Pieces in one text, the mark between them; a piece that holds the mark is asked alone, and all are if there is no mark."""
-        plain = [p for p in pieces if self.mark and self.mark not in p]
-        for p in pieces if not self.mark else [p for p in pieces if self.mark in p]:
-            self.memo[p.encode()] = np.array(self.library.encode_batch_fast([p], add_special_tokens=False)[0].ids, "<u4").tobytes()
-        if plain:
-            ids = np.array(self.library.encode_batch_fast([f" {self.mark} ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
-            raw = ids.tobytes()
-            begin = 0
-            for p, end in zip(plain, [*(np.flatnonzero(ids == self.mark_id) * 4).tolist(), len(raw)]):
-                self.memo[p.encode()] = raw[begin:end]
-                begin = end + 4
+    def _library(self, piece: bytes) -> bytes:
+        return np.array(self.library.encode(piece.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _by_model(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of plain pieces: their runs in one text, each ending with the one id that says so."""
+        runs = [[p] if p.isalpha() else _RUNS.findall(p) for p in pieces]
+        shown = (b" ".join(r) for r in runs)
+        text = " ".join(r.decode() if r.isascii() else r.decode("latin-1").translate(self.stand_in) for r in shown)
+        ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.word_end[ids]) + 1
+        last = np.cumsum([len(r) for r in runs])
+        if not len(ends) or len(ends) != last[-1]:
+            raise ValueError("the tokenizer's model does not end each run with one id")
+        raw, cuts = ids.tobytes(), [0, *(4 * ends[last - 1]).tolist()]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -104,27 +139,33 @@ def encoder_of(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", dictionary_docs: int = DICTIONARY_DOCS) -> bytes:
-    """A dictionary from the id arrays of at most dictionary_docs documents, the first by a hash of id."""
-    picked = docs.select(F.col(id_col).alias("id")).orderBy(F.xxhash64("id"), "id").limit(dictionary_docs).where("id is not null").distinct()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").orderBy("id", "text").limit(dictionary_docs).collect()
-    samples = [np.frombuffer(x, "<u4").astype("<u2").tobytes()[:16384] for x in Encoder(tokenizer).encode([(r["text"] or "").encode() for r in rows])]
+def train_dictionary(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", dictionary_docs: int = DICTIONARY_DOCS, dictionary_text_bytes: int = DICTIONARY_TEXT_BYTES) -> bytes:
+    """A dictionary from the whole id arrays of at most dictionary_docs documents, the first by a hash of id that fit into dictionary_text_bytes."""
+    sized = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("size")).where("id is not null")
+    first = sized.orderBy(F.xxhash64("id"), "id", "size").limit(dictionary_docs).collect()
+    total, wanted = 0, set()
+    for r in first:
+        if total + r["size"] <= dictionary_text_bytes:
+            total += r["size"]
+            wanted.add(r["id"])
+    if not wanted:
+        return b"\0" * 8
+    rows = docs.where(F.col(id_col).cast("long").isin(*wanted)).where(F.octet_length(text_col) <= max(r["size"] for r in first)).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    found = [(r["text"] or "").encode() for r in rows.orderBy("id", "text").limit(dictionary_docs).collect()]
+    arrays = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in Encoder(tokenizer).encode(found)]
+    samples = [x[i : i + _SAMPLE_BYTES] for x in arrays for i in range(0, len(x), _SAMPLE_BYTES)]
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, [s for s in samples if s]).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return (b"".join(samples) or b"\0" * 8)[-DICTIONARY_BYTES:]
 
 
-def _batched(rows: Iterator[tuple], limit: int) -> Iterator[list[tuple]]:
-    part, size = [], 0
-    for row in rows:
-        part.append(row)
-        size += len(row[-1])
-        if size >= limit:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+def _places(ids: np.ndarray, frames: list[bytes], cuts: np.ndarray) -> np.ndarray:
+    """The range of each id; one that fills several ranges is spread over them by its frames."""
+    low, high = np.searchsorted(cuts, ids, side="left"), np.searchsorted(cuts, ids, side="right")
+    for i in np.flatnonzero(high - low >= 2):
+        high[i] = low[i] + zlib.crc32(frames[i]) % (high[i] - low[i] + 1)
+    return high.astype(np.int32)
 
 
 def write(docs: DataFrame, tokenizer: str, *, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, buckets: int | None = None) -> tuple[DataFrame, bytes]:
@@ -132,59 +173,66 @@ def write(docs: DataFrame, tokenizer: str, *, path: str | None = None, id_col: s
     spark = docs.sparkSession
     dictionary = train_dictionary(docs, tokenizer, id_col=id_col, text_col=text_col)
     digest = hashlib.sha256(dictionary).hexdigest()
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).alias("text"))
     n = buckets or 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = [x for x in rows.select(F.percentile_approx("id", F.array(*[F.lit(i / n) for i in range(1, n)]), 10000)).first()[0] or []] if n > 1 else []
-    cuts = sorted(set(cuts))
-    bucket = F.lit(0)
-    if cuts:
-        bucket = F.coalesce(F.expr(f"size(filter(array({','.join(map(str, cuts))}), c -> c <= id))"), F.lit(0))
-        bucket = F.when(F.col("id").isNull(), 0).otherwise(bucket)
+    cuts = np.array((rows.select(F.percentile_approx("id", F.array(*[F.lit(i / n) for i in range(1, n)]), 10000)).first()[0] or []) if n > 1 else [], np.int64)
 
-    def run(batches: Batches) -> Batches:
+    def framed(batches: Batches) -> Batches:
         encoder = encoder_of(tokenizer)
         data = zstandard.ZstdCompressionDict(dictionary)
         data.precompute_compress(level=LEVEL)
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=True)
         end = np.array([end_id], "<u4").tobytes()
-
-        def frames() -> Iterator[tuple]:
-            for b in batches:
-                for i in range(0, b.num_rows, 512):
-                    part = b.slice(i, 512)
-                    ids = part.column(1).to_pylist()
-                    for where, doc, raw in zip(part.column(0).to_pylist(), ids, encoder.encode(as_bytes(part.column(2)))):
-                        ids32 = np.frombuffer(raw + end, "<u4")
-                        narrow = ids32.max() < 65536
-                        yield where, doc, len(ids32), (b"\2" if narrow else b"\4") + packer.compress(ids32.astype("<u2").tobytes() if narrow else ids32.tobytes())
-
-        block, last = 0, None
-        for part in _batched(frames(), BLOCK_BYTES):
-            for where in dict.fromkeys(x[0] for x in part):
-                own = [x for x in part if x[0] == where]
-                block = block + 1 if where == last else 0
-                last = where
-                yield pa.RecordBatch.from_pydict(
-                    {"bucket": [where], "block": [block], "dictionary_sha256": [digest], "doc_ids": [[x[1] for x in own]], "counts": [[x[2] for x in own]], "ends": [np.cumsum([len(x[3]) for x in own]).tolist()], "payload": [b"".join(x[3] for x in own)]},
-                    schema=pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("dictionary_sha256", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("payload", pa.binary())]),
-                )
-
-    ordered = rows.select(bucket.cast("int").alias("bucket"), "id", "text").repartition(max(1, n // 4), "bucket").sortWithinPartitions("bucket", F.col("id").asc_nulls_first(), "text")
-    blocks = ordered.mapInArrow(run, "bucket int, block int, dictionary_sha256 string, doc_ids array<bigint>, counts array<bigint>, ends array<bigint>, payload binary")
+        for batch in batches:
+            for b in slices(batch, 1, _PART_BYTES):
+                frames, counts = [], []
+                for raw in encoder.encode(as_bytes(b.column(1))):
+                    ids = np.frombuffer(raw + end, "<u4")
+                    narrow = ids.max() < 65536
+                    counts.append(len(ids))
+                    frames.append((b"\2" if narrow else b"\4") + packer.compress(ids.astype("<u2").tobytes() if narrow else raw + end))
+                bucket = _places(b.column(0).to_numpy(), frames, cuts)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), b.column(0), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], names=["bucket", "id", "n", "frame"])
+
+    def blocked(batches: Batches) -> Batches:
+        held: list[tuple] = []
+        last, block, first = None, 0, 0
+
+        def made() -> pa.RecordBatch:
+            ids, counts, frames = zip(*held)
+            ids = [None if x == _NULL_ID else x for x in ids]
+            values = {"bucket": [last], "block": [block], "first": [first], "dictionary_sha256": [digest], "doc_ids": [ids], "counts": [counts], "ends": [np.cumsum([len(x) for x in frames]).tolist()], "payload": [b"".join(frames)]}
+            return pa.RecordBatch.from_pydict(values, schema=_BLOCK)
+
+        size = 0
+        for b in batches:
+            for where, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if held and (where != last or size >= BLOCK_BYTES):
+                    yield made()
+                    block, first, size, held = block + 1, first + sum(x[1] for x in held), 0, []
+                if where != last:
+                    last, block, first = where, 0, 0
+                held.append(tuple(row))
+                size += len(row[2])
+        if held:
+            yield made()
+
+    frames = rows.mapInArrow(framed, "bucket int, id long, n long, frame binary")
+    ordered = frames.repartition(max(1, n // 4), "bucket").sortWithinPartitions("bucket", "id", "n", "frame")
+    blocks = ordered.mapInArrow(blocked, _BLOCK_DDL)
     if path is None:
         return written(blocks, "token-store"), dictionary
     blocks.write.parquet(path)
     return spark.read.schema(blocks.schema).parquet(path), dictionary
 
 
-def read(blocks: DataFrame, dictionary: bytes) -> DataFrame:
-    """(id, start, ids binary, n_tokens): each document's ids read back, start being the ids of all documents before it."""
+def read(blocks: DataFrame, dictionary: bytes, *, with_ids: bool = True) -> DataFrame:
+    """(id, start, n_tokens, ids binary, ids_crc32): each document's ids read back, start being the ids of all documents before it. Without with_ids, ids is null."""
     digest = hashlib.sha256(dictionary).hexdigest()
-    sums = blocks.select("bucket", "block", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-    per_bucket = sums.groupBy("bucket").agg(F.sum("n").alias("n"))  # one row for each bucket: as many as the writer had tasks
-    before = per_bucket.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("bucket_start"))
-    inside = sums.select("bucket", "block", (F.sum("n").over(Window.partitionBy("bucket").orderBy("block")) - F.col("n")).alias("block_start"))
-    starts = inside.join(before, "bucket").select("bucket", "block", (F.col("bucket_start") + F.col("block_start")).alias("first"))
+    per_bucket = blocks.groupBy("bucket").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
+    sizes = dict(per_bucket.collect())  # one number for each bucket: as many as the writer was given
+    numbers = sorted(sizes)
+    begins = dict(zip(numbers, np.cumsum([0, *(sizes[b] for b in numbers)]).tolist()))
 
     def run(batches: Batches) -> Batches:
         reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
@@ -192,15 +240,17 @@ def read(blocks: DataFrame, dictionary: bytes) -> DataFrame:
             for row in b.to_pylist():
                 if row["dictionary_sha256"] != digest:
                     raise ValueError("the store was written with another dictionary")
-                begin, out = 0, []
+                begin, out, counts, sums = 0, [], [], []
                 for end in row["ends"]:
                     frame = row["payload"][begin:end]
-                    ids = np.frombuffer(reader.decompress(frame[1:]), "<u2" if frame[:1] == b"\2" else "<u4")
-                    out.append(ids.astype("<u4").tobytes())
+                    ids = np.frombuffer(reader.decompress(frame[1:]), "<u2" if frame[:1] == b"\2" else "<u4").astype("<u4").tobytes()
+                    counts.append(len(ids) // 4)
+                    sums.append(zlib.crc32(ids))
+                    out.append(ids if with_ids else None)
                     begin = end
-                counts = np.array([len(x) // 4 for x in out], np.int64)
-                if counts.tolist() != row["counts"]:
+                if counts != row["counts"]:
                     raise ValueError("a frame does not hold the ids that its index says")
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["first"] + np.cumsum(counts) - counts), pa.array(counts), pa.array(out, pa.binary()), pa.array([zlib.crc32(x) for x in out], pa.int64())], names=["id", "start", "n_tokens", "ids", "ids_crc32"])
+                starts = begins[row["bucket"]] + row["first"] + np.cumsum([0, *counts[:-1]])
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(out, pa.binary()), pa.array(sums, pa.int64())], names=["id", "start", "n_tokens", "ids", "ids_crc32"])
 
-    return blocks.join(starts, ["bucket", "block"]).mapInArrow(run, "id long, start long, n_tokens long, ids binary, ids_crc32 long")
+    return blocks.mapInArrow(run, "id long, start long, n_tokens long, ids binary, ids_crc32 long")
