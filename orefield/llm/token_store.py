@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,19 +47,18 @@ DICTIONARY_DOCS = 256
 DICTIONARY_TEXT_BYTES = 8 << 20
 BLOCK_BYTES = 1 << 20
 LEVEL = 1
-_MEMO_PIECES = 400_000
+_MEMO_PIECES = 300_000
 _ASKED = 2000
-_PART_BYTES = 2 << 20
+_PART_BYTES = 8 << 20
 _SAMPLE_BYTES = 16_384
 _NULL_ID = -(1 << 63)
 _BLOCK_DDL = "bucket int, block int, first long, dictionary_sha256 string, doc_ids array<bigint>, counts array<bigint>, ends array<bigint>, payload binary"
 _BLOCK = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("dictionary_sha256", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("payload", pa.binary())])
-_STOPS = re.compile(rb"[.,](?<=[a-z0-9].)(?![^\x20\x09-\x0d])")
-#: Lower-case Latin letters (ASCII and U+00DF to U+00FF without the division sign), digits and ASCII signs but the apostrophe.
-_LETTERS = rb"(?:[a-z]+|\xc3[\x9f-\xb6\xb8-\xbf])+"
-_SIGNS = rb"[!-&(-/:-@\[-`{-~]+"
-_RUNS = re.compile(rb"%s|[0-9]|%s" % (_LETTERS, _SIGNS))
-_PLAIN = re.compile(rb"(?:%s|[0-9]|%s)+\Z" % (_LETTERS, _SIGNS))
+_STOPS = re.compile(rb"[.,](?:(?<=[a-z0-9].)|(?<=\xc3[\x9f-\xb6\xb8-\xbf].))(?![^\x20\x09-\x0d])")
+#: Plain pieces: lower-case Latin letters (ASCII and U+00DF to U+00FF without the division sign), digits and ASCII signs but the apostrophe.
+_RUNS = re.compile(rb"(?:[a-z]+|\xc3[\x9f-\xb6\xb8-\xbf])+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+_ASCII_PLAIN = bytes(b for b in range(33, 127) if b != 39 and not 65 <= b <= 90)
+_LATIN = re.compile(rb"(?:\xc3[\x9f-\xb6\xb8-\xbf])*+")
 
 
 def _byte_characters() -> dict[int, str]:
@@ -69,7 +69,7 @@ def _byte_characters() -> dict[int, str]:
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, with a bounded memo of pieces."""
+    """Ids of whole texts by the tokenizers library, with a memo of pieces in two bounded generations."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
@@ -86,6 +86,7 @@ class Encoder:
         self.word_end[[n for word, n in vocabulary.items() if word.endswith("</w>")]] = True
         self.stand_in = _byte_characters()
         self.memo: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.lowers = self._library(b"Ab, Cd.") == self._library(b"ab , cd .")
         probes = "the anthropology, qx ß éçö naïve ÿ 2047 a1b2 $$$ *** (a) x-y_z {|} <= == ... ,; th.re the$ $the 12ab ab12 zzzqqq".encode().split()
         self.direct = self.lowers and self.word_end.any() and self._by_model(probes) == [self._library(p) for p in probes]
@@ -93,23 +94,33 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if len(self.memo) > _MEMO_PIECES:
-            self.memo = {}
-        memo = self.memo
-        pieces = [self._pieces(t) for t in texts]
-        found = [list(map(memo.get, own)) for own in pieces]
-        missing = {p for own, got in zip(pieces, found) if None in got for p, ids in zip(own, got) if ids is None}
-        plain = [p for p in missing if (p.isalpha() and p.islower()) or (_PLAIN.match(p) and b"<|" not in p)] if self.direct else []
+            self.memo, self.old = {}, self.memo
+        memo, old = self.memo, self.old
+        words = pc.ascii_split_whitespace(pa.array([self._parted(t) for t in texts], pa.large_binary()).cast(pa.large_string()))
+        coded = words.flatten().dictionary_encode()  # each distinct piece of these texts is looked up once
+        pieces = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        missing = [p for p in pieces if p not in memo]
+        known = {p: old[p] for p in missing if p in old}
+        memo.update(known)
+        missing = [p for p in missing if p not in known]
+        plain = [p for p in missing if p and b"<|" not in p and _LATIN.fullmatch(p.translate(None, _ASCII_PLAIN))] if self.direct else []
         for i in range(0, len(plain), _ASKED):  # the library's results are large: a few pieces at a time
             part = plain[i : i + _ASKED]
             memo.update(zip(part, self._by_model(part)))
-        memo.update((p, self._library(p)) for p in missing.difference(plain))
-        return [b"".join([memo[p] if ids is None else ids for p, ids in zip(own, got)] if None in got else got) for own, got in zip(pieces, found)]
-
-    def _pieces(self, text: bytes) -> list[bytes]:
-        """Runs between white space; where the normaliser lowers case, lowered, with a full stop or comma at a word's end apart, as it will be anyway."""
-        if self.lowers and b"<|" not in text:
-            text = _STOPS.sub(rb" \g<0>", text.lower())
-        return text.split()
+        memo.update((p, self._library(p)) for p in set(missing).difference(plain))
+        found = list(map(memo.__getitem__, pieces))
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begins, flat = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(found), "<u4")
+        codes = coded.indices.to_numpy()
+        own = lengths[codes]
+        ends = np.cumsum(own)
+        ids = flat[np.repeat(begins[codes] - (ends - own), own) + np.arange(own.sum())]
+        cuts = np.concatenate([[0], ends])[words.offsets.to_numpy()].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
+    def _parted(self, text: bytes) -> bytes:
+        """Where the normaliser lowers case: lowered, with a full stop or comma at a word's end apart, as it will be anyway."""
+        return _STOPS.sub(rb" \g<0>", text.lower()) if self.lowers and b"<|" not in text else text
 
     def _library(self, piece: bytes) -> bytes:
         return np.array(self.library.encode(piece.decode(), add_special_tokens=False).ids, "<u4").tobytes()
