@@ -3,7 +3,8 @@
 The similarity of two texts is the share of common ones among their distinct shingles. Texts with equal
 sets are one node. With all shingles in one fixed order, two sets of a similarity of at least p / q share one of the first
 n - ceil(n p / q) + 1 shingles of each; the join on these prefixes, with bounds on sizes and on the number of shared
-prefix shingles, gives every such pair. Each candidate pair is verified on its whole sets.
+prefix shingles, gives every such pair. Of these candidates the SimHash operator's pivot tables discard those whose long
+signatures are too far apart for that similarity (a radius of six deviations: it loses one link in 10**8 at most), and each pair left is verified on its whole sets.
 
   1. Each bucket (nodes that share a prefix shingle) links its members to one of them; verified links give groups.
   2. Pairs in one bucket but in different groups are candidates too; verified, they join the groups.
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import Batches, as_bytes, components, slices, written
-from .simhash import _hashes
+from .simhash import _hashes, near_pairs, set_signature
 
 #: Only the order of shingles, so the cost and never the links, depends on these.
 SAMPLE_NODES = 16_384
@@ -49,15 +50,15 @@ def _named(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _nodes(rows: DataFrame, shingle: int) -> DataFrame:
-    """(id, mark, node) for each row."""
+    """(id, mark, node, signature) for each row."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             for b in slices(batch, 2, _PART_BYTES):
                 sets = [distinct_shingles(t, shingle) for t in as_bytes(b.column(2))]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_named(sets))], names=["id", "mark", "node"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_named(sets)), pa.array([set_signature(x) for x in sets], pa.binary())], names=["id", "mark", "node", "signature"])
 
-    return rows.mapInArrow(run, "id long, mark long, node long")
+    return rows.mapInArrow(run, "id long, mark long, node long, signature binary")
 
 
 def _frequent(rows: DataFrame, n_nodes: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,8 +136,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int,
                     keep.append(common * share.denominator >= (len(both) - common) * share.numerator)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = written(pairs, "near-pairs")
-    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(nodes, "node")
+    pairs = written(near_pairs(pairs, nodes), "near-pairs")
+    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(nodes.select("node", "mark"), "node")
     texts = rows.select("mark", "text").join(wanted, "mark").dropDuplicates(["node"]).select("node", "text")
     own = written(texts.mapInArrow(sets, "node long, shingles binary"), "near-sets")
     one, other = (own.select(F.col("node").alias(n), F.col("shingles").alias(f"{n}_set")) for n in ("src", "dst"))
@@ -149,7 +150,7 @@ def similar_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     share = Fraction(similarity).limit_denominator(1000)
     rows = _rows(docs, id_col, text_col)
     marked = written(_nodes(rows, shingle), "near-marked")
-    nodes = written(marked.groupBy("node").agg(F.min("mark").alias("mark")), "near-nodes")
+    nodes = written(marked.groupBy("node").agg(F.min(F.struct("mark", "signature")).alias("x")).select("node", "x.mark", "x.signature"), "near-nodes")
     bucket = Window.partitionBy("key")
     own = F.struct("node", "size")
     entries = _prefixes(rows, *_frequent(rows, nodes.count(), shingle), shingle, share).repartition("key").dropDuplicates(["key", "node"])

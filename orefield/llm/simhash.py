@@ -9,8 +9,12 @@ coordinate difference exceeds the radius cannot link and is discarded. Survivors
 bit by bit. A bucket gives a spanning forest of its links, never all its pairs, so a dense group of m
 copies costs m - 1 rows.
 
+Near duplicates by the similarity of shingle sets (set_join.py) use long signatures of the sets in the same way: candidates
+that share a rare shingle are discarded by the pivot tables, and what is left is verified on the whole sets.
+
 Nulls and empty texts have no shingle: their fingerprint is zero and they link as any other.
-Repeated rows keep one output row each. Other columns of the input are ignored.
+Rows with a null id link with
+none, and neither do they join others. Repeated rows keep one output row each. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +30,8 @@ from pyspark.sql import functions as F
 from ._common import Batches, as_bytes, components, key_groups, written
 
 PIVOTS = 16
-#: Two signatures whose first 64 bits differ in more places are not near at any similarity of 0.8 or more (but for 1 in 10,000).
-FIRST_WORD_RADIUS = 20
-_SMALL_BUCKET = 64
+#: 64-bit words of the long signatures of shingle sets, and the bits in which two of them may differ at a similarity of 0.8.
+SET_WORDS, SET_RADIUS = 8, 150
 _CHUNK = 4096
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
 
@@ -95,18 +98,6 @@ def block_keys(signatures: np.ndarray, radius: int, blocks: int) -> np.ndarray:
     return np.stack([_mixed(value & np.uint64(sum(masks[i] for i in chosen)), n) for n, chosen in enumerate(combinations(range(blocks), blocks - radius))], axis=1)
 
 
-def sampled_keys(signatures: np.ndarray, tables: int, bits: int) -> np.ndarray:
-    """Keys of long signatures: each table takes bits fixed pseudo-random bit places."""
-    n = signatures.shape[1] * 8
-    spread = np.unpackbits(signatures, axis=1)
-    out = np.empty((len(signatures), tables), np.int64)
-    for t in range(tables):
-        places = np.random.default_rng(1000 + t).choice(n, bits, replace=False)
-        value = (spread[:, places].astype(np.uint64) << np.arange(bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-        out[:, t] = _mixed(value, t)
-    return out
-
-
 def _mixed(value: np.ndarray, table: int) -> np.ndarray:
     """A bijection of 64 bits for each table, so equal keys mean equal values of one table (but for chance)."""
     with np.errstate(over="ignore"):
@@ -139,21 +130,6 @@ def bucket_links(nodes: np.ndarray, signatures: np.ndarray, table: np.ndarray, r
     return links
 
 
-def _met(first: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """Members of buckets that have another member with a first word near theirs; large buckets keep all. Chance meetings end here."""
-    sizes = np.diff(cuts)
-    keep = np.repeat(sizes > _SMALL_BUCKET, sizes)
-    words = first.view(np.uint64)
-    pairs = cuts[:-1][sizes == 2]
-    near = pairs[np.bitwise_count(words[pairs] ^ words[pairs + 1]) <= FIRST_WORD_RADIUS]
-    keep[near] = keep[near + 1] = True
-    for g in np.flatnonzero((sizes > 2) & (sizes <= _SMALL_BUCKET)):
-        own = words[cuts[g] : cuts[g + 1]]
-        close = np.bitwise_count(own[:, None] ^ own[None, :]) <= FIRST_WORD_RADIUS
-        keep[cuts[g] : cuts[g + 1]] = close.sum(axis=1) > 1
-    return keep
-
-
 def _in_buckets(radius: int):
     def run(batches: Batches) -> Batches:
         for rows, cuts in key_groups(batches, "key"):
@@ -172,53 +148,67 @@ def _in_buckets(radius: int):
     return run
 
 
-def near_links(nodes: DataFrame, *, radius: int, blocks: int | None = None, tables: int = 0, bits: int = 0) -> DataFrame:
-    """Links (src, dst) that join the nodes (node, signature) at radius or fewer differing bits.
-
-    blocks: exact pigeonhole buckets, for 64-bit signatures and small radii. Otherwise tables of sampled
-    bits: a pair meets in at least one of them with a chance that the caller sets. The signature and
-    the pivot distances travel only with members of buckets where another member's first word is near, so that
-    chance meetings, which grow with the square of the nodes, cost no more than their key.
-    """
+def near_links(nodes: DataFrame, *, radius: int, blocks: int) -> DataFrame:
+    """Links (src, dst) that join the nodes (node, signature) at radius or fewer differing bits: exact, by pigeonhole buckets of 64-bit signatures."""
 
     def keyed(batches: Batches) -> Batches:
         for b in batches:
-            if not b.num_rows:
-                continue
             raw = b.column(1).to_pylist()
-            sig = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
             node = b.column(0).to_numpy(zero_copy_only=False)
-            for i in range(0, len(sig), 2048):
-                part = sig[i : i + 2048]
-                keys = block_keys(part, radius, blocks) if blocks else sampled_keys(part, tables, bits)
-                first = part[:, :8].copy().view(np.int64)[:, 0]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(node[i : i + 2048], keys.shape[1])), pa.array(np.repeat(first, keys.shape[1]))], names=["key", "node", "first"])
+            for i in range(0, len(raw), 2048):
+                sig = np.frombuffer(b"".join(raw[i : i + 2048]), np.uint8).reshape(-1, 8)
+                keys, dist = block_keys(sig, radius, blocks), pivot_table(sig)
+                times = keys.shape[1]
+                columns = [pa.array(keys.ravel()), pa.array(np.repeat(node[i : i + 2048], times)), pa.array([x for x in raw[i : i + 2048] for _ in range(times)], pa.binary()), pa.array([y for x in dist for y in [x.tobytes()] * times], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "signature", "pivots"])
+
+    keys = nodes.select("node", "signature").mapInArrow(keyed, "key long, node long, signature binary, pivots binary")
+    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(_in_buckets(radius), "src long, dst long").distinct()
 
-    def shared(batches: Batches) -> Batches:
-        for rows, cuts in key_groups(batches, "key"):
-            keep = _met(rows["first"], cuts)
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(rows["key"][keep]), pa.array(rows["node"][keep])], names=["key", "node"])
+
+def set_signature(hashes: np.ndarray, words: int = SET_WORDS) -> bytes:
+    """The long signature of a set of 64-bit shingle hashes."""
+    total = np.zeros(words * 64, np.int64)
+    raw = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
+    for i in range(0, len(raw), _CHUNK):
+        total += np.unpackbits(_widened(raw[i : i + _CHUNK], words), axis=1).sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * total > len(raw)).tobytes()
+
+
+def near_pairs(pairs: DataFrame, signatures: DataFrame, radius: int = SET_RADIUS) -> DataFrame:
+    """Those of the pairs (src, dst) of nodes whose long signatures (node, signature) differ in radius bits at most.
+
+    The distances of both to the pivots are compared first: a pair whose largest coordinate difference exceeds the radius is discarded; survivors are verified bit by bit.
+    """
 
     def measured(batches: Batches) -> Batches:
         for b in batches:
             raw = b.column(1).to_pylist()
-            sig = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
-            dist = pivot_table(sig) if len(sig) else np.zeros((0, PIVOTS), np.uint16)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.binary()), pa.array([x.tobytes() for x in dist], pa.binary())], names=["node", "signature", "pivots"])
+            if raw:
+                dist = pivot_table(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.binary()), pa.array([x.tobytes() for x in dist], pa.binary())], names=["node", "signature", "pivots"])
+
+    def run(batches: Batches) -> Batches:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            one, other = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(b.num_rows, -1).astype(np.int32) for i in (3, 5))
+            keep = np.abs(one - other).max(axis=1) <= radius
+            at = np.flatnonzero(keep)
+            x, y = (np.frombuffer(b"".join(b.column(i).take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1) for i in (2, 4)) if len(at) else (np.zeros((0, 8), np.uint8),) * 2
+            keep[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int32) <= radius
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["src", "dst"]).filter(pa.array(keep))
 
-    nodes = nodes.select("node", "signature")
-    keys = nodes.mapInArrow(keyed, "key long, node long, first long")
-    members = keys.repartition("key").sortWithinPartitions("key").mapInArrow(shared, "key long, node long")
-    with_table = nodes.mapInArrow(measured, "node long, signature binary, pivots binary")
-    return members.join(with_table, "node").select("key", "node", "signature", "pivots").repartition("key").sortWithinPartitions("key").mapInArrow(_in_buckets(radius), "src long, dst long").distinct()
+    table = signatures.select("node", "signature").mapInArrow(measured, "node long, signature binary, pivots binary")
+    one, other = (table.select(F.col("node").alias(n), F.col("signature").alias(f"{n}_s"), F.col("pivots").alias(f"{n}_p")) for n in ("src", "dst"))
+    return pairs.join(one, "src").join(other, "dst").select("src", "dst", "src_s", "src_p", "dst_s", "dst_p").mapInArrow(run, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1, radius: int = 2, blocks: int | None = 5, tables: int = 0, bits: int = 0) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1, radius: int = 2, blocks: int = 5) -> DataFrame:
     """(id, signature, component): component is the smallest id reachable through links, itself included."""
     marked = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, words=words), "simhash")
     nodes = written(marked.groupBy("signature").agg(F.min("id").alias("node")), "simhash-nodes")
-    links = near_links(nodes.where("node is not null"), radius=radius, blocks=blocks, tables=tables, bits=bits)
+    links = near_links(nodes.where("node is not null"), radius=radius, blocks=blocks)
     parts = components(links, "simhash")
     named = nodes.join(parts, "node", "left").select("signature", F.coalesce("component", "node").alias("component"))
     return marked.join(named, "signature").select("id", "signature", "component")
