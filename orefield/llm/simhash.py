@@ -31,7 +31,9 @@ from ._common import Batches, as_bytes, components, key_groups, written
 
 PIVOTS = 16
 #: 64-bit words of the long signatures of shingle sets, and the bits in which two of them may differ at a similarity of 0.8.
-SET_WORDS, SET_RADIUS = 8, 150
+SET_WORDS, SET_RADIUS, SMALL_SET_RADIUS, SMALL_SET = 8, 128, 150, 50
+#: Members of a bucket that are compared with one another at a time.
+BUCKET_BLOCK = 1024
 _CHUNK = 4096
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
 
@@ -107,8 +109,11 @@ def _mixed(value: np.ndarray, table: int) -> np.ndarray:
     return x.view(np.int64)
 
 
-def bucket_links(nodes: np.ndarray, signatures: np.ndarray, table: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the members of one bucket."""
+def bucket_links(nodes: np.ndarray, signatures: np.ndarray, table: np.ndarray, radius: int, sizes: np.ndarray | None = None, similarity: float = 0.0) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the members of one bucket.
+
+    With sizes (of sets), those whose ratio is below similarity do not link, and the radius is the one for sets of that size.
+    """
     left = np.arange(len(nodes))
     links: list[tuple[int, int]] = []
     table = table.astype(np.int16)
@@ -117,6 +122,9 @@ def bucket_links(nodes: np.ndarray, signatures: np.ndarray, table: np.ndarray, r
         while frontier and len(left):
             at = frontier.pop()
             near = left
+            if sizes is not None:
+                near = left[(sizes[left] >= similarity * sizes[at]) & (sizes[left] * similarity <= sizes[at])]
+                radius = SMALL_SET_RADIUS if similarity * sizes[at] < SMALL_SET else SET_RADIUS
             for axis in range(table.shape[1]):
                 near = near[np.abs(table[near, axis] - table[at, axis]) <= radius]
                 if not len(near):
@@ -175,11 +183,8 @@ def set_signature(hashes: np.ndarray, words: int = SET_WORDS) -> bytes:
     return np.packbits(2 * total > len(raw)).tobytes()
 
 
-def near_pairs(pairs: DataFrame, signatures: DataFrame, radius: int = SET_RADIUS) -> DataFrame:
-    """Those of the pairs (src, dst) of nodes whose long signatures (node, signature) differ in radius bits at most.
-
-    The distances of both to the pivots are compared first: a pair whose largest coordinate difference exceeds the radius is discarded; survivors are verified bit by bit.
-    """
+def with_pivots(nodes: DataFrame) -> DataFrame:
+    """nodes (node, signature) with the distances of each signature to the pivots."""
 
     def measured(batches: Batches) -> Batches:
         for b in batches:
@@ -188,20 +193,64 @@ def near_pairs(pairs: DataFrame, signatures: DataFrame, radius: int = SET_RADIUS
                 dist = pivot_table(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.binary()), pa.array([x.tobytes() for x in dist], pa.binary())], names=["node", "signature", "pivots"])
 
+    return nodes.select("node", "signature").mapInArrow(measured, "node long, signature binary, pivots binary")
+
+
+def _table(column: np.ndarray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
+
+
+def near_in_buckets(entries: DataFrame, similarity: float) -> DataFrame:
+    """A spanning forest (src, dst) of the near pairs of signatures in each bucket.
+
+    entries: key, members (rows of the key), node, size (of its set), signature, pivots. A bucket of more than BUCKET_BLOCK
+    members is split, and each block meets each other one in a task of its own.
+    """
+
+    def run(batches: Batches) -> Batches:
+        for rows, cuts in key_groups(batches, "block"):
+            links: set[tuple[int, int]] = set()
+            for a, b in zip(cuts, cuts[1:]):
+                if b - a > 1:
+                    links.update(bucket_links(rows["node"][a:b], _table(rows["signature"][a:b], np.uint64), _table(rows["pivots"][a:b], np.uint16), SET_RADIUS, rows["size"][a:b], similarity))
+            if links:
+                found = np.array(list(links), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["src", "dst"])
+
+    parts = F.ceil(F.col("members") / BUCKET_BLOCK).cast("int")
+    split = entries.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    block = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("block")
+    blocks = split.select(block, "node", "size", "signature", "pivots").repartition("block").sortWithinPartitions("block", "node")
+    return blocks.mapInArrow(run, "src long, dst long").distinct()
+
+
+def near_sets(i: int, others: np.ndarray, sizes: np.ndarray, signatures: np.ndarray, table: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
+    """Which of others are near the set i, nearest first, and in how many bits they differ."""
+    others = others[(sizes[others] >= similarity * sizes[i]) & (sizes[others] * similarity <= sizes[i])]
+    radius = SMALL_SET_RADIUS if similarity * sizes[i] < SMALL_SET else SET_RADIUS
+    others = others[np.abs(table[others].astype(np.int32) - table[i]).max(axis=1, initial=0) <= radius]
+    bits = np.bitwise_count(signatures[others] ^ signatures[i]).sum(axis=1, dtype=np.int32)
+    order = np.argsort(bits, kind="stable")[: int((bits <= radius).sum())]
+    return others[order].tolist(), bits[order].tolist()
+
+
+def near_pairs(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Those of the pairs (src, dst) of nodes whose long signatures (node, size, signature, pivots) are near: first by pivots, then bit by bit."""
+
     def run(batches: Batches) -> Batches:
         for b in batches:
             if not b.num_rows:
                 continue
-            one, other = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(b.num_rows, -1).astype(np.int32) for i in (3, 5))
-            keep = np.abs(one - other).max(axis=1) <= radius
-            at = np.flatnonzero(keep)
-            x, y = (np.frombuffer(b"".join(b.column(i).take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1) for i in (2, 4)) if len(at) else (np.zeros((0, 8), np.uint8),) * 2
-            keep[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int32) <= radius
+            sizes, *tables = (b.column(i).to_pylist() for i in range(2, 7))
+            x, y, one, other = (_table(t, k) for t, k in zip(tables, (np.uint64, np.uint64, np.uint16, np.uint16)))
+            radius = np.where(np.array(sizes) < SMALL_SET, SMALL_SET_RADIUS, SET_RADIUS)
+            keep = np.abs(one.astype(np.int32) - other).max(axis=1) <= radius
+            keep[keep] = np.bitwise_count(x[keep] ^ y[keep]).sum(axis=1, dtype=np.int32) <= radius[keep]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["src", "dst"]).filter(pa.array(keep))
 
-    table = signatures.select("node", "signature").mapInArrow(measured, "node long, signature binary, pivots binary")
-    one, other = (table.select(F.col("node").alias(n), F.col("signature").alias(f"{n}_s"), F.col("pivots").alias(f"{n}_p")) for n in ("src", "dst"))
-    return pairs.join(one, "src").join(other, "dst").select("src", "dst", "src_s", "src_p", "dst_s", "dst_p").mapInArrow(run, "src long, dst long")
+    one, other = (signatures.select(F.col("node").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in ("size", "signature", "pivots"))) for n in ("src", "dst"))
+    joined = pairs.join(one, "src").join(other, "dst")
+    return joined.select("src", "dst", F.least("src_size", "dst_size"), "src_signature", "dst_signature", "src_pivots", "dst_pivots").mapInArrow(run, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1, radius: int = 2, blocks: int = 5) -> DataFrame:
