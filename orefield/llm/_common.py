@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -106,6 +106,12 @@ def with_text_columns(docs: DataFrame, text_col: str, fields: str, function: Cal
     return docs.mapInArrow(run, schema)
 
 
+def beside(docs: DataFrame, own: Iterable[str], act: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of act(docs) with the columns of docs. Those that clash with columns that act adds (own) are kept aside meanwhile."""
+    aside = {c: f"_aside_{c}" for c in docs.columns if c in set(own)}
+    return act(docs.withColumnsRenamed(aside)).select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
+
+
 def components(edges: DataFrame, tag: str) -> DataFrame:
     """Connected components of (src, dst) as (node, component): the component's smallest node.
 

@@ -8,7 +8,8 @@ covers. An item shorter than a window counts when it occurs whole.
 The benchmark is a fixed test set, not part of the corpus: its size is checked (max_item_words)
 before its automaton is broadcast; a larger set is split into automata of that size, each with its
 own pass. Null or empty texts and items have no words and never match. Items with equal words are all
-reported. Repeated documents give a row each; extra columns stay.
+reported. Repeated documents give a row each; extra columns stay,
+but find replaces those named as the columns that it adds; remove keeps them too.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ._common import with_text_columns
+from ._common import beside, with_text_columns
 
 WINDOW = 10
 MAX_ITEM_WORDS = 4_000_000
+ADDED = ("n_words", "n_hit", "item_ids", "hit_spans")
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -218,11 +220,14 @@ def remove(docs: DataFrame, automata: list[Automaton], *, text_col: str = "text"
 
     The columns stay as they are. With max_coverage 0 each contaminated document goes.
     """
-    names = docs.columns
-    kept = find(docs, automata, text_col=text_col).where(f"n_hit <= {float(max_coverage)!r} * n_words")
-    if max_coverage > 0:
-        kept = kept.withColumn(text_col, F.when(F.col("n_hit") > 0, F.udf(_without, StringType())(F.col(text_col), F.col("hit_spans"))).otherwise(F.col(text_col)))
-    return kept.select(*names)
+
+    def clean(rows: DataFrame) -> DataFrame:
+        kept = find(rows, automata, text_col=text_col).where(f"n_hit <= {float(max_coverage)!r} * n_words")
+        if max_coverage > 0:
+            kept = kept.withColumn(text_col, F.when(F.col("n_hit") > 0, F.udf(_without, StringType())(F.col(text_col), F.col("hit_spans"))).otherwise(F.col(text_col)))
+        return kept
+
+    return beside(docs, ADDED, clean)
 
 
 def _without(text: str, spans: list[list[int]]) -> str:

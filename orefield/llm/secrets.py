@@ -10,7 +10,7 @@ mandatory trigram search each text.
 Candidates are joined back by id: broadcast if their counted number is at most BROADCAST_ROWS, by
 shuffle beyond it. Rows with a null id cannot be joined and are candidates of every rule. A null
 text counts as empty. Repeated ids share the union of their postings, which only adds candidates. Extra columns stay;
-a column named spans is replaced.
+find replaces a column named spans.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from re import _parser as sre_parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import beside, written
 
 BROADCAST_ROWS = 500_000
 _MOST_STRINGS = 64
@@ -211,8 +211,7 @@ def spans_text(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with each secret replaced by mark (overlapping ones by one mark); nothing else changes."""
-    names = docs.columns
+    """docs with each secret replaced by mark (overlapping ones by one mark); nothing else changes, a column named spans included."""
     text = F.col(text_col)
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -221,5 +220,4 @@ def redact(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, id_col: str = "d
         return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.when(inside, state["out"]).otherwise(F.concat(state["out"], F.substring(text, state["at"] + 1, span["start"] - state["at"]), F.lit(mark))).alias("out"))
 
     clean = F.aggregate("spans", first, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    found = find(docs, rules=rules, id_col=id_col, text_col=text_col)
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, clean).otherwise(text)).select(*names)
+    return beside(docs, ["spans"], lambda d: find(d, rules=rules, id_col=id_col, text_col=text_col).withColumn(text_col, F.when(F.size("spans") > 0, clean).otherwise(text)))

@@ -16,6 +16,8 @@ to the left (reversed prefix).
      length - core - i hold another member together. All these strings share the core, so
      they cover one stretch, from the furthest left to the furthest right.
 
+Surroundings count as equal if two independent 64-bit hashes agree, of the core and of the whole.
+
 Null and empty texts, and texts shorter than length, lose nothing. Repeated rows repeat each other.
 The two passes name a row by its id and a hash of id and text. Extra columns are ignored.
 """
@@ -189,13 +191,13 @@ def cores(texts: list[bytes], length: int = LENGTH, core: int = CORE) -> tuple[n
     data = np.frombuffer(b"".join(texts), np.uint8)
     if len(data) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    assert len(data) < 1 << 28
-    hashed = _window_hash(data, core) >> np.uint64(28) << np.uint64(28) | np.arange(len(data) - core + 1, dtype=np.uint64)
+    low = np.uint64(max(28, len(data).bit_length()))  # places; the bits above hold the hash
+    hashed = _window_hash(data, core) >> low << low | np.arange(len(data) - core + 1, dtype=np.uint64)
     lowest = _window_min(hashed, length - core + 1)
     inside = np.zeros(len(data), np.int8)
     for b, e in zip(begins[lengths >= length].tolist(), ends[lengths >= length].tolist()):
         inside[b : e - length + 1] = 1
-    places = np.unique(lowest[inside[: len(lowest)] > 0] & np.uint64((1 << 28) - 1)).astype(np.int64)
+    places = np.unique(lowest[inside[: len(lowest)] > 0] & np.uint64((1 << int(low)) - 1)).astype(np.int64)
     owner = np.searchsorted(ends, places, side="right")
     return owner, places - begins[owner]
 

@@ -443,6 +443,35 @@ def test_transducer_odd_texts():
     assert made.counts([t.encode() for t in texts]).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+# --- clashing columns ---------------------------------------------------------------
+
+
+def test_columns_with_the_operators_names_keep_their_values(spark):
+    item = "one two three four five six seven eight nine ten"
+    rows = [(1, "password: hunter2222 x", "mine", 7, 8, ["a"], "kept", 0.5), (2, f"x {item} y", "mine", 7, 8, ["a"], "kept", 0.5), (3, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_words int, n_hit int, item_ids array<string>, hit_spans string, _score double")
+    red = {r.doc_id: tuple(r)[2:] for r in secrets.redact(docs).collect()}
+    assert red == {r[0]: r[2:] for r in rows}
+    automata = decontaminate.load_items(spark.createDataFrame([("i", item)], "item_id string, text string"))
+    assert {tuple(r) for r in decontaminate.remove(docs.drop("item_ids"), automata).collect()} == {r[:5] + r[6:] for r in (rows[0], rows[2])}
+    part = decontaminate.remove(docs.drop("item_ids"), automata, max_coverage=0.9).where("doc_id = 2").first()
+    assert part.n_words == 7 and part.hit_spans == "kept" and "seven" not in part.text
+    every = [(i, f"{'good clean words here' if i % 2 else 'zzz $$$ junk'} {i} " * 20, i / 8) for i in range(8)]
+    own = spark.createDataFrame(every, "doc_id long, text string, _score double")
+    kept = corpus_pipeline.keep_quality(spark, own, SMALL)
+    assert kept.columns == own.columns and {(r.doc_id, r._score) for r in kept.collect()} <= {(r[0], r[2]) for r in every}
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, empty):
+    assert corpus_pipeline.keep_first_copies(spark, empty, SMALL).count() == 0
+    kept = corpus_pipeline.keep_first_copies(spark, odd, SMALL)
+    assert kept.columns == odd.columns
+    # null and empty texts are copies of one another, and so are the three words; the row without an id stays
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3, 5, 6, 7]
+    for stage in (corpus_pipeline.drop_benchmark, corpus_pipeline.redact_secrets):
+        assert stage(spark, empty, SMALL).count() == 0 and stage(spark, odd, SMALL).count() == len(ODD)
+
+
 # --- pipeline ---------------------------------------------------------------------
 
 
