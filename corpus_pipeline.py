@@ -4,7 +4,9 @@ Stages: quality (documents the classifier rejects go), simhash (one document, th
 of near duplicates stays), decontaminate (documents with a benchmark passage go), secrets (found
 secrets are replaced by a mark) and pack (bins of a fixed number of words). All but the last return
 the columns of documents. The near-duplicate stage links documents whose sets of distinct five-word shingles have a
-similarity of at least 0.8, by an exact prefix-filter join with every link verified on the sets.
+similarity of at least 0.8: candidates share a rare shingle, the SimHash operator's pivot tables discard the far ones, and
+every link is verified on the sets. A row with the id and the text of another is its copy; rows with one id and different texts are judged apart.
+Null and empty texts are copies of one another. Extra columns stay as they are.
 
 Documents with a null id are kept by the near-duplicate stage, which cannot name them.
 """
@@ -18,24 +20,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orefield.llm import decontaminate, packing, quality, secrets, set_join
-from orefield.llm._common import shared_folder, table, written
+from orefield.llm._common import beside, shared_folder, table, written
 
 KEEP_SCORE = 0.7
 SHINGLE, SIMILARITY = 5, 0.8
+SALTS = 16
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     if not model.weights:  # a class without labelled rows: nothing tells documents apart, so none is rejected
         return docs
-    return quality.score(docs, model, score_col="_score").where(F.col("_score") >= KEEP_SCORE).drop("_score")
+    return beside(docs, ["_score"], lambda d: quality.score(d, model, score_col="_score").where(F.col("_score") >= KEEP_SCORE))
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = written(set_join.similar_sets(docs, shingle=SHINGLE, similarity=SIMILARITY), "near-duplicates")
-    first = found.where("id is not null").groupBy("component").agg(F.min(F.struct("id", "mark")).alias("first"))
-    later = found.join(first, "component").where(F.struct("id", "mark") != F.col("first")).select(F.col("id").alias("doc_id"), F.col("mark").alias("_mark")).distinct()
-    marked = docs.withColumn("_mark", F.xxhash64("doc_id", "text"))
+    first = found.where("id is not null").groupBy("component").agg(F.min(F.struct("id", "mark")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = first.select("component", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = found.where("id is not null").withColumn("salt", F.pmod("mark", F.lit(SALTS)).cast("int"))  # a large group is spread over tasks
+    later = rows.join(first, ["component", "salt"]).where(F.struct("id", "mark") != F.col("first")).select(F.col("id").alias("doc_id"), F.col("mark").alias("_mark")).distinct()
+    marked = docs.withColumns({"_mark": F.xxhash64("doc_id", "text")})
     return marked.join(later, ["doc_id", "_mark"], "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
