@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -281,6 +283,7 @@ def concat_fields(*columns: Column | str) -> Column:
 # --- classes ------------------------------------------------------------------------------
 
 
+#: Fixed values in the next two functions: the limits and labels of the terrain and weather classes.
 def classify_terrain(elevation: Column | str, slope: Column | str) -> Column:
     """The last matching override wins, so they stand in reverse order."""
     e, s = _c(elevation), _c(slope)
@@ -300,26 +303,37 @@ def classify_weather(temperature: Column | str, precipitation: Column | str) ->
     )
 
 
+#: The twelve classes of the USDA soil texture triangle with their bounds in percent (Soil Survey Manual); the first
+#: class whose bounds all hold applies. "fine" is silt plus 1.5 clay, "finer" silt plus 2 clay.
+TEXTURE_CLASSES = {
+    "sand": "sand >= 85, fine < 15",
+    "loamy sand": "sand >= 70, fine >= 15, finer < 30",
+    "clay": "clay >= 40, sand <= 45, silt <= 40",
+    "silty clay": "clay >= 40, silt > 40",
+    "sandy clay": "clay >= 35, sand > 45",
+    "clay loam": "clay >= 27, clay < 40, sand > 20, sand <= 45",
+    "silty clay loam": "clay >= 27, clay < 40, sand <= 20",
+    "sandy clay loam": "clay >= 20, clay < 35, sand > 45, silt < 28",
+    "silt": "silt >= 80, clay < 12",
+    "silt loam": "silt >= 50, clay < 27",
+    "loam": "clay >= 7, clay < 27, silt >= 28, silt < 50, sand <= 52",
+    "sandy loam": "clay < 20, sand >= 43, silt < 50",
+}
+_COMPARE = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
+
+
 def classify_texture(sand: Column, silt: Column, clay: Column) -> Column:
-    """Twelve-class soil texture triangle on shares normalised to 100."""
+    """Soil texture class on shares normalised to 100; loam where no class fits, NULL without a positive total."""
     total = sand + silt + clay
-    a, i, c = (100 * x / total for x in (sand, silt, clay))
-    return F.when(
-        total > 0,
-        F.when((a >= 85) & (i + 1.5 * c < 15), "sand")
-        .when((a >= 70) & (i + 1.5 * c >= 15) & (i + 2 * c < 30), "loamy sand")
-        .when((c >= 40) & (a <= 45) & (i <= 40), "clay")
-        .when((c >= 40) & (i > 40), "silty clay")
-        .when((c >= 35) & (a > 45), "sandy clay")
-        .when((c >= 27) & (c < 40) & (a > 20) & (a <= 45), "clay loam")
-        .when((c >= 27) & (c < 40) & (a <= 20), "silty clay loam")
-        .when((c >= 20) & (c < 35) & (a > 45) & (i < 28), "sandy clay loam")
-        .when((i >= 80) & (c < 12), "silt")
-        .when((i >= 50) & (c < 27), "silt loam")
-        .when((c >= 7) & (c < 27) & (i >= 28) & (i < 50) & (a <= 52), "loam")
-        .when((c < 20) & (a >= 43) & (i < 50), "sandy loam")
-        .otherwise("loam"),
-    )
+    share = {name: 100 * x / total for name, x in (("sand", sand), ("silt", silt), ("clay", clay))}
+    share |= {"fine": share["silt"] + 1.5 * share["clay"], "finer": share["silt"] + 2 * share["clay"]}
+
+    def holds(bounds: str) -> Column:
+        tests = (bound.split() for bound in bounds.split(","))
+        return reduce(operator.and_, (_COMPARE[sign](share[name], float(limit)) for name, sign, limit in tests))
+
+    fits = [F.when(holds(bounds), F.lit(name)) for name, bounds in TEXTURE_CLASSES.items()]
+    return F.when(total > 0, F.coalesce(*fits, F.lit("loam")))
 
 
 def classify_record(status: Column | str, classes: Mapping[str, Sequence[str]], default: str) -> Column:
@@ -353,7 +367,7 @@ def promote(known_km: Column, km: Column, support: Column, percentile: Column, s
 
 
 def numeric_or_token(text: Column | str) -> tuple[Column, Column]:
-    """(value, status)."""
+    """(value, status). The tokens are fixed values."""
     raw = F.coalesce(clean_text(text), F.lit(""))
     number = raw.try_cast("double")
     low = F.replace(F.lower(raw), F.lit(" "), F.lit(""))

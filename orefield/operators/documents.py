@@ -13,13 +13,20 @@ from pyspark.sql import functions as F
 from ..functions.columns import clean_text, fold_key, term_found
 
 
+#: An anchor with its attributes and what is between its tags; the href among attributes, in any place and quoting.
+ANCHOR = r"(?is)<a\s([^>]*)>(.*?)</a\s*>"
+HREF = r"""(?is)(?:^|\s)href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
 def extract_links(pages: DataFrame, key: str, html: str, url: str) -> DataFrame:
-    """(key, position, href, text, resolved): all anchors of each page; an href beginning with / is resolved against the page's host."""
-    pattern = r'<a\s+href="([^"]*)"[^>]*>([^<]*)'
-    found = pages.select(key, url, F.posexplode(F.arrays_zip(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), F.regexp_extract_all(html, F.lit(pattern), F.lit(2)))).alias("position", "z"))
-    href, text = F.col("z.0"), F.col("z.1")
+    """(key, position, href, text, resolved): the anchors with an href of each page, markup inside their text dropped; an href beginning with / is resolved against the page's host."""
+    each = F.arrays_zip(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1)), F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2)))
+    found = pages.select(key, url, F.posexplode(F.filter(each, lambda a: a["0"].rlike(HREF))).alias("position", "z"))
+    quoted = [F.nullif(F.regexp_extract("z.0", HREF, n), F.lit("")) for n in (1, 2, 3)]
+    href = F.coalesce(*quoted, F.lit(""))
     host = F.regexp_extract(url, r"^([a-z]+://[^/?#]+)", 1)
-    return found.select(key, "position", href.alias("href"), text.alias("text"), F.when(href.startswith("/"), F.concat(host, href)).otherwise(href).alias("resolved"))
+    links = found.select(key, "position", href.alias("href"), F.regexp_replace("z.1", "<[^>]*>", "").alias("text"), host.alias("_host"))
+    return links.withColumn("resolved", F.when(F.col("href").startswith("/"), F.concat("_host", "href")).otherwise(F.col("href"))).drop("_host")
 
 
 class _Tables(HTMLParser):

@@ -170,7 +170,7 @@ def _(x):
 @query("f24_lineage_key", "SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name), '\\b(block|cluster)\\b', ' ', 'g'), '[^a-z0-9]+', '-', 'g'), '-') AS lineage FROM part")
 def _(x):
     text = F.concat("p_name", F.lit(" Block Iron tranche"))
-    return x.part.select("p_partkey", C.lineage_key(text, {"biarapalli": "biarpalli"}, ["iron", "gold"], ["block", "cluster"]).alias("lineage"))
+    return x.part.select("p_partkey", C.lineage_key(text, {"colour": "color"}, ["iron", "gold"], ["block", "cluster"]).alias("lineage"))
 
 
 @query("f25_parameter_semantics", "SELECT l_orderkey, l_linenumber, CASE l_linenumber % 5 WHEN 0 THEN 'major_oxide' WHEN 1 THEN 'isotope_ratio' WHEN 2 THEN 'trace_element' WHEN 3 THEN 'element' ELSE 'chemical_parameter' END AS kind, CASE l_linenumber % 5 WHEN 0 THEN 'Al,O' WHEN 1 THEN 'Sr' WHEN 2 THEN 'Cu' WHEN 3 THEN 'F' ELSE 'L,O,I' END AS symbols FROM lineitem")

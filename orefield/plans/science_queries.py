@@ -415,7 +415,7 @@ def _(x):
     return Q.coverage(x.inspections, ["code", "inspected_on"], ["code"]).withColumn("rate", r6("rate"))
 
 
-@query("q5_assert_schema")
+@query("q5_assert_schema", "SELECT count(*) AS n_rows FROM customer")
 def _(x):
     return Q.assert_schema(x.customer, Q.schema_hash(["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"])).agg(F.count("*").alias("n_rows"))
 
@@ -436,12 +436,25 @@ def _(x):
     return Q.content_fingerprint(x.customer, ["c_custkey", "c_name"])
 
 
-@query("q9_build_manifest")
+_MANIFEST = """
+, t AS (SELECT 'orders' AS "table", 'o_orderkey' AS primary_key, 'order' AS grain, count(*) AS n_rows, count(DISTINCT o_orderkey) = count(*) AND count(o_orderkey) = count(*) AS key_valid FROM orders
+UNION ALL SELECT 'lineitem', 'l_orderkey,l_linenumber', 'line', count(*), count(DISTINCT (l_orderkey, l_linenumber)) = count(*) AND count(l_orderkey) = count(*) AND count(l_linenumber) = count(*) FROM lineitem),
+c AS (SELECT table_name AS "table", CAST(count(*) AS INTEGER) AS n_columns, sha256('["' || string_agg(column_name, '","' ORDER BY column_index) || '"]') AS schema_sha256 FROM duckdb_columns() WHERE table_name IN ('orders', 'lineitem') GROUP BY 1)
+SELECT "table", primary_key, key_valid, n_rows, n_columns, schema_sha256, 'observation' AS role, grain FROM t JOIN c USING ("table")"""
+
+
+@query("q9_build_manifest", _MANIFEST)
 def _(x):
     return Q.build_manifest({"orders": x.orders, "lineitem": x.lineitem}, {"orders": {"key": ["o_orderkey"], "role": "observation", "grain": "order"}, "lineitem": {"key": ["l_orderkey", "l_linenumber"], "role": "observation", "grain": "line"}})
 
 
-@query("q10_build_dictionary")
+_DICTIONARY = """
+, c AS (SELECT table_name AS "table", column_name AS "column" FROM duckdb_columns() WHERE table_name IN ('orders', 'customer')),
+d AS (SELECT *, CASE WHEN "column" = 'o_orderkey' THEN 'own' WHEN "column" = 'o_custkey' THEN 'alias' WHEN regexp_matches("column", 'price|bal|date|key$') THEN 'rule' ELSE 'missing' END AS basis FROM c)
+SELECT "table", "column", CASE basis WHEN 'own' THEN 'order number' WHEN 'alias' THEN 'customer number' WHEN 'rule' THEN CASE WHEN regexp_matches("column", 'price|bal') THEN 'amount' WHEN regexp_matches("column", 'date') THEN 'day' ELSE 'identifier' END END AS definition, basis FROM d"""
+
+
+@query("q10_build_dictionary", _DICTIONARY)
 def _(x):
     spark = x.spark
     columns = spark.createDataFrame([(t, c) for t in ("orders", "customer") for c in getattr(x, t).columns], "table string, column string").join(x.region.agg(F.count("*").alias("n")).select(), how="cross")
@@ -476,7 +489,7 @@ def _(x):
     return Q.feature_collection_parity(x.cells, features, "cell_id", ["unit_id"])
 
 
-@query("q15_completion_audit")
+@query("q15_completion_audit", "SELECT 'orders_present' AS requirement, CAST(count(*) AS VARCHAR) AS evidence, count(*) > 0 AS passed FROM orders UNION ALL SELECT 'lines_of_known_parts', CAST(count(*) AS VARCHAR), count(*) = 0 FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part) UNION ALL SELECT 'five_regions', CAST(count(DISTINCT r_regionkey) AS VARCHAR), count(DISTINCT r_regionkey) = 5 FROM region")
 def _(x):
     v = F.col("value")
     return Q.completion_audit({"orders_present": (x.orders, F.count("*"), v > 0), "lines_of_known_parts": (x.lineitem.join(x.part, F.col("l_partkey") == F.col("p_partkey"), "left_anti"), F.count("*"), v == 0), "five_regions": (x.region, F.countDistinct("r_regionkey"), v == 5)})
@@ -490,7 +503,15 @@ def _(x):
 # --- documents --------------------------------------------------------------------------------------
 
 
-@query("d1_extract_links", """, z AS (SELECT page_id, url, regexp_extract_all(html, '<a\\s+href="([^"]*)"[^>]*>([^<]*)', 1) AS h, regexp_extract_all(html, '<a\\s+href="([^"]*)"[^>]*>([^<]*)', 2) AS t FROM pages), e AS (SELECT page_id, url, h, t, unnest(range(len(h))) AS i FROM z) SELECT page_id, CAST(i AS INTEGER) AS position, h[i + 1] AS href, t[i + 1] AS text, CASE WHEN starts_with(h[i + 1], '/') THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || h[i + 1] ELSE h[i + 1] END AS resolved FROM e""")
+_D1 = r"""
+, z AS (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\s([^>]*)>(.*?)</a\s*>', 1) AS h, regexp_extract_all(html, '(?is)<a\s([^>]*)>(.*?)</a\s*>', 2) AS t FROM pages),
+e AS (SELECT page_id, url, h[i] AS h, t[i] AS t, i FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM z)),
+l AS (SELECT page_id, url, i, t, regexp_extract(h, '(?is)(?:^|\s)href\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', ['a', 'b', 'c']) AS q FROM e WHERE regexp_matches(h, '(?is)(?:^|\s)href\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))')),
+k AS (SELECT page_id, url, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS position, q.a || q.b || q.c AS href, regexp_replace(t, '<[^>]*>', '', 'g') AS text FROM l)
+SELECT page_id, position, href, text, CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || href ELSE href END AS resolved FROM k"""
+
+
+@query("d1_extract_links", _D1)
 def _(x):
     return D.extract_links(x.pages, "page_id", "html", "url")
 
@@ -507,6 +528,11 @@ def _(x):
     return D.extract_tables(x.pages.select("page_id", F.concat("html", F.lit("<table><tr><td>"), "url", F.lit("</td></tr></table>")).alias("html")), "page_id", "html")
 
 
+@query("d2_extract_order_tables", ", c AS (SELECT o_orderkey AS page_id, [['Lines'], ['खान Mine Name', 'Order Date', 'Price'], ['mine ' || o_custkey, strftime(o_orderdate, '%Y-%m-%d'), o_orderpriority]] AS r FROM orders), r AS (SELECT page_id, i, r[i] AS c FROM c, range(1, 4) t(i)) SELECT page_id, CAST(0 AS INTEGER) AS table, CAST(i - 1 AS INTEGER) AS row, CAST(j - 1 AS INTEGER) AS col, c[j] AS text FROM (SELECT *, unnest(range(1, len(c) + 1)) AS j FROM r)")
+def _(x):
+    return D.extract_tables(_table_pages(x), "page_id", "html").toDF("page_id", "table", "row", "col", "text")
+
+
 @query("d3_canonical_headers", "SELECT o_orderkey AS page_id, CAST(0 AS INTEGER) AS table, CAST(2 AS INTEGER) AS row, 'mine ' || o_custkey AS name, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority AS price FROM orders")
 def _(x):
     cells = D.extract_tables(_table_pages(x), "page_id", "html")

@@ -23,15 +23,19 @@ def _(x):
     return S.scan(x.spark, f"{x.folder}/lineitem.parquet", ["l_orderkey", "l_quantity"], "l_discount > 5e-2")
 
 
-@query("s4_scan_features", "SELECT 'cell-' || cell_id AS feature, unit_id, seq, x, y FROM (SELECT cell_id, unit_id, 0 AS seq, floor(lon) AS x, floor(lat) AS y FROM cells UNION ALL SELECT cell_id, unit_id, 1, floor(lon) + 1, floor(lat) FROM cells UNION ALL SELECT cell_id, unit_id, 2, floor(lon) + 1, floor(lat) + 1 FROM cells)")
+@query("s4_scan_features", "SELECT 'cell-' || cell_id AS feature, unit_id, CAST(part AS INTEGER) AS part, CAST(ring AS INTEGER) AS ring, CAST(seq AS INTEGER) AS seq, floor(lon) + dx AS x, floor(lat) + dy AS y FROM cells CROSS JOIN (VALUES (0, 0, 0, 0, 0), (0, 0, 1, 8, 0), (0, 0, 2, 8, 8), (0, 1, 0, 4, 1), (0, 1, 1, 6, 1), (0, 1, 2, 6, 3), (1, 0, 0, 9, 9), (1, 0, 1, 12, 9), (1, 0, 2, 12, 12)) v(part, ring, seq, dx, dy) WHERE (part = 0 AND ring = 0) OR cell_id % 3 = 0")
 def _(x):
+    """Each cell a triangle; every third one with a hole and a second part."""
     a, b = F.floor("lon"), F.floor("lat")
-    point = lambda dx, dy: F.format_string("[%d,%d]", a + dx, b + dy)
-    ring = F.concat_ws(",", point(0, 0), point(1, 0), point(1, 1), point(0, 0))
-    feature = F.concat(F.lit('{"type":"Feature","id":"cell-'), F.col("cell_id").cast("string"), F.lit('","properties":{"unit_id":'), F.coalesce(F.col("unit_id").cast("string"), F.lit("null")), F.lit('},"geometry":{"type":"Polygon","coordinates":[['), ring, F.lit("]]}}"))
+    ring = lambda *at: F.concat(F.lit("["), F.concat_ws(",", *[F.format_string("[%d,%d]", a + dx, b + dy) for dx, dy in (*at, at[0])]), F.lit("]"))
+    outer, hole, other = ring((0, 0), (8, 0), (8, 8)), ring((4, 1), (6, 1), (6, 3)), ring((9, 9), (12, 9), (12, 12))
+    simple = F.concat(F.lit('"Polygon","coordinates":['), outer, F.lit("]"))
+    multi = F.concat(F.lit('"MultiPolygon","coordinates":[['), outer, F.lit(","), hole, F.lit("],["), other, F.lit("]]"))
+    geometry = F.when(F.col("cell_id") % 3 == 0, multi).otherwise(simple)
+    feature = F.concat(F.lit('{"type":"Feature","id":"cell-'), F.col("cell_id").cast("string"), F.lit('","properties":{"unit_id":'), F.coalesce(F.col("unit_id").cast("string"), F.lit("null")), F.lit('},"geometry":{"type":'), geometry, F.lit("}}"))
     texts = x.cells.select(F.concat(F.lit('{"features":['), feature, F.lit("]}")).alias("text"))
     features, vertices = S.scan_features(texts, "text", "unit_id:bigint")
-    return vertices.join(features, "feature").select("feature", "unit_id", "seq", "x", "y")
+    return vertices.join(features, "feature").select("feature", "unit_id", "part", "ring", "seq", "x", "y")
 
 
 @query("s5_scan_raster", "SELECT row, col, value FROM raster WHERE row BETWEEN 9 AND 41 AND col BETWEEN 19 AND 61")

@@ -45,12 +45,22 @@ def scan_dimension_json(spark: SparkSession, path: str, schema: str, rank: str)
 
 
 def scan_features(collections: DataFrame, text: str, properties: str) -> tuple[DataFrame, DataFrame]:
-    """(features, vertices) of feature-collection texts: one row a feature with its properties; outer rings as (feature, seq, x, y). Empty geometries go."""
-    shape = f"struct<features:array<struct<id:string,properties:struct<{properties}>,geometry:struct<type:string,coordinates:array<array<array<double>>>>>>>"
-    each = collections.select(F.explode(F.from_json(text, shape)["features"]).alias("f")).where("f.geometry.type = 'Polygon' and size(f.geometry.coordinates[0]) > 3")
+    """(features, vertices) of feature-collection texts: one row a feature with its properties; all rings as (feature, part, ring, seq, x, y).
+
+    Polygon and MultiPolygon geometries; ring 0 of a part is its outer one, the others are holes, which even-odd crossings of all
+    rings leave out. The point that closes a ring is dropped; features without a ring of three points go.
+    """
+    shape = f"struct<features:array<struct<id:string,properties:struct<{properties}>,geometry:struct<type:string,coordinates:string>>>>"
+    rings = "array<array<array<double>>>"
+    each = collections.select(F.explode(F.from_json(text, shape)["features"]).alias("f")).where("f.geometry.type in ('Polygon', 'MultiPolygon')")
+    body = F.col("f.geometry.coordinates")
+    parts = F.when(F.col("f.geometry.type") == "Polygon", F.array(F.from_json(body, rings))).otherwise(F.from_json(body, f"array<{rings}>"))
+    each = each.withColumn("parts", parts).where("exists(parts, p -> size(p[0]) > 3)")
     features = each.select(F.col("f.id").alias("feature"), "f.properties.*")
-    ring = each.select(F.col("f.id").alias("feature"), F.posexplode(F.expr("slice(f.geometry.coordinates[0], 1, size(f.geometry.coordinates[0]) - 1)")).alias("seq", "p"))
-    return features, ring.select("feature", "seq", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+    part = each.select(F.col("f.id").alias("feature"), F.posexplode("parts").alias("part", "rings"))
+    ring = part.select("feature", "part", F.posexplode("rings").alias("ring", "points")).where("size(points) > 3")
+    point = ring.select("feature", "part", "ring", F.posexplode(F.expr("slice(points, 1, size(points) - 1)")).alias("seq", "p"))
+    return features, point.select("feature", "part", "ring", "seq", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
 
 
 def scan_raster(pixels: DataFrame, rows: tuple[int, int], cols: tuple[int, int], padding: int = 1) -> DataFrame:

@@ -147,6 +147,24 @@ def test_files_round_trip(spark, tmp_path):
     assert [r.r for r in S.scan_dimension_json(spark, f"{tmp_path}/d.json", "r int, n array<string>", "r").collect()] == [1, 2]
 
 
+def test_rings_of_all_parts(spark):
+    geometry = '{"type":"MultiPolygon","coordinates":[[[[0,0],[4,0],[4,4],[0,0]],[[1,1],[2,1],[2,2],[1,1]]],[[[9,9],[10,9],[10,10],[9,9]]]]}'
+    text = '{"features":[{"id":"a","properties":{"t":"x"},"geometry":%s},{"id":"b","properties":{"t":"y"},"geometry":{"type":"Point","coordinates":[1,2]}},{"id":"c","properties":{},"geometry":null}]}' % geometry
+    features, vertices = S.scan_features(rows(spark, [(text,)], "c string"), "c", "t string")
+    assert [tuple(r) for r in features.collect()] == [("a", "x")]
+    got = sorted(tuple(r) for r in vertices.collect())
+    assert [r[1:4] for r in got] == [(p, r, i) for p, r in ((0, 0), (0, 1), (1, 0)) for i in range(3)]
+    assert got[3][4:] == (1.0, 1.0) and got[-1][4:] == (10.0, 10.0)
+
+
+def test_anchors_in_any_form(spark):
+    page = """<a class="b" href='/one?x=1'>First <b>bold</b></a> <A HREF=two.html title=x>Two</A> <a name="here">no link</a> <a href="">empty</a>
+    <abbr href="no">n</abbr> <a data-href="no" href="https://e.org/3">
+    third</a>"""
+    got = [tuple(r) for r in D.extract_links(rows(spark, [(1, "http://h.org/p/q", page), (2, "http://h.org", None)], "k int, u string, h string"), "k", "h", "u").orderBy("position").collect()]
+    assert [(r[2], r[3].strip(), r[4]) for r in got] == [("/one?x=1", "First bold", "http://h.org/one?x=1"), ("two.html", "Two", "two.html"), ("", "empty", ""), ("https://e.org/3", "third", "https://e.org/3")]
+
+
 def test_html_tables(spark):
     html = "<table><tr><td>Report</td></tr><tr><th>खान / Mine Name</th><th>Date</th></tr><tr><td><a href='x'>One</a></td></tr><tr><td>Two</td><td>2024</td></tr></table>"
     cells = D.extract_tables(rows(spark, [(1, html), (2, None), (3, "<p>none</p>")], "p int, h string"), "p", "h")
