@@ -75,14 +75,14 @@ def block_sizes(ref: DataFrame, lat: str, lon: str, by: Sequence[str]) -> tuple[
         return (180.0,)
     area = max(b - a, 0.01) * max(d - c, 0.01)
     first = min(45.0, max(0.01, (area * NEIGHBOURS / 9 / max(1.0, n / max(g, 1))) ** 0.5))
-    return tuple(x for x in (first, 4 * first) if x < 90) + (180.0,)
+    return tuple(first * 4**k for k in range(8) if first * 4**k < 90) + (180.0,)
 
 
 def nearest(left: DataFrame, ref: DataFrame, keys: Sequence[str], *, ref_id: str, by: Sequence[str] = (), lat: str = "lat", lon: str = "lon", ref_lat: str = "lat", ref_lon: str = "lon", keep: Sequence[str] = (), where: Column | None = None, levels: Sequence[float] = ()) -> DataFrame:
     """left with nearest_id, nearest_km and the kept attributes of the nearest reference point (smallest id on ties; NULL without any).
 
     Blocks grow only for rows whose best distance exceeds what their block guarantees. The first block size follows the
-    reference's density, the last level spans the globe. keys name a left row; by columns must be equal; where may use the columns of both sides (kept ones as _keep_<name>).
+    reference's density and grows fourfold until no row is open; the last level spans the globe. keys name a left row; by columns must be equal; where may use the columns of both sides (kept ones as _keep_<name>).
     """
     levels = levels or block_sizes(ref, ref_lat, ref_lon, by)
     open_rows, settled = left, []
@@ -98,6 +98,8 @@ def nearest(left: DataFrame, ref: DataFrame, keys: Sequence[str], *, ref_id: str
         settled.append(done.select(*left.columns, "_best.*"))
         if not last:
             open_rows = joined.where(~sure).select(*left.columns)
+            if open_rows.isEmpty():
+                break
     return reduce(DataFrame.unionByName, settled)
 
 

