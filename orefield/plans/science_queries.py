@@ -369,11 +369,11 @@ def _(x):
     return out.select("block", "material_id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"), "outside_known")
 
 
-@query("m17_transfer_metrics", _SCORES + ", b AS (SELECT DISTINCT s_suppkey AS block, s_suppkey * 7 % 200 + 1 AS cell_id, unnest([s_nationkey % 12, (s_nationkey + 5) % 12]) AS material_id FROM supplier), f2 AS (SELECT cell_id, material_id, km, round(score, 9) AS score FROM fin), p AS (SELECT material_id, score FROM b JOIN f2 USING (cell_id, material_id) WHERE km > 25), g AS (SELECT material_id, score FROM f2 WHERE cell_id % 4 = 3 AND km > 25) SELECT n.material_id, n_blocks, auc FROM (SELECT material_id, count(*) AS n_blocks FROM p GROUP BY 1) n JOIN (SELECT p.material_id, round(avg(CASE WHEN p.score > g.score THEN 1e0 WHEN p.score = g.score THEN 5e-1 ELSE 0 END), 6) AS auc FROM p JOIN g ON p.material_id = g.material_id GROUP BY 1) USING (material_id)")
+@query("m17_transfer_metrics", _SCORES + ", b AS (SELECT DISTINCT s_suppkey AS block, s_suppkey * 7 % 200 + 1 AS cell_id, unnest([s_nationkey % 12, (s_nationkey + 5) % 12]) AS material_id FROM supplier), f2 AS (SELECT cell_id, material_id, km, round(score, 9) AS score FROM fin), p AS (SELECT material_id, score FROM b JOIN f2 USING (cell_id, material_id) WHERE km > 25), g AS (SELECT material_id, score FROM f2 WHERE km > 25) SELECT n.material_id, n_blocks, auc FROM (SELECT material_id, count(*) AS n_blocks FROM p GROUP BY 1) n JOIN (SELECT p.material_id, round(avg(CASE WHEN p.score > g.score THEN 1e0 WHEN p.score = g.score THEN 5e-1 ELSE 0 END), 6) AS auc FROM p JOIN g ON p.material_id = g.material_id GROUP BY 1) USING (material_id)")
 def _(x):
     scores = _scores(x).withColumn("score", F.round("score", 9))
     obs = M.transfer_observations(_blocks(x), "block", "material_id", "cell_id", scores)
-    out = M.transfer_metrics(obs, scores.where("cell_id % 4 = 3 and nearest_km > 25"), "material_id", "cell_id", reps=10)
+    out = M.transfer_metrics(obs, scores.where("nearest_km > 25"), "material_id", "cell_id", reps=10)
     return out.select("material_id", "n_blocks", r6("auc").alias("auc"))
 
 

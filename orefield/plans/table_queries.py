@@ -197,7 +197,8 @@ def _(x):
 
 # --- aggregations -----------------------------------------------------------------------------
 
-_DAYS = ", days AS (SELECT * FROM series WHERE obs_date BETWEEN DATE '2024-01-03' AND DATE '2024-01-27' QUALIFY row_number() OVER (PARTITION BY point_id, parameter, obs_date ORDER BY event_id) = 1), clean AS (SELECT point_id, parameter, obs_date, CASE WHEN value > -900 THEN value END AS value FROM days)"
+_DAYS = ", days AS (SELECT * FROM series QUALIFY row_number() OVER (PARTITION BY point_id, parameter, obs_date ORDER BY event_id) = 1), clean AS (SELECT point_id, parameter, obs_date, CASE WHEN value > -900 THEN value END AS value FROM days)"
+_WINDOW_DAYS = ", days AS (SELECT * FROM series WHERE obs_date BETWEEN DATE '2024-01-03' AND DATE '2024-01-27' QUALIFY row_number() OVER (PARTITION BY point_id, parameter, obs_date ORDER BY event_id) = 1), clean AS (SELECT point_id, parameter, obs_date, CASE WHEN value > -900 THEN value END AS value FROM days)"
 
 
 def _summary(x):
@@ -206,12 +207,12 @@ def _summary(x):
     return R.rolling_summary(s, ["point_id", "parameter"], "obs_date", "value", lo, hi, [F.col("event_id")])
 
 
-@query("a1_rolling_summary", _DAYS + " SELECT point_id, parameter, round(avg(value), 6) AS mean_value, round(sum(value), 6) AS sum_value, count(value) AS valid_days FROM clean GROUP BY 1, 2")
+@query("a1_rolling_summary", _WINDOW_DAYS + " SELECT point_id, parameter, round(avg(value), 6) AS mean_value, round(sum(value), 6) AS sum_value, count(value) AS valid_days FROM clean GROUP BY 1, 2")
 def _(x):
     return _summary(x).select("point_id", "parameter", r6("mean_value").alias("mean_value"), r6("sum_value").alias("sum_value"), "valid_days")
 
 
-@query("a2_completeness", _DAYS + ", n AS (SELECT point_id, parameter, count(value) AS v FROM clean GROUP BY 1, 2), p AS (SELECT DISTINCT point_id FROM n), w AS (SELECT point_id, coalesce(max(v) FILTER (parameter = 'click'), 0) AS c, coalesce(max(v) FILTER (parameter = 'view'), 0) AS d FROM n GROUP BY 1) SELECT point_id, least(c, d) AS min_valid_days, round(100 * least(c, d) / 30e0, 6) AS complete_pct FROM w")
+@query("a2_completeness", _WINDOW_DAYS + ", n AS (SELECT point_id, parameter, count(value) AS v FROM clean GROUP BY 1, 2), p AS (SELECT DISTINCT point_id FROM n), w AS (SELECT point_id, coalesce(max(v) FILTER (parameter = 'click'), 0) AS c, coalesce(max(v) FILTER (parameter = 'view'), 0) AS d FROM n GROUP BY 1) SELECT point_id, least(c, d) AS min_valid_days, round(100 * least(c, d) / 30e0, 6) AS complete_pct FROM w")
 def _(x):
     return R.completeness(_summary(x), "point_id", "parameter", ["click", "view"], 30).withColumn("complete_pct", r6(F.col("complete_pct")))
 
