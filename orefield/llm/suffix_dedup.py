@@ -15,6 +15,10 @@ to the left (reversed prefix).
      reaches i bytes left of the core repeats if its left class at i and right class at
      length - core - i hold another member together. All these strings share the core, so
      they cover one stretch, from the furthest left to the furthest right.
+  4. A core with more kinds of surroundings than one task should sort is replaced by wider cores: each holds all but
+     step bytes of the strings that begin within step bytes of one another, so the same steps 2 and 3 apply to
+     less surroundings and smaller groups. Wider cores that are still too common are replaced by
+     the whole strings, which need no order: equal ones are covered.
 
 Surroundings count as equal if two independent 64-bit hashes agree, of the core and of the whole.
 
@@ -36,6 +40,10 @@ LENGTH = 400
 CORE = 200
 SHALLOW = 8
 SALTS = 32
+CROWD = 48
+STEP = 20
+_COVERED, _STANDS, _CROWDED, _NOTICE = range(4)
+_MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _BATCH_BYTES = 4 << 20
 _BATCH_MEMBERS = 20_000
@@ -216,70 +224,96 @@ def _pieces(batch: pa.RecordBatch, limit: int = _BATCH_BYTES):
             start, size = i + 1, 0
 
 
-def covered_spans(docs: DataFrame, *, length: int = LENGTH, core: int = CORE) -> DataFrame:
-    """(id, mark, start, end) of stretches to remove, for docs (id, mark, text). They may overlap."""
-    reach = length - core
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """True where a row differs from the row before it in any column."""
+    return np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)])
 
-    def places(batches: Batches) -> Batches:
-        for b in batches:
-            for part, texts in _pieces(b):
-                owner, at = cores(texts, length, core)
-                if not len(at):
-                    continue
-                keys, whole = [], []
-                for o, p in zip(owner.tolist(), at.tolist()):
-                    t = texts[o]
-                    keys.append(xxhash.xxh3_64_intdigest(t[p : p + core]))
-                    lo = p - reach if p > reach else 0
-                    whole.append(xxhash.xxh3_64_intdigest(t[lo : p + length], seed=p - lo))
-                take = pa.array(owner)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.array(whole, np.uint64).view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(at.astype(np.int32)), pa.array(np.array([min(len(texts[o]) - p, length) for o, p in zip(owner.tolist(), at.tolist())], np.int16))],
-                    names=["core", "whole", "id", "mark", "place", "right"],
-                )
+
+def _narrower(core: int, second: int, left: bytes, right: bytes, reach: int, step: int):
+    """(core, whole, second, shift, left, right) of wider cores of one place, with step bytes of surroundings: each stands for
+    the strings that begin shift to shift + step bytes left of the old core. Together they stand for all of them."""
+    for a in sorted({min(x, reach - step) for x in range(0, reach + 1, step + 1)}):
+        behind = reach - a - step
+        if a <= len(left) and behind <= len(right):
+            same = left[:a] + right[:behind]
+            le, ri = left[a : a + step], right[behind : behind + step]
+            also = xxhash.xxh64_intdigest(same, seed=(second + a) & _MASK)
+            yield xxhash.xxh3_64_intdigest(same, seed=(core + a) & _MASK), xxhash.xxh64_intdigest(le + ri, seed=(also + len(le)) & _MASK), also, a, le, ri
+
+
+class _Rows:
+    """Columns of one Arrow batch of places with their surroundings."""
+
+    fields = [("wider", pa.bool_()), ("core", pa.int64()), ("whole", pa.int64()), ("second", pa.int64()), ("id", pa.int64()), ("mark", pa.int64()), ("place", pa.int64()), ("before", pa.int16()), ("behind", pa.int16()), ("left", pa.binary()), ("right", pa.binary())]
+    ddl = "wider boolean, core long, whole long, second long, id long, mark long, place long, before short, behind short, left binary, right binary"
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+
+    def add(self, wider: bool, reach: int, length: int, core: int, whole: int, second: int, id_: int, mark: int, place: int, left: bytes, right: bytes) -> None:
+        signed = [x - (1 << 64) if x >> 63 == 1 else x for x in (core, whole, second)]
+        self.rows.append((wider, *signed, id_, mark, place, len(left), length - reach + len(right), left, right))
+
+    def batch(self) -> pa.RecordBatch:
+        columns = zip(*self.rows) if self.rows else [()] * len(self.fields)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, self.fields)], names=[n for n, _ in self.fields])
+
+
+def _meet(found: DataFrame, crowd: int, carried: str = "") -> DataFrame:
+    """Places met by (core, whole): those covered have start and end; way 1 asks for a comparison inside the core's group,
+    way 2 for wider cores, as the group has too many kinds of surroundings for one task.
+
+    A group is dealt over salts by place. A salt that holds more than crowd kinds sends them on by core and whole and a
+    notice to the core's own group; what other salts sent there follows. So no group exceeds SALTS * (crowd + 1) rows.
+    """
+    names = ["core", "whole", "id", "mark", "place", "before", "behind", *(c.split()[0] for c in carried.split(",") if c)]
+    kinds = {c: dict(_Rows.fields)[c] for c in names}
+    extra = f", {carried}" if carried else ""
 
     def collapsed(batches: Batches) -> Batches:
         """Of places with equal surroundings in one salt, one stands for all (marked twice); the others are covered and go their own way."""
         for rows, _ in key_groups(batches, "core"):
-            change = np.concatenate([[True], (rows["core"][1:] != rows["core"][:-1]) | (rows["whole"][1:] != rows["whole"][:-1]) | (rows["salt"][1:] != rows["salt"][:-1])])
-            twice = np.bincount(np.cumsum(change) - 1)[np.cumsum(change) - 1] > 1
-            spread = (rows["whole"] ^ (rows["mark"] * 31 + rows["place"])).astype(np.int64)
-            columns = [np.where(change, rows["core"], spread), *(rows[c] for c in ("core", "whole", "id", "mark", "place", "right")), twice, change]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "core", "whole", "id", "mark", "place", "right", "twice", "stands"])
+            core, salt, whole = rows["core"], rows["salt"], rows["whole"]
+            group, kind = _changes(core, salt), _changes(core, salt, whole)
+            of_group, of_kind = np.cumsum(group) - 1, np.cumsum(kind) - 1
+            twice = np.bincount(of_kind)[of_kind] > 1
+            crowded = np.bincount(of_group, weights=kind)[of_group] > crowd
+            own = whole ^ (rows["mark"] * 31 + rows["place"])
+            mixed = core ^ (whole * np.int64(0x5851F42D4C957F2D))
+            key = np.where(kind, np.where(crowded, mixed, core), own)
+            state = np.where(kind, np.where(crowded, _CROWDED, _STANDS), _COVERED).astype(np.int8)
+            notice = np.flatnonzero(group & crowded)
+            take = np.concatenate([np.arange(len(core)), notice])
+            key = np.concatenate([key, core[notice]])
+            state = np.concatenate([state, np.full(len(notice), _NOTICE, np.int8)])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(state), pa.array(twice[take]), *(pa.array(rows[c][take], kinds[c]) for c in names)], names=["key", "state", "twice", *names])
 
     def grouped(batches: Batches) -> Batches:
-        """Places with equal surroundings, covered; and one place of each kind in groups with several kinds, to be compared."""
         for rows, _ in key_groups(batches, "key"):
-            stands, core, whole = rows["stands"], rows["core"], rows["whole"]
-            kind = np.concatenate([[True], (whole[1:] != whole[:-1]) | (core[1:] != core[:-1]) | (stands[1:] != stands[:-1])])
-            number = np.cumsum(kind) - 1
-            twice = (np.bincount(number)[number] > 1) | (np.bincount(number, weights=rows["twice"])[number] > 0)
-            group = np.concatenate([[True], (core[1:] != core[:-1]) | (stands[1:] != stands[:-1])])
-            of_group = np.cumsum(group) - 1
-            compare = kind & stands & (np.bincount(of_group, weights=kind)[of_group] > 1)
-            use = twice | compare
+            state, core, whole, key = rows["state"], rows["core"], rows["whole"], rows["key"]
+            group, kind = _changes(key, core), _changes(key, core, state, whole)
+            of_group, of_kind = np.cumsum(group) - 1, np.cumsum(kind) - 1
+            twice = (np.bincount(of_kind)[of_kind] > 1) | (np.bincount(of_kind, weights=rows["twice"])[of_kind] > 0)
+            noticed = np.bincount(of_group, weights=state == _NOTICE)[of_group] > 0
+            several = np.bincount(of_group, weights=kind & (state == _STANDS))[of_group] > 1
+            stands = kind & (state == _STANDS)
+            way = np.where(kind & (state == _CROWDED) | stands & noticed, 2, np.where(stands & several, 1, 0)).astype(np.int8)
+            use = (state != _NOTICE) & (twice | (way > 0))
             if use.any():
                 place = rows["place"].astype(np.int64)
-                start = np.maximum(place - reach, 0)
-                end = place + rows["right"]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(core[use]), pa.array(rows["id"][use], pa.int64()), pa.array(rows["mark"][use]), pa.array(place[use]), pa.array(compare[use]), pa.array(np.where(twice, start, -1)[use]), pa.array(np.where(twice, end, -1)[use])],
-                    names=["core", "id", "mark", "place", "compare", "start", "end"],
-                )
+                start, end = np.where(twice, place - rows["before"], -1), np.where(twice, place + rows["behind"], -1)
+                yield pa.RecordBatch.from_arrays([pa.array(way[use]), pa.array(start[use]), pa.array(end[use]), *(pa.array(rows[c][use], kinds[c]) for c in names)], names=["way", "start", "end", *names])
 
-    def surroundings(batches: Batches) -> Batches:
-        for b in batches:
-            texts = as_bytes(b.column(3))
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            for i, m, wanted, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), texts):
-                for x in wanted:
-                    p = x["place"]
-                    for column, v in zip(out, (x["core"], i, m, p, t[max(0, p - reach) : p][::-1], t[p + core : p + length])):
-                        column.append(v)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["core", "id", "mark", "place", "left", "right"])
+    ddl = f"core long, whole long, id long, mark long, place long, before short, behind short{extra}"
+    found = found.select(*names).withColumn("salt", F.pmod(F.xxhash64("id", "mark", "place"), F.lit(SALTS)).cast("int"))
+    found = found.repartition("core", "salt").sortWithinPartitions("core", "salt", "whole").mapInArrow(collapsed, f"key long, state byte, twice boolean, {ddl}")
+    return found.repartition("key").sortWithinPartitions("key", "core", "state", "whole").mapInArrow(grouped, f"way byte, start long, end long, {ddl}")
 
-    def compared(batches: Batches) -> Batches:
+
+def _compared(near: DataFrame, reach: int, length: int) -> DataFrame:
+    """(id, mark, start, end) of the repeated stretches of places that share a core."""
+
+    def compare(batches: Batches) -> Batches:
         for rows, cuts in key_groups(batches, "core"):
             at = 0
             while at < len(cuts) - 1:  # as many whole groups at a time as make a good batch
@@ -292,22 +326,75 @@ def covered_spans(docs: DataFrame, *, length: int = LENGTH, core: int = CORE) ->
                     yield pa.RecordBatch.from_arrays([pa.array(rows["id"][part][hit], pa.int64()), pa.array(rows["mark"][part][hit]), pa.array(p - most[hit]), pa.array(p - fewest[hit] + length)], names=["id", "mark", "start", "end"])
                 at = to
 
-    found = docs.mapInArrow(places, "core long, whole long, id long, mark long, place int, right short").withColumn("salt", F.pmod(F.xxhash64("id", "mark", "place"), F.lit(SALTS)).cast("int"))
-    found = found.repartition("core", "whole", "salt").sortWithinPartitions("core", "whole", "salt").mapInArrow(collapsed, "key long, core long, whole long, id long, mark long, place int, right short, twice boolean, stands boolean")
-    found = found.repartition("key").sortWithinPartitions("key", "stands", "core", "whole").mapInArrow(grouped, "core long, id long, mark long, place long, compare boolean, start long, end long")
-    found = written(found, "suffix-groups")
-    wanted = found.where("compare").groupBy("id", "mark").agg(F.collect_list(F.struct("core", "place")).alias("wanted"))
-    near = docs.join(wanted, ["id", "mark"]).select("id", "mark", "wanted", "text").mapInArrow(surroundings, "core long, id long, mark long, place long, left binary, right binary")
-    sorted_ = near.repartition("core").sortWithinPartitions("core").mapInArrow(compared, "id long, mark long, start long, end long")
-    return found.where("start >= 0").select("id", "mark", "start", "end").union(sorted_)
+    near = near.select("core", "id", "mark", "place", "left", "right")
+    return near.repartition("core").sortWithinPartitions("core").mapInArrow(compare, "id long, mark long, start long, end long")
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, core: int = CORE) -> DataFrame:
+def covered_spans(docs: DataFrame, *, length: int = LENGTH, core: int = CORE, crowd: int = CROWD, step: int = STEP) -> DataFrame:
+    """(id, mark, start, end) of stretches to remove, for docs (id, mark, text). They may overlap."""
+    reach = length - core
+    step = min(step, reach)
+
+    def places(batches: Batches) -> Batches:
+        for b in batches:
+            for part, texts in _pieces(b):
+                owner, at = cores(texts, length, core)
+                if not len(at):
+                    continue
+                keys, whole = [], []
+                for o, p in zip(owner.tolist(), at.tolist()):
+                    t = texts[o]
+                    keys.append(xxhash.xxh3_64_intdigest(t[p : p + core]))
+                    lo = p - reach if p > reach else 0
+                    whole.append(xxhash.xxh3_64_intdigest(t[lo : p + length], seed=p - lo))
+                take = pa.array(owner)
+                ends = np.array([len(texts[o]) for o in owner.tolist()])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.array(whole, np.uint64).view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(at), pa.array(np.minimum(at, reach).astype(np.int16)), pa.array(np.minimum(ends - at, length).astype(np.int16))],
+                    names=["core", "whole", "id", "mark", "place", "before", "behind"],
+                )
+
+    def surroundings(batches: Batches) -> Batches:
+        for b in batches:
+            out = _Rows()
+            for i, m, wanted, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), as_bytes(b.column(3))):
+                for x in wanted:
+                    p, key = x["place"], x["core"]
+                    left, right = t[max(0, p - reach) : p][::-1], t[p + core : p + length]
+                    if x["way"] == 1:
+                        out.add(False, reach, length, key, 0, 0, i, m, p, left, right)
+                    else:
+                        second = xxhash.xxh64_intdigest(t[p : p + core])
+                        for k, whole, also, a, le, ri in _narrower(key, second, left, right, reach, step):
+                            out.add(True, step, length, k, whole, also, i, m, p - a, le, ri)
+            yield out.batch()
+
+    def single(batches: Batches) -> Batches:
+        """Places of crowded wider cores, by each whole string."""
+        for b in batches:
+            out = _Rows()
+            for r in b.to_pylist():
+                for k, whole, also, a, le, ri in _narrower(r["core"], r["second"], r["left"], r["right"], step, 0):
+                    out.add(True, 0, length, k, whole, also, r["id"], r["mark"], r["place"] - a, le, ri)
+            yield out.batch()
+
+    span = ["id", "mark", "start", "end"]
+    found = docs.mapInArrow(places, "core long, whole long, id long, mark long, place long, before short, behind short")
+    found = written(_meet(found, crowd).drop("whole", "before", "behind"), "suffix-groups")
+    wanted = found.where("way > 0").groupBy("id", "mark").agg(F.collect_list(F.struct("core", "place", "way")).alias("wanted"))
+    near = written(docs.join(wanted, ["id", "mark"]).select("id", "mark", "wanted", "text").mapInArrow(surroundings, _Rows.ddl), "suffix-near")
+    met = written(_meet(near.where("wider"), crowd, "second long, left binary, right binary"), "suffix-wider")
+    last = _meet(met.where("way = 2").mapInArrow(single, _Rows.ddl), crowd)
+    spans = found.where("start >= 0").select(span).union(met.where("start >= 0").select(span)).union(last.where("start >= 0").select(span))
+    return spans.union(_compared(near.where("not wider"), reach, length)).union(_compared(met.where("way = 1"), step, length))
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, core: int = CORE, crowd: int = CROWD, step: int = STEP) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept binary) for each row."""
     null_id = -(1 << 63)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(null_id)).alias("id"), F.xxhash64(id_col, text_col).alias("mark"), F.col(text_col).alias("text"))
     # one row for each document: its merged stretches, no more of them than its bytes allow
-    spans = written(covered_spans(rows, length=length, core=core), "suffix-spans").distinct().groupBy("id", "mark").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    spans = written(covered_spans(rows, length=length, core=core, crowd=crowd, step=step), "suffix-spans").distinct().groupBy("id", "mark").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
     def cut(batches: Batches) -> Batches:
         for b in batches:

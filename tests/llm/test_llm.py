@@ -416,6 +416,23 @@ def test_suffix_dedup_equals_brute_force(spark, docs, odd, empty):
     assert [r.n_removed for r in suffix_dedup.remove_repeats(twice).collect()] == [610, 610]
 
 
+def test_suffix_dedup_of_crowded_cores(spark):
+    """Wider cores and whole strings instead of one sorted group, in mixtures of the ways."""
+    rng = random.Random(18)
+    passage = bytes(rng.choice(b"efgh") for _ in range(60))
+    texts = random_texts(rng, 30)
+    for _ in range(60):  # a passage of changing extent in otherwise different texts
+        a, b = rng.randint(0, 30), rng.randint(31, 60)
+        texts.append((bytes(rng.choice(b"abcd") for _ in range(rng.randint(0, 50))) + passage[a:b] + bytes(rng.choice(b"abcd") for _ in range(rng.randint(0, 50)))).decode())
+    texts += texts[-3:]
+    want = brute_removed([t.encode() for t in texts], 40)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for crowd, step in ((0, 20), (0, 6), (1, 7), (2, 3)):
+        got = {r.id: r for r in suffix_dedup.remove_repeats(rows, length=40, core=20, crowd=crowd, step=step).collect()}
+        for n, t in enumerate(texts):
+            assert bytes(got[n].kept) == bytes(b for b, g in zip(t.encode(), want[n]) if not g), (crowd, step, n)
+
+
 # --- 10 --------------------------------------------------------------------------
 
 
