@@ -15,10 +15,10 @@ to the left (reversed prefix).
      reaches i bytes left of the core repeats if its left class at i and right class at
      length - core - i hold another member together. All these strings share the core, so
      they cover one stretch, from the furthest left to the furthest right.
-  4. A core with more kinds of surroundings than one task should sort is replaced by wider cores: each holds all but
-     step bytes of the strings that begin within step bytes of one another, so the same steps 2 and 3 apply to
-     less surroundings and smaller groups. Wider cores that are still too common are replaced by
-     the whole strings, which need no order: equal ones are covered.
+  4. A core with more kinds of surroundings than one task should sort is replaced by wider cores: about SHRINK of
+     them, each with all but a part of the bytes of the strings that begin near one another, so the same steps 2 and 3
+     apply to less surroundings and smaller groups. Those that are still too common are widened again, at last to
+     whole strings, which need no order: equal ones are covered.
 
 Surroundings count as equal if two independent 64-bit hashes agree, of the core and of the whole.
 
@@ -34,14 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Batches, as_bytes, key_groups, written
+from ._common import Batches, BatchFunction, as_bytes, key_groups, written
 
 LENGTH = 400
 CORE = 200
 SHALLOW = 8
-SALTS = 32
-CROWD = 48
-STEP = 20
+SALTS = 256
+CROWD = 12
+SHRINK = 5
 _COVERED, _STANDS, _CROWDED, _NOTICE = range(4)
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -241,6 +241,11 @@ def _narrower(core: int, second: int, left: bytes, right: bytes, reach: int, ste
             yield xxhash.xxh3_64_intdigest(same, seed=(core + a) & _MASK), xxhash.xxh64_intdigest(le + ri, seed=(also + len(le)) & _MASK), also, a, le, ri
 
 
+def _less(reach: int, shrink: int) -> int:
+    """The surroundings that the next wider cores leave open; in the end none."""
+    return reach // shrink if reach >= 2 * shrink else 0
+
+
 class _Rows:
     """Columns of one Arrow batch of places with their surroundings."""
 
@@ -330,10 +335,10 @@ def _compared(near: DataFrame, reach: int, length: int) -> DataFrame:
     return near.repartition("core").sortWithinPartitions("core").mapInArrow(compare, "id long, mark long, start long, end long")
 
 
-def covered_spans(docs: DataFrame, *, length: int = LENGTH, core: int = CORE, crowd: int = CROWD, step: int = STEP) -> DataFrame:
+def covered_spans(docs: DataFrame, *, length: int = LENGTH, core: int = CORE, crowd: int = CROWD, shrink: int = SHRINK) -> DataFrame:
     """(id, mark, start, end) of stretches to remove, for docs (id, mark, text). They may overlap."""
     reach = length - core
-    step = min(step, reach)
+    step = _less(reach, shrink)
 
     def places(batches: Batches) -> Batches:
         for b in batches:
@@ -369,32 +374,40 @@ def covered_spans(docs: DataFrame, *, length: int = LENGTH, core: int = CORE, cr
                             out.add(True, step, length, k, whole, also, i, m, p - a, le, ri)
             yield out.batch()
 
-    def single(batches: Batches) -> Batches:
-        """Places of crowded wider cores, by each whole string."""
-        for b in batches:
-            out = _Rows()
-            for r in b.to_pylist():
-                for k, whole, also, a, le, ri in _narrower(r["core"], r["second"], r["left"], r["right"], step, 0):
-                    out.add(True, 0, length, k, whole, also, r["id"], r["mark"], r["place"] - a, le, ri)
-            yield out.batch()
+    def widened(reach: int, step: int) -> BatchFunction:
+        def run(batches: Batches) -> Batches:
+            for b in batches:
+                out = _Rows()
+                for r in b.to_pylist():
+                    for k, whole, also, a, le, ri in _narrower(r["core"], r["second"], r["left"], r["right"], reach, step):
+                        out.add(True, step, length, k, whole, also, r["id"], r["mark"], r["place"] - a, le, ri)
+                yield out.batch()
+
+        return run
 
     span = ["id", "mark", "start", "end"]
     found = docs.mapInArrow(places, "core long, whole long, id long, mark long, place long, before short, behind short")
     found = written(_meet(found, crowd).drop("whole", "before", "behind"), "suffix-groups")
     wanted = found.where("way > 0").groupBy("id", "mark").agg(F.collect_list(F.struct("core", "place", "way")).alias("wanted"))
     near = written(docs.join(wanted, ["id", "mark"]).select("id", "mark", "wanted", "text").mapInArrow(surroundings, _Rows.ddl), "suffix-near")
-    met = written(_meet(near.where("wider"), crowd, "second long, left binary, right binary"), "suffix-wider")
-    last = _meet(met.where("way = 2").mapInArrow(single, _Rows.ddl), crowd)
-    spans = found.where("start >= 0").select(span).union(met.where("start >= 0").select(span)).union(last.where("start >= 0").select(span))
-    return spans.union(_compared(near.where("not wider"), reach, length)).union(_compared(met.where("way = 1"), step, length))
-
-
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, core: int = CORE, crowd: int = CROWD, step: int = STEP) -> DataFrame:
+    spans = found.where("start >= 0").select(span).union(_compared(near.where("not wider"), reach, length))
+    wider = near.where("wider")
+    while True:
+        met = written(_meet(wider, crowd, "second long, left binary, right binary"), "suffix-wider")
+        spans = spans.union(met.where("start >= 0").select(span))
+        if not step:
+            return spans
+        spans = spans.union(_compared(met.where("way = 1"), step, length))
+        less = _less(step, shrink)
+        wider, step = met.where("way = 2").mapInArrow(widened(step, less), _Rows.ddl), less
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, core: int = CORE, crowd: int = CROWD, shrink: int = SHRINK) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept binary) for each row."""
     null_id = -(1 << 63)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(null_id)).alias("id"), F.xxhash64(id_col, text_col).alias("mark"), F.col(text_col).alias("text"))
     # one row for each document: its merged stretches, no more of them than its bytes allow
-    spans = written(covered_spans(rows, length=length, core=core, crowd=crowd, step=step), "suffix-spans").distinct().groupBy("id", "mark").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    spans = written(covered_spans(rows, length=length, core=core, crowd=crowd, shrink=shrink), "suffix-spans").distinct().groupBy("id", "mark").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
     def cut(batches: Batches) -> Batches:
         for b in batches:

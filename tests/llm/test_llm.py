@@ -427,10 +427,10 @@ def test_suffix_dedup_of_crowded_cores(spark):
     texts += texts[-3:]
     want = brute_removed([t.encode() for t in texts], 40)
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for crowd, step in ((0, 20), (0, 6), (1, 7), (2, 3)):
-        got = {r.id: r for r in suffix_dedup.remove_repeats(rows, length=40, core=20, crowd=crowd, step=step).collect()}
+    for crowd, shrink in ((0, 5), (0, 2), (1, 3), (2, 20)):
+        got = {r.id: r for r in suffix_dedup.remove_repeats(rows, length=40, core=20, crowd=crowd, shrink=shrink).collect()}
         for n, t in enumerate(texts):
-            assert bytes(got[n].kept) == bytes(b for b, g in zip(t.encode(), want[n]) if not g), (crowd, step, n)
+            assert bytes(got[n].kept) == bytes(b for b, g in zip(t.encode(), want[n]) if not g), (crowd, shrink, n)
 
 
 # --- 10 --------------------------------------------------------------------------
