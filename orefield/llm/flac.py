@@ -417,11 +417,11 @@ def payload_of(text: bytes, unit: int = 64) -> bytes:
     return text + bytes(-len(text) % unit or (0 if text else unit))
 
 
-def stored(docs: DataFrame, *, text_col: str = "text", media_col: str = "media") -> DataFrame:
-    """docs with n_bytes and the FLAC file of the text's bytes."""
+def stored(docs: DataFrame, *, text_col: str = "text", media_col: str = "media", lpc: bool = True) -> DataFrame:
+    """docs with n_bytes and the FLAC file of the text's bytes; lpc=False leaves the quantised linear predictor out of the choice."""
 
     def run(texts: list[bytes]) -> list[pa.Array]:
-        return [pa.array([len(t) for t in texts], pa.int64()), pa.array(encode([payload_of(t) for t in texts]), pa.binary())]
+        return [pa.array([len(t) for t in texts], pa.int64()), pa.array(encode([payload_of(t) for t in texts], lpc=lpc), pa.binary())]
 
     return with_text_columns(docs, text_col, f"n_bytes bigint, `{media_col}` binary", run, _PART)
 

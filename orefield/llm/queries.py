@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, flac, html_text, packing, quality, secrets, simhash, suffix_dedup, token_count, token_store
-from ._common import table, with_text_columns
+from ._common import table, with_text_columns, written
 
 
 def tokenizer_path(name: str) -> str:
@@ -54,7 +54,7 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = flac.stored(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "media")
+    held = written(flac.stored(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "media"), "op6-media")
 
     def measured(files: list[bytes]) -> list[pa.Array]:
         blocks = flac.decode(files)
