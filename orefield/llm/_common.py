@@ -28,11 +28,11 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, short lineage, survives lost executors."""
+def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, short lineage, survives lost executors. options go to the writer."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
