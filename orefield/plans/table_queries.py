@@ -280,9 +280,10 @@ def _(x):
     return R.masked_median(x.bands, ["label"], F.col("b02"), F.col("b12") > 0).withColumn("median", r6(F.col("median")))
 
 
-@query("a13_multi_season_pool", "SELECT label, count(*) AS n_samples, count(*) FILTER (b02 > b03) AS n_bright, round(avg(CASE WHEN b02 > b03 THEN 1e0 ELSE 0 END), 6) AS share_bright, round(quantile_cont(b08, 5e-1) FILTER (b12 > 0), 6) AS median FROM bands WHERE vec_id % 3 < 2 GROUP BY 1")
+@query("a13_multi_season_pool", "SELECT label, count(*) AS n_samples, count(*) FILTER (b02 > b03) AS n_bright, round(avg(CASE WHEN b02 > b03 THEN 1e0 ELSE 0 END), 6) AS share_bright, round(quantile_cont(b08, 5e-1) FILTER (b12 > 0), 6) AS median FROM bands GROUP BY 1")
 def _(x):
-    seasons = {"dry": x.bands.where("vec_id % 3 = 0"), "post": x.bands.where("vec_id % 3 = 1")}
+    dry = F.coalesce(F.col("b08") >= F.col("b12"), F.lit(False))
+    seasons = {"dry": x.bands.where(dry), "post": x.bands.where(~dry)}
     out = R.multi_season_pool(seasons, ["label"], {"bright": F.col("b02") > F.col("b03")}, F.col("b08"), F.col("b12") > 0)
     return out.withColumns({c: r6(F.col(c)) for c in ("share_bright", "median")})
 
