@@ -3,8 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path in spark.checkpoint.dir (a fresh folder where it is unset, as in tests)."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orefield-"))
+    return f"{context.getCheckpointDir()}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialised(df: DataFrame) -> DataFrame:

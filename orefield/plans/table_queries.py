@@ -8,6 +8,7 @@ from ..functions import columns as C
 from ..operators import relational as R
 from ..operators import spatial as P
 
+from ..operators.state import shared_path
 from ..sources import tables as S
 from .registry import haversine, inside, query
 
@@ -23,6 +24,25 @@ def _(x):
     return S.scan(x.spark, f"{x.folder}/lineitem.parquet", ["l_orderkey", "l_quantity"], "l_discount > 5e-2")
 
 
+@query("s2_scan_tiles", "SELECT o_orderkey, o_custkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM orders")
+def _(x):
+    """Orders as tiles of 4,000 keys each, a preamble before the table."""
+    line = F.concat_ws(",", "o_orderkey", "o_custkey", F.col("o_totalprice").cast("double"))
+    tiles = x.orders.groupBy(F.floor(F.col("o_orderkey") / 4000).cast("string").alias("tile")).agg(F.array_join(F.collect_list(line), "\n").alias("lines"))
+    path = shared_path(x.spark, "tiles")
+    tiles.select(F.concat(F.lit("tile "), "tile", F.lit("\n-END-\no_orderkey,o_custkey,o_totalprice\n"), "lines").alias("value")).repartition(16, F.xxhash64("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return S.scan_tiles(x.spark, f"{path}/part-*", "-END-", "o_orderkey bigint, o_custkey bigint, o_totalprice double", tiles.count()).drop("tile")
+
+
+@query("s3_scan_dimension_json", "SELECT n_nationkey AS rank, n_name AS name, n_name AS first_alias, CAST(n_regionkey AS VARCHAR) AS second_alias FROM nation")
+def _(x):
+    record = F.to_json(F.struct(F.col("n_nationkey").alias("rank"), F.col("n_name").alias("name"), F.array("n_name", F.col("n_regionkey").cast("string")).alias("aliases")))
+    path = shared_path(x.spark, "dimension")
+    x.nation.agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ","), F.lit("]")).alias("value")).write.text(path)  # one row a nation
+    found = S.scan_dimension_json(x.spark, path, "rank bigint, name string, aliases array<string>", "rank")
+    return found.select("rank", "name", F.col("aliases")[0].alias("first_alias"), F.col("aliases")[1].alias("second_alias"))
+
+
 @query("s4_scan_features", "SELECT 'cell-' || cell_id AS feature, unit_id, CAST(part AS INTEGER) AS part, CAST(ring AS INTEGER) AS ring, CAST(seq AS INTEGER) AS seq, floor(lon) + dx AS x, floor(lat) + dy AS y FROM cells CROSS JOIN (VALUES (0, 0, 0, 0, 0), (0, 0, 1, 8, 0), (0, 0, 2, 8, 8), (0, 1, 0, 4, 1), (0, 1, 1, 6, 1), (0, 1, 2, 6, 3), (1, 0, 0, 9, 9), (1, 0, 1, 12, 9), (1, 0, 2, 12, 12)) v(part, ring, seq, dx, dy) WHERE (part = 0 AND ring = 0) OR cell_id % 3 = 0")
 def _(x):
     """Each cell a triangle; every third one with a hole and a second part."""
