@@ -33,12 +33,13 @@ from ._common import as_bytes, key_groups, slices, written
 
 BASE = 1.5
 MU = 4.0
-HASHES = 5
-BITS_PER_EVENT = 10
+HASHES = 4
+BITS_PER_EVENT = 8
 SHARD_BYTES = 8 << 20
-HEAD = 1 << 20
-FILTER_BYTES = 160 << 20
-_HELD = 3 << 20
+HEAD = 1 << 18
+FILTER_BYTES = 96 << 20
+_HELD = 3 << 19
+_PART = 1 << 20
 #: The end token: no word holds a space.
 _END = xxhash.xxh3_64_intdigest(b" ")
 _START = xxhash.xxh3_64_intdigest(b"  ")
@@ -209,7 +210,7 @@ def train(docs: DataFrame, *, text_col: str = "text", shard_bytes: int = SHARD_B
             pairs.__init__()
 
         for batch in batches:
-            for part in slices(batch, 0, 4 << 20):
+            for part in slices(batch, 0, _PART):
                 keys, starts = token_keys(as_bytes(part.column(0)))
                 words.add(keys)
                 pairs.add(pair_hash(contexts(keys, starts), keys))
@@ -260,7 +261,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             return np.where(keys == _START, n_texts, out)
 
         for batch in batches:
-            for part in slices(batch, 1, 4 << 20):
+            for part in slices(batch, 1, _PART):
                 keys, starts = token_keys(as_bytes(part.column(1)))
                 before = contexts(keys, starts)
                 pairs, at = np.unique(pair_hash(before, keys), return_inverse=True)

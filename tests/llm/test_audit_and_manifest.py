@@ -164,8 +164,8 @@ def test_levels_come_back_from_the_filter():
     bloom = language_model.Filter(4, {s: language_model.filter_bits(pairs[shard == s], counts[shard == s]) for s in range(4)})
     true = np.searchsorted(language_model.levels(), counts, side="right")
     found = bloom.level(pairs)
-    assert (found >= true).all() and (found > true).mean() < 0.03
-    assert (bloom.level(rng.integers(0, 1 << 63, 20_000).astype(np.uint64)) > 0).mean() < 0.03
+    assert (found >= true).all() and (found > true).mean() < 0.05
+    assert (bloom.level(rng.integers(0, 1 << 63, 20_000).astype(np.uint64)) > 0).mean() < 0.05
 
 
 def test_model_predicts_held_out_texts_better_than_single_tokens(spark):
