@@ -187,6 +187,7 @@ def manifest(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "sour
     """
     changed = F.when(where, leaf([(altered or {}).get(f, F.col(f)) for f in fields])) if altered else F.lit(None).cast("string")
     leaves = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("tree"), leaf([F.col(f) for f in fields]).alias("node"), changed.alias("changed"))
+    leaves = written(leaves, "merkle-leaves")  # ranges are sampled first: texts are read once
     placed = written(running_number(leaves, [F.col("tree").asc_nulls_first(), F.col("id").asc_nulls_first(), F.col("node")], "n"), "merkle-leaves")
     spans = written(placed.groupBy("tree").agg(F.count("*").alias("size"), F.min("n").alias("first")), "merkle-spans")
     nodes = placed.join(spans.select(F.col("tree").alias("_of"), "first"), F.col("tree").eqNullSafe(F.col("_of"))).withColumn("at", F.col("n") - F.col("first"))
