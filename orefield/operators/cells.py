@@ -1,13 +1,12 @@
-"""Hierarchical equal-angle grid cells and polygon arithmetic.
+"""Hierarchical equal-angle grid cells.
 
 A cell id is res << 56 plus the interleaved column and row numbers, so a parent is a shift. Cells of resolution
-r are 180 / 2^r degrees wide and high; resolutions go up to 15. Polygons are vertex tables (key, seq, x, y), one
-ring a key and part.
+r are 180 / 2^r degrees wide and high; resolutions go up to 15.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import EARTH_RADIUS_KM
@@ -89,52 +88,6 @@ def sample_points(cells: DataFrame, cell_col: str, res: int, to: int) -> DataFra
     return out.withColumns({"sample_lat": lat, "sample_lon": lon})
 
 
-# --- polygons -------------------------------------------------------------------------
-
-
-def edges(vertices: DataFrame, key: str, *, seq: str = "seq", x: str = "x", y: str = "y") -> DataFrame:
-    """(key, seq, x1, y1, x2, y2): each vertex with the next, the last with the first."""
-    ring = Window.partitionBy(key).orderBy(seq)
-    whole = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = lambda c: F.coalesce(F.lead(c).over(ring), F.first(c).over(whole))
-    return vertices.select(key, F.col(seq).alias("seq"), F.col(x).cast("double").alias("x1"), F.col(y).cast("double").alias("y1"), after(x).cast("double").alias("x2"), after(y).cast("double").alias("y2"))
-
-
-def polygon_metrics(vertices: DataFrame, key: str) -> DataFrame:
-    """(key, n_vertices, area_ha, centroid_x, centroid_y, simple): area by the shoelace formula in a cylindrical equal-area plane.
-
-    simple: no two edges of the ring cross each other.
-    """
-    e = edges(vertices, key)
-    px = lambda x: F.radians(x) * EARTH_RADIUS_KM
-    py = lambda y: F.sin(F.radians(y)) * EARTH_RADIUS_KM
-    flat = (F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")).alias("c")
-    made = e.select(key, "x1", "y1", "x2", "y2", flat, (px(F.col("x1")) * py(F.col("y2")) - px(F.col("x2")) * py(F.col("y1"))).alias("a"))
-    sums = made.groupBy(key).agg(F.count("*").alias("n_vertices"), (F.abs(F.sum("a")) / 2 * 100).alias("area_ha"), (F.sum((F.col("x1") + F.col("x2")) * F.col("c")) / (3 * F.sum("c"))).alias("centroid_x"), (F.sum((F.col("y1") + F.col("y2")) * F.col("c")) / (3 * F.sum("c"))).alias("centroid_y"))
-    o = e.select(F.col(key).alias("o_key"), *[F.col(c).alias(f"o_{c}") for c in ("seq", "x1", "y1", "x2", "y2")])
-    side = lambda ax, ay, bx, by, cx, cy: F.signum((F.col(bx) - F.col(ax)) * (F.col(cy) - F.col(ay)) - (F.col(by) - F.col(ay)) * (F.col(cx) - F.col(ax)))
-    cross = (side("x1", "y1", "x2", "y2", "o_x1", "o_y1") * side("x1", "y1", "x2", "y2", "o_x2", "o_y2") < 0) & (side("o_x1", "o_y1", "o_x2", "o_y2", "x1", "y1") * side("o_x1", "o_y1", "o_x2", "o_y2", "x2", "y2") < 0)
-    bad = e.join(o, (F.col(key) == F.col("o_key")) & (F.col("seq") < F.col("o_seq")) & cross, "left_semi").select(key).distinct().withColumn("crossed", F.lit(True))
-    return sums.join(bad, key, "left").select(key, "n_vertices", "area_ha", "centroid_x", "centroid_y", F.coalesce(~F.col("crossed"), F.lit(True)).alias("simple"))
-
-
-def representative_point(vertices: DataFrame, key: str) -> DataFrame:
-    """(key, x, y): the middle of the widest inside span at the polygon's middle height."""
-    e = edges(vertices, key)
-    mid = e.groupBy(key).agg(((F.min("y1") + F.max("y1")) / 2).alias("mid"))
-    hits = e.join(mid, key).where((F.col("y1") > F.col("mid")) != (F.col("y2") > F.col("mid")))
-    at = hits.select(key, "mid", ((F.col("x2") - F.col("x1")) * (F.col("mid") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")).alias("cut"))
-    order = Window.partitionBy(key).orderBy("cut")
-    spans = at.select(key, "mid", "cut", F.lead("cut").over(order).alias("to"), F.row_number().over(order).alias("n")).where("n % 2 = 1 and `to` is not null")
-    best = spans.groupBy(key).agg(F.max_by(F.struct("cut", "to", "mid"), F.struct(F.col("to") - F.col("cut"), -F.col("cut"))).alias("b"))
-    return best.select(key, ((F.col("b.cut") + F.col("b.to")) / 2).alias("x"), F.col("b.mid").alias("y"))
-
-
-def dissolve(edge_table: DataFrame, key: str, members: DataFrame, group: str) -> DataFrame:
-    """Edges of all member polygons under their group's key: containment in a group is containment in any member."""
-    return edge_table.join(members, key)
-
-
 def utm_to_wgs84(zone: Column, east: Column, north: Column, south: Column | None = None) -> tuple[Column, Column]:
     """(lat, lon) by the inverse series on the WGS84 ellipsoid; NULL outside plausible eastings and northings."""
     a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996

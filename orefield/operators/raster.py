@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import haversine_km
-from .cells import edges
+from .polygons import edges, scan_spans, spans_of_pixels
 from .relational import ContractError
 from .spatial import containing
 
@@ -77,12 +77,16 @@ def terrain(points: DataFrame, pixels: DataFrame, grid: Grid, keys: Sequence[str
     return j.select(*keys, "elevation", F.degrees(F.atan(F.sqrt(dx * dx + dy * dy))).alias("slope_deg"), "relief")
 
 
+def rasterize(polygons: DataFrame, poly: str, grid: Grid) -> DataFrame:
+    """(poly, part, row, first, last): runs of pixels whose centres a polygon holds, by scan lines."""
+    return scan_spans(edges(polygons, poly), poly, west=grid.west, north=grid.north, size=grid.size)
+
+
 def zonal_sum(pixels: DataFrame, grid: Grid, polygons: DataFrame, poly: str) -> DataFrame:
     """(poly, total): rounded sum of valid pixels whose centre a zone holds (the smallest key, if several); 0 when none."""
-    lat, lon = pixel_centre(grid, F.col("row"), F.col("col"))
-    centres = pixels.select("row", "col", valid(grid, F.col("value")).alias("value"), lat.alias("lat"), lon.alias("lon"))
-    zone = containing(centres, edges(polygons, poly), ["row", "col"], poly).groupBy("row", "col").agg(F.min(poly).alias(poly))
-    sums = centres.join(zone, ["row", "col"]).groupBy(poly).agg(F.round(F.sum("value")).cast("long").alias("total"))
+    valued = pixels.select("row", "col", valid(grid, F.col("value")).alias("value"))
+    zone = spans_of_pixels(valued, rasterize(polygons, poly, grid), poly).groupBy("row", "col").agg(F.min(poly).alias(poly), F.first("value").alias("value"))
+    sums = zone.groupBy(poly).agg(F.round(F.sum("value")).cast("long").alias("total"))
     return polygons.select(poly).distinct().join(sums, poly, "left").select(poly, F.coalesce("total", F.lit(0)).alias("total"))
 
 
@@ -105,9 +109,8 @@ def rasterize_lookup(points: DataFrame, polygons: DataFrame, poly: str, areas: D
     """points with the polygon of their pixel's centre; the smallest polygon (drawn last) wins."""
     row, col = pixel_of(grid, F.col(lat), F.col(lon))
     placed = points.withColumns({"_row": row, "_col": col})
-    clat, clon = pixel_centre(grid, F.col("_row"), F.col("_col"))
-    drawn = placed.select("_row", "_col").distinct().withColumns({"lat": clat, "lon": clon})
-    found = containing(drawn, edges(polygons, poly), ["_row", "_col"], poly).join(areas, poly).groupBy("_row", "_col").agg(F.min_by(poly, F.struct("area_ha", poly)).alias(poly))
+    drawn = spans_of_pixels(placed.select("_row", "_col").distinct(), rasterize(polygons, poly, grid), poly, row="_row", col="_col")
+    found = drawn.join(areas, poly).groupBy("_row", "_col").agg(F.min_by(poly, F.struct("area_ha", poly)).alias(poly))
     return placed.join(found, ["_row", "_col"], "left").select(*points.columns, poly)
 
 

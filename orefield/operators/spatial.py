@@ -7,14 +7,15 @@ the antimeridian.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import EARTH_RADIUS_KM, haversine_km
-from .cells import edges
+from .cells import cell_of, degrees
+from .polygons import crosses, edges, in_a_unit, on_edge, polygon_metrics, repaired, scan_spans
 from .state import materialised
 
 KM_PER_DEGREE = EARTH_RADIUS_KM * 3.141592653589793 / 180
@@ -125,21 +126,18 @@ def purge(train: DataFrame, held_out: DataFrame, keys: Sequence[str], km: float,
 def containing(points: DataFrame, polygon_edges: DataFrame, keys: Sequence[str], poly: str, *, x: str = "lon", y: str = "lat", size: float = 4.0, boundary: str = "within") -> DataFrame:
     """(keys, poly): every polygon that contains each point, by even-odd crossings of a ray to the right, half open in y.
 
-    Each polygon's edges go to the buckets of its box, and of these only to the rows they span. boundary "covers" adds points
-    on an edge; "within" removes them.
+    An edge goes to the buckets of the rows it spans, from its polygon's left border to its own right end: points elsewhere cannot cross it. boundary
+    "covers" adds points on an edge; "within" removes them; "half_open" leaves them to the crossings.
     """
-    box = polygon_edges.groupBy(poly).agg(*[f(c).alias(f"_{n}") for n, f, c in (("x0", F.min, "x1"), ("x9", F.max, "x1"))])
+    box = polygon_edges.groupBy(poly).agg(F.min("x1").alias("_x0"))
     e = polygon_edges.join(box, poly)
     cut = lambda v: F.floor(v / size).cast("int")
-    e = e.withColumn("_r", F.explode(F.sequence(cut(F.least("y1", "y2")), cut(F.greatest("y1", "y2"))))).withColumn("_c", F.explode(F.sequence(cut(F.col("_x0")), cut(F.col("_x9")))))
+    e = e.withColumn("_r", F.explode(F.sequence(cut(F.least("y1", "y2")), cut(F.greatest("y1", "y2"))))).withColumn("_c", F.explode(F.sequence(cut(F.col("_x0")), cut(F.greatest("x1", "x2")))))
     p = points.select(*keys, F.col(x).alias("_px"), F.col(y).alias("_py"), cut(F.col(y)).alias("_pr"), cut(F.col(x)).alias("_pc"))
     j = p.join(e, (F.col("_pr") == F.col("_r")) & (F.col("_pc") == F.col("_c")))
-    px, py, x1, y1, x2, y2 = (F.col(c) for c in ("_px", "_py", "x1", "y1", "x2", "y2"))
-    crosses = ((y1 > py) != (y2 > py)) & (px < (x2 - x1) * (py - y1) / (y2 - y1) + x1)
-    on = ((x2 - x1) * (py - y1) == (y2 - y1) * (px - x1)) & px.between(F.least(x1, x2), F.greatest(x1, x2)) & py.between(F.least(y1, y2), F.greatest(y1, y2))
-    sums = j.groupBy(*keys, poly).agg(F.sum(crosses.cast("int")).alias("_n"), F.max(on).alias("_on"))
-    inside = F.col("_n") % 2 == 1
-    kept = inside | F.col("_on") if boundary == "covers" else inside & ~F.col("_on")
+    px, py = F.col("_px"), F.col("_py")
+    sums = j.groupBy(*keys, poly).agg(in_a_unit(crosses(px, py)).alias("_in"), F.max(on_edge(px, py)).alias("_on"))
+    kept = {"covers": F.col("_in") | F.col("_on"), "within": F.col("_in") & ~F.col("_on"), "half_open": F.col("_in")}[boundary]
     return sums.where(kept).select(*keys, poly)
 
 
@@ -159,13 +157,55 @@ def bbox_candidates(boxes: DataFrame, points: DataFrame, box_id: str, *, x: str
 
 
 def polyfill(vertices: DataFrame, poly: str, res: int) -> DataFrame:
-    """(poly, cell): cells whose centre lies inside the polygon."""
-    from .cells import cell_of, centre, degrees
-
+    """(poly, cell): cells whose centre lies inside the polygon, filled row by row between the crossings of its edges."""
     d = degrees(res)
-    box = vertices.groupBy(poly).agg(F.min("x").alias("x0"), F.max("x").alias("x9"), F.min("y").alias("y0"), F.max("y").alias("y9"))
-    steps = lambda a, b, origin: F.sequence(F.floor((F.col(a) + origin) / d), F.floor((F.col(b) + origin) / d))
-    grid = box.select(F.explode(steps("x0", "x9", 180)).alias("i"), "y0", "y9").select("i", F.explode(steps("y0", "y9", 90)).alias("j")).distinct()
-    cells = grid.select(cell_of((F.col("j") + 0.5) * d - 90, (F.col("i") + 0.5) * d - 180, res).alias("cell"))
-    lat, lon = centre(F.col("cell"), res)
-    return containing(cells.select("cell", lat.alias("lat"), lon.alias("lon")), edges(vertices, poly), ["cell"], poly).select(poly, "cell")
+    runs = scan_spans(edges(vertices, poly), poly, west=-180.0, north=90.0, size=d)
+    filled = runs.select(poly, "row", F.explode(F.sequence("first", "last")).alias("col"))
+    return filled.select(poly, cell_of(90 - (F.col("row") + 0.5) * d, (F.col("col") + 0.5) * d - 180, res).alias("cell")).distinct()
+
+
+# --- checks of located records -----------------------------------------------------------------
+
+
+def spatial_quality(blocks: DataFrame, regions: DataFrame, key: str, region: str, *, stated: str, lat: str, lon: str, aliases: Mapping[str, str] | None = None, notes: Mapping[str, str] | None = None) -> DataFrame:
+    """blocks with quality_flag, in_stated_region and note: whether the centroid lies in (or on the border of) the region that the record states.
+
+    regions is an edge table by region, for groups of polygons the one that dissolve() gives. aliases: stated names whose boundary goes by
+    another name; notes: remarks on accepted records of a stated name. Flags: unavailable (no centroid), boundary_lookup_unavailable (no such region),
+    accepted, source_location_mismatch. The record's own coordinates stay.
+    """
+    name = F.col(stated)
+    for a, b in (aliases or {}).items():
+        name = F.when(F.col(stated) == a, F.lit(b)).otherwise(name)
+    found = containing(blocks.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()), regions, [key], region, x=lon, y=lat, boundary="covers")
+    found = found.select(F.col(key).alias("_k"), F.col(region).alias("_r"), F.lit(True).alias("_in")).distinct()
+    known = regions.select(F.col(region).alias("_region")).distinct()
+    j = blocks.withColumn("_name", name).join(known, F.col("_name") == F.col("_region"), "left").join(found, (F.col(key) == F.col("_k")) & (F.col("_name") == F.col("_r")), "left")
+    flag = F.when(F.col(lat).isNull() | F.col(lon).isNull(), "unavailable").when(F.col("_region").isNull(), "boundary_lookup_unavailable").when(F.col("_in"), "accepted").otherwise("source_location_mismatch")
+    text = F.lit(None).cast("string")
+    for a, b in (notes or {}).items():
+        text = F.when(F.col(stated) == a, F.lit(b)).otherwise(text)
+    shown = F.col(stated).cast("string")
+    note = F.when(flag == "unavailable", "no geometry").when(flag == "boundary_lookup_unavailable", F.concat(F.lit("no boundary for "), F.coalesce(shown, F.lit("an unstated region")))).when(flag == "accepted", text).otherwise(F.concat(F.lit("centroid outside "), shown))
+    inside = F.when(flag == "accepted", True).when(flag == "source_location_mismatch", False)
+    return j.select(*blocks.columns, flag.alias("quality_flag"), inside.alias("in_stated_region"), note.alias("note"))
+
+
+def admit_geometry(vertices: DataFrame, stated: DataFrame, regions: DataFrame, key: str, region: str, *, areas: Sequence[str], least_vertices: int = 3, tolerance_pct: float = 5.0) -> DataFrame:
+    """(key, n_vertices, area_ha, reordered, reason) for each row of stated (key, region and the stated areas).
+
+    The reason is the first check that fails: no_geometry, too_few_vertices, invalid_ring (after repaired()), no_stated_region, outside_region (the
+    centroid), area_missing, area_differs (from any stated area by more than the tolerance); admitted if none does.
+    """
+    mended, status = repaired(vertices, key)
+    size = vertices.groupBy(key).agg(F.count("*").alias("_given"))
+    m = materialised(polygon_metrics(mended, key))
+    found = containing(m, regions, [key], region, x="centroid_x", y="centroid_y", boundary="covers").select(F.col(key).alias("_k"), F.col(region).alias("_r"), F.lit(True).alias("_in")).distinct()
+    j = stated.join(size, key, "left").join(status, key, "left").join(m, key, "left").join(found, (F.col(key) == F.col("_k")) & (F.col(region) == F.col("_r")), "left")
+    absent = reduce(lambda a, b: a | b, [F.col(a).isNull() | (F.col(a) <= 0) for a in areas])
+    apart = reduce(lambda a, b: a | b, [F.abs(F.col("area_ha") - F.col(a)) / F.col(a) * 100 > tolerance_pct for a in areas])
+    checks = ((F.col("_given").isNull(), "no_geometry"), (F.col("_given") < least_vertices, "too_few_vertices"), (~F.coalesce("valid", F.lit(False)), "invalid_ring"), (F.col(region).isNull(), "no_stated_region"), (F.col("_in").isNull(), "outside_region"), (absent, "area_missing"), (apart, "area_differs"))
+    reason = F.lit("admitted")
+    for bad, name in reversed(checks):
+        reason = F.when(bad, name).otherwise(reason)
+    return j.select(key, "n_vertices", "area_ha", F.coalesce("reordered", F.lit(False)).alias("reordered"), reason.alias("reason"))

@@ -8,13 +8,14 @@ from ..functions import columns as C
 from ..operators import cells as G
 from ..operators import documents as D
 from ..operators import governance as Q
+from ..operators import polygons as Y
 from ..operators import raster as A
 from ..operators import relational as R
 from ..operators import scoring as M
 from ..operators import spatial as P
 from .fixtures import GRID
 from .registry import haversine, inside, query
-from .table_queries import _AFFINITY, _WITHIN
+from .table_queries import _AFFINITY, _PART_HITS, _WITHIN
 
 r6 = lambda c: F.round(F.col(c) if isinstance(c, str) else c, 6)
 RES = 6
@@ -60,6 +61,11 @@ def _(x):
     return P.polyfill(x.vertices, "region_id", RES)
 
 
+@query("g4_polyfill_parts", f", g AS (SELECT (i.range + 5e-1) * {_D!r} - 180 AS lon, (j.range + 5e-1) * {_D!r} - 90 AS lat FROM range(0, 128) i, range(0, 64) j) SELECT DISTINCT district_id, {_cell_sql('lat', 'lon', RES)} AS cell FROM (SELECT district_id, c.lat, c.lon FROM g c CROSS JOIN dedges e GROUP BY district_id, part, c.lat, c.lon HAVING {inside('c.lon', 'c.lat')})")
+def _(x):
+    return P.polyfill(x.districts, "district_id", RES)
+
+
 @query("g5_cell_geometry", f", c AS (SELECT cell_id, {_CLAT} AS lat, {_CLON} AS lon FROM cells) SELECT cell_id, round(lat, 6) AS centre_lat, round(lon, 6) AS centre_lon, printf('POLYGON ((%.6f %.6f, %.6f %.6f, %.6f %.6f, %.6f %.6f, %.6f %.6f))', lon - {_D / 2!r}, lat - {_D / 2!r}, lon + {_D / 2!r}, lat - {_D / 2!r}, lon + {_D / 2!r}, lat + {_D / 2!r}, lon - {_D / 2!r}, lat + {_D / 2!r}, lon - {_D / 2!r}, lat - {_D / 2!r}) AS wkt, round(pow(63710088e-4, 2) * radians({_D!r}) * (sin(radians(lat + {_D / 2!r})) - sin(radians(lat - {_D / 2!r}))), 3) AS area_km2 FROM c")
 def _(x):
     cell = G.cell_of(F.col("lat"), F.col("lon"), RES)
@@ -83,32 +89,81 @@ def _quads(x):
 
 @query("g6_polygon_metrics", f", {_HEX}, {_HEX_EDGES} SELECT cell_id, count(*) AS n_vertices, round(abs(sum(radians(x1) * 63710088e-4 * sin(radians(y2)) * 63710088e-4 - radians(x2) * 63710088e-4 * sin(radians(y1)) * 63710088e-4)) / 2 * 100, 2) AS area_ha, round(sum((x1 + x2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)), 4) AS centroid_x, true AS simple FROM he GROUP BY 1")
 def _(x):
-    return G.polygon_metrics(_quads(x), "cell_id").select("cell_id", "n_vertices", F.round("area_ha", 2).alias("area_ha"), F.round("centroid_x", 4).alias("centroid_x"), "simple")
+    return Y.polygon_metrics(_quads(x), "cell_id").select("cell_id", "n_vertices", F.round("area_ha", 2).alias("area_ha"), F.round("centroid_x", 4).alias("centroid_x"), "simple")
+
+
+_GROUP_HITS = f", gh AS (SELECT DISTINCT c.cell_id, n_regionkey FROM (SELECT c.cell_id, e.region_id FROM cells c CROSS JOIN edges e GROUP BY c.cell_id, c.lat, c.lon, e.region_id HAVING {inside('c.lon', 'c.lat')}) c JOIN nation ON region_id = n_nationkey)"
+
+
+def _groups(x):
+    """Nations under the names of their regions."""
+    return x.nation.select(F.col("n_nationkey").alias("region_id"), F.concat(F.lit("g"), F.col("n_regionkey").cast("string")).alias("region_group"))
+
+
+@query("g7_spatial_quality", _GROUP_HITS + ", s AS (SELECT cell_id, CASE WHEN unit_id IS NULL THEN NULL ELSE lat END AS lat, 'g' || (cell_id % 7) AS stated, CASE WHEN cell_id % 7 = 6 THEN 0 ELSE cell_id % 7 END AS g FROM cells), f AS (SELECT s.*, gh.cell_id IS NOT NULL AS hit, CASE WHEN lat IS NULL THEN 'unavailable' WHEN g = 5 THEN 'boundary_lookup_unavailable' WHEN gh.cell_id IS NOT NULL THEN 'accepted' ELSE 'source_location_mismatch' END AS quality_flag FROM s LEFT JOIN gh ON gh.cell_id = s.cell_id AND n_regionkey = g) SELECT cell_id, quality_flag, CASE quality_flag WHEN 'accepted' THEN true WHEN 'source_location_mismatch' THEN false END AS in_stated_region, CASE quality_flag WHEN 'unavailable' THEN 'no geometry' WHEN 'boundary_lookup_unavailable' THEN 'no boundary for ' || stated WHEN 'accepted' THEN CASE WHEN stated = 'g6' THEN 'older boundary' END ELSE 'centroid outside ' || stated END AS note FROM f")
+def _(x):
+    regions = Y.dissolve(Y.edges(x.vertices, "region_id"), "region_id", _groups(x), "region_group")
+    cells = x.cells.withColumns({"lat": F.when(F.col("unit_id").isNotNull(), F.col("lat")), "stated": F.concat(F.lit("g"), (F.col("cell_id") % 7).cast("string"))})
+    out = P.spatial_quality(cells, regions, "cell_id", "region_group", stated="stated", lat="lat", lon="lon", aliases={"g6": "g0"}, notes={"g6": "older boundary"})
+    return out.select("cell_id", "quality_flag", "in_stated_region", "note")
+
+
+#: The blocks' repair: rings cross by all pairs of their few edges, and the hull's order is that of directions from the mean.
+_REPAIR = """, be AS (SELECT *, coalesce(lead(x) OVER w, first(x) OVER w) AS x2, coalesce(lead(y) OVER w, first(y) OVER w) AS y2 FROM blocks WINDOW w AS (PARTITION BY cell_id, part ORDER BY seq)),
+cr AS (SELECT DISTINCT a.cell_id, a.part FROM be a JOIN be b ON a.cell_id = b.cell_id AND a.part = b.part AND a.seq < b.seq
+  AND sign((a.x2 - a.x) * (b.y - a.y) - (a.y2 - a.y) * (b.x - a.x)) * sign((a.x2 - a.x) * (b.y2 - a.y) - (a.y2 - a.y) * (b.x2 - a.x)) < 0
+  AND sign((b.x2 - b.x) * (a.y - b.y) - (b.y2 - b.y) * (a.x - b.x)) * sign((b.x2 - b.x) * (a.y2 - b.y) - (b.y2 - b.y) * (a.x2 - b.x)) < 0),
+bad AS (SELECT cell_id, part, cr.cell_id IS NOT NULL OR sum(x * y2 - x2 * y) = 0 AS bad FROM be LEFT JOIN cr USING (cell_id, part) GROUP BY cell_id, part, cr.cell_id),
+tu AS (SELECT *, atan2(y - avg(y) OVER (PARTITION BY cell_id, part), x - avg(x) OVER (PARTITION BY cell_id, part)) AS t FROM (SELECT DISTINCT cell_id, part, x, y FROM blocks)),
+hu AS (SELECT *, row_number() OVER w - 1 AS seq, coalesce(lead(x) OVER w, first(x) OVER w) AS nx, coalesce(lead(y) OVER w, first(y) OVER w) AS ny, coalesce(lag(x) OVER w, last(x) OVER v) AS px, coalesce(lag(y) OVER w, last(y) OVER v) AS py FROM tu WINDOW w AS (PARTITION BY cell_id, part ORDER BY t), v AS (PARTITION BY cell_id, part ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+cv AS (SELECT cell_id, part FROM hu GROUP BY 1, 2 HAVING min((x - px) * (ny - y) - (y - py) * (nx - x)) > 0 AND count(*) > 2),
+st AS (SELECT cell_id, bool_and(NOT bad OR cv.cell_id IS NOT NULL) AS valid, bool_or(bad AND cv.cell_id IS NOT NULL) AS reordered FROM bad LEFT JOIN cv USING (cell_id, part) GROUP BY 1),
+mv AS (SELECT cell_id, part, seq, x, y FROM blocks JOIN bad USING (cell_id, part) WHERE NOT bad UNION ALL SELECT cell_id, part, seq, x, y FROM hu JOIN bad USING (cell_id, part) JOIN cv USING (cell_id, part) WHERE bad),
+me AS (SELECT *, coalesce(lead(x) OVER w, first(x) OVER w) AS x2, coalesce(lead(y) OVER w, first(y) OVER w) AS y2 FROM mv JOIN st USING (cell_id) WHERE valid WINDOW w AS (PARTITION BY cell_id, part ORDER BY seq)),
+mr AS (SELECT cell_id, part, count(*) AS n, abs(sum(radians(x) * 63710088e-4 * sin(radians(y2)) * 63710088e-4 - radians(x2) * 63710088e-4 * sin(radians(y)) * 63710088e-4)) AS a, sum(x * y2 - x2 * y) AS c, sum((x + x2) * (x * y2 - x2 * y)) AS sx, sum((y + y2) * (x * y2 - x2 * y)) AS sy FROM me GROUP BY 1, 2),
+mm AS (SELECT cell_id, count(*) AS n_parts, sum(n) AS n_vertices, sum(a) / 2 * 100 AS area_ha, sum(sx * sign(c)) / (3 * sum(abs(c))) AS cx, sum(sy * sign(c)) / (3 * sum(abs(c))) AS cy FROM mr GROUP BY 1)"""
+
+
+@query("g6_ring_repair", _REPAIR + " SELECT cell_id, valid, reordered, n_parts, CAST(n_vertices AS BIGINT) AS n_vertices, round(area_ha, 1) AS area_ha, round(cx, 3) AS centroid_x, round(cy, 3) AS centroid_y FROM st LEFT JOIN mm USING (cell_id)")
+def _(x):
+    mended, status = Y.repaired(x.blocks, "cell_id")
+    m = Y.polygon_metrics(mended, "cell_id")
+    return status.join(m, "cell_id", "left").select("cell_id", "valid", "reordered", "n_parts", "n_vertices", F.round("area_ha", 1).alias("area_ha"), F.round("centroid_x", 3).alias("centroid_x"), F.round("centroid_y", 3).alias("centroid_y"))
 
 
-@query("g7_spatial_quality", _WITHIN + ", m AS (SELECT cell_id, min(region_id) AS found, bool_or(region_id = cell_id % 25) AS same FROM hit GROUP BY 1) SELECT cell_id, CASE WHEN unit_id IS NULL THEN 'no_geometry' WHEN found IS NULL THEN 'lookup_unavailable' WHEN same THEN 'accepted' ELSE 'mismatch' END AS spatial_status FROM cells LEFT JOIN m USING (cell_id)")
+@query("g6_crossing_rings", _REPAIR + " SELECT cell_id, part, cr.cell_id IS NOT NULL AS crosses FROM (SELECT DISTINCT cell_id, part FROM blocks) LEFT JOIN cr USING (cell_id, part)")
 def _(x):
-    found = P.containing(x.cells, G.edges(x.vertices, "region_id"), ["cell_id"], "region_id")
-    m = found.groupBy("cell_id").agg(F.min("region_id").alias("found"), F.max(F.col("region_id") == F.col("cell_id") % 25).alias("same"))
-    status = F.when(F.col("unit_id").isNull(), "no_geometry").when(F.col("found").isNull(), "lookup_unavailable").when(F.col("same"), "accepted").otherwise("mismatch")
-    return x.cells.join(m, "cell_id", "left").select("cell_id", status.alias("spatial_status"))
+    crossed = Y.crossing_parts(Y.edges(x.blocks, "cell_id"), "cell_id").withColumn("crosses", F.lit(True))
+    return x.blocks.select("cell_id", "part").distinct().join(crossed, ["cell_id", "part"], "left").fillna(False, ["crosses"])
 
 
-@query("g8_admit_geometry", f", {_HEX}, {_HEX_EDGES}, a AS (SELECT cell_id, abs(sum(radians(x1) * 63710088e-4 * sin(radians(y2)) * 63710088e-4 - radians(x2) * 63710088e-4 * sin(radians(y1)) * 63710088e-4)) / 2 * 100 AS area FROM he GROUP BY 1), hit2 AS (SELECT c.cell_id FROM cells c CROSS JOIN edges e GROUP BY c.cell_id, c.lat, c.lon, e.region_id HAVING {inside('c.lon', 'c.lat')}), s AS (SELECT cell_id, area, area * (1 + (cell_id % 3) / 4e1) AS stated, cell_id IN (SELECT cell_id FROM hit2) AS inside FROM a JOIN cells USING (cell_id)) SELECT cell_id, CASE WHEN NOT inside THEN 'outside_region' WHEN abs(area - stated) / stated * 100 > 2 THEN 'area_differs' ELSE 'admitted' END AS reason FROM s WHERE area > 0")
+@query("g6_part_metrics", ", r AS (SELECT district_id, part, ring, count(*) AS n, abs(sum(radians(x1) * 63710088e-4 * sin(radians(y2)) * 63710088e-4 - radians(x2) * 63710088e-4 * sin(radians(y1)) * 63710088e-4)) * CASE WHEN ring = 0 THEN 1 ELSE -1 END AS a, abs(sum(x1 * y2 - x2 * y1)) * CASE WHEN ring = 0 THEN 1 ELSE -1 END AS c, sum((x1 + x2) * (x1 * y2 - x2 * y1)) * sign(sum(x1 * y2 - x2 * y1)) * CASE WHEN ring = 0 THEN 1 ELSE -1 END AS sx FROM dedges GROUP BY 1, 2, 3) SELECT district_id, count(DISTINCT part) AS n_parts, CAST(sum(n) AS BIGINT) AS n_vertices, round(sum(a) / 2 * 100, 1) AS area_ha, round(sum(sx) / (3 * sum(c)), 5) AS centroid_x, true AS simple FROM r GROUP BY 1")
 def _(x):
-    m = G.polygon_metrics(_quads(x), "cell_id")
-    found = P.containing(x.cells, G.edges(x.vertices, "region_id"), ["cell_id"], "region_id", boundary="covers").select("cell_id").distinct().withColumn("_in", F.lit(True))
-    j = m.join(found, "cell_id", "left").withColumn("stated", F.col("area_ha") * (1 + F.col("cell_id") % 3 / 4e1))
-    reason = F.when(~F.col("simple"), "invalid_ring").when(F.col("_in").isNull(), "outside_region").when(C.pct_difference(F.col("area_ha"), F.col("stated")) > 2, "area_differs").otherwise("admitted")
-    return j.where("area_ha > 0").select("cell_id", reason.alias("reason"))
+    return Y.polygon_metrics(x.districts, "district_id").select("district_id", "n_parts", "n_vertices", F.round("area_ha", 1).alias("area_ha"), F.round("centroid_x", 5).alias("centroid_x"), "simple")
 
 
-@query("g9_dissolve", _WITHIN + " SELECT cell_id, min(n_regionkey) AS region_group FROM hit JOIN nation ON region_id = n_nationkey GROUP BY 1")
+@query("g8_admit_geometry", _REPAIR + f", gc AS (SELECT DISTINCT cell_id, n_regionkey FROM (SELECT c.cell_id, e.region_id FROM mm c CROSS JOIN edges e GROUP BY c.cell_id, c.cx, c.cy, e.region_id HAVING {inside('c.cx', 'c.cy')}) JOIN nation ON region_id = n_nationkey), sa AS (SELECT cell_id, CASE WHEN unit_id IS NULL THEN NULL ELSE cell_id % 3 END AS g, CASE WHEN cell_id % 11 = 0 THEN 0 ELSE round(coalesce(area_ha, 12e3), 3) * (1 + (cell_id % 4) / 4e1) END AS report_ha, round(coalesce(area_ha, 12e3), 3) * (1 - (cell_id % 9) / 1e2) AS notice_ha FROM cells LEFT JOIN mm USING (cell_id)), n AS (SELECT cell_id, count(*) AS given FROM blocks GROUP BY 1) SELECT cell_id, CAST(n_vertices AS BIGINT) AS n_vertices, round(area_ha, 1) AS area_ha, reordered, CASE WHEN given < 3 THEN 'too_few_vertices' WHEN NOT valid THEN 'invalid_ring' WHEN g IS NULL THEN 'no_stated_region' WHEN NOT EXISTS (SELECT 1 FROM gc WHERE gc.cell_id = sa.cell_id AND n_regionkey = g) THEN 'outside_region' WHEN report_ha <= 0 THEN 'area_missing' WHEN abs(area_ha - report_ha) / report_ha * 100 > 5 OR abs(area_ha - notice_ha) / notice_ha * 100 > 5 THEN 'area_differs' ELSE 'admitted' END AS reason FROM sa JOIN st USING (cell_id) JOIN n USING (cell_id) LEFT JOIN mm USING (cell_id)")
 def _(x):
-    members = x.nation.select(F.col("n_nationkey").alias("region_id"), F.col("n_regionkey").alias("region_group"))
-    e = G.dissolve(G.edges(x.vertices, "region_id"), "region_id", members, "region_group")
-    found = P.containing(x.cells, e, ["cell_id"], "region_id").join(members, "region_id")
-    return found.groupBy("cell_id").agg(F.min("region_group").alias("region_group"))
+    regions = Y.dissolve(Y.edges(x.vertices, "region_id"), "region_id", _groups(x), "region_group")
+    mended, _ = Y.repaired(x.blocks, "cell_id")
+    base = F.round(F.coalesce("area_ha", F.lit(12e3)), 3)
+    stated = x.cells.join(Y.polygon_metrics(mended, "cell_id"), "cell_id", "left").select("cell_id", F.when(F.col("unit_id").isNotNull(), F.concat(F.lit("g"), (F.col("cell_id") % 3).cast("string"))).alias("region_group"), F.when(F.col("cell_id") % 11 == 0, 0.0).otherwise(base * (1 + F.col("cell_id") % 4 / 4e1)).alias("report_ha"), (base * (1 - F.col("cell_id") % 9 / 1e2)).alias("notice_ha"))
+    return P.admit_geometry(x.blocks, stated, regions, "cell_id", "region_group", areas=["report_ha", "notice_ha"]).withColumn("area_ha", F.round("area_ha", 1))
+
+
+@query("g9_dissolve", _GROUP_HITS + " SELECT cell_id, 'g' || n_regionkey AS region_group FROM gh")
+def _(x):
+    """Containment in the union of a group's polygons is containment in any of them; the SQL knows the members only."""
+    union = Y.dissolve(Y.edges(x.vertices, "region_id"), "region_id", _groups(x), "region_group")
+    return P.containing(x.cells, union, ["cell_id"], "region_group", boundary="half_open")
+
+
+@query("g9_dissolve_parts", f", h AS (SELECT c.cell_id, e.district_id FROM cells c CROSS JOIN dedges e GROUP BY c.cell_id, c.lat, c.lon, e.district_id, e.part HAVING {inside('c.lon', 'c.lat')}) SELECT DISTINCT cell_id, n_regionkey AS region_group FROM h JOIN nation ON district_id = n_nationkey")
+def _(x):
+    """The same for districts with holes and second parts, all of a region's districts overlapping one another."""
+    members = x.nation.select(F.col("n_nationkey").alias("district_id"), F.col("n_regionkey").alias("region_group"))
+    union = Y.dissolve(Y.edges(x.districts, "district_id"), "district_id", members, "region_group")
+    return P.containing(x.cells, union, ["cell_id"], "region_group", boundary="half_open")
 
 
 @query("g10_utm_to_wgs84")
@@ -127,7 +182,7 @@ def _(x):
 
 @query("g12_representative_point", ", m AS (SELECT region_id, (min(y1) + max(y1)) / 2 AS mid FROM edges GROUP BY 1), k AS (SELECT region_id, mid, (x2 - x1) * (mid - y1) / (y2 - y1) + x1 AS cut FROM edges JOIN m USING (region_id) WHERE (y1 > mid) <> (y2 > mid)) SELECT region_id, round((min(cut) + max(cut)) / 2, 6) AS x, round(any_value(mid), 6) AS y FROM k GROUP BY 1")
 def _(x):
-    return G.representative_point(x.vertices, "region_id").select("region_id", r6("x").alias("x"), r6("y").alias("y"))
+    return Y.representative_point(x.vertices, "region_id").select("region_id", r6("x").alias("x"), r6("y").alias("y"))
 
 
 # --- rasters ---------------------------------------------------------------------------------
@@ -169,6 +224,19 @@ def _(x):
     return A.rasterize_lookup(x.cells, x.vertices, "region_id", areas, GRID, ["cell_id"]).select("cell_id", "region_id")
 
 
+@query("r6_rasterize_parts", f", pt AS (SELECT cell_id, CAST(floor((38 - lat) / 25e-2) AS BIGINT) AS pr, CAST(floor((lon - 68) / 25e-2) AS BIGINT) AS pc FROM cells), c AS (SELECT DISTINCT pr, pc, 38 - (pr + 5e-1) * 25e-2 AS lat, 68 + (pc + 5e-1) * 25e-2 AS lon FROM pt), h AS (SELECT pr, pc, district_id FROM c CROSS JOIN dedges e GROUP BY pr, pc, c.lat, c.lon, district_id, part HAVING {inside('c.lon', 'c.lat')}), b AS (SELECT pr, pc, arg_min(district_id, (district_id * 7 % 25) * 100 + district_id) AS r FROM h GROUP BY 1, 2) SELECT cell_id, r AS district_id FROM pt LEFT JOIN b USING (pr, pc)")
+def _(x):
+    areas = x.nation.select(F.col("n_nationkey").alias("district_id"), (F.col("n_nationkey") * 7 % 25).cast("double").alias("area_ha"))
+    return A.rasterize_lookup(x.cells, x.districts, "district_id", areas, GRID, ["cell_id"]).select("cell_id", "district_id")
+
+
+@query("r6_rasterize", f", c AS (SELECT r.range AS row, c.range AS col, 38 - (r.range + 5e-1) * 25e-2 AS lat, 68 + (c.range + 5e-1) * 25e-2 AS lon FROM range(-8, 160) r, range(-8, 160) c) SELECT district_id, row, count(DISTINCT col) AS n_pixels FROM (SELECT district_id, row, col FROM c CROSS JOIN dedges e GROUP BY district_id, part, row, col, c.lat, c.lon HAVING {inside('c.lon', 'c.lat')}) GROUP BY 1, 2")
+def _(x):
+    runs = A.rasterize(x.districts, "district_id", GRID)
+    pixels = runs.select("district_id", "row", F.explode(F.sequence("first", "last")).alias("col"))
+    return pixels.groupBy("district_id", "row").agg(F.count_distinct("col").alias("n_pixels"))
+
+
 @query("r7_source_code_label", "SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN 'Missing source code' ELSE coalesce(n_name, 'Unknown source code') END AS label, coalesce(CASE WHEN p_size % 10 > 0 THEN p_size END IN (20, 21), false) AS is_native, CASE WHEN p_size % 10 = 0 THEN true ELSE p_size IN (30, 31) END AS is_ambiguous FROM part LEFT JOIN nation ON n_nationkey = p_size")
 def _(x):
     parts = x.part.select("p_partkey", F.when(F.col("p_size") % 10 > 0, F.col("p_size")).cast("long").alias("code"))
@@ -181,6 +249,11 @@ def _(x):
     return A.scene_coverage(x.vertices, "region_id", x.cells, "cell_id")
 
 
+@query("r8_coverage_parts", _PART_HITS + " SELECT district_id, count(cell_id) AS n_points FROM (SELECT DISTINCT district_id FROM districts) LEFT JOIN ph USING (district_id) GROUP BY 1")
+def _(x):
+    return A.scene_coverage(x.districts, "district_id", x.cells, "cell_id")
+
+
 @query("r9_radiometric_scale", "SELECT l_orderkey, l_linenumber, round(CASE WHEN l_partkey % 7 > 0 THEN (l_partkey - 1000 + s_nationkey) / 1e4 END, 6) AS reflectance FROM lineitem JOIN supplier ON l_suppkey = s_suppkey")
 def _(x):
     obs = x.lineitem.select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("scene"), F.when(F.col("l_partkey") % 7 > 0, F.col("l_partkey")).otherwise(0).alias("dn"))

@@ -112,6 +112,15 @@ def _(x):
     return P.point_in_polygon_join(x.cells, x.vertices, ["cell_id"], "region_id").select("cell_id", "region_id")
 
 
+_PART_HITS = f", ph AS (SELECT cell_id, district_id FROM (SELECT c.cell_id, e.district_id, {inside('c.lon', 'c.lat')} AS inside, {_ON_EDGE} AS at_edge FROM cells c CROSS JOIN dedges e GROUP BY c.cell_id, c.lat, c.lon, e.district_id, e.part) GROUP BY 1, 2 HAVING bool_or(inside) AND NOT bool_or(at_edge))"
+
+
+@query("j2_join_of_parts", _PART_HITS + " SELECT c.cell_id, min(district_id) AS district_id FROM cells c LEFT JOIN ph USING (cell_id) GROUP BY 1")
+def _(x):
+    """Districts of two parts with holes, as scan_features() reads them."""
+    return P.point_in_polygon_join(x.cells, x.districts, ["cell_id"], "district_id").select("cell_id", "district_id")
+
+
 @query("j3_nearest", f", d AS (SELECT c.cell_id, s.material_id, s.site_id, {_KM} AS km FROM cells c CROSS JOIN sites s) SELECT cell_id, material_id, arg_min(site_id, km) AS nearest_id, round(min(km), 6) AS nearest_km FROM d GROUP BY 1, 2")
 def _(x):
     left = x.cells.join(x.materials)
@@ -321,6 +330,14 @@ def _(x):
     return A.zonal_sum(x.raster, GRID, x.vertices, "region_id")
 
 
+@query("a15_zonal_parts", f", p AS (SELECT row, col, CASE WHEN value <> -999 THEN value END AS value, 38 - (row + 5e-1) * 25e-2 AS lat, 68 + (col + 5e-1) * 25e-2 AS lon FROM raster), h AS (SELECT c.row, c.col, e.district_id FROM p c CROSS JOIN dedges e GROUP BY c.row, c.col, c.lat, c.lon, e.district_id, e.part HAVING {inside('c.lon', 'c.lat')}), z AS (SELECT row, col, min(district_id) AS district_id FROM h GROUP BY 1, 2), s AS (SELECT district_id, CAST(round(sum(value)) AS BIGINT) AS total FROM z JOIN p USING (row, col) GROUP BY 1) SELECT district_id, coalesce(total, 0) AS total FROM (SELECT DISTINCT district_id FROM districts) LEFT JOIN s USING (district_id)")
+def _(x):
+    from ..operators import raster as A
+    from .fixtures import GRID
+
+    return A.zonal_sum(x.raster, GRID, x.districts, "district_id")
+
+
 @query("a16_term_frequency", ", t AS (SELECT DISTINCT p_partkey, lower(trim(unnest(string_split(p_name || ' ' || p_type, ' ')))) AS term FROM part) SELECT term, count(*) AS n_rows FROM t WHERE term <> '' GROUP BY 1")
 def _(x):
     return R.term_frequency(x.part, ["p_partkey"], ["p_name", "p_type"], " ")
