@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import average_rank, quantiles
 from .state import materialised
 
 
@@ -192,11 +193,10 @@ def multi_season_pool(seasons: Mapping[str, DataFrame], keys: Sequence[str], cla
 
 
 def robust_z(df: DataFrame, value: str, name: str = "robust_z") -> DataFrame:
-    """(x - median) / (1.4826 MAD) over the table; NULL if the scale is 0."""
-    middle = df.agg(F.percentile(value, F.lit(0.5)).alias("_med"))
-    with_middle = df.crossJoin(F.broadcast(middle))  # one row
-    mad = with_middle.agg(F.percentile(F.abs(F.col(value) - F.col("_med")), F.lit(0.5)).alias("_mad"))
-    out = with_middle.crossJoin(F.broadcast(mad))  # one row
+    """(x - median) / (1.4826 MAD) over the table; NULL if the scale is 0. Both medians are picked by rank from counted values."""
+    with_middle = df.crossJoin(F.broadcast(quantiles(df, [], value, [0.5], ["_med"])))  # one row
+    spread = with_middle.withColumn("_far", F.abs(F.col(value) - F.col("_med")))
+    out = with_middle.crossJoin(F.broadcast(quantiles(spread, [], "_far", [0.5], ["_mad"])))  # one row
     return out.withColumn(name, F.when(F.col("_mad") > 0, (F.col(value) - F.col("_med")) / (1.4826 * F.col("_mad")))).drop("_med", "_mad")
 
 
@@ -226,8 +226,9 @@ def site_summary(df: DataFrame, site: str, value: str) -> DataFrame:
 
 def display_range(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, p02, p98, abs_p98)."""
-    one = df.agg(*[F.array(F.percentile(c, F.lit(0.02)), F.percentile(c, F.lit(0.98)), F.percentile(F.abs(F.col(c)), F.lit(0.98))).alias(c) for c in columns])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c)[0].alias("p02"), F.col(c)[1].alias("p98"), F.col(c)[2].alias("abs_p98")) for c in columns])).alias("r")).select("r.*")
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("r")).select("r.*")
+    plain = quantiles(long, ["column"], "v", [0.02, 0.98], ["p02", "p98"])
+    return plain.join(quantiles(long.withColumn("v", F.abs("v")), ["column"], "v", [0.98], ["abs_p98"]), "column")
 
 
 # --- ranking -------------------------------------------------------------------------------
@@ -235,11 +236,7 @@ def display_range(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def pct_rank_avg(df: DataFrame, part: Sequence[str], by: str, eligible: Column | None = None, name: str = "percentile") -> DataFrame:
     """Average rank over count among eligible rows with a value; NULL for others. Ties share the mean rank."""
-    ok = F.col(by).isNotNull() if eligible is None else F.coalesce(eligible, F.lit(False)) & F.col(by).isNotNull()
-    ranked = df.withColumn("_ok", ok)
-    w = Window.partitionBy(*part, "_ok")
-    place = F.rank().over(w.orderBy(by)) + (F.count("*").over(Window.partitionBy(*part, "_ok", by)) - 1) / 2.0
-    return ranked.withColumn(name, F.when(F.col("_ok"), place / F.count("*").over(w))).drop("_ok")
+    return average_rank(df, part, by, eligible, name)
 
 
 def top_k_per_row(scores: DataFrame, key: str, order: Sequence[Column], fields: Sequence[str], k: int = 5) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import EARTH_RADIUS_KM, haversine_km
@@ -79,31 +79,51 @@ def block_sizes(ref: DataFrame, lat: str, lon: str, by: Sequence[str]) -> tuple[
     return tuple(first * 4**k for k in range(8) if first * 4**k < 90) + (180.0,)
 
 
-def nearest(left: DataFrame, ref: DataFrame, keys: Sequence[str], *, ref_id: str, by: Sequence[str] = (), lat: str = "lat", lon: str = "lon", ref_lat: str = "lat", ref_lon: str = "lon", keep: Sequence[str] = (), where: Column | None = None, levels: Sequence[float] = ()) -> DataFrame:
-    """left with nearest_id, nearest_km and the kept attributes of the nearest reference point (smallest id on ties; NULL without any).
+def nearest_k(left: DataFrame, ref: DataFrame, keys: Sequence[str], k: int, *, ref_id: str, by: Sequence[str] = (), lat: str = "lat", lon: str = "lon", ref_lat: str = "lat", ref_lon: str = "lon", keep: Sequence[str] = (), where: Column | None = None, levels: Sequence[float] = (), name: str = "neighbours") -> DataFrame:
+    """left with an array of structs (km, id and the kept attributes) of its k nearest reference points, in order of distance and id; fewer where there are fewer.
 
-    Blocks grow only for rows whose best distance exceeds what their block guarantees. The first block size follows the
-    reference's density and grows fourfold until no row is open; the last level spans the globe. keys name a left row; by columns must be equal; where may use the columns of both sides (kept ones as _keep_<name>).
+    Blocks grow only for rows whose k-th distance exceeds what their block guarantees. The first block size follows the
+    reference's density and grows fourfold until no row is open; the last level spans the globe. Rows whose by group has no reference at all, or
+    no more than k, are known beforehand to end with what there is: the first get an empty array at once. keys name a left row; by
+    columns must be equal; where may use the columns of both sides (kept ones as _keep_<name>). Only the k best of a row leave a task.
     """
     levels = levels or block_sizes(ref, ref_lat, ref_lon, by)
-    open_rows, settled = left, []
+    entry = F.struct(F.col("_km").alias("km"), F.col("_rid").alias("id"), *[F.col(f"_keep_{c}").alias(c) for c in keep])
+    settled = []
+    open_rows = left
+    if by:  # groups are few beside rows
+        groups = ref.where(F.col(ref_lat).isNotNull() & F.col(ref_lon).isNotNull()).select(*by).distinct()
+        open_rows, absent = left.join(groups, list(by), "left_semi").select(*left.columns), left.join(groups, list(by), "left_anti").select(*left.columns)
+    order = Window.partitionBy(*keys).orderBy("_km", "_rid")
+    kind = None
     for n, size in enumerate(levels):
         found = pairs_near(open_rows, ref, size, lat=lat, lon=lon, ref_lat=ref_lat, ref_lon=ref_lon, ref_id=ref_id, by=by, keep=keep)
         found = found.where(where) if where is not None else found
-        best = found.groupBy(*keys).agg(F.min_by(F.struct(F.col("_rid").alias("nearest_id"), F.col("_km").alias("nearest_km"), *[F.col(f"_keep_{k}").alias(f"nearest_{k}") for k in keep]), F.struct("_km", "_rid")).alias("_best"))
+        few = found.select(*keys, "_km", "_rid", *[f"_keep_{c}" for c in keep]).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
+        best = few.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias(name))
         joined = open_rows.join(best, list(keys), "left")
+        kind = joined.schema[name].dataType
         last = n == len(levels) - 1
         joined = joined if last else materialised(joined)  # read twice: settled rows and open ones
-        sure = F.coalesce(F.col("_best.nearest_km") <= _sure_km(F.col(lat), size), F.lit(False))
+        sure = F.coalesce((F.size(name) == k) & (F.element_at(name, -1)["km"] <= _sure_km(F.col(lat), size)), F.lit(False))
         done = joined if last else joined.where(sure)
-        settled.append(done.select(*left.columns, "_best.*"))
+        settled.append(done.select(*left.columns, F.coalesce(name, F.array().cast(kind)).alias(name)))
         if not last:
             open_rows = joined.where(~sure).select(*left.columns)
             if open_rows.isEmpty():
                 break
+    if by:
+        settled.append(absent.withColumn(name, F.array().cast(kind)))
     return reduce(DataFrame.unionByName, settled)
 
 
+def nearest(left: DataFrame, ref: DataFrame, keys: Sequence[str], *, keep: Sequence[str] = (), **options) -> DataFrame:
+    """left with nearest_id, nearest_km and the kept attributes of the nearest reference point (smallest id on ties; NULL without any). See nearest_k()."""
+    found = nearest_k(left, ref, keys, 1, keep=keep, name="_best", **options)
+    best = F.get("_best", F.lit(0))
+    return found.select(*left.columns, best["id"].alias("nearest_id"), best["km"].alias("nearest_km"), *[best[c].alias(f"nearest_{c}") for c in keep])
+
+
 def count_within(left: DataFrame, ref: DataFrame, keys: Sequence[str], km: float, *, ref_id: str, by: Sequence[str] = (), exclude_same: tuple[str, str] | None = None, name: str = "n_within", **names: str) -> DataFrame:
     """left with the number of reference points within km (0 when none). exclude_same: a left column that must differ from the reference id."""
     near = pairs_near(left, ref, km / KM_PER_DEGREE * 1.000001, ref_id=ref_id, by=by, **names).where(F.col("_km") <= km)
@@ -112,9 +132,11 @@ def count_within(left: DataFrame, ref: DataFrame, keys: Sequence[str], km: float
     return left.join(near.groupBy(*keys).agg(F.count("*").alias(name)), list(keys), "left").fillna(0, [name])
 
 
-def nearest_other(rows: DataFrame, ref: DataFrame, keys: Sequence[str], *, self_id: str, ref_id: str, by: Sequence[str] = (), **names) -> DataFrame:
-    """nearest() that never takes the row itself: its leave-one-out distance."""
-    return nearest(rows, ref, keys, ref_id=ref_id, by=by, where=~F.col(self_id).eqNullSafe(F.col("_rid")), **names)
+def nearest_other(rows: DataFrame, ref: DataFrame, keys: Sequence[str], *, self_id: str, ref_id: str, **options) -> DataFrame:
+    """nearest() that never takes the row itself: the first of the two nearest references that has another id."""
+    found = nearest_k(rows, ref, keys, 2, ref_id=ref_id, name="_two", **options)
+    other = F.get(F.filter("_two", lambda n: ~n["id"].eqNullSafe(F.col(self_id))), F.lit(0))
+    return found.select(*rows.columns, other["id"].alias("nearest_id"), other["km"].alias("nearest_km"))
 
 
 def purge(train: DataFrame, held_out: DataFrame, keys: Sequence[str], km: float, *, held_id: str, by: Sequence[str] = (), **names: str) -> DataFrame:

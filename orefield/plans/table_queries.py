@@ -129,12 +129,27 @@ def _(x):
 
 @query("j4_nearest_where", f", d AS (SELECT c.cell_id, s.site_id, s.status, c.unit_id = s.unit_id AS same, {_KM} AS km FROM cells c CROSS JOIN sites s WHERE s.status LIKE '%U%' AND s.site_id % 2 = c.cell_id % 2) SELECT cell_id, arg_min(site_id, km) AS nearest_id, round(min(km), 6) AS nearest_km, min(km) <= 25 AS within_25_km, coalesce(arg_min(coalesce(same, false), km), false) AS same_unit FROM d GROUP BY 1")
 def _(x):
-    ref = x.sites.withColumnRenamed("unit_id", "site_unit")
-    match = F.col("_keep_status").contains("U") & (F.col("_rid") % 2 == F.col("cell_id") % 2)
-    out = P.nearest(x.cells, ref, ["cell_id"], ref_id="site_id", keep=["status", "site_unit"], where=match)
+    """The reference's own condition goes to the reference and the equality to the buckets, so that no row looks for what is not there."""
+    ref = x.sites.where("status like '%U%'").withColumnRenamed("unit_id", "site_unit").withColumn("side", F.col("site_id") % 2)
+    out = P.nearest(x.cells.withColumn("side", F.col("cell_id") % 2), ref, ["cell_id"], ref_id="site_id", by=["side"], keep=["site_unit"])
     return out.select("cell_id", "nearest_id", r6(F.col("nearest_km")).alias("nearest_km"), (F.col("nearest_km") <= 25).alias("within_25_km"), F.coalesce(F.col("nearest_site_unit") == F.col("unit_id"), F.lit(False)).alias("same_unit"))
 
 
+@query("j3_nearest_k", f", d AS (SELECT c.cell_id, s.site_id, {_KM} AS km FROM cells c CROSS JOIN sites s), r AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY km, site_id) AS rank FROM d) SELECT cell_id, CAST(rank AS INTEGER) AS rank, site_id, round(km, 6) AS km FROM r WHERE rank <= 3")
+def _(x):
+    found = P.nearest_k(x.cells, x.sites, ["cell_id"], 3, ref_id="site_id")
+    each = found.select("cell_id", F.posexplode("neighbours").alias("rank", "n"))
+    return each.select("cell_id", (F.col("rank") + 1).alias("rank"), F.col("n.id").alias("site_id"), r6(F.col("n.km")).alias("km"))
+
+
+@query("j3_nearest_k_ties", ", p AS (SELECT site_id, unit_id % 5 AS u FROM sites), r AS (SELECT a.site_id, b.site_id AS other, abs(a.u - b.u) AS steps, row_number() OVER (PARTITION BY a.site_id ORDER BY abs(a.u - b.u), b.site_id) AS rank FROM p a CROSS JOIN p b) SELECT site_id, string_agg(other, ',' ORDER BY rank) AS nearest FROM r WHERE rank <= 2 GROUP BY 1")
+def _(x):
+    """Five places on the equator that all sites share: distances tie by the hundred, and ids decide."""
+    at = x.sites.select("site_id", F.lit(0.0).alias("lat"), (F.col("unit_id") % 5).cast("double").alias("lon"))
+    found = P.nearest_k(at, at, ["site_id"], 2, ref_id="site_id")
+    return found.select("site_id", F.array_join(F.transform("neighbours", lambda n: n["id"].cast("string")), ",").alias("nearest"))
+
+
 @query("j5_count_within", f"SELECT c.cell_id, count(s.site_id) AS n_within FROM cells c LEFT JOIN sites s ON {_KM} <= 100 GROUP BY 1")
 def _(x):
     return P.count_within(x.cells, x.sites, ["cell_id"], 100.0, ref_id="site_id").select("cell_id", "n_within")
