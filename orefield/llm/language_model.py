@@ -38,7 +38,7 @@ BITS_PER_EVENT = 8
 SHARD_BYTES = 8 << 20
 HEAD = 1 << 18
 FILTER_BYTES = 96 << 20
-_HELD = 3 << 19
+_HELD = 3 << 18
 _PART = 1 << 20
 #: The end token: no word holds a space.
 _END = xxhash.xxh3_64_intdigest(b" ")
@@ -191,49 +191,49 @@ def train(docs: DataFrame, *, text_col: str = "text", shard_bytes: int = SHARD_B
     texts = docs.select(F.col(text_col).alias("text"))
     n_shards = max(64, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
 
+    def packed(sums: Sums, kind: int) -> pa.RecordBatch:
+        """One row a shard: its sorted keys and their counts."""
+        keys, n = sums.merged()
+        shard = shard_of(keys, n_shards)
+        order = np.argsort(shard, kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=n_shards))])
+        used = np.flatnonzero(np.diff(ends))
+        columns = [pa.array([x[order[ends[s] : ends[s + 1]]].tobytes() for s in used], pa.binary()) for x in (keys, n.astype(np.uint32))]
+        sums.__init__()
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.full(len(used), kind, np.int32)), *columns], ["shard", "kind", "keys", "counts"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs = Sums(), Sums()
-
-        def handed() -> Iterator[pa.RecordBatch]:
-            keys, n = words.merged()
-            for at in range(0, len(keys), 1 << 18):
-                k, c = keys[at : at + (1 << 18)], n[at : at + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.int32()), pa.array(k.view(np.int64)), pa.array(c), pa.nulls(len(k), pa.binary()), pa.nulls(len(k), pa.binary())], ["shard", "key", "n", "pairs", "counts"])
-            keys, n = pairs.merged()
-            order = np.argsort(shard_of(keys, n_shards), kind="stable")
-            ends = np.concatenate([[0], np.cumsum(np.bincount(shard_of(keys, n_shards), minlength=n_shards))])
-            used = np.flatnonzero(np.diff(ends))
-            if len(used):
-                packed = [[x[order[ends[s] : ends[s + 1]]].tobytes() for s in used] for x in (keys, n.astype(np.uint32))]
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.array(packed[0], pa.binary()), pa.array(packed[1], pa.binary())], ["shard", "key", "n", "pairs", "counts"])
-            words.__init__()
-            pairs.__init__()
-
         for batch in batches:
             for part in slices(batch, 0, _PART):
                 keys, starts = token_keys(as_bytes(part.column(0)))
                 words.add(keys)
                 pairs.add(pair_hash(contexts(keys, starts), keys))
-                if pairs.size > _HELD:
-                    pairs.merged()
-                    if pairs.size > _HELD // 2:
-                        yield from handed()
-        yield from handed()
+                for sums, kind in ((words, 0), (pairs, 1)):
+                    if sums.size > _HELD:
+                        sums.merged()
+                        if sums.size > _HELD // 2:
+                            yield packed(sums, kind)
+        yield packed(words, 0)
+        yield packed(pairs, 1)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, cut in key_groups(batches, "shard"):
             for a, b in zip(cut[:-1], cut[1:]):
-                keys = np.frombuffer(b"".join(rows["pairs"][a:b]), np.uint64)
-                counts = np.frombuffer(b"".join(rows["counts"][a:b]), np.uint32).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([rows["shard"][a]], pa.int32()), pa.array([filter_bits(*_summed(keys, counts))], pa.binary())], ["shard", "bits"])
+                sums = []
+                for kind in (0, 1):
+                    own = [i for i in range(a, b) if rows["kind"][i] == kind]
+                    sums.append(_summed(np.frombuffer(b"".join(rows["keys"][i] for i in own), np.uint64), np.frombuffer(b"".join(rows["counts"][i] for i in own), np.uint32).astype(np.int64)))
+                keys, n = sums[0]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int32()), pa.array(keys.view(np.int64)), pa.array(n), pa.nulls(len(keys), pa.binary())], ["shard", "key", "n", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array([rows["shard"][a]], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([filter_bits(*sums[1])], pa.binary())], ["shard", "key", "n", "bits"])
 
-    seen = written(texts.mapInArrow(count, "shard int, key bigint, n bigint, pairs binary, counts binary"), "lm-counts")
-    words = written(seen.where("shard is null").groupBy("key").agg(F.sum("n").alias("n")), "lm-words")
-    by_shard = seen.where("shard is not null").select("shard", "pairs", "counts").repartition("shard").sortWithinPartitions("shard")
-    return Model(words, written(by_shard.mapInArrow(fill, "shard int, bits binary"), "lm-filter"), n_shards, head, filter_bytes)
+    by_shard = texts.mapInArrow(count, "shard int, kind int, keys binary, counts binary").repartition("shard").sortWithinPartitions("shard")
+    made = written(by_shard.mapInArrow(fill, "shard int, key bigint, n bigint, bits binary"), "lm-model")
+    return Model(made.where("key is not null").select("key", "n"), made.where("bits is not null").select("shard", "bits"), n_shards, head, filter_bytes)
 
 
-_OPEN = "array<struct<before: bigint, key: bigint, pair: bigint, times: bigint, c_before: bigint, c_key: bigint, level: bigint>>"
+_OPEN = "array<struct<before: bigint, key: bigint, pair: bigint, c_before: bigint, c_key: bigint, level: bigint>>"
 
 
 def token_scores(level: np.ndarray, c_before: np.ndarray, c_key: np.ndarray, total: int, distinct: int) -> tuple[np.ndarray, np.ndarray]:
@@ -274,7 +274,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
                 sums = [np.add.reduceat(np.where(told, x, 0), starts[:-1]) for x in (base, full, c_key > 0)]
                 left = np.flatnonzero(~told)
                 doc = np.searchsorted(starts, left, side="right") - 1
-                items = pa.StructArray.from_arrays([pa.array(x[left].view(np.int64)) for x in (before, keys, pairs[at])] + [pa.array(np.ones(len(left), np.int64))] + [pa.array(np.asarray(x[left], np.int64)) for x in (c_before, c_key, level)], ["before", "key", "pair", "times", "c_before", "c_key", "level"])
+                items = pa.StructArray.from_arrays([pa.array(x[left].view(np.int64)) for x in (before, keys, pairs[at])] + [pa.array(np.asarray(x[left], np.int64)) for x in (c_before, c_key, level)], ["before", "key", "pair", "c_before", "c_key", "level"])
                 ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=part.num_rows))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(starts)), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), pa.ListArray.from_arrays(pa.array(ends), items)], ["id", "n_tokens", "n_known", "base_score", "score", "open"])
 
@@ -283,7 +283,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     if whole_head and whole_filter:
         return done.select("id", "n_tokens", "n_known", train_tokens, "base_score", "score")
     done = written(done.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
-    rest = done.where(F.size("open") > 0).select("row", F.explode("open").alias("o")).select("row", "o.*").groupBy("row", "before", "key", "pair", "c_before", "c_key", "level").agg(F.sum("times").alias("times"))
+    rest = done.where(F.size("open") > 0).select("row", F.explode("open").alias("o")).select("row", "o.*")
     for side in ("before", "key"):
         counts = model.words.select(F.col("key").alias("_k"), F.col("n").alias("_n"))
         known = rest.where(F.col(f"c_{side}") >= 0)
@@ -294,7 +294,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     share = (F.col("c_key") + 1) / F.lit(float(total + distinct + 1))
     scale = F.array(*[F.lit(int(x)) for x in [0, *_LEVELS]])
     seen = F.least(F.get(scale, F.col("level").cast("int")), F.col("c_before"), F.col("c_key"))
-    sums = rest.groupBy("row").agg(F.sum(F.when(F.col("c_key") > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.log10(share) * F.col("times")).alias("b"), F.sum(F.log10((seen + MU * share) / (F.col("c_before") + MU)) * F.col("times")).alias("s"))
+    sums = rest.groupBy("row").agg(F.count_if(F.col("c_key") > 0).alias("k"), F.sum(F.log10(share)).alias("b"), F.sum(F.log10((seen + MU * share) / (F.col("c_before") + MU))).alias("s"))
     plus = lambda c, d: (F.col(c) + F.coalesce(d, F.lit(0))).alias(c)
     return done.drop("open").join(sums, "row", "left").select("id", "n_tokens", plus("n_known", "k"), train_tokens, plus("base_score", "b"), plus("score", "s"))
 
