@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, distance_decay, support_weight
+from .folds import fold_statistics, group_kfold  # noqa: F401
+from .logistic import fit_logistic
 from .relational import pct_rank_avg, smoothed_affinity
 from .spatial import count_within, nearest
 from .state import materialised
@@ -66,45 +66,6 @@ def background_size(positives: Column, least: int = 500, factor: int = 20) -> Co
     return F.greatest(F.lit(least), positives * factor)
 
 
-def group_kfold(rows: DataFrame, group: str, k: int, by: Sequence[str] = (), label: str | None = None, seed: int = 0) -> DataFrame:
-    """rows with a fold: whole groups, largest first, each to the smallest fold so far; k falls to the number of groups.
-
-    With label, groups go where the label counts stay most even (ties by the seeded hash). Only one row for each group reaches the assignment.
-    """
-    positive = F.sum(F.col(label).cast("long")) if label else F.lit(0).cast("long")
-    sizes = rows.groupBy(*by, group).agg(F.count("*").alias("n"), positive.alias("p"), F.first(F.lit(0)).alias("_0")).drop("_0").withColumn("_by", F.to_json(F.struct(*by)) if by else F.lit("")).withColumn("_g", F.col(group).cast("string"))
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        tie = [hash_of(f"{seed}|{g}") for g in pdf["_g"]] if label else list(pdf["_g"])
-        pdf = pdf.assign(_t=tie).sort_values(["p", "n", "_t", "_g"], ascending=[False, False, True, True])
-        folds = min(k, len(pdf))
-        load = np.zeros((folds, 2))
-        total = np.maximum([pdf["p"].sum(), pdf["n"].sum()], 1)
-        out = []
-        for p, n in zip(pdf["p"], pdf["n"]):
-            shares = (load + [p, n]) / total
-            best = min(range(folds), key=lambda f: (round(float(shares[f, 0]), 12) if label else 0, load[f, 1], f))
-            load[best] += [p, n]
-            out.append(best)
-        return pdf.assign(fold=out)[["_by", "_g", "fold"]]
-
-    folds = sizes.select("_by", "_g", "n", "p").groupBy("_by").applyInPandas(assign, "_by string, _g string, fold int")
-    marked = rows.withColumns({"_by": F.to_json(F.struct(*by)) if by else F.lit(""), "_g": F.col(group).cast("string")})
-    return marked.join(folds, ["_by", "_g"], "left").drop("_by", "_g")
-
-
-def hash_of(text: str) -> int:
-    out = 0
-    for c in text.encode():
-        out = (out * 131 + c) % MODULUS
-    return out
-
-
-def fold_statistics(rows: DataFrame, fold: str, k: int) -> DataFrame:
-    """Training copies: each row once for each fold that it is not in, as train_fold."""
-    return rows.withColumn("train_fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where(F.col("train_fold") != F.col(fold))
-
-
 # --- metrics --------------------------------------------------------------------------------
 
 
@@ -155,6 +116,41 @@ def group_bootstrap(df: DataFrame, by: Sequence[str], group: str, score: str, la
     return each.groupBy(*by).agg(*[F.percentile(m, F.lit(p)).alias(f"{m}_{side}") for m in ("auc", "recall") for side, p in (("low", 0.025), ("high", 0.975))])
 
 
+def group_draws(df: DataFrame, by: Sequence[str], group: str, label: str, reps: int, seed: int, least_positive: int = 3) -> DataFrame:
+    """(by, group, rep, times): how often a replicate draws a group, with replacement, positive groups (with any positive row) and background groups apart, as many as there are.
+
+    By groups with fewer than least_positive positive groups or no background group have no draws. The draws depend on the groups' order only, so
+    any table with the same groups can share them.
+    """
+    groups = df.groupBy(*by, group).agg(F.max((F.col(label) == 1).cast("int")).alias("_kind"))
+    w = Window.partitionBy(*by, "_kind")
+    placed = groups.withColumns({"_g": F.row_number().over(w.orderBy(group)) - 1, "_m": F.count("*").over(w)})
+    whole = Window.partitionBy(*by)
+    placed = placed.withColumns({"_pos": F.sum("_kind").over(whole), "_all": F.count("*").over(whole)}).where((F.col("_pos") >= least_positive) & (F.col("_all") > F.col("_pos")))
+    placed = materialised(placed)
+    draws = placed.select(*by, "_kind", "_m", F.col("_g").alias("_draw"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    drawn = draws.withColumn("_g", integer_hash(F.col("_draw") * 7919 + F.col("rep") * 104729 + F.col("_kind"), seed) % F.col("_m")).groupBy(*by, "_kind", "rep", "_g").agg(F.count("*").alias("times"))
+    return drawn.join(placed, [*by, "_kind", "_g"]).select(*by, group, "rep", "times")
+
+
+def paired_bootstrap(df: DataFrame, by: Sequence[str], group: str, base: str, extended: str, label: str, reps: int = 500, seed: int = 7) -> DataFrame:
+    """(by, delta_low, delta_high, valid): 2.5th and 97.5th percentile of the gain in AUC of extended over base when whole groups are drawn, and the replicates with both classes.
+
+    Both arms share each replicate's draws. Rows with equal scores of a group count once with their number before they are weighted, so a replicate
+    costs one row for each group and score. NULL and 0 where group_draws() has none.
+    """
+    draws = group_draws(df, by, group, label, reps, seed)
+    arms = F.explode(F.array(F.struct(F.lit(0).alias("arm"), F.col(base).alias("s")), F.struct(F.lit(1).alias("arm"), F.col(extended).alias("s"))))
+    long = df.where(F.col(base).isNotNull() & F.col(extended).isNotNull()).select(*by, group, F.col(label).alias("_y"), arms.alias("a")).select(*by, group, "_y", "a.*")
+    counted = long.groupBy(*by, group, "_y", "arm", "s").agg(F.count("*").alias("_c"))
+    weighted = counted.join(draws, [*by, group]).withColumn("_w", F.col("_c") * F.col("times"))
+    auc = roc_auc(weighted, [*by, "rep", "arm"], "s", "_y", "_w")
+    deltas = auc.groupBy(*by, "rep").agg((F.max(F.when(F.col("arm") == 1, F.col("auc"))) - F.max(F.when(F.col("arm") == 0, F.col("auc")))).alias("_d"))
+    found = deltas.groupBy(*by).agg(F.percentile("_d", F.lit(0.025)).alias("delta_low"), F.percentile("_d", F.lit(0.975)).alias("delta_high"), F.count("_d").alias("valid"))
+    every = df.select(*by).distinct()
+    return every.join(found, list(by), "left").fillna(0, ["valid"])
+
+
 # --- models --------------------------------------------------------------------------------------
 
 
@@ -165,60 +161,34 @@ def fill_from_training(train: DataFrame, test: DataFrame, by: Sequence[str], fea
     return joined.withColumns({f: F.coalesce(F.col(f), F.col(f"_m_{f}")) for f in features}).drop(*[f"_m_{f}" for f in features])
 
 
-def fit_logistic(rows: DataFrame, by: Sequence[str], key: str, features: Sequence[str], label: str, test: str, c: float = 1.0) -> DataFrame:
-    """(by, key, probability) of the rows whose test flag is set, from a balanced ridge logistic model of the others in the same by group.
+def out_of_fold(rows: DataFrame, target: str, key: str, fold: str, k: int, label: str, arms: Mapping[str, Sequence[str]], keep: Sequence[str] = ()) -> DataFrame:
+    """(target, key, kept columns, fold, y, one probability for each arm): every row predicted by the models of the other folds, all arms on the same rows and folds."""
+    marked = materialised(rows.withColumn("test_fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("_held", F.col(fold) == F.col("test_fold")))
+    out = rows.select(target, key, *keep, F.col(fold).alias("test_fold"), F.col(label).cast("int").alias("y"))
+    for arm, features in arms.items():
+        out = out.join(fit_logistic(marked, [target, "test_fold"], key, features, label, "_held").withColumnRenamed("probability", arm), [target, key, "test_fold"], "left")
+    return materialised(out)
 
-    Training medians fill gaps, missing indicators join the features, the 5th to 95th percentile range of training scales them, values are clipped
-    to 10 either way. One group's training rows are bounded by the sample size that fold sampling sets, so a group is solved in one task, by Newton steps.
-    """
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        train = ~pdf["_test"].to_numpy(bool)
-        if not train.any():  # nothing to learn from
-            return pdf[[*by, key]].assign(probability=np.nan)
-        x = pdf[list(features)].to_numpy(float)
-        gaps = np.isnan(x)
-        with np.errstate(all="ignore"):
-            middle = np.array([np.median(col[~np.isnan(col)]) if (~np.isnan(col)).any() else 0.0 for col in x[train].T])
-        x = np.where(gaps, middle, x)
-        low, high = np.percentile(x[train], [5, 95], axis=0)
-        z = np.clip((x - middle) / np.where(high > low, high - low, 1.0), -10, 10)
-        z = np.c_[np.ones(len(z)), z, gaps[:, gaps[train].any(axis=0)].astype(float)]
-        y = pdf["_label"].to_numpy(float)
-        t, yt = z[train], y[train]
-        weight = np.where(yt == 1, 0.5 / max(yt.mean(), 1e-9), 0.5 / max(1 - yt.mean(), 1e-9))
-        w = np.zeros(z.shape[1])
-        for _ in range(100):
-            p = 1 / (1 + np.exp(-np.clip(t @ w, -30, 30)))
-            step = np.linalg.solve((t * (c * weight * p * (1 - p))[:, None]).T @ t + np.eye(len(w)), t.T @ (c * weight * (p - yt)) + w)
-            w -= step
-            if np.abs(step).max() < 1e-9:
-                break
-        held = pdf[~train]
-        return held[[*by, key]].assign(probability=1 / (1 + np.exp(-np.clip(z[~train] @ w, -30, 30))))
-
-    used = rows.select(*by, key, *[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias("_label"), F.col(test).alias("_test"))
-    kinds = dict(used.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*by, key]) + ", probability double"
-    return used.groupBy(*by).applyInPandas(solve, schema)
-
-
-def paired_ablation(rows: DataFrame, target: str, key: str, fold: str, k: int, label: str, arms: Mapping[str, Sequence[str]]) -> DataFrame:
-    """(target, metric deltas, folds gained and lost): out-of-fold metrics of the arms base and extended on the same rows and folds."""
-    arms_ = list(arms)
-    marked = rows.withColumn("test_fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("_held", F.col(fold) == F.col("test_fold"))
-    parts = [fit_logistic(marked, [target, "test_fold"], key, arms[a], label, "_held").withColumn("arm", F.lit(a)) for a in arms_]
-    oof = parts[0].unionByName(parts[1]).join(rows.select(target, key, F.col(label).cast("int").alias("_y")), [target, key])
+def paired_ablation(rows: DataFrame, target: str, key: str, fold: str, k: int, label: str, arms: Mapping[str, Sequence[str]], *, group: str, reps: int = 500, seed: int = 7) -> DataFrame:
+    """(target, metrics of both arms, their deltas, delta_low, delta_high, valid, folds gained and lost): out-of-fold metrics of the arms base and extended on the same rows and folds.
+
+    The interval is that of paired_bootstrap() over groups. Rows that an arm could not predict count in neither.
+    """
+    base, extended = arms
+    oof = out_of_fold(rows, target, key, fold, k, label, arms, [group]).where(F.col(base).isNotNull() & F.col(extended).isNotNull())
+    long = oof.select(target, "test_fold", "y", F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.col(a).alias("probability")) for a in arms])).alias("a")).select(target, "test_fold", "y", "a.*")
     by = [target, "arm"]
-    whole = roc_auc(oof, by, "probability", "_y").join(average_precision(oof, by, "probability", "_y"), by).join(recall_at_background_top(oof, by, "probability", "_y"), by).join(brier(oof, by, "probability", "_y"), by)
+    whole = roc_auc(long, by, "probability", "y").join(average_precision(long, by, "probability", "y"), by).join(recall_at_background_top(long, by, "probability", "y"), by).join(brier(long, by, "probability", "y"), by)
     names = ("auc", "average_precision", "recall", "brier")
     side = lambda df, a, on, cols: df.where(F.col("arm") == a).select(*on, *[F.col(c).alias(f"{a}_{c}") for c in cols])
-    both = side(whole, arms_[0], [target], names).join(side(whole, arms_[1], [target], names), target)
-    folds = roc_auc(oof, [*by, "test_fold"], "probability", "_y")
-    pairs = side(folds, arms_[0], [target, "test_fold"], ["auc"]).join(side(folds, arms_[1], [target, "test_fold"], ["auc"]), [target, "test_fold"])
-    d = F.col(f"{arms_[1]}_auc") - F.col(f"{arms_[0]}_auc")
-    counts = pairs.groupBy(target).agg(F.count_if(d > 0).alias("folds_gained"), F.count_if(d < 0).alias("folds_lost"))
-    return both.join(counts, target).select(target, *[F.col(f"{a}_{n}") for a in arms_ for n in names], *[(F.col(f"{arms_[1]}_{n}") - F.col(f"{arms_[0]}_{n}")).alias(f"delta_{n}") for n in names], "folds_gained", "folds_lost")
+    both = side(whole, base, [target], names).join(side(whole, extended, [target], names), target)
+    folds = roc_auc(long, [*by, "test_fold"], "probability", "y")
+    pairs = side(folds, base, [target, "test_fold"], ["auc"]).join(side(folds, extended, [target, "test_fold"], ["auc"]), [target, "test_fold"])
+    d = F.col(f"{extended}_auc") - F.col(f"{base}_auc")
+    counts = pairs.groupBy(target).agg(F.count_if(d > 1e-12).alias("folds_gained"), F.count_if(d < -1e-12).alias("folds_lost"))
+    interval = paired_bootstrap(oof, [target], group, base, extended, "y", reps, seed)
+    return both.join(counts, target).join(interval, target).select(target, *[F.col(f"{a}_{n}") for a in arms for n in names], *[(F.col(f"{extended}_{n}") - F.col(f"{base}_{n}")).alias(f"delta_{n}") for n in names], "delta_low", "delta_high", "valid", "folds_gained", "folds_lost")
 
 
 def admission_decision(positives: Column, groups: Column, complete: Column, distance: Column, valid_rate: Column, auc: Column, delta: Column, low: Column, recall: Column, base_recall: Column, *, least_positives: int = 10, least_groups: int = 5, purge_km: float = 50.0) -> Column:
@@ -242,13 +212,16 @@ def transfer_observations(blocks: DataFrame, block: str, target: str, cell: str,
     return j.withColumns({"outside_known": F.col("nearest_km") > outside_km, "within_domain": F.col("nearest_km") <= 250, "passes_score_gate": F.col("score") >= 0.5, "flags": flags})
 
 
-def transfer_metrics(observations: DataFrame, background: DataFrame, target: str, cell: str, *, least: int = 5, reps: int = 500, seed: int = 7, group: str = "cell_id") -> DataFrame:
-    """Per target: blocks, AUC, average precision, recall at the background's top, bootstrap interval, percentile shares and gate status, for blocks outside known evidence."""
+def transfer_metrics(observations: DataFrame, background: DataFrame, target: str, group: str, *, least: int = 5, reps: int = 500, seed: int = 7) -> DataFrame:
+    """Per target: blocks, AUC, average precision, recall at the background's top, bootstrap intervals over groups, percentile shares and gate status, for blocks outside known evidence.
+
+    Both tables hold (target, group, score, percentile); observations also outside_known.
+    """
     from .relational import threshold_shares
 
-    pos = observations.where("outside_known and score is not null").select(target, F.col(cell).alias(group), "score", "percentile", F.lit(1).alias("label"))
+    pos = observations.where("outside_known and score is not null").select(target, group, "score", "percentile", F.lit(1).alias("label"))
     pos = materialised(pos)  # used by every metric
-    both = pos.unionByName(background.select(target, F.col(cell).alias(group), "score", "percentile", F.lit(0).alias("label")))
+    both = pos.unionByName(background.select(target, group, "score", "percentile", F.lit(0).alias("label")))
     both = materialised(both)
     by = [target]
     n = pos.groupBy(target).agg(F.count("*").alias("n_blocks"))

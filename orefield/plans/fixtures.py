@@ -36,7 +36,7 @@ _SUBTOTALS = "l_orderkey, l_linenumber, l_quantity AS a, l_extendedprice AS b, l
 _BANDS = "vec_id, label, CAST(abs(embedding[{0}]) AS DOUBLE) AS b02, CAST(abs(embedding[{1}]) AS DOUBLE) AS b03, CAST(abs(embedding[{2}]) AS DOUBLE) AS b04, CAST(abs(embedding[{3}]) AS DOUBLE) AS b08, CAST(abs(embedding[{4}]) AS DOUBLE) AS b11, CAST(embedding[{5}] AS DOUBLE) AS b12"
 
 #: The views as common table expressions for DuckDB.
-PRELUDE = f"""WITH sites AS (SELECT {_SITES} FROM customer), cells AS (SELECT {_CELLS} FROM part),
+PRELUDE = f"""WITH RECURSIVE sites AS (SELECT {_SITES} FROM customer), cells AS (SELECT {_CELLS} FROM part),
 vertices AS (SELECT {_VERTICES} FROM nation CROSS JOIN {_CORNERS}),
 edges AS (SELECT region_id, seq, x AS x1, y AS y1, coalesce(lead(x) OVER w, first(x) OVER w) AS x2, coalesce(lead(y) OVER w, first(y) OVER w) AS y2 FROM vertices WINDOW w AS (PARTITION BY region_id ORDER BY seq)),
 districts AS ({_DISTRICTS}), dedges AS (SELECT district_id, part, ring, seq, x AS x1, y AS y1, coalesce(lead(x) OVER w, first(x) OVER w) AS x2, coalesce(lead(y) OVER w, first(y) OVER w) AS y2 FROM districts WINDOW w AS (PARTITION BY district_id, part, ring ORDER BY seq)),

@@ -315,15 +315,27 @@ def _folded(x):
     return M.group_kfold(x.sites.select("site_id", "material_id", "unit_id", "lat", "lon"), "unit_id", 5, ["material_id"])
 
 
-@query("m3_group_kfold")
+def _greedy_sql(rows: str, by: str, group: str, label: str, tie: str) -> str:
+    """Folds of whole groups in SQL: one recursion step a group, then each class of like groups hands its places to the folds in turn."""
+    return f""", gs AS (SELECT {by} AS b, {group} AS g, count(*) AS n, coalesce(sum({label}), 0) AS p FROM {rows} GROUP BY ALL),
+it AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY p DESC, n DESC, {tie}, g) AS i, row_number() OVER (PARTITION BY b, p, n ORDER BY {tie}, g) - 1 AS place, least(5, count(*) OVER (PARTITION BY b)) AS k FROM gs),
+gr AS (SELECT b, 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS pl, [0, 0, 0, 0, 0]::BIGINT[] AS nl, 0::BIGINT AS fold FROM it GROUP BY b
+  UNION ALL SELECT b, i, list_transform(pl, lambda x, j: x + CASE WHEN j = f + 1 THEN p ELSE 0 END)::BIGINT[], list_transform(nl, lambda x, j: x + CASE WHEN j = f + 1 THEN n ELSE 0 END)::BIGINT[], f
+  FROM (SELECT it.b, it.i, p, n, pl, nl, list_sort(list_transform(range(k), lambda f: {{'p': CASE WHEN p > 0 THEN pl[f + 1] ELSE 0 END, 'n': nl[f + 1], 'f': f}}))[1].f AS f FROM gr JOIN it ON it.b = gr.b AND it.i = gr.i + 1)),
+tk AS (SELECT b, p, n, fold, count(*) AS t FROM gr JOIN it USING (b, i) GROUP BY ALL),
+rg AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY b, p, n ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM tk),
+fd AS (SELECT it.b, it.g, rg.fold FROM it JOIN rg ON it.b = rg.b AND it.p = rg.p AND it.n = rg.n AND place >= a AND place < a + t)"""
+
+
+@query("m3_group_kfold", _greedy_sql("sites", "material_id", "unit_id", "0", "0") + " SELECT site_id, material_id, unit_id, CAST(fold AS INTEGER) AS fold FROM sites JOIN fd ON b = material_id AND g = unit_id")
 def _(x):
-    return _folded(x).select("site_id", "material_id", "unit_id", "fold")
+    return M.group_kfold(x.sites.select("site_id", "material_id", "unit_id"), "unit_id", 5, ["material_id"]).select("site_id", "material_id", "unit_id", "fold")
 
 
-@query("m4_stratified_group_kfold")
+@query("m4_stratified_group_kfold", _greedy_sql("(SELECT *, CASE WHEN site_id % 4 = 0 THEN 1 ELSE 0 END AS y FROM sites)", "material_id % 2", "unit_id", "y", "md5('7|' || g)") + " SELECT site_id, unit_id, CASE WHEN site_id % 4 = 0 THEN 1 ELSE 0 END AS label, CAST(fold AS INTEGER) AS fold FROM sites JOIN fd ON b = material_id % 2 AND g = unit_id")
 def _(x):
-    rows = x.sites.withColumn("label", (F.col("site_id") % 4 == 0).cast("int"))
-    return M.group_kfold(rows, "unit_id", 5, [], "label", 7).select("site_id", "unit_id", "label", "fold")
+    rows = x.sites.select("site_id", "unit_id", (F.col("material_id") % 2).alias("half"), (F.col("site_id") % 4 == 0).cast("int").alias("label"))
+    return M.group_kfold(rows, "unit_id", 5, ["half"], "label", 7).select("site_id", "unit_id", "label", "fold")
 
 
 _FOLD = ", sf AS (SELECT *, (site_id // 12) % 3 AS fold FROM sites)"
@@ -392,35 +404,109 @@ def _feature_rows(x):
     return rows
 
 
-@query("m11_fit_logistic")
+def _newton_sql(by: str, steps: int) -> str:
+    """Weights of each group of zt (by, z of four numbers, y, v) by coordinate Newton steps, as a recursive table; rows with test are left out."""
+    return f""", gw AS (SELECT {by}, 0 AS i, [0e0, 0e0, 0e0, 0e0] AS w FROM zt WHERE NOT test GROUP BY ALL
+  UNION ALL SELECT {by}, i + 1, list_transform(w, lambda a, j: CASE WHEN j = i % 4 + 1 THEN a - (g + a) / (h + 1) ELSE a END)
+  FROM (SELECT {', '.join('gw.' + b.strip() for b in by.split(','))}, gw.i, any_value(w) AS w, sum(v * (1 / (1 + exp(-list_inner_product(w, z))) - y) * z[gw.i % 4 + 1]) AS g, sum(v / (1 + exp(-list_inner_product(w, z))) * (1 - 1 / (1 + exp(-list_inner_product(w, z)))) * pow(z[gw.i % 4 + 1], 2)) AS h FROM gw JOIN zt USING ({by}) WHERE NOT test AND gw.i < {steps} GROUP BY ALL))"""
+
+
+def _design_sql(by: str, rows: str, first: str) -> str:
+    """zt: design rows of two features, f1 (first: whether it takes part) and f2, from the training rows of each group."""
+    return f""", st AS (SELECT {by}, avg(y) AS share, quantile_cont(f1, 5e-2) AS l1, quantile_cont(f1, 5e-1) AS m1, quantile_cont(f1, 95e-2) AS h1, quantile_cont(f2, 5e-2) AS l2, quantile_cont(f2, 5e-1) AS m2, quantile_cont(f2, 95e-2) AS h2 FROM {rows} WHERE NOT test GROUP BY ALL HAVING avg(y) > 0 AND avg(y) < 1),
+zt AS (SELECT {by}, site_id, unit_id, test, y, CASE WHEN y = 1 THEN 5e-1 / share ELSE 5e-1 / (1 - share) END AS v, [1e0, CASE WHEN {first} AND f1 IS NOT NULL AND m1 IS NOT NULL THEN greatest(-10, least(10, (f1 - m1) / CASE WHEN h1 > l1 THEN h1 - l1 ELSE 1 END)) ELSE 0 END, greatest(-10, least(10, (f2 - m2) / CASE WHEN h2 > l2 THEN h2 - l2 ELSE 1 END)), CASE WHEN {first} AND f1 IS NULL THEN 1 ELSE 0 END]::DOUBLE[] AS z FROM {rows} JOIN st USING ({by}))"""
+
+
+_FEATURES = _LAB + ", fr AS (SELECT site_id, material_id, unit_id, y, CASE WHEN site_id % 11 > 0 THEN s + site_id % 7 END AS f1, CAST(site_id * 53 % 89 AS DOUBLE) AS f2, (site_id // 12) % 3 AS fold FROM lab)"
+
+
+@query("m11_fit_logistic", _FEATURES + ", fh AS (SELECT *, fold = 0 AS test FROM fr)" + _design_sql("material_id", "fh", "true") + _newton_sql("material_id", 400) + " SELECT fh.material_id, fh.site_id, round(CASE WHEN w IS NOT NULL THEN 1 / (1 + exp(-list_inner_product(w, z))) END, 4) AS probability FROM fh LEFT JOIN zt USING (material_id, site_id) LEFT JOIN gw ON gw.material_id = fh.material_id AND i = 400 WHERE fh.test")
 def _(x):
     return M.fit_logistic(_feature_rows(x), ["material_id"], "site_id", ["f1", "f2"], "y", "held").withColumn("probability", F.round("probability", 4))
 
 
+@query("m11_gradient", _LAB + ", n AS (SELECT material_id, avg(y) AS share FROM lab WHERE (site_id // 12) % 3 <> 0 GROUP BY 1 HAVING avg(y) > 0 AND avg(y) < 1) SELECT material_id, true AS stationary FROM n")
+def _(x):
+    """The loss is stationary at the weights of every group that has both classes."""
+    from ..operators.logistic import design, fit_weights
+
+    rows = design(_feature_rows(x), ["material_id"], ["f1", "f2"], "held").where("not held")
+    return fit_weights(rows, ["material_id"], "y", 5).select("material_id", (F.col("gradient_norm") < 1e-6).alias("stationary"))
+
+
 @query("m12_fill_from_training", ", r AS (SELECT site_id, material_id, CASE WHEN site_id % 11 > 0 THEN CAST(site_id * 37 % 101 AS DOUBLE) + site_id % 7 END AS f1 FROM sites), m AS (SELECT material_id, quantile_cont(f1, 5e-1) AS m FROM r WHERE (site_id // 12) % 3 <> 0 GROUP BY 1) SELECT site_id, coalesce(f1, m) AS f1 FROM r LEFT JOIN m USING (material_id) WHERE (site_id // 12) % 3 = 0")
 def _(x):
     rows = _feature_rows(x)
     return M.fill_from_training(rows.where("not held"), rows.where("held"), ["material_id"], ["f1"]).select("site_id", "f1")
 
 
-@query("m13_paired_ablation")
+def _paired_sql(rows: str, by: str, reps: int, seed: str) -> str:
+    """pd: interval of the gain of AUC from a to b over shared draws of groups; rows hold (by, unit_id, y, a, b)."""
+    return f""", kg AS (SELECT {by}, unit_id, max(y) AS kind FROM {rows} GROUP BY ALL),
+kp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by}, kind ORDER BY unit_id) - 1 AS g, count(*) OVER (PARTITION BY {by}, kind) AS m, sum(kind) OVER (PARTITION BY {by}) AS pos, count(*) OVER (PARTITION BY {by}) AS alln FROM kg) WHERE pos >= 3 AND alln > pos),
+kd AS (SELECT {by}, kind, r.range AS rep, ({_hash_sql('g * 7919 + r.range * 104729 + kind', seed)}) % m AS g FROM kp CROSS JOIN range({reps}) r),
+kw AS (SELECT {by}, unit_id, rep, count(*) AS times FROM kd JOIN kp USING ({by}, kind, g) GROUP BY ALL),
+kl AS (SELECT {by}, rep, arm.range AS arm, CASE WHEN arm.range = 0 THEN a ELSE b END AS s, sum(CASE WHEN y = 1 THEN times ELSE 0 END) AS p, sum(CASE WHEN y = 0 THEN times ELSE 0 END) AS n FROM {rows} JOIN kw USING ({by}, unit_id) CROSS JOIN range(2) arm GROUP BY ALL),
+kb AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY {by}, rep, arm ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM kl),
+ka AS (SELECT {by}, rep, arm, CAST(sum(p * (below + n / 2e0)) AS DOUBLE) / nullif(CAST(sum(p) * sum(n) AS DOUBLE), 0) AS auc FROM kb GROUP BY ALL),
+ke AS (SELECT {by}, rep, max(auc) FILTER (arm = 1) - max(auc) FILTER (arm = 0) AS d FROM ka GROUP BY ALL),
+pd AS (SELECT {by}, quantile_cont(d, 25e-3) AS delta_low, quantile_cont(d, 975e-3) AS delta_high, count(d) AS valid FROM ke GROUP BY ALL)"""
+
+
+def _metrics_sql(name: str, score: str, digits: int = 4) -> str:
+    """Tables {name}_m: AUC, average precision, recall at the background's top and Brier score of oof's column for each material."""
+    return f""", {name}_t AS (SELECT material_id, {score} AS s, sum(y) AS p, count(*) AS c FROM oof GROUP BY 1, 2), {name}_k AS (SELECT *, sum(p) OVER w AS tp, sum(c) OVER w AS m, coalesce(sum(c - p) OVER (PARTITION BY material_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM {name}_t WINDOW w AS (PARTITION BY material_id ORDER BY s DESC)),
+{name}_a AS (SELECT material_id, CAST(sum(p * (below + (c - p) / 2e0)) AS DOUBLE) / nullif(CAST(sum(p) * sum(c - p) AS DOUBLE), 0) AS auc, sum(CAST(p AS DOUBLE) * tp / m) / nullif(sum(p), 0) AS ap FROM {name}_k GROUP BY 1),
+{name}_c AS (SELECT material_id, quantile_cont({score}, 95e-2) AS cut FROM oof WHERE y = 0 GROUP BY 1), {name}_r AS (SELECT material_id, avg(CASE WHEN {score} >= cut THEN 1e0 ELSE 0 END) AS recall FROM oof JOIN {name}_c USING (material_id) WHERE y = 1 GROUP BY 1), {name}_b AS (SELECT material_id, avg(pow({score} - y, 2)) AS brier FROM oof GROUP BY 1),
+{name}_m AS (SELECT material_id, auc, ap AS average_precision, recall, brier FROM {name}_a JOIN {name}_r USING (material_id) JOIN {name}_b USING (material_id))"""
+
+
+_ABLATION = (
+    _FEATURES
+    + ", fm AS (SELECT fr.*, t.range AS test_fold, a.range AS arm, fold = t.range AS test FROM fr CROSS JOIN range(3) t CROSS JOIN range(2) a)"
+    + _design_sql("material_id, test_fold, arm", "fm", "arm = 1")
+    + _newton_sql("material_id, test_fold, arm", 600)
+    + ", pr AS (SELECT zt.material_id, zt.test_fold, zt.arm, site_id, unit_id, y, 1 / (1 + exp(-list_inner_product(w, z))) AS p FROM zt JOIN gw ON gw.material_id = zt.material_id AND gw.test_fold = zt.test_fold AND gw.arm = zt.arm AND i = 600 WHERE test), oof AS (SELECT material_id, test_fold, site_id, unit_id, y, max(p) FILTER (arm = 0) AS a, max(p) FILTER (arm = 1) AS b FROM pr GROUP BY ALL HAVING count(*) = 2)"
+    + _metrics_sql("base", "a")
+    + _metrics_sql("extended", "b")
+    + ", fa AS (SELECT material_id, test_fold, avg(CASE WHEN x.a > o.a THEN 1e0 WHEN x.a = o.a THEN 5e-1 ELSE 0 END) AS base, avg(CASE WHEN x.b > o.b THEN 1e0 WHEN x.b = o.b THEN 5e-1 ELSE 0 END) AS ext FROM oof x JOIN oof o USING (material_id, test_fold) WHERE x.y = 1 AND o.y = 0 GROUP BY 1, 2), fc AS (SELECT material_id, count(*) FILTER (ext - base > 1e-12) AS folds_gained, count(*) FILTER (ext - base < -1e-12) AS folds_lost FROM (SELECT DISTINCT material_id, test_fold FROM oof) LEFT JOIN fa USING (material_id, test_fold) GROUP BY 1)"
+    + _paired_sql("oof", "material_id", 500, "7")
+)
+
+
+@query("m13_paired_ablation", _ABLATION + " SELECT material_id, " + ", ".join(f"round(base_m.{m}, 4) AS base_{m}, round(extended_m.{m}, 4) AS extended_{m}, round(extended_m.{m} - base_m.{m}, 4) AS delta_{m}" for m in ("auc", "average_precision", "recall", "brier")) + ", round(delta_low, 4) AS delta_low, round(delta_high, 4) AS delta_high, coalesce(valid, 0) AS valid, folds_gained, folds_lost FROM base_m JOIN extended_m USING (material_id) JOIN fc USING (material_id) LEFT JOIN pd USING (material_id)")
 def _(x):
     rows = _feature_rows(x).withColumn("fold", (F.floor(F.col("site_id") / 12) % 3).cast("int"))
-    out = M.paired_ablation(rows, "material_id", "site_id", "fold", 3, "y", {"base": ["f2"], "extended": ["f1", "f2"]})
-    return out.select("material_id", *[F.round(c, 4).alias(c) for c in out.columns if c.startswith(("base_", "extended_", "delta_"))], "folds_gained", "folds_lost")
+    out = M.paired_ablation(rows, "material_id", "site_id", "fold", 3, "y", {"base": ["f2"], "extended": ["f1", "f2"]}, group="unit_id")
+    return out.select("material_id", *[F.round(c, 4).alias(c) for c in out.columns if c.startswith(("base_", "extended_", "delta_"))], "valid", "folds_gained", "folds_lost")
+
+
+_REPS = 500
+
+
+def _bootstrap_sql(rows: str, group: str, seed: str, reps: int = _REPS) -> str:
+    """bs: intervals of AUC and recall for each material of rows (material_id, group, s, y) when groups of each label are drawn."""
+    return f""", g AS (SELECT material_id, y, {group}, row_number() OVER (PARTITION BY material_id, y ORDER BY {group}) - 1 AS g, count(*) OVER (PARTITION BY material_id, y) AS m FROM (SELECT DISTINCT material_id, y, {group} FROM {rows})),
+dr AS (SELECT material_id, y, r.range AS rep, ({_hash_sql('g * 7919 + r.range * 104729 + y', seed)}) % m AS g FROM g CROSS JOIN range({reps}) r), w AS (SELECT material_id, y, {group}, rep, count(*) AS times FROM dr JOIN g USING (material_id, y, g) GROUP BY ALL),
+lw AS (SELECT lab.material_id, rep, s, lab.y, times FROM {rows} lab JOIN w USING (material_id, y, {group})), t AS (SELECT material_id, rep, s, coalesce(sum(times) FILTER (y = 1), 0) AS p, coalesce(sum(times) FILTER (y = 0), 0) AS n FROM lw GROUP BY 1, 2, 3), k AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY material_id, rep ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM t), a AS (SELECT material_id, rep, CAST(sum(p * (b + n / 2e0)) AS DOUBLE) / nullif(CAST(sum(p) * sum(n) AS DOUBLE), 0) AS auc FROM k GROUP BY 1, 2),
+cu AS (SELECT material_id, rep, quantile_cont(s, 95e-2) AS cut FROM (SELECT material_id, rep, s, unnest(range(times)) FROM lw WHERE y = 0) GROUP BY 1, 2), re AS (SELECT material_id, rep, CAST(sum(CASE WHEN s >= cut THEN times ELSE 0 END) AS DOUBLE) / sum(times) AS recall FROM lw JOIN cu USING (material_id, rep) WHERE y = 1 GROUP BY 1, 2),
+bs AS (SELECT material_id, quantile_cont(auc, 25e-3) AS auc_low, quantile_cont(auc, 975e-3) AS auc_high, quantile_cont(recall, 25e-3) AS recall_low, quantile_cont(recall, 975e-3) AS recall_high FROM a LEFT JOIN re USING (material_id, rep) GROUP BY 1)"""
 
 
-_REPS = 20
-_BOOT = _LAB + f""", g AS (SELECT material_id, y, unit_id, row_number() OVER (PARTITION BY material_id, y ORDER BY unit_id) - 1 AS g, count(*) OVER (PARTITION BY material_id, y) AS m FROM (SELECT DISTINCT material_id, y, unit_id FROM lab)),
-dr AS (SELECT material_id, y, r.range AS rep, ({_hash_sql('g * 7919 + r.range * 104729 + y', '5')}) % m AS g FROM g CROSS JOIN range({_REPS}) r), w AS (SELECT material_id, y, unit_id, rep, count(*) AS times FROM dr JOIN g USING (material_id, y, g) GROUP BY ALL),
-lw AS (SELECT lab.material_id, rep, s, lab.y, times FROM lab JOIN w USING (material_id, y, unit_id)), t AS (SELECT material_id, rep, s, coalesce(sum(times) FILTER (y = 1), 0) AS p, coalesce(sum(times) FILTER (y = 0), 0) AS n FROM lw GROUP BY 1, 2, 3), k AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY material_id, rep ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM t), a AS (SELECT material_id, rep, sum(p * (b + n / 2e0)) / nullif(sum(p) * sum(n), 0) AS auc FROM k GROUP BY 1, 2)
-SELECT material_id, round(quantile_cont(auc, 25e-3), 6) AS auc_low, round(quantile_cont(auc, 975e-3), 6) AS auc_high FROM a WHERE auc IS NOT NULL GROUP BY 1"""
+_INTERVALS = ("auc_low", "auc_high", "recall_low", "recall_high")
 
 
-@query("m14_group_bootstrap", _BOOT)
+@query("m14_group_bootstrap", _LAB + _bootstrap_sql("lab", "unit_id", "5") + f" SELECT material_id, {', '.join(f'round({c}, 6) AS {c}' for c in _INTERVALS)} FROM bs WHERE auc_low IS NOT NULL")
 def _(x):
     out = M.group_bootstrap(_labelled(x), ["material_id"], "unit_id", "s", "y", _REPS, 5).where("auc_low is not null")
-    return out.select("material_id", r6("auc_low").alias("auc_low"), r6("auc_high").alias("auc_high"))
+    return out.select("material_id", *[r6(c).alias(c) for c in _INTERVALS])
+
+
+@query("m14_paired_delta", _LAB + ", two AS (SELECT material_id, unit_id, y, CAST(site_id * 53 % 89 AS DOUBLE) AS a, s AS b FROM lab)" + _paired_sql("two", "material_id", 500, "9") + " SELECT material_id, round(delta_low, 6) AS delta_low, round(delta_high, 6) AS delta_high, coalesce(valid, 0) AS valid FROM (SELECT DISTINCT material_id FROM two) LEFT JOIN pd USING (material_id)")
+def _(x):
+    rows = _labelled(x).withColumn("other", (F.col("site_id") * 53 % 89).cast("double"))
+    out = M.paired_bootstrap(rows, ["material_id"], "unit_id", "other", "s", "y", _REPS, 9)
+    return out.select("material_id", r6("delta_low").alias("delta_low"), r6("delta_high").alias("delta_high"), "valid")
 
 
 @query("m15_admission_decision", "SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN 'not_evaluated' WHEN p_size >= 10 AND p_size % 9 >= 5 AND p_partkey % 50 >= 10 AND p_partkey % 7 >= 2 THEN 'passed' WHEN p_partkey % 7 < 1 THEN 'degraded' ELSE 'inconclusive' END AS decision FROM part")
@@ -442,12 +528,27 @@ def _(x):
     return out.select("block", "material_id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"), "outside_known")
 
 
-@query("m17_transfer_metrics", _SCORES + ", b AS (SELECT DISTINCT s_suppkey AS block, s_suppkey * 7 % 200 + 1 AS cell_id, unnest([s_nationkey % 12, (s_nationkey + 5) % 12]) AS material_id FROM supplier), f2 AS (SELECT cell_id, material_id, km, round(score, 9) AS score FROM fin), p AS (SELECT material_id, score FROM b JOIN f2 USING (cell_id, material_id) WHERE km > 25), g AS (SELECT material_id, score FROM f2 WHERE km > 25) SELECT n.material_id, n_blocks, auc FROM (SELECT material_id, count(*) AS n_blocks FROM p GROUP BY 1) n JOIN (SELECT p.material_id, round(avg(CASE WHEN p.score > g.score THEN 1e0 WHEN p.score = g.score THEN 5e-1 ELSE 0 END), 6) AS auc FROM p JOIN g ON p.material_id = g.material_id GROUP BY 1) USING (material_id)")
+_TRANSFER = (
+    _SCORES
+    + ", el AS (SELECT *, CASE WHEN n >= 5 AND km > 10 AND score IS NOT NULL THEN 1 ELSE 0 END AS ok FROM fin), rk AS (SELECT cell_id, material_id, km, round(score, 9) AS s, CASE WHEN ok = 1 THEN (rank() OVER (PARTITION BY material_id, ok ORDER BY score) + (count(*) OVER (PARTITION BY material_id, ok, score) - 1) / 2e0) / count(*) OVER (PARTITION BY material_id, ok) END AS percentile FROM el)"
+    ", b AS (SELECT DISTINCT s_suppkey AS block, s_suppkey * 7 % 200 + 1 AS cell_id, unnest([s_nationkey % 12, (s_nationkey + 5) % 12]) AS material_id FROM supplier), ar AS (SELECT cell_id, floor(lat / 4) * 100 + floor(lon / 4) AS area FROM cells)"
+    ", oof AS (SELECT material_id, area, s, percentile, 1 AS y FROM b JOIN rk USING (cell_id, material_id) JOIN ar USING (cell_id) WHERE km > 25 UNION ALL SELECT material_id, area, s, percentile, 0 FROM rk JOIN ar USING (cell_id) WHERE km > 25)"
+    + _metrics_sql("tm", "s")
+    + _bootstrap_sql("oof", "area", "7")
+    + ", sh AS (SELECT material_id, count(*) AS n_blocks, quantile_cont(percentile, 5e-1) AS median, "
+    + ", ".join(f"avg(CASE WHEN percentile IS NOT NULL THEN CASE WHEN percentile >= {v} THEN 1e0 ELSE 0 END END) AS {c}" for c, v in (("share_0_95", "95e-2"), ("share_0_99", "99e-2"), ("share_0_995", "995e-3")))
+    + " FROM oof WHERE y = 1 GROUP BY 1)"
+)
+_TRANSFER_COLUMNS = ("auc", "average_precision", "recall", *_INTERVALS, "median", "share_0_95", "share_0_99", "share_0_995")
+
+
+@query("m17_transfer_metrics", _TRANSFER + f" SELECT material_id, n_blocks, {', '.join(f'round({c}, 5) AS {c}' for c in _TRANSFER_COLUMNS)}, CASE WHEN n_blocks < 5 THEN 'too_few_blocks' WHEN auc >= 6e-1 AND auc_low > 5e-1 THEN 'passed' ELSE 'not_passed' END AS status FROM sh LEFT JOIN tm_m USING (material_id) LEFT JOIN bs USING (material_id)")
 def _(x):
     scores = _scores(x).withColumn("score", F.round("score", 9))
-    obs = M.transfer_observations(_blocks(x), "block", "material_id", "cell_id", scores)
-    out = M.transfer_metrics(obs, scores.where("nearest_km > 25"), "material_id", "cell_id", reps=10)
-    return out.select("material_id", "n_blocks", r6("auc").alias("auc"))
+    area = x.cells.select("cell_id", (F.floor(F.col("lat") / 4) * 100 + F.floor(F.col("lon") / 4)).alias("area"))
+    obs = M.transfer_observations(_blocks(x), "block", "material_id", "cell_id", scores).join(area, "cell_id")
+    out = M.transfer_metrics(obs, scores.where("nearest_km > 25").join(area, "cell_id"), "material_id", "area")
+    return out.select("material_id", "n_blocks", *[F.round(c, 5).alias(c) for c in _TRANSFER_COLUMNS], "status")
 
 
 @query("m18_score_parity", "SELECT 'score' AS kind, count(*) * 3 AS compared, count(*) FILTER (site_id % 10 = 0) AS mismatches FROM sites")
