@@ -116,12 +116,12 @@ class Filter:
 
     def __init__(self, shards: int, parts: dict[int, bytes]) -> None:
         self.sizes = np.array([len(parts.get(s, b"")) for s in range(shards)], np.int64)
-        self.bits = np.frombuffer(b"".join(parts.get(s, b"") for s in range(shards)), np.uint8)
+        self.raw = b"".join(parts.get(s, b"") for s in range(shards))  # bytes, which a worker loads without a second copy
         self.offsets = np.cumsum(self.sizes) - self.sizes
 
     def level(self, pairs: np.ndarray) -> np.ndarray:
         """Level of each pair, 0 if it misses at once: probes for one level after another while they hit."""
-        found = np.zeros(len(pairs), np.int64)
+        bits, found = np.frombuffer(self.raw, np.uint8), np.zeros(len(pairs), np.int64)
         shard = shard_of(pairs, len(self.sizes))
         alive = np.flatnonzero(self.sizes[shard])
         q = 0
@@ -130,7 +130,7 @@ class Filter:
             own = shard[alive]
             hit = np.ones(len(alive), bool)
             for bit in probes(pairs[alive], q, self.sizes[own] * 8):
-                hit &= (self.bits[self.offsets[own] + (bit >> 3)] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                hit &= (bits[self.offsets[own] + (bit >> 3)] >> (bit & 7).astype(np.uint8)) & 1 == 1
             alive = alive[hit]
             found[alive] = q
         return found
