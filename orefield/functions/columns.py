@@ -303,37 +303,21 @@ def classify_weather(temperature: Column | str, precipitation: Column | str) ->
     )
 
 
-#: The twelve classes of the USDA soil texture triangle with their bounds in percent (Soil Survey Manual); the first
-#: class whose bounds all hold applies. "fine" is silt plus 1.5 clay, "finer" silt plus 2 clay.
-TEXTURE_CLASSES = {
-    "sand": "sand >= 85, fine < 15",
-    "loamy sand": "sand >= 70, fine >= 15, finer < 30",
-    "clay": "clay >= 40, sand <= 45, silt <= 40",
-    "silty clay": "clay >= 40, silt > 40",
-    "sandy clay": "clay >= 35, sand > 45",
-    "clay loam": "clay >= 27, clay < 40, sand > 20, sand <= 45",
-    "silty clay loam": "clay >= 27, clay < 40, sand <= 20",
-    "sandy clay loam": "clay >= 20, clay < 35, sand > 45, silt < 28",
-    "silt": "silt >= 80, clay < 12",
-    "silt loam": "silt >= 50, clay < 27",
-    "loam": "clay >= 7, clay < 27, silt >= 28, silt < 50, sand <= 52",
-    "sandy loam": "clay < 20, sand >= 43, silt < 50",
-}
-_COMPARE = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
-
-
 def classify_texture(sand: Column, silt: Column, clay: Column) -> Column:
-    """Soil texture class on shares normalised to 100; loam where no class fits, NULL without a positive total."""
-    total = sand + silt + clay
-    share = {name: 100 * x / total for name, x in (("sand", sand), ("silt", silt), ("clay", clay))}
-    share |= {"fine": share["silt"] + 1.5 * share["clay"], "finer": share["silt"] + 2 * share["clay"]}
+    """Soil texture class (USDA triangle, Soil Survey Manual) of shares normalised to 100; NULL without a positive total.
 
-    def holds(bounds: str) -> Column:
-        tests = (bound.split() for bound in bounds.split(","))
-        return reduce(operator.and_, (_COMPARE[sign](share[name], float(limit)) for name, sign, limit in tests))
-
-    fits = [F.when(holds(bounds), F.lit(name)) for name, bounds in TEXTURE_CLASSES.items()]
-    return F.when(total > 0, F.coalesce(*fits, F.lit("loam")))
+    The triangle is cut into bands of clay, and each band is divided by sand and silt, so regions need no order among bands. Fixed values: the triangle's
+    limits in percent.
+    """
+    total = sand + silt + clay
+    s, i, c = 100 * sand / total, 100 * silt / total, 100 * clay / total
+    clayey = F.when(i > 40, "silty clay").when(s > 45, "sandy clay").otherwise("clay")
+    between = F.when(s > 45, F.when(c >= 35, "sandy clay").otherwise("sandy clay loam")).when(s > 20, "clay loam").otherwise("silty clay loam")
+    middle = F.when(i >= 50, "silt loam").when((s > 45) & (i < 28), "sandy clay loam").otherwise("loam")
+    silty = F.when((i >= 80) & (c < 12), "silt").otherwise("silt loam")
+    coarse = F.when(i + 1.5 * c < 15, "sand").when(i + 2 * c < 30, "loamy sand").when((c >= 7) & (i >= 28) & (s <= 52), "loam").otherwise("sandy loam")
+    light = F.when(i >= 50, silty).otherwise(coarse)
+    return F.when(total > 0, F.when(c >= 40, clayey).when(c >= 27, between).when(c >= 20, middle).otherwise(light))
 
 
 def classify_record(status: Column | str, classes: Mapping[str, Sequence[str]], default: str) -> Column:

@@ -30,56 +30,78 @@ def extract_links(pages: DataFrame, key: str, html: str, url: str) -> DataFrame:
 
 
 class _Tables(HTMLParser):
+    """Cells of all tables of a page. Each open table has its own place and, while a cell of it is open, its own text, so a table inside a cell does not end the cell."""
+
     def __init__(self) -> None:
         super().__init__()
         self.cells: list[tuple[int, int, int, str]] = []
-        self.open: list[list[int]] = []  # table, row, column of each open table
+        self.open: list[dict] = []
         self.n = 0
-        self.text: list[str] | None = None
+        self.silent = 0  # inside scripts and styles
+
+    def end_cell(self) -> None:
+        t = self.open[-1]
+        if t["text"] is not None:
+            self.cells.append((t["table"], t["row"], t["col"], " ".join("".join(t["text"]).split())))
+        t["text"] = None
 
-    def handle_starttag(self, tag, attrs):
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in ("script", "style"):
+            self.silent += 1
         if tag == "table":
-            self.open.append([self.n, -1, -1])
+            self.open.append({"table": self.n, "row": -1, "col": -1, "text": None})
             self.n += 1
-        elif self.open and tag == "tr":
-            self.open[-1][1] += 1
-            self.open[-1][2] = -1
-        elif self.open and tag in ("td", "th"):
-            self.close_cell()
-            self.open[-1][2] += 1
-            self.text = []
-
-    def close_cell(self):
-        if self.text is not None and self.open:
-            self.cells.append((*self.open[-1], " ".join("".join(self.text).split())))
-        self.text = None
-
-    def handle_endtag(self, tag):
-        if tag in ("td", "th", "tr", "table"):
-            self.close_cell()
-        if tag == "table" and self.open:
+        if not self.open:
+            return
+        t = self.open[-1]
+        if tag == "tr":
+            self.end_cell()
+            t["row"], t["col"] = t["row"] + 1, -1
+        elif tag in ("td", "th"):
+            self.end_cell()
+            t["row"], t["col"], t["text"] = max(t["row"], 0), t["col"] + 1, []
+        elif tag in ("br", "p", "div", "li"):
+            self.handle_data(" ")
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in ("script", "style"):
+            self.silent = max(0, self.silent - 1)
+        if self.open and tag in ("td", "th", "tr", "table"):
+            self.end_cell()
+            if tag == "table":
+                self.open.pop()
+                self.handle_data(" ")
+
+    def handle_data(self, data: str) -> None:
+        if self.open and not self.silent and self.open[-1]["text"] is not None:
+            self.open[-1]["text"].append(data)
+
+    def finish(self) -> list[tuple[int, int, int, str]]:
+        self.close()
+        while self.open:
+            self.end_cell()
             self.open.pop()
-
-    def handle_data(self, data):
-        if self.text is not None:
-            self.text.append(data)
+        return sorted(self.cells, key=lambda c: c[:3])
 
 
 def extract_tables(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, table, row, col, text) of all HTML tables."""
+    """(key, table, row, col, text) of all HTML tables, in the order of their start tags.
+
+    A table inside a cell is a table of its own; the cell keeps its own text before and after it. Breaks and blocks count as a space, character references are decoded, scripts
+    and styles are left out. Tables that the page does not close end with it. Only pages with a table reach Python.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             rows = []
             for k, page in zip(pdf[key], pdf[html]):
-                if not page or "<table" not in page.lower():
-                    continue
                 parser = _Tables()
                 parser.feed(page)
-                rows += [(k, *c) for c in parser.cells]
+                rows += [(k, *c) for c in parser.finish()]
             yield pd.DataFrame(rows, columns=[key, "table", "row", "col", "text"]).astype({"table": "int32", "row": "int32", "col": "int32"})
 
-    return pages.select(key, html).mapInPandas(run, f"`{key}` {dict(pages.dtypes)[key]}, table int, row int, col int, text string")
+    with_table = pages.select(key, html).where(F.lower(html).contains("<table"))
+    return with_table.mapInPandas(run, f"`{key}` {dict(pages.dtypes)[key]}, table int, row int, col int, text string")
 
 
 def canonical_headers(cells: DataFrame, keys: Sequence[str], rules: Mapping[str, str], within: int = 5) -> DataFrame:

@@ -83,18 +83,31 @@ def build_manifest(tables: Mapping[str, DataFrame], contracts: Mapping[str, Mapp
     return reduce(DataFrame.union, parts)
 
 
+def profile_columns(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(table, column, data_type, n_rows, n_missing, n_blank) of every column, from one pass over each table."""
+    parts = []
+    for name, df in tables.items():
+        kinds = dict(df.dtypes)
+        blank = lambda c: F.count_if(F.trim(F.col(c)) == "") if kinds[c] == "string" else F.lit(0).cast("long")
+        one = df.agg(F.count("*").alias("_n"), *[F.struct(F.count(F.col(c)).alias("filled"), blank(c).alias("blank")).alias(c) for c in df.columns])
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(kinds[c]).alias("data_type"), F.col(c)["filled"].alias("filled"), F.col(c)["blank"].alias("blank")) for c in df.columns]))
+        parts.append(one.select("_n", each.alias("r")).select(F.lit(name).alias("table"), "r.column", "r.data_type", F.col("_n").alias("n_rows"), (F.col("_n") - F.col("r.filled")).alias("n_missing"), F.col("r.blank").alias("n_blank")))
+    return reduce(DataFrame.union, parts)
+
+
 def build_dictionary(columns: DataFrame, own: DataFrame, aliases: DataFrame, shared: DataFrame, rules: Mapping[str, str]) -> DataFrame:
     """(table, column, definition, basis): the table's own definition, else an alias's, else the shared one, else a rule by the column's name.
 
-    columns (table, column); own (table, column, definition); aliases (column, target); shared (column, definition).
+    columns (table, column and any more, which stay, such as those of profile_columns()); own (table, column, definition); aliases (column, target); shared (column, definition).
     """
+    more = [c for c in columns.columns if c not in ("table", "column")]
     o = own.withColumnRenamed("definition", "_own")
     a = aliases.join(shared.select(F.col("column").alias("target"), F.col("definition").alias("_alias")), "target").select("column", "_alias")
     s = shared.withColumnRenamed("definition", "_shared")
     j = columns.join(o, ["table", "column"], "left").join(a, "column", "left").join(s, "column", "left")
     rule = F.coalesce(*[F.when(F.col("column").rlike(p), F.lit(d)) for p, d in rules.items()], F.lit(None).cast("string"))
     basis = F.when(F.col("_own").isNotNull(), "own").when(F.col("_alias").isNotNull(), "alias").when(F.col("_shared").isNotNull(), "shared").when(rule.isNotNull(), "rule").otherwise("missing")
-    return j.select("table", "column", F.coalesce("_own", "_alias", "_shared", rule).alias("definition"), basis.alias("basis"))
+    return j.select("table", "column", F.coalesce("_own", "_alias", "_shared", rule).alias("definition"), basis.alias("basis"), *more)
 
 
 def gap_register(sources: DataFrame, key: str, limitation: str, categories: Mapping[str, Sequence[str]], lineage: DataFrame) -> DataFrame:

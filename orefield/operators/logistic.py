@@ -66,6 +66,14 @@ def fit_weights(train: DataFrame, by: Sequence[str], label: str, size: int, *, c
     train has z (size numbers) and the label. gradient_norm is the largest gradient entry at w. All groups step together until the largest step is below the
     tolerance; a step that does not lower a group's loss is halved. Only that one number comes to the driver in a step.
     """
+    names_of = dict(zip([f"by{n}" for n in range(len(by))], by))  # own names meanwhile, so that no by column clashes with a number's
+    train = train.select(*[F.col(c).alias(b) for b, c in names_of.items()], "z", F.col(label).alias("label"))
+    found = _fit(train, list(names_of), size, c, tolerance, most)
+    return found.select(*[F.col(b).alias(c) for b, c in names_of.items()], "w", "gradient_norm", "steps")
+
+
+def _fit(train: DataFrame, by: Sequence[str], size: int, c: float, tolerance: float, most: int) -> DataFrame:
+    label = "label"
     counted = train.groupBy(*by).agg(F.avg(F.col(label).cast("double")).alias("_share")).where("_share > 0 and _share < 1")
     used = _joined(train, _of(counted, by, "_share"), by, "inner")
     weight = F.when(F.col(label) == 1, 0.5 / F.col("_share")).otherwise(0.5 / (1 - F.col("_share"))) * c
@@ -110,7 +118,7 @@ def fit_weights(train: DataFrame, by: Sequence[str], label: str, size: int, *, c
         moved = state.agg(F.max("moved")).first()[0]
         if moved is None or moved < tolerance:
             break
-    return state.select(*by, "w", "gradient_norm", "steps")
+    return state
 
 
 def fit_logistic(rows: DataFrame, by: Sequence[str], key: str, features: Sequence[str], label: str, test: str, c: float = 1.0) -> DataFrame:

@@ -231,6 +231,20 @@ def display_range(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return plain.join(quantiles(long.withColumn("v", F.abs("v")), ["column"], "v", [0.98], ["abs_p98"]), "column")
 
 
+def event_list(rows: DataFrame, keys: Sequence[str], events: Mapping[str, tuple[str, str]], name: str = "events") -> DataFrame:
+    """(keys, events): each record's events as an array of (event_date, event_type, detail), by date, undated ones last, then by type and detail.
+
+    events: type -> (date column, detail column). An event counts if its detail is there, with a date or without; equal events of a record appear once.
+    """
+    one = lambda kind, date, detail: F.when(F.col(detail).isNotNull(), F.struct(F.col(date).cast("date").alias("event_date"), F.lit(kind).alias("event_type"), F.col(detail).cast("string").alias("detail")))
+    found = rows.select(*keys, F.explode(F.array_compact(F.array(*[one(kind, *columns) for kind, columns in events.items()]))).alias("e"))
+    dated = F.struct(F.col("e.event_date").isNull().alias("undated"), "e.event_date", "e.event_type", "e.detail")
+    lists = found.groupBy(*keys).agg(F.sort_array(F.collect_set(dated)).alias("_l"))
+    plain = F.transform("_l", lambda e: F.struct(e["event_date"].alias("event_date"), e["event_type"].alias("event_type"), e["detail"].alias("detail")))
+    every = rows.select(*keys).distinct().join(lists, list(keys), "left")
+    return every.select(*keys, F.coalesce(plain, F.array().cast("array<struct<event_date: date, event_type: string, detail: string>>")).alias(name))
+
+
 # --- ranking -------------------------------------------------------------------------------
 
 

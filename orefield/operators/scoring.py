@@ -30,6 +30,23 @@ def integer_hash(id_: Column, seed: Column | int) -> Column:
     return (mixed * FACTOR_ID + 11) % MODULUS
 
 
+#: Targets that a cell row may carry as one array.
+_LISTED = 10_000
+
+
+def _cells_by_targets(cells: DataFrame, targets: DataFrame, part: Sequence[str]) -> DataFrame:
+    """Every cell with every target (of its part). A counted, short list of targets rides on each cell and is unpacked there, so cells do not move; a
+    longer one is joined as Spark sees fit.
+    """
+    targets = materialised(targets)
+    own = [c for c in targets.columns if c not in part]
+    if targets.count() > _LISTED:
+        return cells.join(targets, list(part)) if part else cells.crossJoin(targets)
+    lists = targets.groupBy(*part).agg(F.collect_list(F.struct(*own)).alias("_targets"))
+    listed = cells.join(F.broadcast(lists), list(part)) if part else cells.crossJoin(F.broadcast(lists))  # at most _LISTED targets in all
+    return listed.withColumn("_t", F.explode("_targets")).select(*cells.columns, *[F.col("_t")[c].alias(c) for c in own])
+
+
 def score_cells(cells: DataFrame, evidence: DataFrame, targets: DataFrame, *, cell: str = "cell_id", unit: str = "unit_id", target: str = "material_id", site: str = "site_id", density_km: float = 100.0, part: Sequence[str] = ()) -> DataFrame:
     """(part, cell, target, n_evidence, nearest_km, density, affinity, score, percentile, support_level).
 
@@ -39,7 +56,7 @@ def score_cells(cells: DataFrame, evidence: DataFrame, targets: DataFrame, *, ce
     """
     by = [*part, target]
     n = evidence.groupBy(*by).agg(F.count("*").alias("n_evidence"))
-    grid = cells.join(n.join(targets.select(target).distinct(), target, "left_semi"), list(part)) if part else cells.join(n.join(targets.select(target).distinct(), target, "left_semi"))
+    grid = _cells_by_targets(cells, n.join(targets.select(target).distinct(), target, "left_semi"), part)
     keys = [*by, cell]
     base = nearest(grid, evidence, keys, ref_id=site, by=by).drop("nearest_id")
     base = count_within(base, evidence, keys, density_km, ref_id=site, by=by, name="density")

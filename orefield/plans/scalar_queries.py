@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import relational as R
 from ..sources import tables as S
 from .registry import haversine, query
 
@@ -191,11 +192,12 @@ def _(x):
     return x.part.select("p_partkey", C.concat_fields("p_name", F.when(F.col("p_partkey") % 2 == 1, F.col("p_brand")), "p_type").alias("search_text"))
 
 
-@query("f28_event_list", "SELECT mine, array_to_string(list(record_id || ':' || coalesce(CAST(inspected_on AS VARCHAR), 'undated') ORDER BY inspected_on NULLS FIRST, record_id), ',') AS events FROM inspections GROUP BY mine")
+@query("f28_event_list", "SELECT mine, coalesce(array_to_string(list(e ORDER BY inspected_on IS NULL, inspected_on, kind, detail) FILTER (e IS NOT NULL), ','), '') AS events FROM (SELECT DISTINCT mine, inspected_on, kind, detail, CASE WHEN detail IS NOT NULL THEN kind || ':' || detail || ':' || coalesce(CAST(inspected_on AS VARCHAR), 'undated') END AS e FROM (SELECT mine, inspected_on, 'inspected' AS kind, CAST(record_id AS VARCHAR) AS detail FROM inspections UNION ALL SELECT mine, NULL, 'coded', CAST(code AS VARCHAR) FROM inspections)) GROUP BY mine")
 def _(x):
-    e = F.sort_array(F.collect_list(F.struct("inspected_on", "record_id")))
-    text = F.transform(e, lambda s: F.concat_ws(":", s["record_id"].cast("string"), F.coalesce(s["inspected_on"].cast("string"), F.lit("undated"))))
-    return x.inspections.groupBy("mine").agg(F.array_join(text, ",").alias("events"))
+    rows = x.inspections.withColumn("no_date", F.lit(None).cast("date"))
+    out = R.event_list(rows, ["mine"], {"inspected": ("inspected_on", "record_id"), "coded": ("no_date", "code")})
+    text = F.transform("events", lambda e: F.concat_ws(":", e["event_type"], e["detail"], F.coalesce(e["event_date"].cast("string"), F.lit("undated"))))
+    return out.select("mine", F.array_join(text, ",").alias("events"))
 
 
 # --- projections and predicates ------------------------------------------------------------

@@ -166,7 +166,16 @@ def _(x):
     return P.containing(x.cells, union, ["cell_id"], "region_group", boundary="half_open")
 
 
-@query("g10_utm_to_wgs84")
+#: The inverse transverse Mercator series on the WGS84 ellipsoid, step by step.
+_UTM_SQL = """, u AS (SELECT p_partkey, 300000e0 + p_partkey % 400000 AS east, 1000000e0 + p_partkey * 37 % 2500000 AS north, 6378137e0 AS a, 1 / 298257223563e-9 AS f FROM part),
+u1 AS (SELECT *, f * (2 - f) AS e2 FROM u), u2 AS (SELECT *, e2 / (1 - e2) AS ep, (1 - sqrt(1 - e2)) / (1 + sqrt(1 - e2)) AS e1, north / 9996e-4 / (a * (1 - e2 / 4 - 3 * pow(e2, 2) / 64 - 5 * pow(e2, 3) / 256)) AS mu FROM u1),
+u3 AS (SELECT *, mu + (3 * e1 / 2 - 27 * pow(e1, 3) / 32) * sin(2 * mu) + (21 * pow(e1, 2) / 16 - 55 * pow(e1, 4) / 32) * sin(4 * mu) + 151 * pow(e1, 3) / 96 * sin(6 * mu) + 1097 * pow(e1, 4) / 512 * sin(8 * mu) AS phi FROM u2),
+u4 AS (SELECT *, ep * pow(cos(phi), 2) AS c1, pow(tan(phi), 2) AS t1, a / sqrt(1 - e2 * pow(sin(phi), 2)) AS n1, a * (1 - e2) / pow(1 - e2 * pow(sin(phi), 2), 15e-1) AS r1 FROM u3), u5 AS (SELECT *, (east - 500000) / (n1 * 9996e-4) AS d FROM u4)
+SELECT p_partkey, round(degrees(phi - n1 * tan(phi) / r1 * (d * d / 2 - (5 + 3 * t1 + 10 * c1 - 4 * c1 * c1 - 9 * ep) * pow(d, 4) / 24 + (61 + 90 * t1 + 298 * c1 + 45 * t1 * t1 - 252 * ep - 3 * c1 * c1) * pow(d, 6) / 720)), 6) AS lat,
+round(degrees((d - (1 + 2 * t1 + c1) * pow(d, 3) / 6 + (5 - 2 * c1 + 28 * t1 - 3 * c1 * c1 + 8 * ep + 24 * t1 * t1) * pow(d, 5) / 120) / cos(phi)) + 44 * 6 - 183, 6) AS lon FROM u5"""
+
+
+@query("g10_utm_to_wgs84", _UTM_SQL)
 def _(x):
     k = F.col("p_partkey")
     lat, lon = G.utm_to_wgs84(F.lit(44), 300000.0 + k % 400000, 1000000.0 + k * 37 % 2500000)
@@ -290,9 +299,12 @@ def _scores(x):
     return M.score_cells(x.cells, x.sites, x.materials)
 
 
-@query("m1_score_cells", _SCORES + " SELECT cell_id, material_id, n AS n_evidence, round(km, 6) AS nearest_km, round(score, 6) AS score, CASE WHEN n >= 20 THEN 'high' WHEN n >= 5 THEN 'medium' ELSE 'low' END AS support_level FROM fin")
+_RANKED = ", el AS (SELECT *, CASE WHEN n >= 5 AND km > 10 AND score IS NOT NULL THEN 1 ELSE 0 END AS ok FROM fin), pr AS (SELECT *, CASE WHEN ok = 1 THEN (rank() OVER (PARTITION BY material_id, ok ORDER BY score) + (count(*) OVER (PARTITION BY material_id, ok, score) - 1) / 2e0) / count(*) OVER (PARTITION BY material_id, ok) END AS percentile FROM el)"
+
+
+@query("m1_score_cells", _SCORES + _RANKED + " SELECT cell_id, material_id, n AS n_evidence, round(km, 6) AS nearest_km, round(score, 6) AS score, round(percentile, 6) AS percentile, CASE WHEN n >= 20 THEN 'high' WHEN n >= 5 THEN 'medium' ELSE 'low' END AS support_level FROM pr")
 def _(x):
-    return _scores(x).select("cell_id", "material_id", "n_evidence", r6("nearest_km").alias("nearest_km"), r6("score").alias("score"), "support_level")
+    return _scores(x).select("cell_id", "material_id", "n_evidence", r6("nearest_km").alias("nearest_km"), r6("score").alias("score"), r6("percentile").alias("percentile"), "support_level")
 
 
 @query("w2_top_k_per_row", _SCORES + ", k AS (SELECT cell_id, material_id, round(score, 6) AS score, row_number() OVER (PARTITION BY cell_id ORDER BY round(score, 6) DESC, material_id) AS n FROM fin) SELECT cell_id, array_to_string(list(material_id ORDER BY n) FILTER (n <= 5), ',') AS top_materials, max(material_id) FILTER (n = 1) AS top_material, max(score) FILTER (n = 1) AS top_score FROM k GROUP BY 1")
@@ -530,7 +542,8 @@ def _(x):
 
 _TRANSFER = (
     _SCORES
-    + ", el AS (SELECT *, CASE WHEN n >= 5 AND km > 10 AND score IS NOT NULL THEN 1 ELSE 0 END AS ok FROM fin), rk AS (SELECT cell_id, material_id, km, round(score, 9) AS s, CASE WHEN ok = 1 THEN (rank() OVER (PARTITION BY material_id, ok ORDER BY score) + (count(*) OVER (PARTITION BY material_id, ok, score) - 1) / 2e0) / count(*) OVER (PARTITION BY material_id, ok) END AS percentile FROM el)"
+    + _RANKED
+    + ", rk AS (SELECT cell_id, material_id, km, round(score, 9) AS s, percentile FROM pr)"
     ", b AS (SELECT DISTINCT s_suppkey AS block, s_suppkey * 7 % 200 + 1 AS cell_id, unnest([s_nationkey % 12, (s_nationkey + 5) % 12]) AS material_id FROM supplier), ar AS (SELECT cell_id, floor(lat / 4) * 100 + floor(lon / 4) AS area FROM cells)"
     ", oof AS (SELECT material_id, area, s, percentile, 1 AS y FROM b JOIN rk USING (cell_id, material_id) JOIN ar USING (cell_id) WHERE km > 25 UNION ALL SELECT material_id, area, s, percentile, 0 FROM rk JOIN ar USING (cell_id) WHERE km > 25)"
     + _metrics_sql("tm", "s")
@@ -622,20 +635,22 @@ def _(x):
     return Q.build_manifest({"orders": x.orders, "lineitem": x.lineitem}, {"orders": {"key": ["o_orderkey"], "role": "observation", "grain": "order"}, "lineitem": {"key": ["l_orderkey", "l_linenumber"], "role": "observation", "grain": "line"}})
 
 
-_DICTIONARY = """
-, c AS (SELECT table_name AS "table", column_name AS "column" FROM duckdb_columns() WHERE table_name IN ('orders', 'customer')),
-d AS (SELECT *, CASE WHEN "column" = 'o_orderkey' THEN 'own' WHEN "column" = 'o_custkey' THEN 'alias' WHEN regexp_matches("column", 'price|bal|date|key$') THEN 'rule' ELSE 'missing' END AS basis FROM c)
-SELECT "table", "column", CASE basis WHEN 'own' THEN 'order number' WHEN 'alias' THEN 'customer number' WHEN 'rule' THEN CASE WHEN regexp_matches("column", 'price|bal') THEN 'amount' WHEN regexp_matches("column", 'date') THEN 'day' ELSE 'identifier' END END AS definition, basis FROM d"""
+def _profile_sql(table: str, columns: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{table}' AS tab, '{c}' AS col, count(*) AS n_rows, count(*) - count({c}) AS n_missing, {f'count(*) FILTER (trim({c}) = {chr(39) * 2})' if kind == 'string' else 'CAST(0 AS BIGINT)'} AS n_blank FROM {table}" for c, kind in columns.items())
+
 
+_ORDER_COLUMNS = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "date", "o_orderpriority": "string"}
+_CUSTOMER_COLUMNS = {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"}
 
-@query("q10_build_dictionary", _DICTIONARY)
+
+@query("q10_build_dictionary", f", pf AS ({_profile_sql('orders', _ORDER_COLUMNS)} UNION ALL {_profile_sql('customer', _CUSTOMER_COLUMNS)}) SELECT tab AS table, col AS column, CASE WHEN col = 'o_orderkey' THEN 'order number' WHEN col IN ('o_custkey', 'c_custkey') THEN 'customer number' WHEN regexp_matches(col, 'price|bal') THEN 'amount' WHEN regexp_matches(col, 'date') THEN 'day' WHEN regexp_matches(col, 'key$') THEN 'identifier' END AS definition, CASE WHEN col = 'o_orderkey' THEN 'own' WHEN col = 'o_custkey' THEN 'alias' WHEN col = 'c_custkey' THEN 'shared' WHEN regexp_matches(col, 'price|bal|date|key$') THEN 'rule' ELSE 'missing' END AS basis, n_rows, n_missing, n_blank FROM pf")
 def _(x):
-    spark = x.spark
-    columns = spark.createDataFrame([(t, c) for t in ("orders", "customer") for c in getattr(x, t).columns], "table string, column string").join(x.region.agg(F.count("*").alias("n")).select(), how="cross")
-    own = columns.where("column = 'o_orderkey'").select("table", "column", F.lit("order number").alias("definition"))
-    aliases = columns.where("column = 'o_custkey'").select("column", F.lit("custkey").alias("target")).distinct()
-    shared = columns.where("column in ('c_custkey')").select(F.lit("custkey").alias("column"), F.lit("customer number").alias("definition")).distinct()
-    return Q.build_dictionary(columns, own, aliases, shared, {"price|bal": "amount", "date": "day", "key$": "identifier"})
+    """Columns with what their tables hold: every row of both tables is read once."""
+    columns = Q.profile_columns({"orders": x.orders.select(*_ORDER_COLUMNS), "customer": x.customer.select(*_CUSTOMER_COLUMNS)})
+    own = x.spark.createDataFrame([("orders", "o_orderkey", "order number")], "table string, column string, definition string")
+    aliases = x.spark.createDataFrame([("o_custkey", "c_custkey")], "column string, target string")
+    shared = x.spark.createDataFrame([("c_custkey", "customer number")], "column string, definition string")
+    return Q.build_dictionary(columns, own, aliases, shared, {"price|bal": "amount", "date": "day", "key$": "identifier"}).drop("data_type")
 
 
 @query("q11_gap_register", "SELECT p_partkey, trim(p_type) AS gap, array_to_string(CASE WHEN NOT regexp_matches(p_type, '(?i)STEEL|TIN|COPPER') THEN ['other'] ELSE list_filter([CASE WHEN regexp_matches(p_type, '(?i)STEEL|TIN') THEN 'metal' END, CASE WHEN regexp_matches(p_type, '(?i)COPPER') THEN 'base' END], lambda v: v IS NOT NULL) END, ',') AS categories, CASE WHEN p_partkey IN (SELECT l_partkey FROM lineitem) THEN 'lineitem' END AS tables FROM part")
@@ -707,6 +722,14 @@ def _(x):
     return D.extract_tables(_table_pages(x), "page_id", "html").toDF("page_id", "table", "row", "col", "text")
 
 
+@query("d2_nested_tables", ", c AS (SELECT o_orderkey AS page_id, 0 AS tab, 0 AS row, 0 AS col, 'order ' || o_orderkey || ' of ' || o_custkey AS text FROM orders UNION ALL SELECT o_orderkey, 0, 0, 1, 'a & b' FROM orders UNION ALL SELECT o_orderkey, 1, 0, 0, o_orderpriority FROM orders UNION ALL SELECT o_orderkey, 1, 0, 1, '' FROM orders UNION ALL SELECT o_orderkey, 0, 1, 0, strftime(o_orderdate, '%Y %m') FROM orders) SELECT page_id, CAST(tab AS INTEGER) AS table, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, text FROM c")
+def _(x):
+    """A table inside a cell that goes on after it, breaks, character references and end tags left out."""
+    o = x.orders
+    page = F.concat(F.lit("<TABLE><tr><td>order "), F.col("o_orderkey").cast("string"), F.lit("<table><tr><td>"), F.col("o_orderpriority"), F.lit("<td></td></tr></table>of<br>"), F.col("o_custkey").cast("string"), F.lit("<th>a &amp; <b>b</b><script>if (a < b) x()</script><tr><td>"), F.date_format("o_orderdate", "yyyy"), F.lit("<br/>"), F.date_format("o_orderdate", "MM"))
+    return D.extract_tables(o.select(F.col("o_orderkey").alias("page_id"), page.alias("html")), "page_id", "html")
+
+
 @query("d3_canonical_headers", "SELECT o_orderkey AS page_id, CAST(0 AS INTEGER) AS table, CAST(2 AS INTEGER) AS row, 'mine ' || o_custkey AS name, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority AS price FROM orders")
 def _(x):
     cells = D.extract_tables(_table_pages(x), "page_id", "html")

@@ -75,7 +75,12 @@ def _(x):
     return S.as_text(rows, ["p_partkey", "p_name", "p_size", "p_retailprice"], 2)
 
 
-@query("s8_write_geojson")
+_RING = "'[' || array_to_string(list('[' || x || ',' || y || ']' ORDER BY k), ',') || ']'"
+
+
+@query("s8_write_geojson", f""", c AS (SELECT cell_id, unit_id, floor((lon + 180) / 28125e-4) * 28125e-4 - 180 AS w, floor((lat + 90) / 28125e-4) * 28125e-4 - 90 AS s FROM cells),
+v AS (SELECT cell_id, unit_id, k, round(w + CASE WHEN k IN (1, 2) THEN 28125e-4 ELSE 0 END, 6) AS x, round(s + CASE WHEN k IN (2, 3) THEN 28125e-4 ELSE 0 END, 6) AS y FROM c CROSS JOIN (SELECT range AS k FROM range(5)))
+SELECT '{{"type":"Feature","id":"' || cell_id || '","properties":{{"cell_id":' || cell_id || ',"unit_id":' || coalesce(CAST(unit_id AS VARCHAR), 'null') || ',"row_sha256":"' || sha256('["' || cell_id || '","' || coalesce(CAST(unit_id AS VARCHAR), '') || '"]') || '"}},"geometry":{{"type":"Polygon","coordinates":[' || {_RING} || ']}}}}' AS feature FROM v GROUP BY cell_id, unit_id""")
 def _(x):
     from ..operators.cells import cell_of, geometry
 
@@ -83,6 +88,23 @@ def _(x):
     return S.geojson_features(x.cells.select("cell_id", "unit_id", wkt.alias("wkt")), "cell_id", "wkt", ["cell_id", "unit_id"])
 
 
+@query("s8_geojson_parts", f""", cl AS (SELECT * FROM districts UNION ALL SELECT district_id, part, ring, 99, x, y FROM districts WHERE seq = 0),
+r AS (SELECT district_id, part, ring, '[' || array_to_string(list('[' || printf('%.2f', x)::DOUBLE || ',' || printf('%.2f', y)::DOUBLE || ']' ORDER BY seq), ',') || ']' AS t FROM cl GROUP BY ALL),
+p AS (SELECT district_id, part, '[' || array_to_string(list(t ORDER BY ring), ',') || ']' AS t FROM r GROUP BY ALL),
+g AS (SELECT district_id, count(*) AS n, array_to_string(list(t ORDER BY part), ',') AS t FROM p GROUP BY ALL)
+SELECT '{{"type":"Feature","id":"' || district_id || '","properties":{{"district_id":' || district_id || ',"row_sha256":"' || sha256('["' || district_id || '"]') || '"}},"geometry":{{"type":' || CASE WHEN n > 1 THEN '"MultiPolygon","coordinates":[' || t || ']' ELSE '"Polygon","coordinates":' || t END || '}}}}' AS feature FROM g""")
+def _(x):
+    """Districts written as WKT with holes and second parts."""
+    v = x.districts
+    ring = v.groupBy("district_id", "part", "ring").agg(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))).alias("p"))
+    points = F.transform(F.concat("p", F.slice("p", 1, 1)), lambda q: F.format_string("%.2f %.2f", q["x"], q["y"]))
+    ring = ring.withColumn("t", F.concat(F.lit("("), F.array_join(points, ", "), F.lit(")")))
+    part = ring.groupBy("district_id", "part").agg(F.sort_array(F.collect_list(F.struct("ring", "t"))).alias("r")).withColumn("t", F.concat(F.lit("("), F.array_join("r.t", ", "), F.lit(")")))
+    whole = part.groupBy("district_id").agg(F.sort_array(F.collect_list(F.struct("part", "t"))).alias("r"))
+    wkt = F.when(F.size("r") > 1, F.concat(F.lit("MULTIPOLYGON ("), F.array_join("r.t", ", "), F.lit(")"))).otherwise(F.concat(F.lit("POLYGON "), F.col("r.t")[0]))
+    return S.geojson_features(whole.select("district_id", wkt.alias("wkt")), "district_id", "wkt", ["district_id"])
+
+
 @query("s9_upsert", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, 'new', 0e0 FROM customer WHERE c_custkey % 3 = 0")
 def _(x):
     base = x.customer.select("c_custkey", "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"))
@@ -303,7 +325,7 @@ def _(x):
 @query("a9_taxonomy_rollup", ", t AS (SELECT DISTINCT p_partkey, p_brand, p_type, unnest(string_split(p_name, ' ')) AS tag FROM part), d AS (SELECT DISTINCT tag FROM t UNION SELECT 'absent') SELECT d.tag, count(p_partkey) AS n_rows, count(DISTINCT p_brand) AS n_offices, coalesce(array_to_string(list_sort(list(DISTINCT p_type) FILTER (p_type IS NOT NULL)), ','), '') AS sources FROM d LEFT JOIN t USING (tag) GROUP BY 1")
 def _(x):
     rows = x.part.select(F.split("p_name", " ").alias("tags"), "p_brand", "p_type")
-    dim = rows.select(F.explode("tags").alias("tag")).union(x.part.limit(1).select(F.lit("absent")))
+    dim = rows.select(F.explode("tags").alias("tag")).union(x.spark.createDataFrame([("absent",)], "tag string"))
     return R.taxonomy_rollup(rows, "tags", dim, "tag", "p_brand", "p_type").withColumn("sources", F.array_join("sources", ","))
 
 

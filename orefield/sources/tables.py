@@ -93,12 +93,20 @@ def write_table(df: DataFrame, path: str, columns: Sequence[str], digits: int =
 
 
 def geojson_features(df: DataFrame, key: str, wkt: str, properties: Sequence[str]) -> DataFrame:
-    """(feature): one JSON Feature a row, polygon coordinates from the WKT, a hash of its fields among the properties."""
-    body = F.regexp_replace(F.regexp_replace(F.col(wkt), r"^POLYGON \(\(", ""), r"\)\)$", "")
-    ring = F.transform(F.split(body, ", *"), lambda p: F.transform(F.split(p, " "), lambda v: v.cast("double")))
-    props = F.struct(*[F.col(c) for c in properties], row_hash(*[F.col(c) for c in properties]).alias("row_sha256"))
-    feature = F.struct(F.lit("Feature").alias("type"), F.col(key).cast("string").alias("id"), props.alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))
-    return df.select(F.to_json(feature, {"ignoreNullFields": "false"}).alias("feature"))
+    """(feature): one JSON Feature a row, coordinates from the WKT of a polygon or multipolygon with any holes, a hash of its fields among the properties.
+
+    Other geometry and missing WKT give a null geometry.
+    """
+    text = F.upper(F.trim(wkt))
+    body = F.regexp_replace(F.trim(wkt), r"^[A-Za-z]+\s*\(+\s*|\s*\)+$", "")
+    ring = lambda r: F.transform(F.split(F.trim(r), r"\s*,\s*"), lambda p: F.transform(F.split(F.trim(p), r"\s+"), lambda v: v.cast("double")))
+    part = lambda t: F.transform(F.split(t, r"\)\s*,\s*\("), ring)
+    parts = F.transform(F.split(body, r"\)\s*\)\s*,\s*\(\s*\("), part)
+    shape = lambda kind, coordinates: F.to_json(F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")))
+    geometry = F.when(text.startswith("POLYGON"), shape("Polygon", part(body))).when(text.startswith("MULTIPOLYGON"), shape("MultiPolygon", parts)).otherwise("null")
+    props = F.to_json(F.struct(*[F.col(c) for c in properties], row_hash(*[F.col(c) for c in properties]).alias("row_sha256")), {"ignoreNullFields": "false"})
+    head = F.to_json(F.struct(F.lit("Feature").alias("type"), F.col(key).cast("string").alias("id")))
+    return df.select(F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"properties":'), props, F.lit(',"geometry":'), F.coalesce(geometry, F.lit("null")), F.lit("}")).alias("feature"))
 
 
 def write_geojson(df: DataFrame, path: str, key: str, wkt: str, properties: Sequence[str]) -> None:
