@@ -595,3 +595,35 @@ def test_main_text_in_split_and_named_wrappers():
         assert text == f"{a}\n{b}", start
     reader = f"<div id='comments'><p>{a} {a}</p></div>"  # more comments than text: the name still counts
     assert html_text.main_text(f"<article><p>{b}</p></article>{reader}") == b
+
+
+def test_names_weigh_and_do_not_delete_prose():
+    prose = "This is a paragraph of the article, and it goes on for a while; it has commas, and stops. It tells something of interest, too. " * 3
+    for name in "ad-hoc section-header comment-on-budget social-history related-work notice-of-hearing banner-year header-2 share-prices menu-planning".split():
+        page = f"<html><body><nav><a>Menu</a></nav><article><h1>Head</h1><p>{prose}</p><div class='{name}'><p>Inner one, {prose}</p><p>Inner two, {prose}</p></div><p>{prose}</p></article><footer>foot</footer></body></html>"
+        text = html_text.main_text(page)
+        assert text.count("Inner") == 2 and "Menu" not in text and "foot" not in text, name
+    for name in "ad comments comment-list reply sidebar cookie-notice notice newsletter social site-footer main-menu banner related promo".split():
+        reader = f"<div class='{name}'><p>A reader writes, this was fine. Thanks for it, really.</p></div>"
+        text = html_text.main_text(f"<html><body>{reader}<article><h1>Head</h1><p>{prose}</p>{reader}<p>{prose}</p></article>{reader}</body></html>")
+        assert text.count("tells") == 6 and "reader" not in text, name
+
+
+def brute_ratios(paths):
+    """Fused ratios of (path, texts) by their definition."""
+    return {p: (sum(map(len, t)) / len(t)) * (1 + sum(len(re.findall(r"[.,;:!?]", x)) for x in t) / len(t)) for p, t in paths.items()}
+
+
+def test_ratios_of_plain_pages_decide_as_their_definition_does():
+    """Flat pages of random texts under three unnamed paths: a text is content exactly if its path's and its own smoothed ratio reach the threshold."""
+    rng = random.Random(8)
+    for _ in range(200):
+        rows = [(rng.choice("qsb"), " ".join(rng.choice(["word", "more.", "so,", "x"]) for _ in range(rng.choice([1, 2, 30])))) for _ in range(rng.randrange(2, 9))]
+        page = "".join(f"<div><{tag}>{text}</{tag}></div>" for tag, text in rows)
+        fused = brute_ratios({tag: [t for g, t in rows if g == tag] for tag, _ in rows})
+        own = [fused[tag] for tag, _ in rows]
+        near = [0.25 * own[max(i - 1, 0)] + 0.5 * v + 0.25 * own[min(i + 1, len(own) - 1)] for i, v in enumerate(own)]
+        least = html_text.THRESHOLD * sum(s * len(t) for s, (_, t) in zip(near, rows)) / sum(len(t) for _, t in rows)
+        content = [t for s, v, (_, t) in zip(near, own, rows) if s >= least and v >= least]
+        lines = html_text.main_text(page).split("\n")
+        assert lines == content or set(content) < set(lines) and len(lines) == len(rows)  # a last step may add all that stands in the section around
