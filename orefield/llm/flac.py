@@ -11,7 +11,7 @@ then the predictor's recursion. Result rows are PCM blocks with their first samp
 reader can begin at any block (seek).
 
 Nulls count as empty; empty and null payloads give one block of padding. Repeated rows code alike; extra
-columns stay. Damaged media raise ValueError naming the check that failed.
+columns stay, but for those with the names of outputs, which replace them. Damaged media raise ValueError naming the check that failed.
 """
 
 from __future__ import annotations
@@ -117,25 +117,54 @@ def _lpc(x: np.ndarray, place: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def encode(payloads: list[bytes], block: int = BLOCK, lpc: bool = False) -> list[bytes]:
-    """A FLAC file for each payload of unsigned bytes (as signed samples: byte - 128). Payloads must not be empty."""
-    out: list[bytes] = []
-    part: list[bytes] = []
-    size = 0
-    for p in payloads:
-        part.append(p)
-        size += len(p)
-        if size >= _PART:
-            out += _encode_part(part, block, lpc)
-            part, size = [], 0
-    return out + (_encode_part(part, block, lpc) if part else [])
+    """A FLAC file for each payload of unsigned bytes (as signed samples: byte - 128). Payloads must not be empty.
 
+    Frames are coded about _PART samples at a time, several payloads or a part of one, so working memory does not follow a payload's length.
+    """
+    files: list[tuple[list[bytes], list[int]]] = [([], []) for _ in payloads]
+    part: list[tuple[int, int, bytes]] = []  # owner, number of the first frame, samples
+    size = 0
 
-def _encode_part(payloads: list[bytes], block: int, with_lpc: bool) -> list[bytes]:
+    def code() -> None:
+        for (owner, _, _), (body, stored) in zip(part, _code_frames([(first, p) for _, first, p in part], block, lpc)):
+            files[owner][0].append(body)
+            files[owner][1].extend(stored)
+        part.clear()
+
+    step = max(1, _PART // block) * block
+    for owner, p in enumerate(payloads):
+        for at in range(0, len(p), step):
+            piece = p[at : at + step]
+            part.append((owner, at // block, piece))
+            size += len(piece)
+            if size >= _PART:
+                code()
+                size = 0
+    if part:
+        code()
+    return [_file(p, block, bodies, stored) for p, (bodies, stored) in zip(payloads, files)]
+
+
+def _file(payload: bytes, block: int, bodies: list[bytes], stored: list[int]) -> bytes:
+    """Marker, STREAMINFO and SEEKTABLE before the frames."""
+    md5 = hashlib.md5(usedforsecurity=False)
+    for at in range(0, len(payload), _PART):
+        md5.update((np.frombuffer(payload, np.uint8, min(_PART, len(payload) - at), at) ^ 0x80).tobytes())
+    info = struct.pack(">HH", block, block) + min(stored).to_bytes(3) + max(stored).to_bytes(3) + (RATE << 44 | 0 << 41 | 7 << 36 | len(payload)).to_bytes(8) + md5.digest()
+    offsets = np.cumsum(stored) - stored
+    table = b"".join(struct.pack(">QQH", block * k, int(o), min(block, len(payload) - block * k)) for k, o in enumerate(offsets))
+    return b"".join([b"fLaC", b"\x00", len(info).to_bytes(3), info, b"\x83", len(table).to_bytes(3), table, *bodies])
+
+
+def _code_frames(pieces: list[tuple[int, bytes]], block: int, with_lpc: bool) -> list[tuple[bytes, list[int]]]:
+    """(coded frames, size of each) of each piece, which is the number of its first frame and its samples."""
+    payloads = [p for _, p in pieces]
     sizes = np.array([len(p) for p in payloads])
     per = -(-sizes // block)
     owner = np.repeat(np.arange(len(payloads)), per)
-    number = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
-    n = np.minimum(block, sizes[owner] - number * block)
+    within = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
+    number = within + np.array([first for first, _ in pieces])[owner]
+    n = np.minimum(block, sizes[owner] - within * block)
     starts = np.cumsum(n) - n
     x = np.frombuffer(b"".join(payloads), np.uint8).astype(np.int32) - 128
     frame = np.repeat(np.arange(len(n)), n)
@@ -215,17 +244,11 @@ def _encode_part(payloads: list[bytes], block: int, with_lpc: bool) -> list[byte
     crc = _crc16.of(data, at, bytes_of - 2)
     data[at + bytes_of - 2] = crc >> 8
     data[at + bytes_of - 1] = crc & 0xFF
-    body_bytes = data.tobytes()
-    out, f = [], 0
-    for i, p in enumerate(payloads):
-        frames = range(f, f + int(per[i]))
-        f += int(per[i])
-        base = int(at[frames[0]])
-        stored = [int(bytes_of[j]) for j in frames]
-        pcm = (np.frombuffer(p, np.uint8) ^ 0x80).tobytes()
-        info = struct.pack(">HH", block, block) + min(stored).to_bytes(3) + max(stored).to_bytes(3) + (RATE << 44 | 0 << 41 | 7 << 36 | len(p)).to_bytes(8) + hashlib.md5(pcm, usedforsecurity=False).digest()
-        table = b"".join(struct.pack(">QQH", block * k, int(at[j]) - base, int(n[j])) for k, j in enumerate(frames))
-        out.append(b"fLaC" + b"\x00" + len(info).to_bytes(3) + info + b"\x83" + len(table).to_bytes(3) + table + body_bytes[base : base + sum(stored)])
+    last_frame = np.cumsum(per)
+    out = []
+    for first, end in zip((last_frame - per).tolist(), last_frame.tolist()):
+        stored = bytes_of[first:end].tolist()
+        out.append((data[int(at[first]) : int(at[first]) + sum(stored)].tobytes(), stored))
     return out
 
 
@@ -249,17 +272,41 @@ def seek_points(media: bytes) -> tuple[dict, list[tuple[int, int, int]]]:
 
 
 def decode(media: list[bytes]) -> list[list[tuple[int, bytes]]]:
-    """For each file its PCM blocks (first sample, unsigned bytes), all checksums verified."""
-    out: list[list[tuple[int, bytes]]] = []
-    part: list[bytes] = []
-    size = 0
-    for m in media:
-        part.append(m)
-        size += len(m)
-        if size >= _PART:
-            out += _decode_part(part)
-            part, size = [], 0
-    return out + (_decode_part(part) if part else [])
+    """For each file its PCM blocks (first sample, unsigned bytes), all checksums verified.
+
+    Frames are decoded about _PART samples at a time, of several files or a part of one.
+    """
+    out: list[list[tuple[int, bytes]]] = [[] for _ in media]
+    part: list[tuple[int, int, int, bytes]] = []  # file, first sample, number, coded frame
+    samples = 0
+
+    def run() -> None:
+        coded = [x[3] for x in part]
+        size = np.array([len(x) for x in coded])
+        for (owner, first, _, _), pcm in zip(part, _frames(np.frombuffer(b"".join(coded), np.uint8), np.cumsum(size) - size, size, np.array([x[2] for x in part]))):
+            out[owner].append((first, pcm))
+        part.clear()
+
+    heads = []
+    for owner, m in enumerate(media):
+        info, points = seek_points(m)
+        heads.append(info)
+        ends = [*(p[1] for p in points[1:]), len(m)]
+        for k, ((first, begin, n), end) in enumerate(zip(points, ends)):
+            part.append((owner, first, k, m[begin:end]))
+            samples += n
+            if samples >= _PART:
+                run()
+                samples = 0
+    if part:
+        run()
+    for info, own in zip(heads, out):
+        md5 = hashlib.md5(usedforsecurity=False)
+        for _, pcm in own:
+            md5.update((np.frombuffer(pcm, np.uint8) ^ 0x80).tobytes())
+        if sum(len(pcm) for _, pcm in own) != info["samples"] or md5.digest() != info["md5"]:
+            raise ValueError("samples do not match STREAMINFO")
+    return out
 
 
 def seek(media: bytes, sample: int) -> tuple[int, bytes]:
@@ -271,30 +318,6 @@ def seek(media: bytes, sample: int) -> tuple[int, bytes]:
     return points[j][0], _frames(np.frombuffer(frame, np.uint8), np.array([0]), np.array([len(frame)]), np.array([points[j][0] // (points[0][2] or 1)]))[0]
 
 
-def _decode_part(media: list[bytes]) -> list[list[tuple[int, bytes]]]:
-    data = np.frombuffer(b"".join(media), np.uint8)
-    heads, begin, size, number = [], [], [], []
-    base = 0
-    for m in media:
-        info, points = seek_points(m)
-        heads.append((info, [p[0] for p in points]))
-        ends = [*(p[1] for p in points[1:]), len(m)]
-        begin += [base + p[1] for p in points]
-        size += [e - p[1] for e, p in zip(ends, points)]
-        number += range(len(points))
-        base += len(m)
-    blocks = _frames(data, np.array(begin), np.array(size), np.array(number))
-    out, f = [], 0
-    for info, firsts in heads:
-        own = blocks[f : f + len(firsts)]
-        f += len(firsts)
-        pcm = (np.frombuffer(b"".join(own), np.uint8) ^ 0x80).tobytes()
-        if len(pcm) != info["samples"] or hashlib.md5(pcm, usedforsecurity=False).digest() != info["md5"]:
-            raise ValueError("samples do not match STREAMINFO")
-        out.append(list(zip(firsts, own)))
-    return out
-
-
 def _frames(data: np.ndarray, begin: np.ndarray, size: np.ndarray, number: np.ndarray) -> list[bytes]:
     """Unsigned bytes of each frame."""
     crc = _crc16.of(data, begin, size - 2)
@@ -442,6 +465,13 @@ def seek_tail(blocks: list[tuple[int, bytes]], count: int) -> bytes:
 
 
 def features(pcm: bytes) -> str:
-    """Number of samples, sum, energy and zero crossings of the signed samples."""
-    x = np.frombuffer(pcm, np.uint8).astype(np.int64) - 128
-    return f"n={len(x)};sum={int(x.sum())};energy={int((x * x).sum())};crossings={int(((x[1:] < 0) != (x[:-1] < 0)).sum())}"
+    """Number of samples, sum, energy and zero crossings of the signed samples, added up in parts."""
+    total = energy = crossings = 0
+    for at in range(0, len(pcm), _PART):
+        begin = max(0, at - 1)  # with the sample before, for the crossing between
+        x = np.frombuffer(pcm, np.uint8, min(at + _PART, len(pcm)) - begin, begin).astype(np.int64) - 128
+        negative = x < 0
+        crossings += int((negative[1:] != negative[:-1]).sum())
+        own = x[at - begin :]
+        total, energy = total + int(own.sum()), energy + int((own * own).sum())
+    return f"n={len(pcm)};sum={total};energy={energy};crossings={crossings}"
