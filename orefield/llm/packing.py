@@ -3,8 +3,8 @@
 Bins are ordered by what is left in them. A piece goes into the tightest bin that it fits and that holds
 neither its source nor its duplicate cluster yet; each bin carries a bitmap of each. From
 the piece's size the successor search walks up through the residuals until a bin is compatible. For
-each residual and source the number of bins that already hold the source is kept, so residuals
-without a compatible bin are passed over at once.
+each residual the numbers of bins that already hold a source, and a cluster, are kept, so residuals
+whose bins all hold the piece's source, or all its cluster, are passed over at once.
 
 Documents longer than a bin are cut into whole-bin pieces and a rest; all pieces of a document conflict with
 each other through its cluster. Pieces are dealt into shards of about shard_pieces by a hash of id
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Batches, key_groups
+from ._common import Batches, key_groups, written
 
 CAPACITY = 2048
 SHARD_PIECES = 20_000
@@ -39,7 +39,9 @@ class Packer:
         self.bins_at: list[list[int]] = [[] for _ in range(capacity + 1)]  # by residual
         self.count = np.zeros(capacity + 1, np.int64)
         self.holding: dict[int, np.ndarray] = {}  # source bit -> bins at each residual that hold it
+        self.spread: dict[int, dict[int, int]] = {}  # cluster bit -> bins at each residual that hold it; most clusters are in one bin
         self.members: list[list[int]] = []  # source bits of each bin
+        self.copies: list[list[int]] = []  # cluster bits of each bin
         self.sources: list[int] = []  # bitmaps
         self.clusters: list[int] = []
         self.left: list[int] = []
@@ -52,22 +54,26 @@ class Packer:
                 self.holding[source] = np.zeros(self.capacity + 1, np.int64)
             free = free - self.holding[source][size:]
         s, c = (1 << source if source >= 0 else 0), (1 << cluster if cluster >= 0 else 0)
+        held = self.spread.get(cluster, {}) if cluster >= 0 else {}
         for residual in (np.flatnonzero(free > 0) + size).tolist():
+            if held.get(residual, 0) == self.count[residual]:
+                continue
             for b in self.bins_at[residual]:
                 if not self.sources[b] & s and not self.clusters[b] & c:
-                    self._put(b, size, source, s, c)
+                    self._put(b, size, source, cluster, s, c)
                     return b
         b = len(self.left)
         self.left.append(self.capacity)
         self.sources.append(0)
         self.clusters.append(0)
         self.members.append([])
+        self.copies.append([])
         self.bins_at[self.capacity].append(b)
         self.count[self.capacity] += 1
-        self._put(b, size, source, s, c)
+        self._put(b, size, source, cluster, s, c)
         return b
 
-    def _put(self, b: int, size: int, source: int, s: int, c: int) -> None:
+    def _put(self, b: int, size: int, source: int, cluster: int, s: int, c: int) -> None:
         old, new = self.left[b], self.left[b] - size
         if new != old:
             self.bins_at[old].remove(b)
@@ -77,10 +83,18 @@ class Packer:
             for m in self.members[b]:
                 self.holding[m][old] -= 1
                 self.holding[m][new] += 1
+            for m in self.copies[b]:
+                at = self.spread[m]
+                at[old] -= 1
+                at[new] = at.get(new, 0) + 1
             self.left[b] = new
         if source >= 0:
             self.members[b].append(source)
             self.holding[source][new] += 1
+        if cluster >= 0:
+            self.copies[b].append(cluster)
+            at = self.spread.setdefault(cluster, {})
+            at[new] = at.get(new, 0) + 1
         self.sources[b] |= s
         self.clusters[b] |= c
 
@@ -98,8 +112,8 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """(id, piece, size, source, cluster, bin, position, start): start is the piece's first word in its bin; bin numbers are unique."""
-    cut = pieces(docs, id_col=id_col, text_col=text_col, source_col=source_col, cluster_col=cluster_col, capacity=capacity)
-    shards = max(1, -(-docs.count() // shard_pieces))
+    cut = written(pieces(docs, id_col=id_col, text_col=text_col, source_col=source_col, cluster_col=cluster_col, capacity=capacity), "packing-pieces")
+    shards = max(1, -(-cut.count() // shard_pieces))
 
     def run(batches: Batches) -> Batches:
         for rows, cuts in key_groups(batches, "shard"):
