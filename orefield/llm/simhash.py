@@ -13,8 +13,8 @@ Near duplicates by the similarity of shingle sets (set_join.py) use long signatu
 that share a rare shingle are discarded by the pivot tables, and what is left is verified on the whole sets.
 
 Nulls and empty texts have no shingle: their fingerprint is zero and they link as any other.
-Rows with a null id link with
-none, and neither do they join others. Repeated rows keep one output row each. Other columns of the input are ignored.
+A row with a null id has a fingerprint
+but no component, which is null, and joins no others. Repeated rows keep one output row each. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -260,4 +260,4 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = near_links(nodes.where("node is not null"), radius=radius, blocks=blocks)
     parts = components(links, "simhash")
     named = nodes.join(parts, "node", "left").select("signature", F.coalesce("component", "node").alias("component"))
-    return marked.join(named, "signature").select("id", "signature", "component")
+    return marked.join(named, "signature").select("id", "signature", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
