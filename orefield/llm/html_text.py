@@ -12,7 +12,8 @@ nearly all text. All content is kept. So is, although its own ratio is low, a sh
 deepest one below body that holds nine tenths of the content; below a counted name, only beside content under that same name.
 
 Null and empty pages give empty text. Broken markup is read leniently: missing end tags, stray end
-tags and text after the last tag. Repeated pages give a row each; extra columns stay.
+tags and text after the last tag. Repeated pages give a row each; extra columns stay, but for one
+with the name of the output, which replaces it.
 """
 
 from __future__ import annotations

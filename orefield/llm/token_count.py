@@ -19,7 +19,8 @@ the entry of each chunk is the exit of the one before. Most chunks begin at a cu
 flushes to the initial one, so the second entry is rare.
 
 Null texts and empty texts have no tokens. Special strings in a text count as the library counts
-them by default: one token each, and the text beside them is split there. Extra columns stay.
+them by default: one token each, and the text beside them is split there. Extra columns stay,
+but for those with the names of outputs, which replace them.
 """
 
 from __future__ import annotations

@@ -597,6 +597,50 @@ def test_main_text_in_split_and_named_wrappers():
     assert html_text.main_text(f"<article><p>{b}</p></article>{reader}") == b
 
 
+def test_a_large_cluster_does_not_walk_every_bin():
+    """With bins counted for clusters as for sources, and the result that of a walk over all bins."""
+    rng = random.Random(3)
+    rows = [(rng.randrange(1, 60), rng.choice([-1, 0, 1, 2]), rng.choice([-1, 0, 0, 0, 5, 6, 7])) for _ in range(600)]
+    packer, bins = packing.Packer(100), []
+    for size, source, cluster in rows:
+        fits = [(left, b) for b, (left, ss, cc) in enumerate(bins) if left >= size and (source < 0 or source not in ss) and (cluster < 0 or cluster not in cc)]
+        b = min(fits)[1] if fits else len(bins)
+        if not fits:
+            bins.append((100, set(), set()))
+        left, ss, cc = bins[b]
+        bins[b] = (left - size, ss | ({source} if source >= 0 else set()), cc | ({cluster} if cluster >= 0 else set()))
+        assert packer.place(size, source, cluster) == b
+
+
+def test_flac_memory_does_not_follow_a_payload():
+    """A payload of several coding parts: the same file as of frames coded alone, and whole after decoding."""
+    rng = random.Random(4)
+    payload = bytes(rng.randrange(97, 123) for _ in range(5000)) * 600
+    (media,) = flac.encode([payload], lpc=True)
+    _, points = flac.seek_points(media)
+    assert len(points) == -(-len(payload) // flac.BLOCK) and [p[0] for p in points] == list(range(0, len(payload), flac.BLOCK))
+    assert b"".join(p for _, p in flac.decode([b"".join([media]), media])[1]) == payload
+    assert flac.seek(media, 2_000_000)[1] == payload[2_000_000 // 4096 * 4096 :][:4096]
+    x = [b - 128 for b in payload]
+    assert flac.features(payload) == f"n={len(x)};sum={sum(x)};energy={sum(v * v for v in x)};crossings={sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))}"
+
+
+def test_null_ids_have_no_component_and_first_copies_keep_them(spark):
+    rows = [(5, "one text of some words", 77), (None, "one text of some words", 88), (None, "one text of some words", 99), (6, "one text of some words", 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _mark long")
+    found = simhash.near_duplicates(docs).collect()
+    assert sorted((str(r.id), str(r.component)) for r in found) == [("5", "5"), ("6", "5"), ("None", "None"), ("None", "None")]
+    kept = corpus_pipeline.keep_first_copies(spark, docs, SMALL).collect()
+    assert sorted((str(r.doc_id), r._mark) for r in kept) == [("5", 77), ("None", 88), ("None", 99)]
+
+
+@pytest.mark.parametrize("text", [None, "", "x " * 200_000])
+def test_quality_stage_on_odd_texts(spark, text):
+    docs = spark.createDataFrame([(1, text, 3.0)], "doc_id long, text string, _score double")
+    kept = corpus_pipeline.keep_quality(spark, docs, SMALL)
+    assert kept.columns == docs.columns and kept.count() in (0, 1) and kept.where("false").count() == 0
+
+
 def test_names_weigh_and_do_not_delete_prose():
     prose = "This is a paragraph of the article, and it goes on for a while; it has commas, and stops. It tells something of interest, too. " * 3
     for name in "ad-hoc section-header comment-on-budget social-history related-work notice-of-hearing banner-year header-2 share-prices menu-planning".split():
