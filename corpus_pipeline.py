@@ -8,7 +8,7 @@ similarity of at least 0.8: candidates share a rare shingle, the SimHash operato
 every link is verified on the sets. A row with the id and the text of another is its copy; rows with one id and different texts are judged apart.
 Null and empty texts are copies of one another. Extra columns stay as they are.
 
-Documents with a null id are kept by the near-duplicate stage, which cannot name them.
+Documents with a null id are kept by the near-duplicate stage, all of them: it cannot name them.
 """
 
 from __future__ import annotations
@@ -27,6 +27,13 @@ SHINGLE, SIMILARITY = 5, 0.8
 SALTS = 16
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of docs has it."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     if not model.weights:  # a class without labelled rows: nothing tells documents apart, so none is rejected
@@ -39,9 +46,10 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     first = found.where("id is not null").groupBy("component").agg(F.min(F.struct("id", "mark")).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = first.select("component", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     rows = found.where("id is not null").withColumn("salt", F.pmod("mark", F.lit(SALTS)).cast("int"))  # a large group is spread over tasks
-    later = rows.join(first, ["component", "salt"]).where(F.struct("id", "mark") != F.col("first")).select(F.col("id").alias("doc_id"), F.col("mark").alias("_mark")).distinct()
-    marked = docs.withColumns({"_mark": F.xxhash64("doc_id", "text")})
-    return marked.join(later, ["doc_id", "_mark"], "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    mark, nameless = free_name(docs, "_mark"), free_name(docs, "_nameless")
+    later = rows.join(first, ["component", "salt"]).where(F.struct("id", "mark") != F.col("first")).select(F.col("id").alias("doc_id"), F.col("mark").alias(mark)).distinct()
+    marked = docs.withColumns({mark: F.xxhash64("doc_id", "text"), nameless: F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())})
+    return marked.join(later, ["doc_id", mark], "left_anti").dropDuplicates(["doc_id", "text", nameless]).select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
