@@ -113,6 +113,60 @@ def brier(df: DataFrame, by: Sequence[str], probability: str, label: str) -> Dat
     return df.groupBy(*by).agg(F.avg(F.pow(F.col(probability) - F.col(label), 2)).alias("brier"))
 
 
+def group_wins(df: DataFrame, by: Sequence[str], group: str, score: str, label: str) -> DataFrame:
+    """(by, gp, gn, wins): for each positive group and background group the pairs of rows that the positive one wins, ties a half.
+
+    A background group is sorted with the positives of its by group, once for all replicates: an AUC of weighted groups is a sum over pairs of groups then.
+    """
+    rows = df.where(F.col(score).isNotNull())
+    negative = rows.where(F.col(label) == 0).groupBy(*by, F.col(group).alias("gn"), F.col(score).alias("s")).agg(F.count("*").alias("n"))
+    positive = rows.where(F.col(label) == 1).groupBy(*by, F.col(group).alias("gp"), F.col(score).alias("s")).agg(F.count("*").alias("p"))
+    each = positive.join(negative.select(*by, "gn").distinct(), list(by))
+    both = negative.select(*by, "gn", F.lit(None).cast(positive.schema["gp"].dataType).alias("gp"), "s", "n", F.lit(0).alias("p")).unionByName(each.select(*by, "gn", "gp", "s", F.lit(0).alias("n"), "p"))
+    w = Window.partitionBy(*by, "gn").orderBy("s")
+    below, same = F.sum("n").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.sum("n").over(Window.partitionBy(*by, "gn", "s"))
+    counted = both.withColumns({"upto": below, "same": same}).where("p > 0")
+    return counted.groupBy(*by, "gp", "gn").agg(F.sum(F.col("p") * (F.col("upto") - F.col("same") / 2)).alias("wins"))
+
+
+def weighted_aucs(df: DataFrame, by: Sequence[str], group: str, score: str, label: str, draws: DataFrame, share: Sequence[str]) -> DataFrame:
+    """(by, rep, auc) when groups count as often as draws (share, group, label, rep, times) says; share: the by columns that draws has.
+
+    If pairs of groups are not more than rows, by pairs of groups; else by weighted rows. Both are exact.
+    """
+    df = materialised(df.select(*by, group, F.col(score).alias(score), label))
+    sizes = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(group).alias("_g"), label).agg(F.count("*").alias("_c"))
+    sizes = materialised(sizes)
+    most = sizes.groupBy(*by).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"), F.sum("_c").alias("c")).agg(F.sum(F.col("p") * F.col("n")), F.sum("c")).first()
+    if (most[0] or 0) > (most[1] or 0):
+        return roc_auc(df.join(draws, [*share, group, label]), [*by, "rep"], score, label, "times")
+    times = lambda y, name, t: draws.where(F.col(label) == y).select(*share, F.col(group).alias(name), "rep", F.col("times").alias(t))
+    wins = group_wins(df, by, group, score, label)
+    won = wins.join(times(1, "gp", "tp"), [*share, "gp"]).join(times(0, "gn", "tn"), [*share, "rep", "gn"]).groupBy(*by, "rep").agg(F.sum(F.col("wins") * F.col("tp") * F.col("tn")).alias("u"))
+    total = lambda y, name: sizes.where(F.col(label) == y).join(times(y, "_g", "t"), [*share, "_g"]).groupBy(*by, "rep").agg(F.sum(F.col("_c") * F.col("t")).alias(name))
+    return won.join(total(1, "np"), [*by, "rep"]).join(total(0, "nn"), [*by, "rep"]).select(*by, "rep", F.try_divide("u", F.col("np") * F.col("nn")).alias("auc"))
+
+
+def weighted_cuts(background: DataFrame, by: Sequence[str], group: str, score: str, draws: DataFrame, level: float = 0.95) -> DataFrame:
+    """(by, rep, _cut): the percentile of each replicate's weighted background rows, as if each row stood there times over.
+
+    Each by group's own percentile halfway to the top is a floor: replicates whose cut lies above it, which counts of groups tell, unpack only the rows
+    from there on; the others unpack all.
+    """
+    rows = background.where(F.col(score).isNotNull()).select(*by, group, F.col(score).cast("double").alias("s"))
+    floors = rows.groupBy(*by).agg(F.percentile("s", F.lit(1 - 2 * (1 - level))).alias("_floor"))
+    rows = materialised(rows.join(floors, list(by)))
+    counts = rows.groupBy(*by, group).agg(F.count("*").alias("_c"), F.count_if(F.col("s") >= F.col("_floor")).alias("_top"))
+    reps = counts.join(draws, [*by, group]).groupBy(*by, "rep").agg(F.sum(F.col("_c") * F.col("times")).alias("_w"), F.sum(F.col("_top") * F.col("times")).alias("_a"))
+    at = F.lit(float(level)) * (F.col("_w") - 1)
+    reps = reps.withColumns({"_low": F.floor(at), "_high": F.ceil(at), "_part": at - F.floor(at)}).withColumn("_skip", F.when(F.col("_low") >= F.col("_w") - F.col("_a"), F.col("_w") - F.col("_a")).otherwise(0))
+    used = rows.join(draws, [*by, group]).join(reps, [*by, "rep"]).where((F.col("_skip") == 0) | (F.col("s") >= F.col("_floor")))
+    ties = used.groupBy(*by, "rep", "s").agg(F.sum("times").alias("_t"), *[F.first(c).alias(c) for c in ("_low", "_high", "_part", "_skip")])
+    upto = F.sum("_t").over(Window.partitionBy(*by, "rep").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_skip")
+    picked = ties.withColumn("_u", upto).groupBy(*by, "rep").agg(F.min(F.when(F.col("_u") > F.col("_low"), F.col("s"))).alias("_a"), F.min(F.when(F.col("_u") > F.col("_high"), F.col("s"))).alias("_b"), F.first("_part").alias("_part"))
+    return picked.select(*by, "rep", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part")).alias("_cut"))
+
+
 def group_bootstrap(df: DataFrame, by: Sequence[str], group: str, score: str, label: str, reps: int, seed: int) -> DataFrame:
     """(by, auc_low, auc_high, recall_low, recall_high): 2.5th and 97.5th percentile of the AUC and of the recall at the background's top when whole groups are drawn with replacement, positive and background ones apart.
 
@@ -123,13 +177,13 @@ def group_bootstrap(df: DataFrame, by: Sequence[str], group: str, score: str, la
     placed = groups.withColumns({"g": F.row_number().over(w.orderBy(group)) - 1, "m": F.count("*").over(w)})
     draws = placed.select(*by, label, "m", F.col("g").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     drawn = draws.withColumn("g", integer_hash(F.col("draw") * 7919 + F.col("rep") * 104729 + F.col(label), seed) % F.col("m")).groupBy(*by, label, "rep", "g").agg(F.count("*").alias("times"))
-    weights = drawn.join(placed, [*by, label, "g"]).select(*by, label, group, "rep", "times")
-    weighted = df.join(weights, [*by, label, group])
+    weights = materialised(drawn.join(placed, [*by, label, "g"]).select(*by, label, group, "rep", "times"))
     one = [*by, "rep"]
-    cut = weighted.where(F.col(label) == 0).groupBy(*one).agg(F.percentile(score, F.lit(0.95), F.col("times")).alias("_cut"))
+    cut = weighted_cuts(df.where(F.col(label) == 0), by, group, score, weights.where(F.col(label) == 0).drop(label))
+    positive = df.where(F.col(label) == 1).join(weights.where(F.col(label) == 1).drop(label), [*by, group])
     hit = F.when(F.col(score).isNotNull(), F.when(F.col(score) >= F.col("_cut"), F.col("times")).otherwise(0))
-    recall = weighted.where(F.col(label) == 1).join(cut, one).groupBy(*one).agg(F.try_divide(F.sum(hit), F.sum(F.when(hit.isNotNull(), F.col("times")))).alias("recall"))
-    each = roc_auc(weighted, one, score, label, "times").join(recall, one, "left")
+    recall = positive.join(cut, one).groupBy(*one).agg(F.try_divide(F.sum(hit), F.sum(F.when(hit.isNotNull(), F.col("times")))).alias("recall"))
+    each = weighted_aucs(df, by, group, score, label, weights, by).join(recall, one, "left")
     return each.groupBy(*by).agg(*[F.percentile(m, F.lit(p)).alias(f"{m}_{side}") for m in ("auc", "recall") for side, p in (("low", 0.025), ("high", 0.975))])
 
 
@@ -153,15 +207,13 @@ def group_draws(df: DataFrame, by: Sequence[str], group: str, label: str, reps:
 def paired_bootstrap(df: DataFrame, by: Sequence[str], group: str, base: str, extended: str, label: str, reps: int = 500, seed: int = 7) -> DataFrame:
     """(by, delta_low, delta_high, valid): 2.5th and 97.5th percentile of the gain in AUC of extended over base when whole groups are drawn, and the replicates with both classes.
 
-    Both arms share each replicate's draws. Rows with equal scores of a group count once with their number before they are weighted, so a replicate
-    costs one row for each group and score. NULL and 0 where group_draws() has none.
+    Both arms share each replicate's draws. NULL and 0 where group_draws() has none.
     """
     draws = group_draws(df, by, group, label, reps, seed)
+    both_labels = materialised(draws.withColumn("_y", F.explode(F.array(F.lit(0), F.lit(1)))))  # a drawn group brings all its rows
     arms = F.explode(F.array(F.struct(F.lit(0).alias("arm"), F.col(base).alias("s")), F.struct(F.lit(1).alias("arm"), F.col(extended).alias("s"))))
-    long = df.where(F.col(base).isNotNull() & F.col(extended).isNotNull()).select(*by, group, F.col(label).alias("_y"), arms.alias("a")).select(*by, group, "_y", "a.*")
-    counted = long.groupBy(*by, group, "_y", "arm", "s").agg(F.count("*").alias("_c"))
-    weighted = counted.join(draws, [*by, group]).withColumn("_w", F.col("_c") * F.col("times"))
-    auc = roc_auc(weighted, [*by, "rep", "arm"], "s", "_y", "_w")
+    long = df.where(F.col(base).isNotNull() & F.col(extended).isNotNull()).select(*by, group, F.col(label).cast("int").alias("_y"), arms.alias("a")).select(*by, group, "_y", "a.*")
+    auc = weighted_aucs(long, [*by, "arm"], group, "s", "_y", both_labels, by)
     deltas = auc.groupBy(*by, "rep").agg((F.max(F.when(F.col("arm") == 1, F.col("auc"))) - F.max(F.when(F.col("arm") == 0, F.col("auc")))).alias("_d"))
     found = deltas.groupBy(*by).agg(F.percentile("_d", F.lit(0.025)).alias("delta_low"), F.percentile("_d", F.lit(0.975)).alias("delta_high"), F.count("_d").alias("valid"))
     every = df.select(*by).distinct()

@@ -194,3 +194,21 @@ def test_features_of_wkt_with_holes_and_parts(spark):
 def test_profile_of_columns(spark):
     df = spark.createDataFrame([(1, "a"), (2, " "), (None, None)], "n int, t string")
     assert sorted((r.column, r.data_type, r.n_rows, r.n_missing, r.n_blank) for r in Q.profile_columns({"x": df}).collect()) == [("n", "int", 3, 1, 0), ("t", "string", 3, 1, 1)]
+
+
+@pytest.mark.parametrize("n_groups", [3, 400])
+def test_weighted_aucs_and_cuts_equal_repeated_rows(spark, n_groups):
+    """Few groups go by pairs of groups, many by weighted rows; some replicates' cuts lie below the floor."""
+    rng = random.Random(6)
+    rows = [(f"g{rng.randrange(n_groups)}", int(rng.random() < 0.3), float(rng.randrange(30))) for _ in range(300)]
+    groups = sorted({(g, y) for g, y, _ in rows})
+    draws = [(g, y, r, rng.choice([1, 1, 2, 9])) for r in range(12) for g, y in groups if rng.random() < 0.7]
+    df = spark.createDataFrame(rows, "g string, y int, s double").withColumn("m", F.lit(1))
+    w = spark.createDataFrame(draws, "g string, y int, rep int, times long").withColumn("m", F.lit(1))
+    times = {(g, y, r): t for g, y, r, t in draws}
+    aucs = {r.rep: r.auc for r in M.weighted_aucs(df, ["m"], "g", "s", "y", w, ["m"]).collect()}
+    cuts = {r.rep: r._cut for r in M.weighted_cuts(df.where("y = 0"), ["m"], "g", "s", w.where("y = 0").drop("y")).collect()}
+    for rep in range(12):
+        p, n = ([s for g, y, s in rows if y == k for _ in range(times.get((g, y, rep), 0))] for k in (1, 0))
+        assert cuts[rep] == pytest.approx(np.percentile(n, 95))
+        assert aucs[rep] == pytest.approx(np.mean([(a > b) + (a == b) / 2 for a in p for b in n]))
