@@ -67,7 +67,7 @@ def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
         tails = [zlib.crc32(flac.seek_tail(own, 64)) for own in blocks]
         return [pa.array([len(p) for p in payloads], pa.int64()), pa.array(payloads, pa.binary()), pa.array(tails, pa.int64()), pa.array([flac.features(p) for p in payloads], pa.string())]
 
-    read = with_text_columns(held, "media", "payload_bytes bigint, payload binary, tail_crc32 bigint, feature string", measured, 1 << 20)
+    read = with_text_columns(held, "media", "payload_bytes bigint, payload binary, tail_crc32 bigint, feature string", measured, 2 << 20)
     return read.select("doc_id", "n_bytes", "payload_bytes", F.sha2("payload", 256).alias("payload_sha256"), "tail_crc32", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
 
 
