@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.relational import running_number
-from ._common import as_bytes, key_groups, slices, written
+from ._common import as_bytes, slices, written
 
 #: Parts per SCALE are the unit of a probability.
 SCALE = 1_000_000_000
@@ -85,40 +85,45 @@ def price(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 class Trees:
     """Hash-consed binary segment trees over a range of ids, one for each row of a count matrix.
 
-    Level 0 holds counts. A node of a higher level is named by the place of its pair of child names among
-    the different pairs of its level, so equal subtrees have one name.
+    A leaf is named by its count's place among the different counts, a node by the place of its pair of child names among the different
+    pairs of its level, so equal subtrees have one name.
     """
 
     def __init__(self, counts: np.ndarray) -> None:
-        names, self.children = counts, []
+        self.counts, names = np.unique(counts, return_inverse=True)
+        names, self.children = names.reshape(counts.shape), []
+        self.most = len(self.counts)
         while names.shape[1] > 1:
-            pairs = np.stack([names[:, 0::2].ravel(), names[:, 1::2].ravel()], 1)
-            nodes, at = np.unique(pairs, axis=0, return_inverse=True)
-            self.children.append(nodes)
+            n = int(names.max()) + 1
+            nodes, at = np.unique(names[:, 0::2].ravel() * n + names[:, 1::2].ravel(), return_inverse=True)
+            self.children.append((nodes // n, nodes % n))
             names = at.reshape(names.shape[0], -1)
+            self.most = max(self.most, len(nodes))
         self.roots = names[:, 0]
 
     def meet(self, one: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(other, count of one, count of other, times): each different pair of counts of a tree and another, once."""
+        m = self.most
         who, a, b, times = np.arange(len(others)), np.full(len(others), self.roots[one]), self.roots[others], np.ones(len(others), np.int64)
-        for nodes in reversed(self.children):
-            who, times = np.tile(who, 2), np.tile(times, 2)
-            a, b = nodes[a].T.ravel(), nodes[b].T.ravel()
-            order = np.lexsort((b, a, who))
-            who, a, b, times = who[order], a[order], b[order], times[order]
-            first = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            who, a, b, times = who[first], a[first], b[first], np.add.reduceat(times, first)
-        return who, a, b, times
+        for left, right in reversed(self.children):
+            key = np.tile(who, 2) * m * m + np.concatenate([left[a], right[a]]) * m + np.concatenate([left[b], right[b]])
+            order = np.argsort(key)
+            key, times = key[order], np.tile(times, 2)[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            key, times = key[first], np.add.reduceat(times, first)
+            who, a, b = key // (m * m), key // m % m, key % m
+        return who, self.counts[a], self.counts[b], times
 
 
 def _range_values(counts: np.ndarray, totals: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """For each row its value against every other row, summed over the range."""
     trees = Trees(counts)
+    step = max(1, (1 << 62) // trees.most**2)  # others whose keys of a pair of nodes fit 64 bits
     for one in range(len(counts)):
-        who, a, b, times = trees.meet(one, np.arange(len(counts)))
-        values = price(probability(a, totals[one]), probability(b, totals[who])) * times
         out = np.zeros(len(counts), np.int64)
-        np.add.at(out, who, values)
+        for start in range(0, len(counts), step):
+            who, a, b, times = trees.meet(one, np.arange(start, min(start + step, len(counts))))
+            np.add.at(out, who + start, price(probability(a, totals[one]), probability(b, totals[who + start])) * times)
         yield one, out
 
 
