@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from orefield.functions import columns as C
 from orefield.operators import cells as G
-from orefield.operators import polygons as Y
 from orefield.operators import documents as D
 from orefield.operators import governance as Q
 from orefield.operators import relational as R
