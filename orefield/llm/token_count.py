@@ -10,13 +10,13 @@ bytes can depend on:
     token and the relative count at each place inside that suffix. Byte-pair encoding has the prefix
     property: the encoding of a prefix is that of a shorter prefix plus one last token, and the last token is
     the only suffix entry that pairs with the token before it. So these are enough.
-States are determinised when first met and kept in a table (state x byte) of bounded size.
+States are determinised when first met and kept in a table (state x byte) of at most MAX_STATES states
+and those in use; a full table is emptied between two bytes.
 
-Texts are cut into chunks. A chunk's state map is held for the entry states that matter: the initial
-state, from which all chunks of a batch run side by side, and, where the state at the end of the
-chunk before is another, that one. Maps compose by scan: chunk counts are summed along each document once
-the entry of each chunk is the exit of the one before. Most chunks begin at a cut where any state
-flushes to the initial one, so the second entry is rare.
+Texts are cut into chunks. A chunk's state map is held for the entry states that can matter: the initial
+state, from which all chunks of a batch run side by side, and every exit of the map before it. The closed
+maps compose by a parallel prefix scan (doubling). Most chunks begin at a cut where any state flushes to the
+initial one, and states forget what came before within a few tokens, so maps have one or two entries.
 
 Null texts and empty texts have no tokens. Special strings in a text count as the library counts
 them by default: one token each, and the text beside them is split there. Extra columns stay,
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from ._common import with_text_columns
 
 CHUNK = 1024
-MAX_TABLE_BYTES = 150_000_000
+MAX_STATES = 300_000
 _END = 256
 _LETTER, _DIGIT, _MARK, _SPACE = "L", "N", "P", "S"
 #: The contractions of the pre-tokenizer's pattern.
@@ -49,7 +49,7 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Transducer:
-    def __init__(self, path: str, max_table_bytes: int = MAX_TABLE_BYTES) -> None:
+    def __init__(self, path: str, max_states: int = MAX_STATES) -> None:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -67,7 +67,7 @@ class Transducer:
         self.classes: dict[str, str] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.singles: dict[bytes, bool] = {}
-        self.max_table_bytes = max_table_bytes
+        self.max_states = self.most_states = max_states
         self._reset()
 
     def _reset(self) -> None:
@@ -229,8 +229,11 @@ class Transducer:
 
     # --- running chunks side by side ------------------------------------------
 
-    def run(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, entry: np.ndarray, flush: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(exit state, count) of each chunk data[begin:end] from its entry state; chunks with flush end their pre-token."""
+    def run(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, entry: np.ndarray, flush: np.ndarray, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(exit state, count) of each chunk data[begin:end] from its entry state; chunks with flush end their pre-token.
+
+        held: further arrays of state numbers in use. They and entry are renumbered in place when the table is emptied.
+        """
         order = np.argsort(begin - end, kind="stable")
         at, stop, state = begin[order].copy(), end[order], entry[order].astype(np.int64)
         count = np.zeros(len(order), np.int64)
@@ -242,6 +245,8 @@ class Transducer:
                 break
             self._step(state[:live], data[at[:live]], count[:live])
             at[:live] += 1
+            if len(self.states) > self.most_states:
+                self._forget([state, entry, *held])
         final = flush[order]
         if final.any():
             s, c = state[final], count[final]
@@ -251,6 +256,18 @@ class Transducer:
         out_state[order], out_count[order] = state, count
         return out_state, out_count
 
+    def _forget(self, held: list[np.ndarray]) -> None:
+        """Empties the table but for the initial state and those of held, which are renumbered. Twice as many stay free at least."""
+        known, states = np.unique(np.concatenate([[0], *held])), self.states
+        self.numbers = {states[s]: n for n, s in enumerate(known.tolist())}
+        self.states = list(self.numbers)
+        self.most_states = max(self.max_states, 3 * len(known))
+        rows = max(1024, len(known))
+        self.next = np.full((rows, self.next.shape[1]), -1, np.int32)
+        self.change = np.zeros((rows, self.next.shape[1]), np.int8)
+        for own in held:
+            own[:] = np.searchsorted(known, own)
+
     def _step(self, state: np.ndarray, symbols: np.ndarray, count: np.ndarray) -> None:
         width = self.next.shape[1]
         place = state * width + self.column[symbols]
@@ -300,22 +317,44 @@ class Transducer:
             owner += [parts[n][0]] * len(cuts)
             first += clean
             flush += [*clean[1:], True]
-        head, tail, own = np.array(heads), np.array(tails), np.array(owner)
-        free, final = np.array(first), np.array(flush)
-        entry = np.zeros(len(head), np.int64)
-        exits, count = self.run(data, head, tail, entry, final)
-        while True:  # scan: each round settles the next chunk of every document at least
-            wanted = np.where(free, 0, np.concatenate([[0], exits[:-1]]))
-            wrong = np.flatnonzero(wanted != entry)
-            if not len(wrong):
-                break
-            entry[wrong] = wanted[wrong]
-            exits[wrong], count[wrong] = self.run(data, head[wrong], tail[wrong], entry[wrong], final[wrong])
-        np.add.at(extra, own, count)
-        if self.next.size * 5 > self.max_table_bytes:
-            self._reset()
+        np.add.at(extra, np.array(owner)[np.array(first)], self._composed(data, np.array(heads), np.array(tails), np.array(first), np.array(flush)))
         return extra
 
+    def _composed(self, data: np.ndarray, head: np.ndarray, tail: np.ndarray, free: np.ndarray, final: np.ndarray) -> np.ndarray:
+        """Tokens from each chunk that begins free of what came before (entry: the initial state) up to the chunk that ends with a flush.
+
+        The state maps are one table of rows (chunk, entry, exit, count). Each map holds the initial state and all
+        exits of the map before, so a chunk's row leads to one row of the next chunk, and maps compose by doubling:
+        after step d a row holds the count of 2^d chunks and leads to the row behind them.
+        """
+        n = len(head)
+        chunk, entry = np.arange(n), np.zeros(n, np.int64)
+        exits, count = self.run(data, head, tail, entry, final, [])
+        new = np.arange(n)
+        while True:  # close the maps: exits that the next map does not hold become entries of it
+            onward = new[~final[chunk[new]]]
+            asked = np.unique(np.stack([chunk[onward] + 1, exits[onward]], 1), axis=0)
+            asked = asked[~np.isin(self._key(asked[:, 0], asked[:, 1]), self._key(chunk, entry))]
+            if not len(asked):
+                break
+            more, into = asked.T[0], asked.T[1].copy()
+            out, c = self.run(data, head[more], tail[more], into, final[more], [entry, exits])
+            new = np.arange(len(chunk), len(chunk) + len(more))
+            chunk, entry, exits, count = (np.concatenate(x) for x in ((chunk, more), (entry, into), (exits, out), (count, c)))
+        order = np.argsort(self._key(chunk, entry))
+        chunk, entry, exits, total = chunk[order], entry[order], exits[order], count[order]
+        goes = ~final[chunk]
+        behind = np.searchsorted(self._key(chunk, entry), self._key(chunk + 1, exits))
+        behind = np.append(np.where(goes, behind, len(chunk)), len(chunk))
+        total = np.append(total, 0)
+        while (behind[:-1] < len(chunk)).any():
+            total, behind = total + total[behind], behind[behind]
+        return total[:-1][(entry == 0) & free[chunk]]
+
+    @staticmethod
+    def _key(chunk: np.ndarray, state: np.ndarray) -> np.ndarray:
+        return chunk.astype(np.int64) << 32 | state
+
 
 _TRANSDUCERS: dict[str, Transducer] = {}
 

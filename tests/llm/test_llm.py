@@ -456,13 +456,37 @@ def test_transducer_odd_texts():
     rng = random.Random(9)
     texts = ["a  b", "it's 'tis don't we'll I'LL 're x'r y've'", "　x\n\n\ny \t z  ", "<|endoftext|> hi  <|endoftext|>", "日本語 ñandú 123４５", "x" * 5000 + "é" * 3000, "ab'" * 900, "🙂" * 2000 + " '🙂'", "''s a'r a've'l ſ's don’t"]
     texts += ["".join(rng.choice(" \n'a1é.sretvmld🙂 ") for _ in range(rng.choice([3, 40, 5000]))) for _ in range(150)]
-    made = token_count.Transducer(path, max_table_bytes=1_000_000)
+    made = token_count.Transducer(path, max_states=1_000)
     assert made.counts([t.encode() for t in texts]).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
 # --- clashing columns ---------------------------------------------------------------
 
 
+def test_state_maps_compose_over_chunks_and_full_tables():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    rng = random.Random(11)
+    runs = [
+        "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30_000)),
+        "a" * 20_000,
+        "ab" * 9_000 + "c" * 5_001,
+        "".join(rng.choice("0123456789") for _ in range(12_000)),
+        "".join(rng.choice("\u4e2d\u6587\u5b57é") for _ in range(7_000)),
+        " " * 9_000 + "x" + "\n" * 9_000,
+        "'" * 5_000 + "s" * 5_000,
+        "the cat " * 3_000 + "<|endoftext|>" + "z" * 4_000,
+    ]
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in runs]
+    for most in (100, 5_000, token_count.MAX_STATES):
+        made = token_count.Transducer(path, max_states=most)
+        assert made.counts([t.encode() for t in runs]).tolist() == want
+        assert len(made.states) <= max(most, 3 * (2 * sum(map(len, runs)) // token_count.CHUNK)) + 2 * sum(map(len, runs)) // token_count.CHUNK
+        assert [int(made.counts([t.encode()])[0]) for t in runs] == want
+
+
 def test_columns_with_the_operators_names_keep_their_values(spark):
     item = "one two three four five six seven eight nine ten"
     rows = [(1, "password: hunter2222 x", "mine", 7, 8, ["a"], "kept", 0.5), (2, f"x {item} y", "mine", 7, 8, ["a"], "kept", 0.5), (3, None, None, None, None, None, None, None)]
