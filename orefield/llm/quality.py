@@ -6,7 +6,7 @@ logistic curve fitted on labelled rows the dictionaries have not seen turns the
 with the two compressed shares themselves, into a calibrated score.
 
 Only model fitting uses a bounded sample: at most sample_per_class labelled rows of each class, taken
-in the order of a hash of the id. Scoring covers each whole text. Null texts count as empty; the
+in the order of a hash of the id, and at most sample_bytes of their texts, half for each class. Scoring covers each whole text. Null texts count as empty; the
 empty text has a score like any other. If a class has no labelled row, every score is the share of good labels
 (0.5 without labels). Repeated rows are scored each; extra columns are ignored.
 """
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ._common import with_text_columns
 
 SAMPLE_PER_CLASS = 2000
+SAMPLE_BYTES = 64 << 20
 DICTIONARY_BYTES = 112 * 1024
 LEVEL = 3
 BLOCK = 2048
@@ -96,19 +97,30 @@ def fit(good: list[bytes], bad: list[bytes], prior: float | None = None) -> Mode
     return Model(*made, tuple(mean), tuple(scale), tuple(w), share)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_per_class: int = SAMPLE_PER_CLASS) -> tuple[list[bytes], list[bytes], float | None]:
-    """Bounded training texts of each class and the share of good labels; remainder 2 of crc32(id) mod 4 is held out."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_per_class: int = SAMPLE_PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], list[bytes], float | None]:
+    """Bounded training texts of each class and the share of good labels; remainder 2 of crc32(id) mod 4 is held out.
+
+    An id is taken with all its rows, or, where they exceed what is left of the class's half of sample_bytes, not at all.
+    """
     known = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (F.crc32(F.col(id_col).cast("string")) % 4 != 2))
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     picked = None
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("label_id"), "label_id").limit(sample_per_class)
         picked = part if picked is None else picked.union(part)
-    # at most 2 x sample_per_class ids are broadcast
-    rows = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(picked.dropDuplicates(["label_id"])), "label_id").select("y", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"), F.xxhash64("label_id").alias("order"))
-    rows = rows.where("y is not null").orderBy("order").limit(4 * sample_per_class).collect()
+    # at most 2 x sample_per_class ids are broadcast, and as many sizes reach the driver before any text does
+    own = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text"))
+    rows = own.join(F.broadcast(picked.dropDuplicates(["label_id"])), "label_id")
+    sizes = rows.groupBy("label_id", "y").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("n")).orderBy(F.xxhash64("label_id"), "label_id").collect()
+    left, taken = {0: sample_bytes // 2, 1: sample_bytes // 2}, []
+    for r in sizes:
+        if r["n"] <= left[r["y"]]:
+            left[r["y"]] -= r["n"]
+            taken.append((r["label_id"], r["y"]))
+    chosen = docs.sparkSession.createDataFrame(taken, picked.schema)
+    texts = own.join(F.broadcast(chosen), "label_id").select("y", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"), F.xxhash64("label_id").alias("order")).orderBy("order", "text").collect()
     total = sum(counts.values())
-    return [bytes(r["text"]) for r in rows if r["y"] == 1], [bytes(r["text"]) for r in rows if r["y"] == 0], counts.get(1, 0) / total if total else None
+    return [bytes(r["text"]) for r in texts if r["y"] == 1], [bytes(r["text"]) for r in texts if r["y"] == 0], counts.get(1, 0) / total if total else None
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, a round trip, or held-out accuracy; and the edge cases their docstrings define."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ from collections import defaultdict
 
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -132,6 +134,42 @@ def test_quality_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in got)
 
 
+def test_quality_sample_is_bounded_and_takes_ids_whole(spark):
+    rows = [(n, ("good " if n % 2 else "bad ") * (1 + n % 7) + str(n)) for n in range(40)]
+    rows += [(1, "good again")] * 30 + [(5, "good " * 100_000), (7, None), (None, "good")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(n, n % 2) for n in range(40)] + [(3, None), (None, 1), (9, 4)], "doc_id long, quality int")
+    for most in (1 << 20, 900, 0):
+        good, bad, share = quality.labelled_sample(docs, labels, sample_bytes=most)
+        order = sorted({n for n in range(40) if zlib.crc32(str(n).encode()) % 4 != 2}, key=lambda n: (xxhash.xxh64_intdigest(n.to_bytes(8, "little"), 42) + (1 << 63)) % (1 << 64))
+        for y, got in ((1, good), (0, bad)):
+            left, want = most // 2, []
+            for n in (x for x in order if x % 2 == y):
+                texts = [(t or "").encode() for i, t in rows if i == n]
+                if sum(map(len, texts)) + len(texts) <= left:
+                    left -= sum(map(len, texts)) + len(texts)
+                    want += sorted(texts)
+            assert got == want
+        assert share == sum(n % 2 for n in order) / len(order)
+
+
+def test_quality_scores_equal_their_definition(spark, odd):
+    good = [f"A sound sentence about topic {n} and its {n % 9} causes.".encode() for n in range(60)]
+    bad = [f"click!!! win {n} $$$ now {n % 9} buy".encode() for n in range(60)]
+    model = quality.fit(good, bad, 0.4)
+
+    def size(text, dictionary):
+        tool = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_dict_id=False)
+        return sum(len(tool.compress(b)) for b in ([text[i : i + quality.BLOCK] for i in range(0, len(text), quality.BLOCK)] or [b""]))
+
+    for r in quality.score(odd.select("text"), model).collect():
+        text = (r.text or "").encode()
+        a, b = size(text, model.good), size(text, model.bad)
+        d, x, y = (b - a) / (a + b), min(a / (len(text) + 1), 1.5), min(b / (len(text) + 1), 1.5)
+        z = model.weights[0] + sum(w * (f - m) / s for w, f, m, s in zip(model.weights[1:], (d, x, y, d * x, x * x, d * abs(d)), model.mean, model.scale))
+        assert abs(r.score - 1 / (1 + math.exp(-max(-40, min(40, z))))) < 1e-9
+
+
 def test_quality_odd_rows(spark, odd, empty):
     rng = random.Random(3)
     good = [" ".join(rng.choice(["calm", "river", "stone", "meadow"]) for _ in range(60)).encode() for _ in range(80)]
