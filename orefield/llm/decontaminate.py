@@ -5,9 +5,9 @@ so no match crosses items). A training document's words stream through it; the s
 length of the longest match are kept at each word. A match of window words or more marks the words it
 covers. An item shorter than a window counts when it occurs whole.
 
-The benchmark is a fixed test set, not part of the corpus: its size is checked (max_item_words)
-before its automaton is broadcast; a larger set is split into automata of that size, each with its
-own pass. Null or empty texts and items have no words and never match. Items with equal words are all
+The benchmark is a fixed test set, not part of the corpus. Its size is checked (max_item_words,
+max_item_bytes) while it is read; a larger set is split into automata of that size, and a text streams
+through each. An automaton is built from dicts and then frozen into flat arrays, which are broadcast. Null or empty texts and items have no words and never match. Items with equal words are all
 reported. Repeated documents give a row each; extra columns stay,
 but find replaces those named as the columns that it adds; remove keeps them too.
 """
@@ -15,6 +15,8 @@ but find replaces those named as the columns that it adds; remove keeps them too
 from __future__ import annotations
 
 import hashlib
+from array import array
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,7 +28,8 @@ from pyspark.sql.types import StringType
 from ._common import beside, with_text_columns
 
 WINDOW = 10
-MAX_ITEM_WORDS = 4_000_000
+MAX_ITEM_WORDS = 500_000
+MAX_ITEM_BYTES = 16 << 20
 ADDED = ("n_words", "n_hit", "item_ids", "hit_spans")
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -115,8 +118,21 @@ class Automaton:
         self.shortest = min([self.window, *sizes]) if sizes else 0
         self.short_lengths = {s: len(sequences[ns[0]]) for s, ns in self.whole.items()}
         self.names = [name for name, _ in items]
+        self._freeze()
         return self
 
+    def _freeze(self) -> None:
+        """Flat arrays instead of the dicts and sets of the build: edges of a state side by side, by word; owners of base states only."""
+        self.edge, self.target, self.first = array("i"), array("i"), array("i", [0])
+        for follow in self.step:
+            for word in sorted(follow):
+                self.edge.append(word)
+                self.target.append(follow[word])
+            self.first.append(len(self.edge))
+        self.owned = {s: tuple(self.owners[s]) for s in set(self.base) if s >= 0}
+        self.link, self.length, self.base = array("i", self.link), array("i", self.length), array("i", self.base)
+        self.step, self.owners = [], []
+
     def matches(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Word spans (start, end) covered by windows, in order and merged, and the items they come from."""
         spans: list[tuple[int, int]] = []
@@ -132,19 +148,22 @@ class Automaton:
         return spans, items
 
     def _stream(self, run: list[int], offset: int, spans: list[tuple[int, int]], items: set[int]) -> None:
-        step, link, length, window, whole = self.step, self.link, self.length, self.window, self.whole
+        first, edge, target, link, length, window, whole = self.first, self.edge, self.target, self.link, self.length, self.window, self.whole
         at = matched = 0
         for i, word in enumerate(run, offset + 1):
-            follow = step[at]
-            while word not in follow and at:
+            while True:
+                stop = first[at + 1]
+                place = bisect_left(edge, word, first[at], stop)
+                if place < stop and edge[place] == word:
+                    at = target[place]
+                    matched += 1
+                    break
+                if not at:
+                    break
                 at = link[at]
                 matched = length[at]
-                follow = step[at]
-            if word in follow:
-                at = follow[word]
-                matched += 1
             if matched >= window:
-                items |= self.owners[self.base[at]]
+                items.update(self.owned[self.base[at]])
                 _cover(spans, i - window, i)
             if whole:
                 up = at
@@ -173,18 +192,19 @@ def _cover(spans: list[tuple[int, int]], start: int, end: int) -> None:
     spans.append((start, end))
 
 
-def load_items(benchmark: DataFrame, *, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, max_item_words: int = MAX_ITEM_WORDS) -> list[Automaton]:
-    """Automata over the whole benchmark, each over at most max_item_words words (one item may exceed it alone)."""
+def load_items(benchmark: DataFrame, *, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, max_item_words: int = MAX_ITEM_WORDS, max_item_bytes: int = MAX_ITEM_BYTES) -> list[Automaton]:
+    """Automata over the whole benchmark, each over at most max_item_words words of max_item_bytes (one item may exceed them alone)."""
     made: list[Automaton] = []
     part: list[tuple[str, list[bytes]]] = []
-    size = 0
+    size = volume = 0
     for row in benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).orderBy("i", "t").toLocalIterator():
         words = words_of((row["t"] or "").encode())
-        if part and size + len(words) > max_item_words:
+        if part and (size + len(words) > max_item_words or volume + sum(map(len, words)) > max_item_bytes):
             made.append(Automaton(window).build(part))
-            part, size = [], 0
+            part, size, volume = [], 0, 0
         part.append((str(row["i"]), words))
         size += len(words)
+        volume += sum(map(len, words))
     return [*made, Automaton(window).build(part)]
 
 
