@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .state import materialised
+from .state import stored
 
 
 def _same(by: Sequence[str], left: DataFrame | None = None, prefix: str = "_of_") -> list[Column]:
@@ -36,7 +36,7 @@ def cumulative(df: DataFrame, by: Sequence[str], value: str, weight: str | None
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("n"))
     order = [F.col(c).asc_nulls_first() for c in [*by, value]]
     # range boundaries are sampled, so all uses below must see the same ranges
-    split = materialised(materialised(counts).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    split = stored(stored(counts).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     inside = Window.partitionBy("_part", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = split.groupBy("_part", *by).agg(F.sum("n").alias("_size"))  # one row a range and group
@@ -48,7 +48,7 @@ def cumulative(df: DataFrame, by: Sequence[str], value: str, weight: str | None
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, levels: Sequence[float], names: Sequence[str], weight: str | None = None) -> DataFrame:
     """(by, names): exact quantiles, with linear interpolation between the two ranks around level * (n - 1), for each group with a value."""
-    ranked = materialised(cumulative(df, by, value, weight))
+    ranked = stored(cumulative(df, by, value, weight))
     sizes = ranked.groupBy(*by).agg(F.sum("n").alias("_total"))
     j = _beside(ranked, _named(sizes, by, "_total"), by, "inner")
     picks = []
@@ -64,9 +64,9 @@ def average_rank(df: DataFrame, by: Sequence[str], value: str, eligible: Column
     """df with the average rank of its value over the number of eligible rows with a value in its group; NULL for other rows. Ties share the mean rank."""
     ok = F.col(value).isNotNull() if eligible is None else F.coalesce(eligible, F.lit(False)) & F.col(value).isNotNull()
     marked = df.withColumn("_ok", ok)
-    ranked = materialised(cumulative(marked.where("_ok"), by, value))
+    ranked = stored(cumulative(marked.where("_ok"), by, value))
     totals = ranked.groupBy(*by).agg(F.sum("n").alias("_total"))
     shares = _beside(ranked, _named(totals, by, "_total"), by, "inner").withColumn("_share", (F.col("before") + (F.col("n") + 1) / 2.0) / F.col("_total"))
     named = _named(shares, by, F.col(value).alias("_value"), "_share")
     on = [*_same(by), F.col("_ok") & (F.col(value) == F.col("_value"))]
-    return marked.join(named, on, "left").drop(*[f"_of_{b}" for b in by], "_ok", "_value").withColumnRenamed("_share", name)
+    return marked.join(named.hint("merge"), on, "left").drop(*[f"_of_{b}" for b in by], "_ok", "_value").withColumnRenamed("_share", name)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,8 +12,8 @@ from ..functions.columns import clip, distance_decay, support_weight
 from .folds import fold_statistics, group_kfold  # noqa: F401
 from .logistic import fit_logistic
 from .relational import pct_rank_avg, smoothed_affinity
-from .spatial import count_within, nearest
-from .state import materialised
+from .spatial import count_places, search
+from .state import materialised, stored
 
 #: Weights of affinity, decay and density with enough evidence, of decay and density without, and the evidence that is enough.
 WEIGHTS = (0.50, 0.35, 0.15)
@@ -47,30 +48,40 @@ def _cells_by_targets(cells: DataFrame, targets: DataFrame, part: Sequence[str])
     return listed.withColumn("_t", F.explode("_targets")).select(*cells.columns, *[F.col("_t")[c].alias(c) for c in own])
 
 
-def score_cells(cells: DataFrame, evidence: DataFrame, targets: DataFrame, *, cell: str = "cell_id", unit: str = "unit_id", target: str = "material_id", site: str = "site_id", density_km: float = 100.0, part: Sequence[str] = ()) -> DataFrame:
-    """(part, cell, target, n_evidence, nearest_km, density, affinity, score, percentile, support_level).
+def score_cells(cells: DataFrame, evidence: DataFrame, targets: DataFrame, *, cell: str = "cell_id", unit: str = "unit_id", target: str = "material_id", site: str = "site_id", density_km: float = 100.0, part: Sequence[str] = (), ranked: bool = True) -> DataFrame:
+    """(part, cell, target, n_evidence, nearest_km, density, affinity, score, percentile, support_level); without ranked no percentile.
 
     cells: (part, cell, lat, lon, unit); evidence: (part, target, site, lat, lon, unit); targets: (target). part columns (a
     fold, say) keep scores of different training sets apart: every statistic is taken within them. Targets without
-    evidence give no row.
+    evidence give no row. Distances and densities are found for the different places, and each cell reads the list of its place.
     """
     by = [*part, target]
     n = evidence.groupBy(*by).agg(F.count("*").alias("n_evidence"))
-    grid = _cells_by_targets(cells, n.join(targets.select(target).distinct(), target, "left_semi"), part)
-    keys = [*by, cell]
-    base = nearest(grid, evidence, keys, ref_id=site, by=by).drop("nearest_id")
-    base = count_within(base, evidence, keys, density_km, ref_id=site, by=by, name="density")
-    scale = base.groupBy(*by).agg(F.greatest(F.percentile("density", F.lit(0.95)), F.lit(1.0)).alias("_scale"))
+    places = stored(cells.groupBy(*part, "lat", "lon").agg(F.count("*").alias("_cells")))
+    grid = _cells_by_targets(places, n.join(targets.select(target).distinct(), target, "left_semi"), part)
+    at = [*by, "lat", "lon"]
+    known = grid.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(*at)
+    near = search(known, evidence, 1, ref_id=site, by=by, name="_best").select(*at, F.get("_best", F.lit(0))["km"].alias("nearest_km"))
+    dense = count_places(known, evidence, density_km, by=by, name="density")
+    base = grid.join(near.hint("merge"), at, "left").join(dense.hint("merge"), at, "left").withColumn("density", F.coalesce("density", F.lit(0)))
+    base = stored(base.select(*at, "_cells", "n_evidence", "nearest_km", "density"))
+    scale = base.groupBy(*by).agg(F.greatest(F.percentile("density", F.lit(0.95), F.col("_cells")), F.lit(1.0)).alias("_scale"))
     affinity = smoothed_affinity(evidence, cells.dropDuplicates([cell]) if part else cells, unit, by)
-    j = base.join(scale, by).join(affinity, [*by, unit], "left").withColumn("affinity", F.coalesce("affinity", F.lit(0.0)))
+    lists = base.groupBy(*[F.col(c).alias(f"_at_{c}") for c in (*part, "lat", "lon")]).agg(F.collect_list(F.struct(target, "n_evidence", "nearest_km", "density")).alias("_list"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in (*part, "lat", "lon")])
+    each = cells.select(*part, cell, unit, "lat", "lon").join(lists.hint("merge"), same).select(*part, cell, unit, F.inline("_list"))
+    j = each.join(scale, by).join(affinity, [*by, unit], "left").withColumn("affinity", F.coalesce("affinity", F.lit(0.0)))
     decay, dense = distance_decay("nearest_km"), clip(F.col("density") / F.col("_scale"))
     full = WEIGHTS[0] * F.col("affinity") + WEIGHTS[1] * decay + WEIGHTS[2] * dense
     sparse = SPARSE_WEIGHTS[0] * decay + SPARSE_WEIGHTS[1] * dense
     enough = F.col("n_evidence") >= ENOUGH
     level = F.when(F.col("n_evidence") >= 20, "high").when(enough, "medium").otherwise("low")
     scored = j.withColumns({"score": clip(F.when(enough, full).otherwise(sparse) * support_weight("n_evidence")), "support_level": level})
-    ranked = pct_rank_avg(materialised(scored), by, "score", enough & (F.col("nearest_km") > 10))
-    return ranked.select(*by, cell, "n_evidence", "nearest_km", "density", "affinity", "score", "percentile", "support_level")
+    scored = scored.select(*by, cell, "n_evidence", "nearest_km", "density", "affinity", "score", "support_level")
+    if not ranked:
+        return scored
+    out = pct_rank_avg(stored(scored), by, "score", enough & (F.col("nearest_km") > 10))
+    return out.select(*by, cell, "n_evidence", "nearest_km", "density", "affinity", "score", "percentile", "support_level")
 
 
 def sample_background(pool: DataFrame, key: str, seed: int, n: Column | int, by: Sequence[str] = ()) -> DataFrame:
@@ -275,7 +286,8 @@ def transfer_observations(blocks: DataFrame, block: str, target: str, cell: str,
     from .relational import rank_among
 
     each = blocks.select(block, cell, F.explode(F.array_distinct("targets")).alias(target))
-    ranked = rank_among(scores, cell, "score")
+    wanted = scores.join(each.select(cell).distinct(), cell, "left_semi")  # ranks are taken within a cell, so only the blocks' cells are needed
+    ranked = rank_among(wanted, cell, "score")
     j = each.join(ranked, [cell, target], "left")
     flags = F.array_compact(F.array(F.when(F.col("score").isNull(), F.lit("no_score")), F.when(F.col("nearest_km") <= outside_km, F.lit("inside_known_evidence"))))
     return j.withColumns({"outside_known": F.col("nearest_km") > outside_km, "within_domain": F.col("nearest_km") <= 250, "passes_score_gate": F.col("score") >= 0.5, "flags": flags})

@@ -295,8 +295,8 @@ _SCORES = (
 _SCORES = _SCORES.replace("quantile_cont(dens, 95e-2)", "quantile_cont(CAST(dens AS DOUBLE), 95e-2)")
 
 
-def _scores(x):
-    return M.score_cells(x.cells, x.sites, x.materials)
+def _scores(x, ranked=True):
+    return M.score_cells(x.cells, x.sites, x.materials, ranked=ranked)
 
 
 _RANKED = ", el AS (SELECT *, CASE WHEN n >= 5 AND km > 10 AND score IS NOT NULL THEN 1 ELSE 0 END AS ok FROM fin), pr AS (SELECT *, CASE WHEN ok = 1 THEN (rank() OVER (PARTITION BY material_id, ok ORDER BY score) + (count(*) OVER (PARTITION BY material_id, ok, score) - 1) / 2e0) / count(*) OVER (PARTITION BY material_id, ok) END AS percentile FROM el)"
@@ -309,8 +309,8 @@ def _(x):
 
 @query("w2_top_k_per_row", _SCORES + ", k AS (SELECT cell_id, material_id, round(score, 6) AS score, row_number() OVER (PARTITION BY cell_id ORDER BY round(score, 6) DESC, material_id) AS n FROM fin) SELECT cell_id, array_to_string(list(material_id ORDER BY n) FILTER (n <= 5), ',') AS top_materials, max(material_id) FILTER (n = 1) AS top_material, max(score) FILTER (n = 1) AS top_score FROM k GROUP BY 1")
 def _(x):
-    scores = _scores(x).withColumn("score", r6("score"))
-    top = R.top_k_per_row(scores, "cell_id", [F.desc("score"), F.col("material_id")], ["material_id", "score", "percentile", "nearest_km"])
+    scores = _scores(x, ranked=False).withColumn("score", r6("score"))
+    top = R.top_k_per_row(scores, "cell_id", [F.desc("score"), F.col("material_id")], ["material_id", "score", "nearest_km"])
     return top.select("cell_id", F.array_join(F.col("top_material_ids").cast("array<string>"), ",").alias("top_materials"), F.col("top_material_id").alias("top_material"), "top_score")
 
 
@@ -379,7 +379,7 @@ _CV = (
 @query("m6_cv_score", _CV)
 def _(x):
     cells = x.cells.withColumn("train_fold", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    out = M.score_cells(cells, _training(x).select("train_fold", "site_id", "material_id", "unit_id", "lat", "lon"), x.materials, part=["train_fold"])
+    out = M.score_cells(cells, _training(x).select("train_fold", "site_id", "material_id", "unit_id", "lat", "lon"), x.materials, part=["train_fold"], ranked=False)
     return out.select("train_fold", "cell_id", "material_id", r6("score").alias("score"))
 
 
@@ -535,7 +535,7 @@ def _blocks(x):
 
 @query("m16_transfer_observations", _SCORES + ", rk AS (SELECT *, rank() OVER (PARTITION BY cell_id ORDER BY round(score, 9) DESC) AS r FROM fin), b AS (SELECT DISTINCT s_suppkey AS block, s_suppkey * 7 % 200 + 1 AS cell_id, unnest([s_nationkey % 12, (s_nationkey + 5) % 12]) AS material_id FROM supplier) SELECT block, material_id, round(score, 6) AS score, CAST(r AS BIGINT) AS rank, km > 25 AS outside_known FROM b LEFT JOIN rk USING (cell_id, material_id)")
 def _(x):
-    scores = _scores(x).withColumn("score", F.round("score", 9))
+    scores = _scores(x, ranked=False).withColumn("score", F.round("score", 9))
     out = M.transfer_observations(_blocks(x), "block", "material_id", "cell_id", scores)
     return out.select("block", "material_id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"), "outside_known")
 

@@ -73,3 +73,22 @@ def test_no_search_broadcasts_its_reference(spark):
     for df in (P.count_within(at, at, ["id"], 100.0, ref_id="id"), P.purge(at, at, ["id"], 100.0, held_id="id"), P.nearest(at, at, ["id"], ref_id="id")):
         df.collect()
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_of_cells_that_share_a_place(spark):
+    """Cells at one place read one list; a cell without coordinates keeps its rows; the percentile is left out on request."""
+    from orefield.operators import scoring as M
+
+    cells = spark.createDataFrame([(i, 10.0 + i % 2, 20.0, i % 3) for i in range(12)] + [(50, None, 20.0, 1)], "cell_id int, lat double, lon double, unit_id int")
+    evidence = spark.createDataFrame([(j, j % 2, 10.0 + j / 10, 20.0, j % 3) for j in range(14)], "site_id int, material_id int, lat double, lon double, unit_id int")
+    targets = evidence.select("material_id").distinct()
+    whole, plain = M.score_cells(cells, evidence, targets), M.score_cells(cells, evidence, targets, ranked=False)
+    assert "percentile" not in plain.columns
+    assert sorted(map(str, whole.drop("percentile").collect())) == sorted(map(str, plain.collect()))
+    rows = plain.collect()
+    assert len(rows) == 26 and {(r.nearest_km, r.density) for r in rows if r.cell_id == 50} == {(None, 0)}
+    for r in rows:
+        if r.cell_id != 50:
+            at = (10.0 + r.cell_id % 2, 20.0)
+            km = [_km(at, (10.0 + j / 10, 20.0)) for j in range(14) if j % 2 == r.material_id]
+            assert r.nearest_km == pytest.approx(min(km), abs=1e-6) and r.density == sum(d <= 100 for d in km)
