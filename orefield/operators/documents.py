@@ -10,8 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import clean_text, fold_key, term_found
+from ..functions.columns import clean_text, fold_key, plain_words
 
+PIECE = 1 << 15  # characters of a text whose passages one row gives
+PIECES = 32  # such rows that a task takes
 
 #: An anchor with its attributes and what is between its tags; the href among attributes, in any place and quoting.
 ANCHOR = r"(?is)<a\s([^>]*)>(.*?)</a\s*>"
@@ -164,8 +166,23 @@ def map_terms(terms: DataFrame, term: str, vocabularies: Mapping[str, DataFrame]
 
 
 def expand_occurrences(chapters: DataFrame, region: str, places: str, text: str) -> DataFrame:
-    """(region, term, place, place_found): nested map term -> places as rows, each place looked for in the chapter's text."""
-    each = chapters.select(region, text, F.explode(places).alias("term", "_places")).select(region, text, "term", F.explode("_places").alias("place"))
-    return each.select(region, "term", "place", term_found("place", text).alias("place_found"))
-
+    """(region, term, place, place_found): nested map term -> places as rows, each place looked for in the chapter's text as term_found() does.
 
+    A text is not searched once for each place: its passages of the places' lengths are rows that meet the places in an equi-join. So the work is that of the text's
+    length times the number of different lengths. Passages come from pieces of the text in tasks of their own.
+    """
+    whole = chapters.withColumn("_hay", plain_words(text)).withColumn("_t", F.unhex(F.sha2("_hay", 256)))  # equal texts share a search
+    each = whole.select(region, "_t", F.explode(places).alias("term", "_places")).select(region, "_t", "term", F.explode("_places").alias("place")).withColumn("_needle", plain_words("place"))
+    squeezed = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
+    both = lambda c: F.explode(F.array(F.struct(F.lit(False).alias("s"), F.col(c).alias("v")), F.struct(F.lit(True).alias("s"), squeezed(c).alias("v")))).alias("_f")
+    asked = each.where("_needle <> ''").select("_t", "_needle").distinct().select("_t", "_needle", both("_needle")).select("_t", "_needle", F.col("_f.s").alias("_s"), F.col("_f.v").alias("_v")).where("not _s or length(_v) >= 6")
+    lengths = asked.groupBy("_t", "_s").agg(F.collect_set(F.length("_v")).alias("_lengths"))
+    texts = whole.select("_t", "_hay").distinct().select("_t", both("_hay")).select("_t", F.col("_f.s").alias("_s"), F.col("_f.v").alias("_hay"))
+    step = F.greatest(F.lit(PIECE), F.array_max("_lengths"))
+    pieces = texts.join(lengths.hint("merge"), ["_t", "_s"]).withColumn("_step", step).withColumn("_from", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_hay"), F.lit(1)), F.col("_step"))))
+    pieces = pieces.select("_t", "_s", "_step", F.substring(F.col("_hay"), F.col("_from"), 2 * F.col("_step")).alias("_piece"), F.explode("_lengths").alias("_n"))
+    own = F.substring(F.col("_piece"), F.lit(1), F.col("_step") + F.col("_n") - 1)  # passages that begin before the next piece
+    n = pieces.count() // PIECES + 1
+    passages = pieces.repartition(n).select("_t", "_s", F.explode(F.array_distinct(F.regexp_extract_all(own, F.format_string("(?=(.{%d}))", "_n"), F.lit(1)))).alias("_v")).repartition(n, "_t", "_s", "_v")
+    found = asked.join(passages.hint("merge"), ["_t", "_s", "_v"], "left_semi").select("_t", "_needle").distinct().withColumn("_found", F.lit(True))
+    return each.join(found.hint("merge"), ["_t", "_needle"], "left").select(region, "term", "place", (F.coalesce("_found", F.lit(False)) | (F.col("_needle") == "")).alias("place_found"))

@@ -230,3 +230,18 @@ def test_bootstrap_has_a_recall_interval_of_weighted_draws(spark):
     got = {r.t: r for r in scoring.group_bootstrap(df, ["t"], "unit", "s", "y", 100, 5).collect()}
     assert (got["one"].recall_low, got["one"].recall_high, got["high"].recall_low, got["high"].recall_high) == (1, 1, 0, 0)
     assert 0 <= got["m"].recall_low < 0.5 < got["m"].recall_high <= 1
+
+
+def test_places_are_found_in_passages_of_their_length(spark, monkeypatch):
+    """As term_found() has it, over borders of pieces, in equal texts, and without a search of the text for each place."""
+    monkeypatch.setattr(D, "PIECE", 7)
+    texts = [("a", "North Coal-field and  Tin; Rookery"), ("a", "north"), ("b", None), ("c", "North Coal-field and  Tin; Rookery"), ("d", "xx ab ab abc " * 9)]
+    places = ["north coal", "Northcoal", "Coalfield", "in r", "tinroo", "tin rookery", "yy", "rookery and", "", "-", None, "North Coal-field and Tin; Rookery", "ab abc x", "ook", "खान"]
+    data = [(r, t, {"p": places, "none": []}) for r, t in texts] + [("e", "no map", None)]
+    chapters = rows(spark, data, "r string, t string, m map<string,array<string>>")
+    each = chapters.select("r", "t", F.explode("m").alias("term", "p")).select("r", "t", "term", F.explode("p").alias("place"))
+    want = sorted(map(repr, each.select("r", "term", "place", C.term_found("place", "t")).collect()))
+    out = D.expand_occurrences(chapters, "r", "m", "t")
+    assert sorted(map(repr, out.toDF("r", "term", "place", each.select(C.term_found("place", "t")).columns[0]).collect())) == want
+    assert len(want) == 75 and any("True" in w for w in want) and any("False" in w for w in want)
+    assert "contains(" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
