@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
+from html import unescape
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,6 +88,26 @@ class _Tables(HTMLParser):
         return sorted(self.cells, key=lambda c: c[:3])
 
 
+#: A tag that HTMLParser reads as just this, whatever stands around it, as attributes do not matter for tables.
+TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9]*)(?:\s+[a-zA-Z][a-zA-Z-]*=(?:"[^"<>]*"|'[^'<>]*'))*\s*>""")
+#: Elements whose content is not read as markup.
+RAW = {"script", "style", "textarea", "title", "plaintext", "iframe", "noembed", "noframes", "noscript", "xmp"}
+
+
+def _cells(page: str) -> list[tuple[int, int, int, str]]:
+    parser, parts = _Tables(), TAG.split(page)
+    tags = [t.lower() for t in parts[2::3]]
+    if page.count("<") > len(tags) or not RAW.isdisjoint(tags):  # comments, references in tags, scripts and whatever else
+        parser.feed(page)
+        return parser.finish()
+    for data, slash, tag in zip(parts[0::3], parts[1::3], tags):
+        if data and parser.open:
+            parser.handle_data(unescape(data) if "&" in data else data)
+        (parser.handle_endtag if slash else parser.handle_starttag)(tag, *() if slash else ((),))
+    parser.handle_data(unescape(parts[-1]))
+    return parser.finish()
+
+
 def extract_tables(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, table, row, col, text) of all HTML tables, in the order of their start tags.
 
@@ -93,30 +115,36 @@ def extract_tables(pages: DataFrame, key: str, html: str) -> DataFrame:
     and styles are left out. Tables that the page does not close end with it. Only pages with a table reach Python.
     """
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = []
-            for k, page in zip(pdf[key], pdf[html]):
-                parser = _Tables()
-                parser.feed(page)
-                rows += [(k, *c) for c in parser.finish()]
-            yield pd.DataFrame(rows, columns=[key, "table", "row", "col", "text"]).astype({"table": "int32", "row": "int32", "col": "int32"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, cells = [], []
+            for n, page in enumerate(batch.column(1).to_pylist()):
+                found = _cells(page)
+                cells += found
+                at += [n] * len(found)
+            table, row, col, text = zip(*cells) if cells else ((),) * 4
+            columns = [batch.column(0).take(pa.array(at, "int64")), *[pa.array(c, "int32") for c in (table, row, col)], pa.array(text, "string")]
+            yield pa.RecordBatch.from_arrays(columns, [key, "table", "row", "col", "text"])
 
     with_table = pages.select(key, html).where(F.lower(html).contains("<table"))
-    return with_table.mapInPandas(run, f"`{key}` {dict(pages.dtypes)[key]}, table int, row int, col int, text string")
+    return with_table.mapInArrow(run, f"`{key}` {dict(pages.dtypes)[key]}, table int, row int, col int, text string")
 
 
 def canonical_headers(cells: DataFrame, keys: Sequence[str], rules: Mapping[str, str], within: int = 5) -> DataFrame:
     """(keys, row, one column for each field): the first row among the first few with the most header matches names the columns below it.
 
-    rules: field -> pattern on the lower-case header text (several languages as alternatives).
+    rules: field -> pattern on the lower-case header text (several languages as alternatives). cells are read once: a table's cells go to one task, where
+    windows that spill find the header row and the fields of each column.
     """
     field = reduce(lambda acc, kv: acc.when(F.lower("text").rlike(kv[1]), kv[0]), rules.items(), F.when(F.lit(False), "")).otherwise(None)
-    named = cells.where(F.col("row") < within).withColumn("field", field).where("field is not null")
-    best = named.groupBy(*keys, "row").agg(F.countDistinct("field").alias("n")).withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "row"))).where("_r = 1").select(*keys, F.col("row").alias("header_row"))
-    header = named.join(best, list(keys)).where("row = header_row").select(*keys, "header_row", "col", "field")
-    body = cells.join(header, [*keys, "col"]).where(F.col("row") > F.col("header_row"))
-    return body.groupBy(*keys, "row").agg(*[F.min(F.when(F.col("field") == f, F.nullif(F.col("text"), F.lit("")))).alias(f) for f in rules])
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, "col")])
+    dealt = cells.select(*keys, "row", "col", "text").where(known).repartition(*keys).withColumn("_f", F.when(F.col("row") < within, field))
+    matches = F.size(F.collect_set("_f").over(Window.partitionBy(*keys, "row")))
+    table = Window.partitionBy(*keys).orderBy("row").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = dealt.withColumn("_n", matches).withColumn("_h", F.min(F.when(F.col("_n") > 0, F.struct(-F.col("_n"), "row"))).over(table)["row"])
+    named = placed.withColumn("_fields", F.collect_set(F.when(F.col("row") == F.col("_h"), F.col("_f"))).over(Window.partitionBy(*keys, "col")))
+    body = named.where((F.col("row") > F.col("_h")) & (F.size("_fields") > 0))
+    return body.groupBy(*keys, "row").agg(*[F.min(F.when(F.array_contains("_fields", f), F.nullif(F.col("text"), F.lit("")))).alias(f) for f in rules])
 
 
 def extract_fields(docs: DataFrame, key: str, text: str, patterns: Mapping[str, Sequence[str]]) -> DataFrame:

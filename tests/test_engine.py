@@ -3,6 +3,7 @@
 import datetime
 import decimal
 import math
+import random
 
 import duckdb
 import pytest
@@ -245,3 +246,40 @@ def test_places_are_found_in_passages_of_their_length(spark, monkeypatch):
     assert sorted(map(repr, out.toDF("r", "term", "place", each.select(C.term_found("place", "t")).columns[0]).collect())) == want
     assert len(want) == 75 and any("True" in w for w in want) and any("False" in w for w in want)
     assert "contains(" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_pages_are_parsed_once_and_plain_tags_as_the_parser_has_them(spark):
+    draw = random.Random(5)
+    bits = ["<table>", "</table>", "<TR>", "</tr>", '<td class="a b">', "<th id='x'>", "</td>", "a &amp; b", " &lt", "x<y", "<br>", "<br/>", "<script>", "</script>", "<!-- c -->", ">", "<td a>", "<title>", "</title>", "<td x=\"1\"y='2'>", "</", "é"]
+    for _ in range(3000):
+        page = "<table><td>" + "".join(draw.choice(bits) for _ in range(draw.randint(1, 14)))
+        parser = D._Tables()
+        parser.feed(page)
+        assert D._cells(page) == parser.finish(), page
+    cells = D.extract_tables(rows(spark, [(1, "<table><tr><th>Date</th></tr><tr><td>x</td></tr></table>")], "p int, h string"), "p", "h")
+    out = D.canonical_headers(cells, ["p", "table"], {"day": "date"})
+    assert [tuple(r) for r in out.collect()] == [(1, 0, 1, "x")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("MapInPandas") == 1
+
+
+def test_headers_of_random_tables(spark):
+    """Ties of header rows, columns named twice, rows before the header, missing keys."""
+    draw = random.Random(9)
+    words = ["Mine", "Date", "Price", "mine date", "", "7", "x", None]
+    cells = [(t, r, c, draw.choice(words)) for t in range(60) for r in range(8) for c in range(4) if draw.random() < 0.8] + [(None, 0, 0, "Date"), (None, 1, 0, "x"), (3, 1, 1, "Date"), (3, 6, None, "x")]
+    rules = {"name": "mine", "day": "date", "price": "price"}
+    field = lambda t: next((f for f, p in rules.items() if t is not None and p in t.lower()), None)
+    want = {}
+    for t in range(60):
+        own = [c for c in cells if c[0] == t and c[2] is not None]
+        found = {r: {field(c[3]) for c in own if c[1] == r and field(c[3])} for r in range(5)}
+        best = min((-len(f), r) for r, f in found.items())[1]
+        if not found[best]:
+            continue
+        of = [(c[2], field(c[3])) for c in own if c[1] == best and field(c[3])]
+        for r in {c[1] for c in own if c[1] > best and any(c[2] == k for k, _ in of)}:
+            hits = {f: [c[3] for c in own if c[1] == r and c[3] and (c[2], f) in of] for f in rules}
+            want[t, r] = tuple(min(h, default=None) for h in hits.values())
+    got = D.canonical_headers(rows(spark, cells, "p int, row int, col int, text string"), ["p"], rules).collect()
+    assert {(r.p, r.row): (r.name, r.day, r.price) for r in got} == want and len(want) > 100
