@@ -153,3 +153,23 @@ def test_quality_and_admission_reasons(spark):
     stated = spark.createDataFrame([(k, None if k == "noregion" else "r", None if k == "noarea" else area * (1.06 if k == "big" else 1.04), area) for k in [*shapes, "none"]], "k string, region string, a double, b double")
     got = P.admit_geometry(table(spark, shapes), stated, regions, "k", "region", areas=["a", "b"])
     assert {r.k: r.reason for r in got.collect()} == {"ok": "admitted", "out": "outside_region", "two": "too_few_vertices", "bad": "invalid_ring", "big": "area_differs", "noarea": "area_missing", "noregion": "no_stated_region", "none": "no_geometry"}
+
+
+@pytest.mark.parametrize("boundary", ["within", "covers", "half_open"])
+def test_listed_and_paired_edges_give_the_same(spark, monkeypatch, boundary):
+    """Whether a bucket's edges are a list, pairs or some of both; points whose edges are listed are never grouped."""
+    at = {i: (i % 23 * 0.5 - 0.5, i // 23 * 0.5 - 0.5) for i in range(460)} | {900: (None, 1.0), 901: (500.0, 1.0)}
+    rows, calls = spark.createDataFrame([(i, *p) for i, p in at.items()], "id int, lon double, lat double"), []
+    data = [(k, 0, n, float(x), float(y)) for k, (dx, dy) in enumerate([(0, 0), (1, 1), (2, 0), (6, 3)]) for n, (x, y) in enumerate([(dx, dy), (dx + 3, dy), (dx + 4, dy + 2), (dx, dy + 4)])]
+    v = spark.createDataFrame(data, "k int, part int, seq int, x double, y double")
+    pairs = P._in_pairs
+    monkeypatch.setattr(P, "_in_pairs", lambda p, e, *rest: (calls.append(e.count()), pairs(p, e, *rest))[1])
+    found = []
+    for listed in (4096, 5, 0):
+        monkeypatch.setattr(P, "LISTED", listed)
+        inside = sorted((r.id, r.k) for r in P.containing(rows, P.edges(v, "k"), ["id"], "k", boundary=boundary).collect())
+        joined = {r.id: r.k for r in P.point_in_polygon_join(rows, v, ["id"], "k", boundary=boundary).collect()}
+        assert joined == {i: min((k for j, k in inside if j == i), default=None) for i in at}
+        found.append(inside)
+    assert found[0] == found[1] == found[2] and len(found[0]) > 50
+    assert calls[:2] == [0, 0] < calls[2:4] < calls[4:]
