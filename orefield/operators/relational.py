@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranks import average_rank, quantiles
-from .state import materialised
+from .state import dealt, materialised
 
 
 class ContractError(ValueError):
@@ -338,10 +338,14 @@ def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("a")).union(b.exceptAll(a).withColumn("side", F.lit("b")))
 
 
-def missing_and_extra(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
-    """(key, status): expected keys that are missing, actual keys that are extra."""
-    e, a = expected.select(key).distinct(), actual.select(key).distinct()
-    return e.join(a, key, "left_anti").withColumn("status", F.lit("missing")).union(a.join(e, key, "left_anti").withColumn("status", F.lit("extra")))
+def missing_and_extra(expected: DataFrame, actual: DataFrame, key: str | Sequence[str]) -> DataFrame:
+    """(key, status): expected keys that are missing, actual keys that are extra. One aggregate over both sides, in partitions of a bounded number of rows."""
+    keys = [key] if isinstance(key, str) else list(key)
+    side = lambda df, extra: df.select(*keys, F.lit(extra).alias("_extra"))
+    both = dealt(side(expected, False).unionByName(side(actual, True)), *keys)
+    apart = F.when(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys]), F.col("_extra")).alias("_null")  # a NULL equals no key
+    seen = both.groupBy(*keys, apart).agg(F.min("_extra").alias("_a"), F.max("_extra").alias("_b")).where("_a = _b")
+    return seen.select(*keys, F.when(F.col("_a"), "extra").otherwise("missing").alias("status"))
 
 
 def exact_subset(candidate: DataFrame, base: DataFrame, rule: Column) -> DataFrame:

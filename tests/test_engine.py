@@ -283,3 +283,11 @@ def test_headers_of_random_tables(spark):
             want[t, r] = tuple(min(h, default=None) for h in hits.values())
     got = D.canonical_headers(rows(spark, cells, "p int, row int, col int, text string"), ["p"], rules).collect()
     assert {(r.p, r.row): (r.name, r.day, r.price) for r in got} == want and len(want) > 100
+
+
+def test_missing_and_extra_keys_in_partitions_of_so_many_rows(spark, monkeypatch):
+    monkeypatch.setattr("orefield.operators.state.ROWS", 10)
+    e, a = rows(spark, [(i % 150,) for i in range(300)] + [(None,)], "k bigint"), rows(spark, [(i % 170 + 3,) for i in range(340)] + [(None,)], "k bigint")
+    out = R.missing_and_extra(e, a, "k")
+    assert out.rdd.getNumPartitions() == 65
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, [(0, "missing"), (1, "missing"), (2, "missing"), (None, "missing"), (None, "extra"), *[(i, "extra") for i in range(150, 173)]]))
