@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from orefield.operators import spatial as P
@@ -75,6 +76,41 @@ def test_no_search_broadcasts_its_reference(spark):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def _broadcasts(spark, build):
+    """Rows of each broadcast in all that a query runs, the stored steps of its searches included."""
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def plans(after):
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        runs = store.executionsList()
+        each = [runs.apply(i) for i in range(runs.size())]
+        return {x.executionId(): x.physicalPlanDescription() for x in each if x.executionId() > after}
+
+    last = max(plans(-1), default=-1)
+    build().collect()
+    final = [p.split("+- == Initial Plan ==")[0] for p in plans(last).values()]
+    assert final
+    assert "BroadcastExchange" not in "".join(p for p in final if "BroadcastQueryStage" not in p)
+    return [int(float(n)) for p in final for n in re.findall(r"BroadcastQueryStage \(\d+\), Statistics\(.*rowCount=([\d.E+]+)", p)]
+
+
+def test_fold_features_broadcast_only_their_groups(spark):
+    """m5_fold_features: twelve materials in three folds, never the training rows or the buckets they are spread to."""
+    from __spark_entry__ import queries
+
+    assert _broadcasts(spark, lambda: queries()["m5_fold_features"](spark, "/root/testdata/sf0.01")) == [36]
+
+
+def test_many_groups_are_not_broadcast(spark, monkeypatch):
+    at = spark.range(400).selectExpr("id", "id % 200 AS g", "CAST(id % 60 AS DOUBLE) AS lat", "CAST(id % 70 AS DOUBLE) AS lon")
+    search = lambda: P.nearest_other(at, at.where("g < 150"), ["id"], self_id="id", ref_id="id", by=["g"])
+    assert _broadcasts(spark, search) == [150]
+    few = {r.id: r.nearest_id for r in search().collect()}
+    monkeypatch.setattr(P, "GROUPS", 100)
+    assert _broadcasts(spark, search) == []
+    assert few == {r.id: r.nearest_id for r in search().collect()} == {i: (i + 200) % 400 if i % 200 < 150 else None for i in range(400)}
+
+
 def test_scores_of_cells_that_share_a_place(spark):
     """Cells at one place read one list; a cell without coordinates keeps its rows; the percentile is left out on request."""
     from orefield.operators import scoring as M
