@@ -12,8 +12,9 @@ with exact counts c of single tokens (v is the start before the first word). A l
 a context add up to 1 at most, but for false hits.
 
 Workers get by broadcast: the counts of the HEAD most frequent words at most, and the filter if it is
-not larger than FILTER_BYTES. Everything else a text needs, rare words and, beyond that size, the pairs, is looked up by
-equi-joins on 64-bit hashes. Both ways give the same scores.
+not larger than FILTER_BYTES. With it, rare words are looked up by equi-joins on 64-bit hashes. Beyond that size, texts are dealt into chunks: a chunk
+asks each part of the filter for its different pairs and rare words, once each, and scores its texts from the answers. Keys go
+as differences of sorted keys, compressed. Both ways give the same scores.
 
 Words are known by 64-bit hashes. Null text counts as empty, which is one end. A null id is a training row. Empty training tables give
 counts 0. Rows with equal ids are scored apart. Columns other than id and text are not read.
@@ -21,11 +22,13 @@ counts 0. Rows with equal ids are scored apart. Columns other than id and text a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +43,12 @@ HEAD = 1 << 18
 FILTER_BYTES = 96 << 20
 _HELD = 3 << 18
 _PART = 1 << 20
+#: Bytes of text in a chunk, parts of the filter up to which each is one shard, shards in a part at most, pairs that are probed at a time.
+_CHUNK = 4 << 20
+_PARTS = 512
+_SHARDS = 8
+_PROBED = 1 << 18
+_ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 #: The end token: no word holds a space.
 _END = xxhash.xxh3_64_intdigest(b" ")
 _START = xxhash.xxh3_64_intdigest(b"  ")
@@ -140,6 +149,38 @@ def shard_of(pairs: np.ndarray, shards: int) -> np.ndarray:
     return ((pairs >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Numbers of one type by byte planes, compressed: high bytes of small numbers are all zero."""
+    return _ZIP.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes())
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(_UNZIP.decompress(data), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).reshape(-1).view(kind)
+
+
+def short_keys(keys: np.ndarray, shards: int, parts: int) -> np.ndarray:
+    """Keys without what their part tells of them; a part holds the shards that leave the same rest by parts."""
+    high, n = keys >> np.uint64(32), np.uint64(shards)
+    return high % n // np.uint64(parts) * _width(shards) + ((high // n << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF)))
+
+
+def _width(shards: int) -> np.uint64:
+    return np.uint64(((1 << 32) // shards + 1) << 32)
+
+
+def packed_keys(short: np.ndarray) -> bytes:
+    """Ascending short keys of one part, as differences."""
+    return packed(np.diff(short, prepend=np.zeros(1, np.uint64)))
+
+
+def unpacked_keys(data: bytes, part: int, shards: int, parts: int) -> np.ndarray:
+    short = np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
+    shard, rest = short // _width(shards) * np.uint64(parts) + np.uint64(part), short % _width(shards)
+    return (((rest >> np.uint64(32)) * np.uint64(shards) + shard) << np.uint64(32)) | (rest & np.uint64(0xFFFFFFFF))
+
+
 def probes(pairs: np.ndarray, q: int | np.ndarray, bits: np.ndarray | int) -> Iterator[np.ndarray]:
     """Bit places of the event (pair, q), one for each hash."""
     h = _mix(pairs + _STEP * np.asarray(q).astype(np.uint64))
@@ -191,14 +232,15 @@ def train(docs: DataFrame, *, text_col: str = "text", shard_bytes: int = SHARD_B
     texts = docs.select(F.col(text_col).alias("text"))
     n_shards = max(64, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
 
-    def packed(sums: Sums, kind: int) -> pa.RecordBatch:
+    def by_shards(sums: Sums, kind: int) -> pa.RecordBatch:
         """One row a shard: its sorted keys and their counts."""
         keys, n = sums.merged()
         shard = shard_of(keys, n_shards)
         order = np.argsort(shard, kind="stable")
         ends = np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=n_shards))])
         used = np.flatnonzero(np.diff(ends))
-        columns = [pa.array([x[order[ends[s] : ends[s + 1]]].tobytes() for s in used], pa.binary()) for x in (keys, n.astype(np.uint32))]
+        own = [order[ends[s] : ends[s + 1]] for s in used]
+        columns = [pa.array([packed_keys(short_keys(keys[x], n_shards, n_shards)) for x in own], pa.binary()), pa.array([packed(n[x].astype(np.uint32)) for x in own], pa.binary())]
         sums.__init__()
         return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.full(len(used), kind, np.int32)), *columns], ["shard", "kind", "keys", "counts"])
 
@@ -213,9 +255,9 @@ def train(docs: DataFrame, *, text_col: str = "text", shard_bytes: int = SHARD_B
                     if sums.size > _HELD:
                         sums.merged()
                         if sums.size > _HELD // 2:
-                            yield packed(sums, kind)
-        yield packed(words, 0)
-        yield packed(pairs, 1)
+                            yield by_shards(sums, kind)
+        yield by_shards(words, 0)
+        yield by_shards(pairs, 1)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, cut in key_groups(batches, "shard"):
@@ -223,7 +265,8 @@ def train(docs: DataFrame, *, text_col: str = "text", shard_bytes: int = SHARD_B
                 sums = []
                 for kind in (0, 1):
                     own = [i for i in range(a, b) if rows["kind"][i] == kind]
-                    sums.append(_summed(np.frombuffer(b"".join(rows["keys"][i] for i in own), np.uint64), np.frombuffer(b"".join(rows["counts"][i] for i in own), np.uint32).astype(np.int64)))
+                    keys = [unpacked_keys(rows["keys"][i], rows["shard"][a], n_shards, n_shards) for i in own]
+                    sums.append(_summed(np.concatenate([np.empty(0, np.uint64), *keys]), np.concatenate([np.empty(0, np.int64), *[unpacked(rows["counts"][i], np.uint32) for i in own]])))
                 keys, n = sums[0]
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int32()), pa.array(keys.view(np.int64)), pa.array(n), pa.nulls(len(keys), pa.binary())], ["shard", "key", "n", "bits"])
                 yield pa.RecordBatch.from_arrays([pa.array([rows["shard"][a]], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([filter_bits(*sums[1])], pa.binary())], ["shard", "key", "n", "bits"])
@@ -233,7 +276,7 @@ def train(docs: DataFrame, *, text_col: str = "text", shard_bytes: int = SHARD_B
     return Model(made.where("key is not null").select("key", "n"), made.where("bits is not null").select("shard", "bits"), n_shards, head, filter_bytes)
 
 
-_OPEN = "array<struct<before: bigint, key: bigint, pair: bigint, c_before: bigint, c_key: bigint, level: bigint>>"
+_OPEN = "array<struct<before: bigint, key: bigint, c_before: bigint, c_key: bigint, level: bigint>>"
 
 
 def token_scores(level: np.ndarray, c_before: np.ndarray, c_key: np.ndarray, total: int, distinct: int) -> tuple[np.ndarray, np.ndarray]:
@@ -243,44 +286,52 @@ def token_scores(level: np.ndarray, c_before: np.ndarray, c_key: np.ndarray, tot
     return np.log10(share), np.log10((seen + MU * share) / (c_before + MU))
 
 
+def _head_counts(model: Model) -> Callable[[np.ndarray], np.ndarray]:
+    sent, n_texts, whole_head = model.sent, model.texts, model.whole_head
+
+    def counted(keys: np.ndarray) -> np.ndarray:
+        """Counts by the head; -1 where the table has to tell."""
+        head_keys, head_counts, _ = sent.value
+        at = np.minimum(np.searchsorted(head_keys, keys), max(0, len(head_keys) - 1))
+        hit = head_keys[at] == keys if len(head_keys) else np.zeros(len(keys), bool)
+        out = np.where(hit, head_counts[at] if len(head_keys) else 0, 0 if whole_head else -1)
+        return np.where(keys == _START, n_texts, out)
+
+    return counted
+
+
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) for each row of docs."""
-    total, distinct, n_texts, whole_head, whole_filter = model.total, model.distinct, model.texts, model.whole_head, model.whole_filter
-    sent = model.sent
+    total, distinct, whole_head = model.total, model.distinct, model.whole_head
+    sent, counted = model.sent, _head_counts(model)
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = plain.schema["id"].dataType.simpleString()
+    train_tokens = F.lit(total).cast("long").alias("train_tokens")
+    if not model.whole_filter:
+        return _by_chunks(plain, kind, model).select("id", "n_tokens", "n_known", train_tokens, "base_score", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head_keys, head_counts, bloom = sent.value
-
-        def counted(keys: np.ndarray) -> np.ndarray:
-            """Counts by the head; -1 where the table has to tell."""
-            at = np.minimum(np.searchsorted(head_keys, keys), max(0, len(head_keys) - 1))
-            hit = head_keys[at] == keys if len(head_keys) else np.zeros(len(keys), bool)
-            out = np.where(hit, head_counts[at] if len(head_keys) else 0, 0 if whole_head else -1)
-            return np.where(keys == _START, n_texts, out)
-
+        bloom = sent.value[2]
         for batch in batches:
             for part in slices(batch, 1, _PART):
                 keys, starts = token_keys(as_bytes(part.column(1)))
                 before = contexts(keys, starts)
                 pairs, at = np.unique(pair_hash(before, keys), return_inverse=True)
-                level = bloom.level(pairs)[at] if whole_filter else np.full(len(keys), -1)
+                level = bloom.level(pairs)[at]
                 words, place = np.unique(np.concatenate([before, keys]), return_inverse=True)
                 c = counted(words)[place]
                 c_before, c_key = c[: len(keys)], c[len(keys) :]
-                told = (level >= 0) & (c_before >= 0) & (c_key >= 0)
+                told = (c_before >= 0) & (c_key >= 0)
                 base, full = token_scores(np.where(told, level, 0), np.where(told, c_before, 0), np.where(told, c_key, 0), total, distinct)
                 sums = [np.add.reduceat(np.where(told, x, 0), starts[:-1]) for x in (base, full, c_key > 0)]
                 left = np.flatnonzero(~told)
                 doc = np.searchsorted(starts, left, side="right") - 1
-                items = pa.StructArray.from_arrays([pa.array(x[left].view(np.int64)) for x in (before, keys, pairs[at])] + [pa.array(np.asarray(x[left], np.int64)) for x in (c_before, c_key, level)], ["before", "key", "pair", "c_before", "c_key", "level"])
+                items = pa.StructArray.from_arrays([pa.array(x[left].view(np.int64)) for x in (before, keys)] + [pa.array(np.asarray(x[left], np.int64)) for x in (c_before, c_key, level)], ["before", "key", "c_before", "c_key", "level"])
                 ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=part.num_rows))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(starts)), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), pa.ListArray.from_arrays(pa.array(ends), items)], ["id", "n_tokens", "n_known", "base_score", "score", "open"])
 
     done = plain.mapInArrow(run, f"id {kind}, n_tokens bigint, n_known bigint, base_score double, score double, open {_OPEN}")
-    train_tokens = F.lit(total).cast("long").alias("train_tokens")
-    if whole_head and whole_filter:
+    if whole_head:
         return done.select("id", "n_tokens", "n_known", train_tokens, "base_score", "score")
     done = written(done.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
     rest = done.where(F.size("open") > 0).select("row", F.explode("open").alias("o")).select("row", "o.*")
@@ -289,8 +340,6 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
         known = rest.where(F.col(f"c_{side}") >= 0)
         asked = rest.where(F.col(f"c_{side}") < 0).join(counts, F.col(side) == F.col("_k"), "left")
         rest = known.unionByName(asked.withColumn(f"c_{side}", F.coalesce("_n", F.lit(0))).drop("_k", "_n"))
-    if not whole_filter:
-        rest = rest.drop("level").join(_levels_of(rest.select("pair").distinct(), model), "pair")
     share = (F.col("c_key") + 1) / F.lit(float(total + distinct + 1))
     scale = F.array(*[F.lit(int(x)) for x in [0, *_LEVELS]])
     seen = F.least(F.get(scale, F.col("level").cast("int")), F.col("c_before"), F.col("c_key"))
@@ -299,14 +348,72 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     return done.drop("open").join(sums, "row", "left").select("id", "n_tokens", plus("n_known", "k"), train_tokens, plus("base_score", "b"), plus("score", "s"))
 
 
-def _levels_of(pairs: DataFrame, model: Model) -> DataFrame:
-    """(pair, level): each shard's bits meet the pairs that hash to it, in one group a shard."""
-    n_shards = model.n_shards
-    shard = F.pmod(F.shiftrightunsigned("pair", 32), F.lit(n_shards)).cast("int")
-
-    def probe(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        asked = left["pair"].to_numpy().view(np.uint64)
-        own = Filter(n_shards, {key[0].as_py(): b"".join(right["bits"].to_pylist())})
-        return pa.table({"pair": left["pair"], "level": pa.array(own.level(asked))})
-
-    return pairs.withColumn("shard", shard).groupBy("shard").cogroup(model.shards.groupBy("shard")).applyInArrow(probe, "pair bigint, level bigint")
+def _by_chunks(plain: DataFrame, kind: str, model: Model) -> DataFrame:
+    """score() without the filter at hand: chunks of texts ask the parts of the filter, and read their texts again beside the answers."""
+    total, distinct, n_shards, counted = model.total, model.distinct, model.n_shards, _head_counts(model)
+    n_chunks = (plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // _CHUNK + 1
+    n_parts = -(-n_shards // min(_SHARDS, 1 + n_shards // _PARTS))
+    plain = plain.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(n_chunks)))
+
+    def asked(table: pa.Table) -> tuple[np.ndarray, ...]:
+        """Keys, their contexts and each text's start; the chunk's words, their counts and places; its pairs and their places."""
+        keys, starts = token_keys(as_bytes(table["text"]))
+        before = contexts(keys, starts)
+        words, place = np.unique(np.concatenate([before, keys]), return_inverse=True)
+        return keys, starts, words, counted(words), place, *np.unique(pair_hash(before, keys), return_inverse=True)
+
+    def by_parts(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Order by part and short key, the short keys, and where each part starts and ends."""
+        part, short = shard_of(hashes, n_shards) % n_parts, short_keys(hashes, n_shards, n_parts)
+        return np.lexsort((short, part)), short, np.concatenate([[0], np.cumsum(np.bincount(part, minlength=n_parts))])
+
+    def ask(key: tuple, table: pa.Table) -> pa.Table:
+        _, _, words, c, _, pairs, _ = asked(table)
+        sides = [by_parts(x) for x in (words[c < 0], pairs)]
+        used = np.flatnonzero(sum(np.diff(ends) for _, _, ends in sides))
+        columns = [pa.array([packed_keys(short[order[ends[p] : ends[p + 1]]]) for p in used], pa.binary()) for order, short, ends in sides]
+        return pa.table([pa.array([key[0].as_py()] * len(used), pa.int64()), pa.array(used, pa.int32()), *columns], ["chunk", "part", "words", "pairs"])
+
+    def answer(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = right.filter(pc.is_valid(right["key"]))
+        known, n = rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+        order = np.argsort(known)
+        known, n = np.append(known[order], np.uint64(0)), np.append(n[order], 0)
+        bits = right.filter(pc.is_valid(right["bits"]))
+        bloom = Filter(n_shards, dict(zip(bits["shard"].to_pylist(), bits["bits"].to_pylist())))
+        made, waiting, size = [], [], 0
+        for i, row in enumerate(zip(left["chunk"].to_pylist(), left["words"].to_pylist(), left["pairs"].to_pylist())):
+            waiting.append((row[0], *[unpacked_keys(x, key[0].as_py(), n_shards, n_parts) for x in row[1:]]))
+            size += len(waiting[-1][2])
+            if size < _PROBED and i + 1 < left.num_rows:
+                continue
+            words, pairs = (np.concatenate([w[k] for w in waiting]) for k in (1, 2))
+            at = np.searchsorted(known[:-1], words)
+            found = (np.where(known[at] == words, n[at], 0), bloom.level(pairs).astype(np.uint8))
+            cuts = [np.cumsum([len(w[k]) for w in waiting])[:-1] for k in (1, 2)]
+            columns = [pa.array([packed(x) for x in np.split(f, cut)], pa.binary()) for f, cut in zip(found, cuts)]
+            made.append(pa.RecordBatch.from_arrays([pa.array([w[0] for w in waiting], pa.int64()), pa.array([key[0].as_py()] * len(waiting), pa.int32()), *columns], ["chunk", "part", "counts", "levels"]))
+            waiting, size = [], 0
+        return pa.Table.from_batches(made, pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("counts", pa.binary()), ("levels", pa.binary())]))
+
+    def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, starts, words, c, place, pairs, at = asked(left)
+        right = right.sort_by("part")
+        told = lambda name, kind: np.concatenate([np.empty(0, kind), *[unpacked(x, kind) for x in right[name].to_pylist()]])
+        level = np.zeros(len(pairs), np.int64)
+        level[by_parts(pairs)[0]] = told("levels", np.uint8)
+        rare = np.flatnonzero(c < 0)
+        c[rare[by_parts(words[rare])[0]]] = told("counts", np.int64)
+        c_before, c_key = c[place[: len(keys)]], c[place[len(keys) :]]
+        base, full = token_scores(level[at], c_before, c_key, total, distinct)
+        sums = [np.add.reduceat(x, starts[:-1]) for x in ((c_key > 0).astype(np.int64), base, full)]
+        return pa.table([left["id"], pa.array(np.diff(starts)), *map(pa.array, sums)], ["id", "n_tokens", "n_known", "base_score", "score"])
+
+    own = lambda shard: (shard % n_parts).cast("int").alias("part")
+    words = model.words.select(own(F.pmod(F.shiftrightunsigned("key", 32), F.lit(n_shards))), "key", "n", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("bits"))
+    shards = model.shards.select(own(F.col("shard")), F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("n"), "shard", "bits")
+    parts = shards if model.whole_head else words.unionByName(shards)
+    questions = plain.groupBy("chunk").applyInArrow(ask, "chunk bigint, part int, words binary, pairs binary")
+    answers = questions.groupBy("part").cogroup(parts.groupBy("part")).applyInArrow(answer, "chunk bigint, part int, counts binary, levels binary")
+    answers = written(answers, "lm-answers")
+    return plain.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, f"id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")

@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,6 +13,8 @@ import numpy as np
 import pytest
 
 from orefield.llm import divergence, language_model, merkle, queries
+from orefield.llm._common import written
+from orefield.operators.state import stored
 
 SMALL = "/root/testdata/sf0.001"
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -149,6 +153,43 @@ def test_language_model_base_and_both_ways(spark, rows, bounds):
         assert np.allclose(order(got), order(plain), rtol=1e-9)
 
 
+def test_scoring_by_chunks_stores_less_than_the_texts(spark, monkeypatch):
+    """Beyond the filter's bound a row a token was stored, with six numbers each, and joined three times."""
+    docs = queries.table(spark, SMALL, "documents").select("doc_id", "text")
+    model = language_model.train(docs, head=1000, filter_bytes=0)
+    made = []
+    monkeypatch.setattr(language_model, "written", lambda *a, written=language_model.written, **b: made.append(written(*a, **b)) or made[-1])
+    monkeypatch.setattr(language_model, "_CHUNK", 1 << 16, raising=False)
+    got = language_model.score(docs, model).select("id", "score")
+    plain = language_model.score(docs, language_model.train(docs)).select("id", "score")
+    assert dict(got.collect()) == pytest.approx(dict(plain.collect()))
+    stored = sum(os.path.getsize(f.removeprefix("file:")) for df in made for f in df.inputFiles() if "lm-model" not in f)
+    assert 0 < stored < docs.selectExpr("sum(octet_length(text))").first()[0] / 2
+
+
+def test_keys_of_parts_come_back():
+    keys = np.unique(np.append(np.random.default_rng(5).integers(0, 1 << 64, 5000, dtype=np.uint64), np.array([0, 1, 1 << 32, (1 << 64) - 1], np.uint64)))
+    for shards, parts in ((64, 64), (1280, 427), (4103, 513)):
+        part, short = language_model.shard_of(keys, shards) % parts, language_model.short_keys(keys, shards, parts)
+        for p in range(parts):
+            own = np.flatnonzero(part == p)
+            own = own[np.argsort(short[own])]
+            assert (language_model.unpacked_keys(language_model.packed_keys(short[own]), p, shards, parts) == keys[own]).all()
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x.rsplit("/", 1)[-1] for x in disk.getAllFiles().mkString("|").split("|") if "/shuffle_" in x}
+    before = files()
+    for keep in (lambda df: written(df, "test"), stored):
+        assert len(keep(spark.range(10_000).repartition(7, "id")).collect()) == 10_000  # a count would shuffle again
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_language_model_of_empty_tables(spark):
     docs = frame(spark, ODD)
     model = language_model.train(docs.where("false"))
