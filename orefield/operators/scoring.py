@@ -145,7 +145,7 @@ def weighted_aucs(df: DataFrame, by: Sequence[str], group: str, score: str, labe
 
     If pairs of groups are not more than rows, by pairs of groups; else by weighted rows. Both are exact.
     """
-    df = materialised(df.select(*by, group, F.col(score).alias(score), label))
+    df = stored(df.select(*by, group, F.col(score).alias(score), label))
     sizes = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(group).alias("_g"), label).agg(F.count("*").alias("_c"))
     sizes = materialised(sizes)
     most = sizes.groupBy(*by).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"), F.sum("_c").alias("c")).agg(F.sum(F.col("p") * F.col("n")), F.sum("c")).first()
@@ -158,26 +158,75 @@ def weighted_aucs(df: DataFrame, by: Sequence[str], group: str, score: str, labe
     return won.join(total(1, "np"), [*by, "rep"]).join(total(0, "nn"), [*by, "rep"]).select(*by, "rep", F.try_divide("u", F.col("np") * F.col("nn")).alias("auc"))
 
 
+#: Parts into which a range of scores is cut, and how often (numbers of ranges are 64 bits); rows times replicates that may be unpacked; rows of counts that may be broadcast.
+_BINS = 64
+_ROUNDS = 9
+_UNPACKED = 1 << 22
+_SENT = 1 << 19
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    """A stored df with the hint that its number of rows allows."""
+    return df.hint("broadcast" if df.count() <= _SENT else "merge")
+
+
 def weighted_cuts(background: DataFrame, by: Sequence[str], group: str, score: str, draws: DataFrame, level: float = 0.95) -> DataFrame:
     """(by, rep, _cut): the percentile of each replicate's weighted background rows, as if each row stood there times over.
 
-    Each by group's own percentile halfway to the top is a floor: replicates whose cut lies above it, which counts of groups tell, unpack only the rows
-    from there on; the others unpack all.
+    Ranges of scores are cut into _BINS parts again and again: counts of groups tell in which part a replicate's two ranks lie, and only rows of such parts
+    stay, until few are left to unpack (or none of the ranges gets narrower).
     """
-    rows = background.where(F.col(score).isNotNull()).select(*by, group, F.col(score).cast("double").alias("s"))
-    floors = rows.groupBy(*by).agg(F.percentile("s", F.lit(1 - 2 * (1 - level))).alias("_floor"))
-    rows = materialised(rows.join(floors, list(by)))
-    counts = rows.groupBy(*by, group).agg(F.count("*").alias("_c"), F.count_if(F.col("s") >= F.col("_floor")).alias("_top"))
-    reps = counts.join(draws, [*by, group]).groupBy(*by, "rep").agg(F.sum(F.col("_c") * F.col("times")).alias("_w"), F.sum(F.col("_top") * F.col("times")).alias("_a"))
+    held = background.where(F.col(score).isNotNull()).select(*by, group, F.col(score).cast("double").alias("s"), F.lit(0).cast("long").alias("_bin"))
+    counts = stored(held.groupBy(*by, group, "_bin").agg(F.count("*").alias("_c"), F.min("s").alias("_lo"), F.max("s").alias("_hi")))
+    reps = counts.join(draws, [*by, group]).groupBy(*by, "rep").agg(F.sum(F.col("_c") * F.col("times")).alias("_w"))
     at = F.lit(float(level)) * (F.col("_w") - 1)
-    reps = reps.withColumns({"_low": F.floor(at), "_high": F.ceil(at), "_part": at - F.floor(at)}).withColumn("_skip", F.when(F.col("_low") >= F.col("_w") - F.col("_a"), F.col("_w") - F.col("_a")).otherwise(0))
-    used = rows.join(draws, [*by, group]).join(reps, [*by, "rep"]).where((F.col("_skip") == 0) | (F.col("s") >= F.col("_floor")))
-    ties = used.groupBy(*by, "rep", "s").agg(F.sum("times").alias("_t"), *[F.first(c).alias(c) for c in ("_low", "_high", "_part", "_skip")])
-    upto = F.sum("_t").over(Window.partitionBy(*by, "rep").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_skip")
-    picked = ties.withColumn("_u", upto).groupBy(*by, "rep").agg(F.min(F.when(F.col("_u") > F.col("_low"), F.col("s"))).alias("_a"), F.min(F.when(F.col("_u") > F.col("_high"), F.col("s"))).alias("_b"), F.first("_part").alias("_part"))
+    ranks = F.explode(F.array(F.struct(F.lit(0).alias("_high"), F.floor(at).alias("_at")), F.struct(F.lit(1).alias("_high"), F.ceil(at).alias("_at"))))
+    targets = stored(reps.select(*by, "rep", (at - F.floor(at)).alias("_part"), ranks.alias("r"), F.lit(0).cast("long").alias("_bin")).select(*by, "rep", "_part", "r.*", "_bin"))
+    spans = lambda c: c.groupBy(*by, "_bin").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.sum("_c").alias("_n"))
+    bins, last = stored(spans(counts)), None
+    for _ in range(_ROUNDS):
+        cost = targets.select(*by, "rep", "_bin").distinct().join(bins, [*by, "_bin"]).agg(F.sum("_n")).first()[0] or 0
+        if cost <= _UNPACKED or (last is not None and cost > last * 0.9):
+            break
+        last = cost
+        width = F.col("_hi") - F.col("_lo")
+        sub = F.when((width > 0) & (width < float("inf")), F.least(F.floor((F.col("s") - F.col("_lo")) / width * _BINS), F.lit(_BINS - 1))).otherwise(0)
+        cut = held.join(_counted(bins), [*by, "_bin"]).select(*by, group, "s", (F.col("_bin") * _BINS + sub).alias("_bin"))
+        counts = stored(cut.groupBy(*by, group, "_bin").agg(F.count("*").alias("_c"), F.min("s").alias("_lo"), F.max("s").alias("_hi")))
+        was = F.expr(f"_bin div {_BINS}").alias("_was")
+        wanted = draws.join(targets.select(*by, "rep", F.col("_bin").alias("_was")).distinct().hint("merge"), [*by, "rep"])
+        weights = wanted.join(_counted(counts.select(*by, group, was, "_bin", "_c")), [*by, group, "_was"]).groupBy(*by, "rep", "_was", "_bin").agg(F.sum(F.col("_c") * F.col("times")).alias("_w"))
+        upto = F.sum("_w").over(Window.partitionBy(*by, "rep", "_was").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
+        found = targets.withColumnRenamed("_bin", "_was").join(weights.withColumn("_u", upto), [*by, "rep", "_was"]).where((F.col("_at") < F.col("_u")) & (F.col("_at") >= F.col("_u") - F.col("_w")))
+        targets = stored(found.select(*by, "rep", "_part", "_high", (F.col("_at") - (F.col("_u") - F.col("_w"))).alias("_at"), "_bin"))
+        bins = stored(spans(counts.join(targets.select(*by, "_bin").distinct(), [*by, "_bin"], "left_semi")))
+        held = stored(cut.join(_counted(bins.select(*by, "_bin")), [*by, "_bin"], "left_semi"))
+    rows = stored(held.groupBy(*by, "_bin", group, "s").agg(F.count("*").alias("_c")))
+    wanted = draws.join(targets.select(*by, "rep", "_bin").distinct().hint("merge"), [*by, "rep"])
+    ties = wanted.join(_counted(rows), [*by, "_bin", group]).groupBy(*by, "rep", "_bin", "s").agg(F.sum(F.col("_c") * F.col("times")).alias("_t"))
+    upto = F.sum("_t").over(Window.partitionBy(*by, "rep", "_bin").orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
+    held_at = ties.withColumn("_u", upto).join(targets, [*by, "rep", "_bin"]).where(F.col("_u") > F.col("_at"))
+    side = lambda high: F.min(F.when(F.col("_high") == high, F.col("s")))
+    picked = held_at.groupBy(*by, "rep").agg(side(0).alias("_a"), side(1).alias("_b"), F.first("_part").alias("_part"))
     return picked.select(*by, "rep", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part")).alias("_cut"))
 
 
+def _weighted_recall(positive: DataFrame, by: Sequence[str], group: str, score: str, draws: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(by, rep, recall): share of each replicate's weighted positive rows at or above its cut; rows without a score do not count.
+
+    Rows are counted by group and by how many of the different cuts they reach, so they do not meet the replicates.
+    """
+    cuts = stored(cuts)
+    steps = cuts.groupBy(*by).agg(F.array_sort(F.collect_set("_cut")).alias("_cuts"))  # as many as replicates at most
+    rows = positive.where(F.col(score).isNotNull()).groupBy(*by, group, score).agg(F.count("*").alias("_c")).join(steps, list(by))
+    reached = rows.withColumn("_reached", F.size(F.filter("_cuts", lambda c: c <= F.col(score)))).groupBy(*by, group, "_reached").agg(F.sum("_c").alias("_c"))
+    lists = reached.groupBy(*by, group).agg(F.collect_list(F.struct("_reached", "_c")).alias("_list"), F.sum("_c").alias("_all"))
+    place = cuts.join(steps, list(by)).select(*by, "rep", F.array_position("_cuts", F.col("_cut")).cast("int").alias("_place"))
+    hits = F.aggregate(F.filter("_list", lambda x: x["_reached"] >= F.col("_place")), F.lit(0).cast("long"), lambda a, x: a + x["_c"])
+    each = draws.join(lists, [*by, group]).join(place, [*by, "rep"])
+    return each.groupBy(*by, "rep").agg(F.try_divide(F.sum(F.col("times") * hits), F.sum(F.col("times") * F.col("_all"))).alias("recall"))
+
+
 def group_bootstrap(df: DataFrame, by: Sequence[str], group: str, score: str, label: str, reps: int, seed: int) -> DataFrame:
     """(by, auc_low, auc_high, recall_low, recall_high): 2.5th and 97.5th percentile of the AUC and of the recall at the background's top when whole groups are drawn with replacement, positive and background ones apart.
 
@@ -190,10 +239,9 @@ def group_bootstrap(df: DataFrame, by: Sequence[str], group: str, score: str, la
     drawn = draws.withColumn("g", integer_hash(F.col("draw") * 7919 + F.col("rep") * 104729 + F.col(label), seed) % F.col("m")).groupBy(*by, label, "rep", "g").agg(F.count("*").alias("times"))
     weights = materialised(drawn.join(placed, [*by, label, "g"]).select(*by, label, group, "rep", "times"))
     one = [*by, "rep"]
-    cut = weighted_cuts(df.where(F.col(label) == 0), by, group, score, weights.where(F.col(label) == 0).drop(label))
-    positive = df.where(F.col(label) == 1).join(weights.where(F.col(label) == 1).drop(label), [*by, group])
-    hit = F.when(F.col(score).isNotNull(), F.when(F.col(score) >= F.col("_cut"), F.col("times")).otherwise(0))
-    recall = positive.join(cut, one).groupBy(*one).agg(F.try_divide(F.sum(hit), F.sum(F.when(hit.isNotNull(), F.col("times")))).alias("recall"))
+    of = lambda y: weights.where(F.col(label) == y).drop(label)
+    cuts = weighted_cuts(df.where(F.col(label) == 0), by, group, score, of(0))
+    recall = _weighted_recall(df.where(F.col(label) == 1), by, group, score, of(1), cuts)
     each = weighted_aucs(df, by, group, score, label, weights, by).join(recall, one, "left")
     return each.groupBy(*by).agg(*[F.percentile(m, F.lit(p)).alias(f"{m}_{side}") for m in ("auc", "recall") for side, p in (("low", 0.025), ("high", 0.975))])
 
@@ -301,9 +349,8 @@ def transfer_metrics(observations: DataFrame, background: DataFrame, target: str
     from .relational import threshold_shares
 
     pos = observations.where("outside_known and score is not null").select(target, group, "score", "percentile", F.lit(1).alias("label"))
-    pos = materialised(pos)  # used by every metric
-    both = pos.unionByName(background.select(target, group, "score", "percentile", F.lit(0).alias("label")))
-    both = materialised(both)
+    pos = stored(pos)  # used by every metric
+    both = stored(pos.drop("percentile").unionByName(background.select(target, group, "score", F.lit(0).alias("label"))))
     by = [target]
     n = pos.groupBy(target).agg(F.count("*").alias("n_blocks"))
     out = n

@@ -1,6 +1,7 @@
 """Ranks, quantiles, neighbours, folds, models and bootstraps against plain computations on hand-made rows."""
 
 import math
+import os
 import random
 from collections import defaultdict
 
@@ -15,6 +16,7 @@ from orefield.operators import ranks
 from orefield.operators import relational as R
 from orefield.operators import scoring as M
 from orefield.operators import spatial as P
+from orefield.operators.state import stored
 from orefield.sources import tables as S
 
 
@@ -212,3 +214,35 @@ def test_weighted_aucs_and_cuts_equal_repeated_rows(spark, n_groups):
         p, n = ([s for g, y, s in rows if y == k for _ in range(times.get((g, y, rep), 0))] for k in (1, 0))
         assert cuts[rep] == pytest.approx(np.percentile(n, 95))
         assert aucs[rep] == pytest.approx(np.mean([(a > b) + (a == b) / 2 for a in p for b in n]))
+
+
+@pytest.mark.parametrize("sent", [0, 1 << 19])
+def test_cuts_of_ranges_cut_again_and_again(spark, monkeypatch, sent):
+    """Ties, a far value, values a hair apart, and a group whose range has no finite width."""
+    for name, value in (("_UNPACKED", 0), ("_BINS", 4), ("_SENT", sent)):
+        monkeypatch.setattr(M, name, value)
+    rng = random.Random(8)
+    scores = {1: lambda: float(rng.randrange(40)), 2: lambda: rng.choice([0.5, 0.5 + 1e-12 * rng.randrange(50), 1e9]), 3: lambda: rng.choice([-1.7e308, 1.7e308, 2.0, 3.0, 3.0]), 4: lambda: 7.0}
+    rows = [(m, f"g{rng.randrange(9)}", f()) for m, f in scores.items() for _ in range(250)]
+    draws = [(m, g, r, rng.choice([1, 2, 5])) for r in range(5) for m, g in sorted({x[:2] for x in rows}) if rng.random() < 0.7]
+    df = spark.createDataFrame([*rows, (1, "g1", None)], "m int, g string, s double")
+    got = {(r.m, r.rep): r._cut for r in M.weighted_cuts(df, ["m"], "g", "s", spark.createDataFrame(draws, "m int, g string, rep int, times long")).collect()}
+    times = {d[:3]: d[3] for d in draws}
+    for m, r in {(d[0], d[2]) for d in draws}:
+        values = sorted(s for k, g, s in rows if k == m for _ in range(times.get((m, g, r), 0)))
+        at = 0.95 * (len(values) - 1)
+        low, high = values[math.floor(at)], values[math.ceil(at)]
+        assert got[m, r] == pytest.approx(low + (high - low) * (at - math.floor(at)), rel=1e-14)
+
+
+def test_bootstrap_shuffles_no_row_a_replicate(spark):
+    """Each background row above a floor, and each positive row, went through a shuffle once a replicate that drew its group."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x: os.path.getsize(x) for x in disk.getAllFiles().mkString("|").split("|") if "/shuffle_" in x and os.path.exists(x)}
+    rows = spark.range(40_000).selectExpr("1 as target", "id div 7 % 20 as unit", "id * 48271 % 39989 / 39989 as s", "int(id % 10 = 0) as y")
+    rows = stored(rows)
+    before = files()
+    got = M.group_bootstrap(rows, ["target"], "unit", "s", "y", 500, 3).first()
+    left = sum(n for f, n in files().items() if f not in before)
+    assert 0.4 < got.auc_low < got.auc_high < 0.6 and 0 < got.recall_low < got.recall_high < 0.1
+    assert left < 6e6, left
