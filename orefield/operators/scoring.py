@@ -31,8 +31,14 @@ def integer_hash(id_: Column, seed: Column | int) -> Column:
     return (mixed * FACTOR_ID + 11) % MODULUS
 
 
-#: Targets that a cell row may carry as one array.
+#: Targets that a cell row may carry as one array; rows of a small side that may be broadcast.
 _LISTED = 10_000
+_SENT = 1 << 19
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    """A stored df with the hint that its number of rows allows."""
+    return df.hint("broadcast" if df.count() <= _SENT else "merge")
 
 
 def _cells_by_targets(cells: DataFrame, targets: DataFrame, part: Sequence[str]) -> DataFrame:
@@ -70,7 +76,8 @@ def score_cells(cells: DataFrame, evidence: DataFrame, targets: DataFrame, *, ce
     lists = base.groupBy(*[F.col(c).alias(f"_at_{c}") for c in (*part, "lat", "lon")]).agg(F.collect_list(F.struct(target, "n_evidence", "nearest_km", "density")).alias("_list"))
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in (*part, "lat", "lon")])
     each = cells.select(*part, cell, unit, "lat", "lon").join(lists.hint("merge"), same).select(*part, cell, unit, F.inline("_list"))
-    j = each.join(scale, by).join(affinity, [*by, unit], "left").withColumn("affinity", F.coalesce("affinity", F.lit(0.0)))
+    small = [_counted(stored(t)) for t in (scale, affinity)]  # else all scores would be shuffled to meet them
+    j = each.join(small[0], by).join(small[1], [*by, unit], "left").withColumn("affinity", F.coalesce("affinity", F.lit(0.0)))
     decay, dense = distance_decay("nearest_km"), clip(F.col("density") / F.col("_scale"))
     full = WEIGHTS[0] * F.col("affinity") + WEIGHTS[1] * decay + WEIGHTS[2] * dense
     sparse = SPARSE_WEIGHTS[0] * decay + SPARSE_WEIGHTS[1] * dense
@@ -158,16 +165,10 @@ def weighted_aucs(df: DataFrame, by: Sequence[str], group: str, score: str, labe
     return won.join(total(1, "np"), [*by, "rep"]).join(total(0, "nn"), [*by, "rep"]).select(*by, "rep", F.try_divide("u", F.col("np") * F.col("nn")).alias("auc"))
 
 
-#: Parts into which a range of scores is cut, and how often (numbers of ranges are 64 bits); rows times replicates that may be unpacked; rows of counts that may be broadcast.
+#: Parts into which a range of scores is cut, and how often (numbers of ranges are 64 bits); rows times replicates that may be unpacked.
 _BINS = 64
 _ROUNDS = 9
 _UNPACKED = 1 << 22
-_SENT = 1 << 19
-
-
-def _counted(df: DataFrame) -> DataFrame:
-    """A stored df with the hint that its number of rows allows."""
-    return df.hint("broadcast" if df.count() <= _SENT else "merge")
 
 
 def weighted_cuts(background: DataFrame, by: Sequence[str], group: str, score: str, draws: DataFrame, level: float = 0.95) -> DataFrame:
